@@ -136,28 +136,37 @@ def with_range_cell(df: DataFrame, order: str, out: str = "_cell") -> DataFrame:
 
 
 def running_totals(
-    df: DataFrame, *, order: str, sums: list[str], ascending: bool = True
+    df: DataFrame,
+    *,
+    order: str,
+    sums: list[str],
+    by: list[str] | None = None,
+    ascending: bool = True,
 ) -> DataFrame:
-    """Inclusive running sums of ``sums`` along ``order`` as ``cum_<name>``.
+    """Inclusive running sums of ``sums`` along ``order`` as ``cum_<name>``, per group ``by``.
 
-    ``df`` must hold one row per value of ``order`` (aggregate first).
+    ``df`` must hold one row per group and value of ``order`` (aggregate first).
     """
+    by = by or []
     celled = with_range_cell(df, order)
     sign = 1 if ascending else -1
-    totals = celled.groupBy("_cell").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
-    cells = Window.partitionBy(F.lit(0)).orderBy(sign * F.col("_cell"))
+    totals = celled.groupBy(*by, "_cell").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
+    cells = Window.partitionBy(*(by or [F.lit(0)])).orderBy(sign * F.col("_cell"))
     offsets = totals.select(
+        *by,
         "_cell",
         *[(F.sum(f"_t_{c}").over(cells) - F.col(f"_t_{c}")).alias(f"_o_{c}") for c in sums],
     )
+    if not by:
+        offsets = F.broadcast(offsets)  # at most RANGE_CELLS rows
     inside = (
-        Window.partitionBy("_cell")
+        Window.partitionBy(*by, "_cell")
         .orderBy(F.col(order).asc() if ascending else F.col(order).desc())
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return (
         celled.select("*", *[F.sum(c).over(inside).alias(f"_i_{c}") for c in sums])
-        .join(F.broadcast(offsets), "_cell")  # at most RANGE_CELLS rows
+        .join(offsets, [*by, "_cell"])
         .select(
             *df.columns,
             *[(F.col(f"_i_{c}") + F.col(f"_o_{c}")).alias(f"cum_{c}") for c in sums],
