@@ -18,6 +18,7 @@ from tablewright.functions.scalars import normalise_missing, numeric_or_null, qu
 from tablewright.operators.ordering import hash_numbered
 
 MAX_CLASSES = 100_000
+INLINE_CLASSES = 64
 
 
 def class_names(df: DataFrame, target: str, keep_null: bool = False) -> list[str]:
@@ -46,10 +47,15 @@ def encode_labels(
     text = quoted(target).cast("string")
     if keep_null:
         text = F.coalesce(text, F.lit("nan"))
-    position = F.array_position(F.array(*[F.lit(n) for n in names]), text)
-    return df.filter(text.isNotNull()).withColumn(
-        out, F.when(position > 0, (position - 1).cast("double"))
+    known = df.filter(text.isNotNull())
+    if len(names) <= INLINE_CLASSES:
+        position = F.array_position(F.array(*[F.lit(n) for n in names]), text)
+        return known.withColumn(out, F.when(position > 0, (position - 1).cast("double")))
+    lookup = df.sparkSession.createDataFrame(
+        [(n, float(i)) for i, n in enumerate(names)], f"_class string, {out} double"
     )
+    joined = known.withColumn("_class", text).join(F.broadcast(lookup), "_class", "left")
+    return joined.drop("_class")  # the lookup has at most MAX_CLASSES rows
 
 
 def numeric_target(df: DataFrame, target: str, out: str = "label") -> DataFrame:
