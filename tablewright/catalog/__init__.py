@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("sources", "profile", "eda", "metrics", "split", "features")
+MODULES = ("sources", "profile", "eda", "metrics", "split", "features", "registry")
 
 
 def load_catalog() -> None:

@@ -30,10 +30,14 @@ def ranking_score(metric: Column | str, value: Column) -> Column:
     return F.when(metric.isin(*ERROR_METRICS), -value).otherwise(value)
 
 
-def confusion_counts(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
-    """``(label, prediction, n)`` for the pairs that occur."""
+def confusion_counts(
+    df: DataFrame, label: str = "label", prediction: str = "prediction", by: list[str] | None = None
+) -> DataFrame:
+    """``(label, prediction, n)`` for the pairs that occur, per group ``by``."""
     return df.groupBy(
-        quoted(label).cast("int").alias("label"), quoted(prediction).cast("int").alias("prediction")
+        *(by or []),
+        quoted(label).cast("int").alias("label"),
+        quoted(prediction).cast("int").alias("prediction"),
     ).agg(F.count("*").alias("n"))
 
 
@@ -53,10 +57,14 @@ def confusion_matrix(
     )
 
 
-def per_class(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
+def per_class(
+    df: DataFrame, label: str = "label", prediction: str = "prediction", by: list[str] | None = None
+) -> DataFrame:
     """Support, precision, recall and F1 of every class in truth or prediction."""
-    counts = confusion_counts(df, label, prediction)
+    by = by or []
+    counts = confusion_counts(df, label, prediction, by)
     sides = counts.select(
+        *by,
         F.explode(
             F.array(
                 F.struct(
@@ -74,9 +82,9 @@ def per_class(df: DataFrame, label: str = "label", prediction: str = "prediction
                     F.lit(0).cast("bigint").alias("hits"),
                 ),
             )
-        ).alias("s")
-    ).select("s.*")
-    sums = sides.groupBy("class").agg(
+        ).alias("s"),
+    ).select(*by, "s.*")
+    sums = sides.groupBy(*by, "class").agg(
         *[F.sum(c).alias(c) for c in ("support", "predicted", "hits")]
     )
 
@@ -84,6 +92,7 @@ def per_class(df: DataFrame, label: str = "label", prediction: str = "prediction
         return F.coalesce(F.try_divide(top.cast("double"), bottom.cast("double")), F.lit(0.0))
 
     return sums.select(
+        *by,
         "class",
         "support",
         ratio(F.col("hits"), F.col("predicted")).alias("precision"),
@@ -93,18 +102,19 @@ def per_class(df: DataFrame, label: str = "label", prediction: str = "prediction
 
 
 def classification_metrics(
-    df: DataFrame, label: str = "label", prediction: str = "prediction"
+    df: DataFrame, label: str = "label", prediction: str = "prediction", by: list[str] | None = None
 ) -> DataFrame:
-    """One row: accuracy, weighted precision / recall / F1, macro F1.
+    """Accuracy, weighted precision / recall / F1, macro F1: one row (per group ``by``).
 
     The support-weighted recall is the accuracy, so one pass over the confusion counts is enough.
     """
+    by = by or []
     weight = F.sum("support").cast("double")
 
     def weighted(name: str) -> Column:
         return F.try_divide(F.sum(F.col(name) * F.col("support")), weight)
 
-    return per_class(df, label, prediction).agg(
+    return per_class(df, label, prediction, by).groupBy(*by).agg(
         weighted("recall").alias("accuracy"),
         weighted("precision").alias("precision_weighted"),
         weighted("recall").alias("recall_weighted"),
@@ -113,51 +123,57 @@ def classification_metrics(
     )
 
 
-def score_counts(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
+def score_counts(
+    df: DataFrame, label: str = "label", score: str = "score", by: list[str] | None = None
+) -> DataFrame:
     """``(score, pos, neg)``: the rows packed by score."""
-    return df.groupBy(quoted(score).cast("double").alias("score")).agg(
+    return df.groupBy(*(by or []), quoted(score).cast("double").alias("score")).agg(
         F.count_if(quoted(label) == 1).alias("pos"), F.count_if(quoted(label) != 1).alias("neg")
     )
 
 
-def roc_auc(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
-    """One row ``roc_auc``: exact, ties count half; NULL with a single class."""
-    ranked = running_totals(score_counts(df, label, score), order="score", sums=["neg"])
+def _area(ranked: DataFrame, by: list[str], *extra: Column) -> DataFrame:
+    """ROC areas from running counts of negatives; ties count half."""
     wins = F.sum(F.col("pos") * (F.col("cum_neg") - F.col("neg") / 2.0))
     pairs = F.sum("pos").cast("double") * F.sum("neg").cast("double")
-    return ranked.agg(F.try_divide(wins, pairs).alias("roc_auc"))
+    return ranked.groupBy(*by).agg(F.try_divide(wins, pairs).alias("roc_auc"), *extra)
+
+
+def roc_auc(
+    df: DataFrame, label: str = "label", score: str = "score", by: list[str] | None = None
+) -> DataFrame:
+    """One row ``roc_auc`` (per group ``by``): exact; NULL with a single class."""
+    by = by or []
+    packed = score_counts(df, label, score, by)
+    return _area(running_totals(packed, order="score", sums=["neg"], by=by), by)
 
 
 def roc_auc_multiclass(
-    df: DataFrame, label: str = "label", scores: str = "scores"
+    df: DataFrame, label: str = "label", scores: str = "scores", by: list[str] | None = None
 ) -> DataFrame:
-    """One row ``roc_auc``: one class against the rest, averaged by prevalence.
+    """One row ``roc_auc`` (per group ``by``): one class against the rest, by prevalence.
 
     All classes are ranked in one plan over rows packed by (class, score). NULL if a class is
     never, or always, the truth.
     """
+    by = by or []
     packed = (
         df.select(
+            *by,
             quoted(label).cast("int").alias("label"),
             F.posexplode(quoted(scores)).alias("class", "score"),
         )
-        .groupBy("class", "score")
+        .groupBy(*by, "class", "score")
         .agg(
             F.count_if(F.col("label") == F.col("class")).alias("pos"),
             F.count_if(F.col("label") != F.col("class")).alias("neg"),
         )
     )
-    ranked = running_totals(packed, order="score", sums=["neg"], by=["class"])
-    wins = F.sum(F.col("pos") * (F.col("cum_neg") - F.col("neg") / 2.0))
-    pairs = F.sum("pos").cast("double") * F.sum("neg").cast("double")
-    areas = ranked.groupBy("class").agg(
-        F.try_divide(wins, pairs).alias("auc"), F.sum("pos").alias("size")
-    )
-    return areas.agg(
-        F.when(
-            F.count_if(F.col("auc").isNull()) == 0,
-            F.try_divide(F.sum(F.col("auc") * F.col("size")), F.sum("size").cast("double")),
-        ).alias("roc_auc")
+    ranked = running_totals(packed, order="score", sums=["neg"], by=[*by, "class"])
+    areas = _area(ranked, [*by, "class"], F.sum("pos").alias("size"))
+    mean = F.try_divide(F.sum(F.col("roc_auc") * F.col("size")), F.sum("size").cast("double"))
+    return areas.groupBy(*by).agg(
+        F.when(F.count_if(F.col("roc_auc").isNull()) == 0, mean).alias("roc_auc")
     )
 
 
@@ -179,9 +195,9 @@ def roc_curve(df: DataFrame, label: str = "label", score: str = "score") -> Data
 
 
 def regression_metrics(
-    df: DataFrame, label: str = "label", prediction: str = "prediction"
+    df: DataFrame, label: str = "label", prediction: str = "prediction", by: list[str] | None = None
 ) -> DataFrame:
-    """One row: r2, mae, mse, rmse, explained variance; mape is NULL if a true value is 0.
+    """r2, mae, mse, rmse, explained variance; mape is NULL if a true value is 0.
 
     A constant target gives r2 (and explained variance) 1 for perfect predictions, else 0.
     """
@@ -198,7 +214,7 @@ def regression_metrics(
         )
 
     size = F.when(y != 0, F.abs(F.try_divide(error, y)))
-    return df.agg(
+    return df.groupBy(*(by or [])).agg(
         share(mse).alias("r2"),
         F.avg(F.abs(error)).alias("mae"),
         mse.alias("mse"),
@@ -260,3 +276,32 @@ def best_runs(runs: DataFrame, experiment: str = "experiment_id") -> DataFrame:
         ).alias("b")
     )
     return best.select(experiment, "b.*")
+
+
+def metric_frame(
+    scored: DataFrame, metric: str, n_classes: int = 0, by: list[str] | None = None
+) -> DataFrame:
+    """``(by…, value)``: one metric of a scored frame, oriented so that higher is better."""
+    by = by or []
+    if metric == "roc_auc" and n_classes == 2:
+        binary = scored.withColumn("_score", F.get("scores", F.lit(1)))
+        frame = roc_auc(binary, score="_score", by=by)
+    elif metric == "roc_auc":
+        frame = roc_auc_multiclass(scored, by=by)
+    elif n_classes:
+        frame = classification_metrics(scored, by=by)
+    else:
+        frame = regression_metrics(scored, by=by)
+    return frame.select(*by, ranking_score(metric, F.col(metric)).alias("value"))
+
+
+def all_metrics(scored: DataFrame, n_classes: int = 0) -> dict[str, float]:
+    """Every metric of the task that has a value."""
+    if not n_classes:
+        found = regression_metrics(scored).first().asDict()
+    else:
+        found = classification_metrics(scored).first().asDict()
+        if "scores" in scored.columns:
+            area = metric_frame(scored, "roc_auc", n_classes).first()
+            found["roc_auc"] = area["value"] if area else None
+    return {k: float(v) for k, v in found.items() if v is not None}
