@@ -7,6 +7,7 @@ resulting vectors are shared by all algorithms and trials.
 from __future__ import annotations
 
 import json
+import math
 import time
 from dataclasses import dataclass, field, replace
 from multiprocessing.pool import ThreadPool
@@ -43,6 +44,7 @@ from tablewright.operators.split import (
 )
 
 LABEL = "label"
+PARTITION_BYTES = 16 << 20
 RUN_SCHEMA = (
     "experiment_id string, position int, algorithm string, status string, error string, "
     "params map<string,string>, metrics map<string,double>, primary_metric string, "
@@ -210,8 +212,17 @@ def prepare_data(
     return _Data(train, test, names, schema, replace(config, target=None))
 
 
-def _vectors(fitted: FittedFeatures, df: DataFrame, *extra: str) -> DataFrame:
-    return fitted.transform(df).select("features", LABEL, *extra)
+def vectors(fitted: FittedFeatures, df: DataFrame, n_rows: int | None = None) -> DataFrame:
+    """Feature vectors with their label.
+
+    Iterative fits run one job per step, so small sets should not sit in many tiny partitions:
+    with ``n_rows``, they are merged up to ``PARTITION_BYTES`` (never split).
+    """
+    frame = fitted.transform(df).select("features", LABEL)
+    if n_rows is None:
+        return frame
+    size = n_rows * (len(fitted.names) + 1) * 8
+    return frame.coalesce(max(1, math.ceil(size / PARTITION_BYTES)))
 
 
 def tune(
@@ -235,9 +246,10 @@ def tune(
         part = parted.filter(F.col("fold") != fold).drop("fold", *drop)
         rest = parted.filter(F.col("fold") == fold).drop("fold", *drop)
         fitted = fit_features(part, config, LABEL)
-        inside = _vectors(fitted, part).persist(StorageLevel.MEMORY_AND_DISK)
-        outside = _vectors(fitted, rest).persist(StorageLevel.MEMORY_AND_DISK)
-        context = Context(task, inside.count(), n_classes, controls.seed)
+        n = part.count()
+        inside = vectors(fitted, part, n).persist(StorageLevel.MEMORY_AND_DISK)
+        outside = vectors(fitted, rest, n).persist(StorageLevel.MEMORY_AND_DISK)
+        context = Context(task, n, n_classes, controls.seed)
 
         def attempt(i, inside=inside, outside=outside, context=context, fold=fold):
             model = spec.fit(inside, context, trials[i])
@@ -324,8 +336,9 @@ def run_experiment(
     best: FittedRun | None = None
     try:
         fitted = fit_features(data.train.drop(*drop), data.config, LABEL)
-        inside = _vectors(fitted, data.train).persist(StorageLevel.MEMORY_AND_DISK)
-        outside = _vectors(fitted, data.test).persist(StorageLevel.MEMORY_AND_DISK)
+        n = data.train.count()
+        inside = vectors(fitted, data.train, n).persist(StorageLevel.MEMORY_AND_DISK)
+        outside = vectors(fitted, data.test, n).persist(StorageLevel.MEMORY_AND_DISK)
         kept += [inside, outside]
         for position, name in enumerate(keys):
             try:
@@ -391,12 +404,12 @@ def learning_curve(
                 F.col("_number") < F.ceil(F.col("_total") * F.lit(size))
             ).drop("_number", "_total", *drop)
             fitted = fit_features(part, config, LABEL)
-            inside = _vectors(fitted, part).persist(StorageLevel.MEMORY_AND_DISK)
-            n = inside.count()
+            n = part.count()
+            inside = vectors(fitted, part, n).persist(StorageLevel.MEMORY_AND_DISK)
             model = spec.fit(inside, Context(task, n, n_classes, seed), params or {})
             values = [
                 M.metric_frame(scored_frame(model, frame, bool(n_classes)), metric, n_classes).first()
-                for frame in (inside, _vectors(fitted, rest))
+                for frame in (inside, vectors(fitted, rest, n))
             ]
             found.append((float(size), n, *[v["value"] if v else None for v in values]))
             inside.unpersist()
