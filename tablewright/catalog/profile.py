@@ -58,14 +58,14 @@ def _numeric_sql(source: str, columns: list[str]) -> str:
         parts.append(
             f"""
     select {i} as position, '{c}' as "column", count(v) as count,
-      round(avg(v), 6) as mean,
-      round(case when count(v) > 1 then stddev_samp(v) when count(v) = 1 then 0.0 end, 6) as std,
-      round(min(v), 6) as min, round(max(q1), 6) as p25, round(max(q2), 6) as median,
-      round(max(q3), 6) as p75, round(max(v), 6) as max,
+      round(avg(v), 4) as mean,
+      round(case when count(v) > 1 then stddev_samp(v) when count(v) = 1 then 0.0 end, 4) as std,
+      round(min(v), 4) as min, round(max(q1), 4) as p25, round(max(q2), 4) as median,
+      round(max(q3), 4) as p75, round(max(v), 4) as max,
       round(case when count(v) > 2 then coalesce(case when min(v) < max(v) then skewness(v) end, 0.0)
-                 when count(v) > 0 then 0.0 end, 6) as skew,
+                 when count(v) > 0 then 0.0 end, 4) as skew,
       round(case when count(v) > 3 then coalesce(case when min(v) < max(v) then kurtosis(v) end, 0.0)
-                 when count(v) > 0 then 0.0 end, 6) as kurtosis,
+                 when count(v) > 0 then 0.0 end, 4) as kurtosis,
       count(*) filter (where v = 0) as n_zeros,
       count(*) filter (where v < 0) as n_negative,
       count(*) filter (where v < q1 - 1.5 * (q3 - q1) or v > q3 + 1.5 * (q3 - q1)) as n_outliers
@@ -78,12 +78,12 @@ def _numeric_sql(source: str, columns: list[str]) -> str:
 
 @registered("profile_numeric_lineitem", _numeric_sql("from lineitem", LINEITEM_NUMBERS))
 def numeric_lineitem(spark, folder):
-    return rounded(P.numeric_summary(normalise_missing(table(spark, folder, "lineitem"))))
+    return rounded(P.numeric_summary(normalise_missing(table(spark, folder, "lineitem"))), 4)
 
 
 @registered("profile_numeric_missing_values", _numeric_sql(GAPPED_SQL, GAPPED))
 def numeric_gapped(spark, folder):
-    return rounded(P.numeric_summary(gapped(spark, folder), GAPPED))
+    return rounded(P.numeric_summary(gapped(spark, folder), GAPPED), 4)
 
 
 def _schema_sql(source: str, columns: list[tuple[str, str, str]]) -> str:
@@ -348,7 +348,7 @@ def missing_gapped(spark, folder):
         from ({_schema_sql('from customer', [('c_custkey', 'bigint', 'numeric'), ('c_name', 'string', 'text'), ('c_nationkey', 'int', 'numeric'), ('c_acctbal', 'double', 'numeric'), ('c_mktsegment', 'string', 'text')])})
         union all select "column" || ':' || value, 'count', count
         from ({_top_sql('from customer', ['c_mktsegment'], 10)})
-        union all select a || ':' || b, 'correlation', round(correlation, 6)
+        union all select a || ':' || b, 'correlation', round(correlation, 4)
         from ({_pairs_sql('from customer', ['c_custkey', 'c_nationkey', 'c_acctbal'])})""",
 )
 def full_customer(spark, folder):
@@ -366,4 +366,4 @@ def full_customer(spark, folder):
     result = parts[0]
     for part in parts[1:]:
         result = result.union(part)
-    return rounded(result)
+    return rounded(result, 4)

@@ -31,6 +31,7 @@ TOP_PAIRS = 15
 WHISKER = 1.5
 
 PAIRS_PER_SCAN = 300
+COLUMNS_PER_SCAN = 100
 INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 FLOATING = (T.FloatType, T.DoubleType)
 TEMPORAL = (T.DateType, T.TimestampType, T.TimestampNTZType)
@@ -175,46 +176,87 @@ def fences(quartiles: list[float | None]) -> tuple[float, float] | None:
     return low - reach, high + reach
 
 
+@dataclass(frozen=True)
+class Moments:
+    """First-pass statistics of a numeric column."""
+
+    count: int
+    mean: float | None
+    std: float | None  # sample deviation
+    low: float | None
+    high: float | None
+
+    @property
+    def constant(self) -> bool:
+        return self.count == 0 or self.low == self.high
+
+
+def column_moments(df: DataFrame, columns: list[str]) -> tuple[int, dict[str, Moments]]:
+    """Row count and :class:`Moments` per column, in one small-state aggregate.
+
+    Later passes centre the values by these numbers and need plain sums only. Those compile to
+    compact code, where many higher central moments in one aggregate outgrow the compiler.
+    """
+    functions = (F.count, F.avg, F.stddev_samp, F.min, F.max)
+    n_rows, found = 0, {}
+    for start in range(0, max(1, len(columns)), COLUMNS_PER_SCAN):
+        batch = columns[start : start + COLUMNS_PER_SCAN]
+        row = df.agg(
+            F.count(F.lit(1)).alias("n"),
+            *[
+                f(quoted(c).cast("double")).alias(f"f{i}_{j}")
+                for i, c in enumerate(batch)
+                for j, f in enumerate(functions)
+            ],
+        ).first()
+        n_rows = row["n"]
+        for i, c in enumerate(batch):
+            found[c] = Moments(*[row[f"f{i}_{j}"] for j in range(len(functions))])
+    return n_rows, found
+
+
 def numeric_summary(
     df: DataFrame, columns: list[str] | None = None, accuracy: int | None = None
 ) -> DataFrame:
-    """Thirteen statistics per numeric column; a column without values only has ``count`` 0."""
+    """Thirteen statistics per numeric column; a column without values only has ``count`` 0.
+
+    Three scans: first moments, quantiles, then everything that needs mean or fences.
+    """
     columns = numeric_columns(df) if columns is None else columns
-    quartiles = exact_quantiles(df, columns, [0.25, 0.5, 0.75], accuracy=accuracy)
+    n_rows, moments = column_moments(df, columns)
+    quartiles = exact_quantiles(df, columns, [0.25, 0.5, 0.75], accuracy=accuracy, n_rows=n_rows)
     rows = []
     for i, name in enumerate(columns):
-        value = quoted(name).cast("double")
-        q = quartiles[name]
+        value, m, q = quoted(name).cast("double"), moments[name], quartiles[name]
         fence = fences(q)
         outside = (value < fence[0]) | (value > fence[1]) if fence else F.lit(False)
         n = F.count(value)
-        size = n.cast("double")
         some = F.when(n > 0, F.lit(1))
-        # bias-corrected moments; the population forms are NULL on a constant column
-        skew = F.skewness(value) * F.sqrt(size * (size - 1)) / F.nullif(size - 2, F.lit(0.0))
-        kurt = (
-            (size - 1)
-            / F.nullif((size - 2) * (size - 3), F.lit(0.0))
-            * ((size + 1) * F.kurtosis(value) + 6)
-        )
+        skew = kurt = F.when(n > 0, F.lit(0.0))
+        if m.count > 2 and not m.constant:
+            z = (value - F.lit(m.mean)) / F.lit(m.std)
+            # z has sample variance 1, so its central moments need no second division
+            size = float(m.count)
+            second = (size - 1) / size
+            third, fourth = F.avg(z * z * z), F.avg(z * z * z * z)
+            skew = third / second**1.5 * (size * (size - 1)) ** 0.5 / (size - 2)
+            if m.count > 3:
+                excess = fourth / second**2 - 3
+                kurt = (size - 1) / ((size - 2) * (size - 3)) * ((size + 1) * excess + 6)
         rows.append(
             F.struct(
                 F.lit(i).alias("position"),
                 F.lit(name).alias("column"),
                 n.alias("count"),
-                F.avg(value).alias("mean"),
-                F.when(n > 1, F.stddev_samp(value)).when(n == 1, F.lit(0.0)).alias("std"),
-                F.min(value).alias("min"),
+                F.lit(m.mean).cast("double").alias("mean"),
+                F.lit(m.std if m.count != 1 else 0.0).cast("double").alias("std"),
+                F.lit(m.low).cast("double").alias("min"),
                 F.lit(q[0]).cast("double").alias("p25"),
                 F.lit(q[1]).cast("double").alias("median"),
                 F.lit(q[2]).cast("double").alias("p75"),
-                F.max(value).alias("max"),
-                F.when(n > 2, F.coalesce(skew, F.lit(0.0)))
-                .when(n > 0, F.lit(0.0))
-                .alias("skew"),
-                F.when(n > 3, F.coalesce(kurt, F.lit(0.0)))
-                .when(n > 0, F.lit(0.0))
-                .alias("kurtosis"),
+                F.lit(m.high).cast("double").alias("max"),
+                skew.alias("skew"),
+                kurt.alias("kurtosis"),
                 (some * F.count_if(value == 0)).alias("n_zeros"),
                 (some * F.count_if(value < 0)).alias("n_negative"),
                 (some * F.count_if(outside)).alias("n_outliers"),
@@ -284,11 +326,26 @@ def top_values(
     )
 
 
-def guarded_correlation(x: Column, y: Column) -> Column:
-    """Pearson over the rows where both are present; NULL instead of an error on a constant."""
+def _pair_correlation(x: Column, y: Column, left: Moments, right: Moments, complete: bool) -> Column:
+    """Pearson over the rows where both are present, from sums of standardised values.
+
+    NULL (no error) if one side is constant over those rows.
+    """
+    if left.constant or right.constant:
+        return F.lit(None).cast("double")
+    dx = (x - F.lit(left.mean)) / F.lit(left.std)
+    dy = (y - F.lit(right.mean)) / F.lit(right.std)
+    if complete:  # centred over the very same rows: only the cross product is left
+        return F.sum(dx * dy) / (left.count - 1)
     both = x.isNotNull() & y.isNotNull()
-    spread = F.stddev_samp(F.when(both, x)) * F.stddev_samp(F.when(both, y))
-    return F.try_divide(F.covar_samp(x, y), spread)
+    n = F.count(F.when(both, F.lit(1))).cast("double")
+    sx, sy = F.sum(F.when(both, dx)), F.sum(F.when(both, dy))
+    sxx, syy = F.sum(F.when(both, dx * dx)), F.sum(F.when(both, dy * dy))
+    spread = F.sqrt((sxx - sx * sx / n) * (syy - sy * sy / n))
+    varied = (F.min(F.when(both, x)) < F.max(F.when(both, x))) & (
+        F.min(F.when(both, y)) < F.max(F.when(both, y))
+    )
+    return F.when(varied, F.try_divide(F.sum(F.when(both, dx * dy)) - sx * sy / n, spread))
 
 
 def correlation_pairs(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -299,19 +356,19 @@ def correlation_pairs(df: DataFrame, columns: list[str] | None = None) -> DataFr
     if len(columns) < 2:
         return spark.createDataFrame([], schema)
     pairs = [(i, j) for i in range(len(columns)) for j in range(i + 1, len(columns))]
-    complete = df.agg(
-        *[F.count_if(quoted(c).isNull()).alias(f"m{i}") for i, c in enumerate(columns)]
-    ).first()
+    n_rows, moments = column_moments(df, columns)
     result = None
     for start in range(0, len(pairs), PAIRS_PER_SCAN):
         rows = []
         for i, j in pairs[start : start + PAIRS_PER_SCAN]:
-            x, y = quoted(columns[i]).cast("double"), quoted(columns[j]).cast("double")
-            if complete[f"m{i}"] == 0 and complete[f"m{j}"] == 0:
-                # the deviations are shared by all pairs of the column
-                value = F.try_divide(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(y))
-            else:
-                value = guarded_correlation(x, y)
+            left, right = moments[columns[i]], moments[columns[j]]
+            value = _pair_correlation(
+                quoted(columns[i]).cast("double"),
+                quoted(columns[j]).cast("double"),
+                left,
+                right,
+                left.count == n_rows and right.count == n_rows,
+            )
             rows.append(
                 F.struct(
                     F.lit(i).alias("i"),
@@ -340,16 +397,10 @@ def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataF
     ).select("s.*")
     if len(columns) < 2:
         return sides
-    diagonal = _per_column(
-        df,
-        [
-            F.struct(
-                F.lit(c).alias("a"),
-                F.lit(c).alias("b"),
-                F.when(F.stddev_samp(quoted(c).cast("double")) > 0, F.lit(1.0)).alias("correlation"),
-            )
-            for c in columns
-        ],
+    _, moments = column_moments(df, columns)
+    diagonal = df.sparkSession.createDataFrame(
+        [(c, c, None if moments[c].constant else 1.0) for c in columns],
+        "a string, b string, correlation double",
     )
     return sides.unionByName(diagonal)
 

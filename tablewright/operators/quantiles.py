@@ -59,16 +59,15 @@ def exact_quantiles(
         return {}
     if accuracy is not None:
         return _one_pass(
-            df, columns, lambda c: F.percentile_approx(c, probabilities, accuracy)
+            df, columns, probabilities, lambda c: F.percentile_approx(c, probabilities, accuracy)
         )
     if (df.count() if n_rows is None else n_rows) <= SMALL_TABLE_ROWS:
-        return _one_pass(
-            df, columns, lambda c: F.percentile(c, F.array(*[F.lit(p) for p in probabilities]))
-        )
+        shares = F.array(*[F.lit(p) for p in probabilities])
+        return _one_pass(df, columns, probabilities, lambda c: F.percentile(c, shares))
     return _by_brackets(df, columns, probabilities)
 
 
-def _one_pass(df, columns, expression) -> dict[str, list[float | None]]:
+def _one_pass(df, columns, probabilities, expression) -> dict[str, list[float | None]]:
     result: dict[str, list[float | None]] = {}
     for batch in _batches(columns, COLUMNS_PER_SCAN):
         row = df.agg(
@@ -76,9 +75,8 @@ def _one_pass(df, columns, expression) -> dict[str, list[float | None]]:
         ).first()
         for i, name in enumerate(batch):
             values = row[f"q{i}"]
-            result[name] = [None if values is None else float(v) for v in values or [None] * 1]
-    width = max((len(v) for v in result.values()), default=1)
-    return {c: (v if v[0] is not None else [None] * width) for c, v in result.items()}
+            result[name] = [None] * len(probabilities) if values is None else list(values)
+    return result
 
 
 def _by_brackets(df, columns, probabilities) -> dict[str, list[float | None]]:
@@ -97,6 +95,8 @@ def _by_brackets(df, columns, probabilities) -> dict[str, list[float | None]]:
         for c in columns
         for rank in sorted(wanted[c])
     ]
+    for batch in _batches(columns, COLUMNS_PER_SCAN):
+        _first_brackets(df, [b for b in brackets if b.column in batch and not b.settled()])
     statistics = order_statistics(df, brackets)
     result: dict[str, list[float | None]] = {}
     for c in columns:
@@ -127,34 +127,64 @@ def order_statistics(df: DataFrame, brackets: list[_Bracket]) -> dict[tuple[str,
     return found
 
 
-def _narrow(df: DataFrame, batch: list[_Bracket]) -> None:
-    """Shrink every bracket to the part that the sketch cannot tell apart, then count again."""
+def _shares(b: _Bracket) -> tuple[float, float]:
+    """Sketch probabilities that surely enclose the bracket's rank."""
     margin = 2.0 / SKETCH_ACCURACY
+    share = (b.rank - b.below) / max(1, b.inside - 1)
+    return max(0.0, share - margin), min(1.0, share + margin)
+
+
+def _first_brackets(df: DataFrame, batch: list[_Bracket]) -> None:
+    """First narrowing: all brackets of a column read from one sketch of the whole column."""
+    if not batch:
+        return
+    columns = list(dict.fromkeys(b.column for b in batch))
+    wanted = {c: [p for b in batch if b.column == c for p in _shares(b)] for c in columns}
+    row = df.agg(
+        *[
+            f.alias(f"{kind}{i}")
+            for i, c in enumerate(columns)
+            for kind, f in (
+                ("e", F.percentile_approx(quoted(c).cast("double"), wanted[c], SKETCH_ACCURACY)),
+                ("lo", F.min(quoted(c).cast("double"))),
+                ("hi", F.max(quoted(c).cast("double"))),
+            )
+        ]
+    ).first()
+    ends = {c: iter(row[f"e{i}"]) for i, c in enumerate(columns)}
+    limits = {c: (row[f"lo{i}"], row[f"hi{i}"]) for i, c in enumerate(columns)}
+    tries = [(next(ends[b.column]), next(ends[b.column]), *limits[b.column]) for b in batch]
+    _recount(df, batch, tries)
+
+
+def _narrow(df: DataFrame, batch: list[_Bracket]) -> None:
+    """Shrink every bracket to the part that a sketch of its rows cannot tell apart."""
     ends = []
     for i, b in enumerate(batch):
         value = F.when(b.holds(quoted(b.column).cast("double")), quoted(b.column).cast("double"))
-        share = (b.rank - b.below) / max(1, b.inside - 1)
-        pair = [max(0.0, share - margin), min(1.0, share + margin)]
         ends += [
-            F.percentile_approx(value, pair, SKETCH_ACCURACY).alias(f"e{i}"),
+            F.percentile_approx(value, list(_shares(b)), SKETCH_ACCURACY).alias(f"e{i}"),
             F.min(value).alias(f"lo{i}"),
             F.max(value).alias(f"hi{i}"),
         ]
     row = df.agg(*ends).first()
-    counts, tries = [], []
-    for i, b in enumerate(batch):
-        low, high = row[f"e{i}"]
-        share = (b.rank - b.below) / max(1, b.inside - 1)
-        low = row[f"lo{i}"] if share <= margin else low
-        high = row[f"hi{i}"] if share >= 1 - margin else high
-        tries.append((float(low), float(high)))
+    _recount(df, batch, [(*row[f"e{i}"], row[f"lo{i}"], row[f"hi{i}"]) for i in range(len(batch))])
+
+
+def _recount(df: DataFrame, batch: list[_Bracket], tries: list[tuple]) -> None:
+    """Count below and inside the proposed brackets, and accept or correct them."""
+    counts, bounds = [], []
+    for i, (b, (low, high, least, most)) in enumerate(zip(batch, tries, strict=True)):
+        first, last = _shares(b)
+        low, high = float(least if first == 0.0 else low), float(most if last == 1.0 else high)
+        bounds.append((low, high))
         value = quoted(b.column).cast("double")
         counts += [
-            F.count_if(value < F.lit(float(low))).alias(f"b{i}"),
-            F.count_if(value.between(float(low), float(high))).alias(f"i{i}"),
+            F.count_if(value < F.lit(low)).alias(f"b{i}"),
+            F.count_if(value.between(low, high)).alias(f"i{i}"),
         ]
     row = df.agg(*counts).first()
-    for i, (b, (low, high)) in enumerate(zip(batch, tries, strict=True)):
+    for i, (b, (low, high)) in enumerate(zip(batch, bounds, strict=True)):
         below, inside = row[f"b{i}"], row[f"i{i}"]
         if b.rank < below:  # the sketch missed: the value lies left of the bracket
             b.high = math.nextafter(low, -math.inf)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tablewright.errors import RegistryError
 from tablewright.functions.scalars import quoted, slugify
 from tablewright.operators.ordering import hash_numbered, running_totals
+from tablewright.session import cut_lineage
 
 # Enumerations, page limits and the metrics of a comparison.
 RUN_STATES = ("pending", "running", "completed", "failed")
@@ -368,7 +369,7 @@ def unique_slugs(new: DataFrame, existing: DataFrame, parent: str, name: str, or
     batch that look like a numbered slug (``report-2``) keep their own.
     """
     based = new.withColumn("_base", slugify(quoted(name)))
-    numbered = number_in_order(based, [parent, "_base"], order, key)
+    numbered = cut_lineage(number_in_order(based, [parent, "_base"], order, key))
     claimed = existing.select(quoted(parent), F.col("slug").alias("_slug")).unionByName(
         based.select(quoted(parent), F.col("_base").alias("_slug")), True
     )
@@ -388,7 +389,7 @@ def unique_slugs(new: DataFrame, existing: DataFrame, parent: str, name: str, or
         .withColumn("_one", F.lit(1).cast("bigint"))
     )
     by = [parent, "_base"]
-    ranked = running_totals(taken, order="_at", sums=["_one"], by=by)
+    ranked = running_totals(cut_lineage(taken), order="_at", sums=["_one"], by=by)
     # free numbers below a taken one; row n comes after the taken ones with at most n below
     gaps = (
         ranked.select(*by, (F.col("_t") - F.col("cum__one")).cast("double").alias("_at"))
