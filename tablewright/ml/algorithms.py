@@ -256,6 +256,15 @@ def _fit_boosting(df, context, params):
     return PipelineModel([*stages, DropColumns(inputCols=columns)])
 
 
+def _ridge(df, column, penalty):
+    """Least squares with ``penalty / 2 * |w|^2`` added to half the mean squared error."""
+    # the solver scales the penalty by the label's deviation; undo that
+    spread = df.agg(F.stddev_pop("label").alias("s")).first()["s"] or 1.0
+    return LinearRegression(
+        featuresCol=column, regParam=penalty * spread, elasticNetParam=0.0, standardization=False
+    ).fit(df)
+
+
 def _fit_linear(df, context, params):
     if context.classes:
         return LogisticRegression(
@@ -263,14 +272,7 @@ def _fit_linear(df, context, params):
             standardization=False,
             maxIter=100,
         ).fit(df)
-    # the penalty is scaled by the label's deviation inside the solver
-    spread = df.agg(F.stddev_pop("label").alias("s")).first()["s"] or 1.0
-    return LinearRegression(
-        regParam=float(params.get("alpha", 1.0)) * spread / context.n_rows,
-        elasticNetParam=0.0,
-        standardization=False,
-        solver="auto",
-    ).fit(df)
+    return _ridge(df, "features", float(params.get("alpha", 1.0)) / context.n_rows)
 
 
 def _kernel_map(df, context, params) -> FourierFeatures | None:
@@ -294,7 +296,11 @@ def _kernel_map(df, context, params) -> FourierFeatures | None:
 
 
 def _fit_svm(df, context, params):
-    """Linear SVM, on kernel features for ``rbf``; probabilities by a logistic fit on the margin."""
+    """Linear SVM, on kernel features for ``rbf``.
+
+    Class probabilities come from a logistic fit on the margin. Regression is the least-squares
+    support vector machine (Suykens and Vandewalle, 1999), one pass over the data.
+    """
     waves = _kernel_map(df, context, params)
     if waves is None:
         return PipelineModel(_svm_stages(df, "features", context, params))
@@ -309,11 +315,7 @@ def _fit_svm(df, context, params):
 def _svm_stages(frame, column, context, params) -> list:
     penalty = 1.0 / (float(params.get("C", 1.0)) * context.n_rows)
     if not context.classes:
-        return [
-            LinearRegression(
-                featuresCol=column, loss="huber", regParam=penalty, standardization=False
-            ).fit(frame)
-        ]
+        return [_ridge(frame, column, penalty)]
 
     def fit_binary(marked, i):
         machine = LinearSVC(
