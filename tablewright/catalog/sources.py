@@ -2,30 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from tablewright.catalog.base import registered, table
 from tablewright.functions import scalars as L
+from tablewright.session import shared_folder
 from tablewright.sources import tables as S
 
 
-def work_folder(spark) -> str:
-    """A fresh folder: below the cluster's shared folder, or a temporary one in tests."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/tablewright-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix="tablewright-")
-
-
 @registered(
     "source_csv_round_trip",
     "select o_orderkey, o_custkey, o_orderstatus, o_totalprice, strftime(o_orderdate, '%Y-%m-%d') as o_orderdate, o_orderpriority from orders",
 )
 def csv(spark, folder):
-    path = f"{work_folder(spark)}/orders.CSV"
+    path = f"{shared_folder(spark)}/orders.CSV"
     orders = table(spark, folder, "orders")
     orders.withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd")).write.option(
         "header", True
@@ -44,7 +34,7 @@ def parquet(spark, folder):
        union all select 2, count(*) from orders""",
 )
 def versioned(spark, folder):
-    store = S.VersionedTable(spark, f"{work_folder(spark)}/orders")
+    store = S.VersionedTable(spark, f"{shared_folder(spark)}/orders")
     orders = table(spark, folder, "orders")
     store.write(orders.filter("o_orderstatus = 'F'"))
     store.write(orders)

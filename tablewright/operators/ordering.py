@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tablewright.functions.scalars import order_hash, quoted
+from tablewright.session import cut_lineage
 
 HASH_BITS = 60
 CELL_BITS = 16
@@ -112,7 +113,7 @@ def hash_numbered(
     )
 
 
-def with_range_cell(df: DataFrame, order: str, out: str = "_cell") -> DataFrame:
+def with_range_cell(df: DataFrame, order: str, n_rows: int, out: str = "_cell") -> DataFrame:
     """Add a cell number that grows with the (double) column ``order``.
 
     The edges are approximate quantiles, so the cells are about equally full however the values
@@ -120,18 +121,17 @@ def with_range_cell(df: DataFrame, order: str, out: str = "_cell") -> DataFrame:
     ``order``, or few per value.
     """
     probabilities = [i / RANGE_CELLS for i in range(1, RANGE_CELLS)]
-    n = df.count()
-    wanted = min(RANGE_CELLS, n // ROWS_PER_RANGE_CELL + 1)
-    if wanted == 1:
-        return df.withColumn(out, F.lit(0.0))
+    wanted = min(RANGE_CELLS, n_rows // ROWS_PER_RANGE_CELL + 1)
     step = RANGE_CELLS // wanted
     edges = df.agg(
         F.percentile_approx(order, probabilities[step - 1 :: step], 2 * RANGE_CELLS)
     ).first()[0]
-    inner = sorted(set(edges))
     infinity = float("inf")
     return Bucketizer(
-        splits=[-infinity, *inner, infinity], inputCol=order, outputCol=out, handleInvalid="error"
+        splits=[-infinity, *sorted(set(edges)), infinity],
+        inputCol=order,
+        outputCol=out,
+        handleInvalid="error",
     ).transform(df)
 
 
@@ -145,10 +145,19 @@ def running_totals(
 ) -> DataFrame:
     """Inclusive running sums of ``sums`` along ``order`` as ``cum_<name>``, per group ``by``.
 
-    ``df`` must hold one row per group and value of ``order`` (aggregate first).
+    ``df`` must hold one row per group and value of ``order`` (aggregate first). Few rows, by
+    count, take a plain window. More are written out once, cut into range cells, summed inside
+    the cells and shifted by the totals of the cells before.
     """
     by = by or []
-    celled = with_range_cell(df, order)
+    along = F.col(order).asc() if ascending else F.col(order).desc()
+    n_rows = df.count()
+    if n_rows <= ROWS_PER_RANGE_CELL:
+        window = Window.partitionBy(*(by or [F.lit(0)])).orderBy(along).rowsBetween(
+            Window.unboundedPreceding, Window.currentRow
+        )
+        return df.select("*", *[F.sum(c).over(window).alias(f"cum_{c}") for c in sums])
+    celled = with_range_cell(cut_lineage(df), order, n_rows)
     sign = 1 if ascending else -1
     totals = celled.groupBy(*by, "_cell").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
     cells = Window.partitionBy(*(by or [F.lit(0)])).orderBy(sign * F.col("_cell"))
@@ -161,7 +170,7 @@ def running_totals(
         offsets = F.broadcast(offsets)  # at most RANGE_CELLS rows
     inside = (
         Window.partitionBy(*by, "_cell")
-        .orderBy(F.col(order).asc() if ascending else F.col(order).desc())
+        .orderBy(along)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return (

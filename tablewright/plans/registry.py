@@ -268,24 +268,26 @@ def model_stages(models: DataFrame, changes: DataFrame) -> DataFrame:
     model of the group was deployed later; any other last change stands. Two grouped
     ``max_by`` aggregates are enough, whatever the number of changes.
     """
-    last = changes.groupBy(F.col("model_id").alias("id")).agg(
-        F.max_by("stage", "at").alias("_stage")
-    )
+    # stages travel as numbers: fixed-width values aggregate by hashing, texts by sorting
+    stages = F.array(*[F.lit(name) for name in STAGES])
+    coded = changes.select("model_id", "at", F.array_position(stages, F.col("stage")).alias("_s"))
+    serving = STAGES.index("production") + 1
+    last = coded.groupBy(F.col("model_id").alias("id")).agg(F.max_by("_s", "at").alias("_last"))
     group = ["project_id", "slug"]
-    own = models.select("id", *group)
+    own = models.select(F.col("id").alias("model_id"), *group)
     deployed = (
-        changes.filter(F.col("stage") == "production")
-        .join(own.withColumnRenamed("id", "model_id"), "model_id")
+        coded.filter(F.col("_s") == serving)
+        .join(own, "model_id")
         .groupBy(*group)
         .agg(F.max_by("model_id", "at").alias("_serving"))
     )
     joined = models.drop("stage").join(last, "id", "left").join(deployed, group, "left")
     stage = (
-        F.when(F.col("_stage").isNull(), "none")
-        .when((F.col("_stage") == "production") & (F.col("_serving") != F.col("id")), "archived")
-        .otherwise(F.col("_stage"))
+        F.when(F.col("_last").isNull(), "none")
+        .when((F.col("_last") == serving) & (F.col("_serving") != F.col("id")), "archived")
+        .otherwise(F.get(stages, (F.col("_last") - 1).cast("int")))
     )
-    return joined.withColumn("stage", stage).drop("_stage", "_serving")
+    return joined.withColumn("stage", stage).drop("_last", "_serving")
 
 
 def compare_models(

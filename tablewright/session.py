@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,15 +26,24 @@ def build_session(master: str | None = None, app_name: str = "tablewright", **co
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names.
+def shared_folder(spark: SparkSession) -> str:
+    """A fresh folder that all executors can reach.
 
-    ``spark.checkpoint.dir`` wins when it is set; a folder of our own is used only for
+    ``spark.checkpoint.dir`` of the session names the place; a temporary folder is used only for
     sessions without one (tests on one machine).
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tablewright-checkpoint-"))
-    return df.checkpoint(eager=True)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if root:
+        return f"{root.rstrip('/')}/tablewright-{uuid.uuid4().hex}"
+    return tempfile.mkdtemp(prefix="tablewright-")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write the frame to the shared folder and read it back.
+
+    One pass over the inputs; what follows survives lost executors without repeating it, and
+    reads only the columns it needs.
+    """
+    path = f"{shared_folder(df.sparkSession)}/rows"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
