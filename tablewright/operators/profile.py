@@ -216,14 +216,18 @@ def column_moments(df: DataFrame, columns: list[str]) -> tuple[int, dict[str, Mo
 
 
 def numeric_summary(
-    df: DataFrame, columns: list[str] | None = None, accuracy: int | None = None
+    df: DataFrame,
+    columns: list[str] | None = None,
+    accuracy: int | None = None,
+    first_pass: tuple[int, dict[str, Moments]] | None = None,
 ) -> DataFrame:
     """Thirteen statistics per numeric column; a column without values only has ``count`` 0.
 
     Three scans: first moments, quantiles, then everything that needs mean or fences.
+    ``first_pass`` takes the result of :func:`column_moments` where it is known already.
     """
     columns = numeric_columns(df) if columns is None else columns
-    n_rows, moments = column_moments(df, columns)
+    n_rows, moments = first_pass or column_moments(df, columns)
     quartiles = exact_quantiles(df, columns, [0.25, 0.5, 0.75], accuracy=accuracy, n_rows=n_rows)
     rows = []
     for i, name in enumerate(columns):
@@ -348,7 +352,11 @@ def _pair_correlation(x: Column, y: Column, left: Moments, right: Moments, compl
     return F.when(varied, F.try_divide(F.sum(F.when(both, dx * dy)) - sx * sy / n, spread))
 
 
-def correlation_pairs(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+def correlation_pairs(
+    df: DataFrame,
+    columns: list[str] | None = None,
+    first_pass: tuple[int, dict[str, Moments]] | None = None,
+) -> DataFrame:
     """``(i, j, a, b, correlation)`` for every pair of numeric columns, in column order."""
     columns = numeric_columns(df) if columns is None else columns
     spark = df.sparkSession
@@ -356,7 +364,7 @@ def correlation_pairs(df: DataFrame, columns: list[str] | None = None) -> DataFr
     if len(columns) < 2:
         return spark.createDataFrame([], schema)
     pairs = [(i, j) for i in range(len(columns)) for j in range(i + 1, len(columns))]
-    n_rows, moments = column_moments(df, columns)
+    n_rows, moments = first_pass or column_moments(df, columns)
     result = None
     for start in range(0, len(pairs), PAIRS_PER_SCAN):
         rows = []
@@ -383,10 +391,16 @@ def correlation_pairs(df: DataFrame, columns: list[str] | None = None) -> DataFr
     return result
 
 
-def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+def correlation_matrix(
+    df: DataFrame,
+    columns: list[str] | None = None,
+    first_pass: tuple[int, dict[str, Moments]] | None = None,
+) -> DataFrame:
     """The full matrix in long form, both halves and the diagonal; empty below two columns."""
     columns = numeric_columns(df) if columns is None else columns
-    pairs = correlation_pairs(df, columns)
+    first_pass = first_pass or column_moments(df, columns)
+    moments = first_pass[1]
+    pairs = correlation_pairs(df, columns, first_pass)
     sides = pairs.select(
         F.explode(
             F.array(
@@ -397,7 +411,6 @@ def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataF
     ).select("s.*")
     if len(columns) < 2:
         return sides
-    _, moments = column_moments(df, columns)
     diagonal = df.sparkSession.createDataFrame(
         [(c, c, None if moments[c].constant else 1.0) for c in columns],
         "a string, b string, correlation double",
@@ -406,11 +419,14 @@ def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataF
 
 
 def strongest_pairs(
-    df: DataFrame, columns: list[str] | None = None, k: int = TOP_PAIRS
+    df: DataFrame,
+    columns: list[str] | None = None,
+    k: int = TOP_PAIRS,
+    first_pass: tuple[int, dict[str, Moments]] | None = None,
 ) -> DataFrame:
     """The ``k`` pairs with the largest absolute correlation; ties in column order."""
     return (
-        correlation_pairs(df, columns)
+        correlation_pairs(df, columns, first_pass)
         .filter("correlation is not null")
         .orderBy(F.abs("correlation").desc(), "i", "j")
         .limit(k)
@@ -459,12 +475,14 @@ def missing_by_column(df: DataFrame) -> DataFrame:
     return _per_column(df, rows).filter("n_missing > 0")
 
 
-def overview(df: DataFrame, rsd: float | None = None) -> DataFrame:
+def overview(
+    df: DataFrame, rsd: float | None = None, kinds: ColumnKinds | None = None
+) -> DataFrame:
     """One row: shape, duplicates, size, missing cells, number of columns by kind.
 
     Everything is read from the packed rows, in the one shuffle the duplicates need.
     """
-    kinds = split_by_kind(df, rsd)
+    kinds = kinds or split_by_kind(df, rsd)
     weight = F.col("_n")
     none = F.lit(0).cast("bigint")
     missing = none
@@ -509,12 +527,13 @@ def profile_table(
     """The full profile. ``accuracy`` and ``rsd`` trade exactness for less shuffling."""
     df = normalise_missing(df)
     kinds = split_by_kind(df, rsd)
+    first_pass = column_moments(df, kinds.numeric)
     return TableProfile(
         columns=column_schema(df, rsd),
-        overview=overview(df, rsd),
+        overview=overview(df, rsd, kinds),
         missing=missing_by_column(df),
-        numeric=numeric_summary(df, kinds.numeric, accuracy),
+        numeric=numeric_summary(df, kinds.numeric, accuracy, first_pass),
         top_values=top_values(df, kinds.categorical),
-        correlations=correlation_matrix(df, kinds.numeric),
-        top_pairs=strongest_pairs(df, kinds.numeric),
+        correlations=correlation_matrix(df, kinds.numeric, first_pass),
+        top_pairs=strongest_pairs(df, kinds.numeric, first_pass=first_pass),
     )

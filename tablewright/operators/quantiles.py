@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -212,7 +213,8 @@ def _halve(df: DataFrame, b: _Bracket, low: float, high: float) -> None:
 
 def _read_off(df: DataFrame, batch: list[_Bracket]) -> dict[tuple[str, int], float]:
     """Sort the few values inside each bracket and pick the one at the rank."""
-    tagged = df.select(
+    near = reduce(lambda a, b: a | b, [b.holds(quoted(b.column).cast("double")) for b in batch])
+    tagged = df.filter(near).select(
         F.explode(
             F.array(
                 *[

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tablewright.errors import RegistryError
 from tablewright.functions.scalars import quoted, slugify
 from tablewright.operators.ordering import hash_numbered, running_totals
-from tablewright.session import cut_lineage
+from tablewright.session import cut_lineage, shared_folder
 
 # Enumerations, page limits and the metrics of a comparison.
 RUN_STATES = ("pending", "running", "completed", "failed")
@@ -25,6 +25,7 @@ STAGES = ("none", "staging", "production", "archived")
 NOTIFICATION_TYPES = ("info", "success", "warning", "error")
 PAGE_SIZE = 20
 MAX_PAGE_SIZE = 100
+DEEP_OFFSET = 100_000
 COMPARED_MODELS = (2, 10)
 USER_AGENT_LENGTH = 400
 API_PREFIX = "/api/v1/"
@@ -137,7 +138,39 @@ def page_items(df: DataFrame, params: PageParams, tiebreak: str = "id") -> DataF
     """The rows of one page."""
     params.validate()
     rows = ordered(df, params, tiebreak)
-    return rows.offset((params.page - 1) * params.size).limit(params.size)
+    offset = (params.page - 1) * params.size
+    if offset < DEEP_OFFSET:  # every task keeps at most offset + size rows
+        return rows.offset(offset).limit(params.size)
+    return _deep_page(rows, params, tiebreak, offset)
+
+
+def _deep_page(rows: DataFrame, params: PageParams, tiebreak: str, offset: int) -> DataFrame:
+    """A page far down: write the sorted rows once, then open only the files it lies in.
+
+    The sort is range-partitioned and each partition becomes files in order, so the row counts
+    per file tell where the page is.
+    """
+    spark = rows.sparkSession
+    path = f"{shared_folder(spark)}/sorted"
+    rows.write.parquet(path)
+    stored = spark.read.schema(rows.schema).parquet(path)
+    files = stored.groupBy(F.col("_metadata.file_path").alias("f")).agg(F.count("*").alias("n"))
+    before, first, chosen = 0, 0, []
+    for row in sorted(files.collect(), key=lambda r: _file_order(r["f"])):
+        if before < offset + params.size and before + row["n"] > offset:
+            first = first if chosen else before
+            chosen.append(row["f"])
+        before += row["n"]
+    if not chosen:
+        return stored.limit(0)
+    part = spark.read.schema(rows.schema).parquet(*chosen)
+    return ordered(part, params, tiebreak).offset(offset - first).limit(params.size)
+
+
+def _file_order(path: str) -> tuple[int, str]:
+    """Sort key of a written file: ``part-00012-…`` by its partition number."""
+    name = path.rsplit("/", 1)[-1]
+    return int(name.split("-")[1]), name
 
 
 def paged(df: DataFrame, params: PageParams, tiebreak: str = "id") -> Page:

@@ -68,6 +68,19 @@ def test_paging(spark):
         R.page_items(df, R.PageParams(size=101))
 
 
+def test_deep_pages_equal_shallow_ones(spark, monkeypatch):
+    df = spark.range(1000).select("id", (F.col("id") % 7).alias("created_at")).repartition(6)
+    for page in (1, 3, 10):
+        for descending in (True, False):
+            params = R.PageParams(page=page, size=100, descending=descending)
+            shallow = R.page_items(df, params).collect()
+            monkeypatch.setattr(R, "DEEP_OFFSET", 0)
+            assert R.page_items(df, params).collect() == shallow and len(shallow) == 100
+            monkeypatch.undo()
+    monkeypatch.setattr(R, "DEEP_OFFSET", 0)
+    assert R.page_items(df, R.PageParams(page=11, size=100)).count() == 0
+
+
 def test_compare_needs_two_models(spark):
     with pytest.raises(RegistryError):
         R.compare_models(spark.range(1), [1])
