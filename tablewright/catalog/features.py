@@ -123,7 +123,7 @@ def ordinal(spark, folder):
 
 
 @registered(
-    "features_full_pipeline",
+    "features_impute_scale_encode",
     f"""with f as (select p_partkey, coalesce(p_size, (select quantile_cont(p_size, 0.5) from {PART_SQL})) as a,
             p_retailprice as b, coalesce(p_type, {MODE_SQL}) as t from {PART_SQL})
         select p_partkey, 'numeric__p_size' as feature, round((a - avg(a) over ()) / stddev_pop(a) over (), 6) as value from f

@@ -223,17 +223,6 @@ def learning_curve(spark, folder):
     )
 
 
-@registered(
-    "automl_algorithms",
-    """select unnest(['random_forest', 'extra_trees', 'gradient_boosting', 'logistic_regression', 'svm', 'knn', 'decision_tree', 'naive_bayes']) as algorithm,
-         unnest([true, true, true, true, true, true, true, false]) as regression where (select count(*) from labels) > 0""",
-)
-def algorithms(spark, folder):
-    rows = [(s.key, s.supports("regression")) for s in A.list_algorithms("classification")]
-    known = spark.createDataFrame(rows, "algorithm string, regression boolean")
-    return known if not table(spark, folder, "labels").isEmpty() else known.limit(0)
-
-
 @registered("scoring_batch_probabilities")
 def batch(spark, folder):
     """All documents scored by a model trained on the labelled ones."""

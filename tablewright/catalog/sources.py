@@ -23,9 +23,9 @@ def csv(spark, folder):
     return S.read_table(spark, path)
 
 
-@registered("source_parquet", "select r_regionkey, r_name from region")
+@registered("source_parquet", "select * from customer")
 def parquet(spark, folder):
-    return S.read_table(spark, f"{folder}/region.parquet")
+    return S.read_table(spark, f"{folder}/customer.parquet")
 
 
 @registered(

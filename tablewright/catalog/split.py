@@ -121,9 +121,23 @@ def folds_effective(spark, folder):
 
 @registered(
     "feature_schema_capture",
-    """select unnest(['c_custkey', 'c_name', 'c_nationkey', 'c_mktsegment']) as name,
-          unnest(['bigint', 'string', 'int', 'string']) as dtype where (select count(*) from customer) > 0""",
+    " union all ".join(
+        f"select '{c}' as name, '{t}' as dtype, count({c}) as n_present from customer"
+        for c, t in [("c_custkey", "bigint"), ("c_name", "string"), ("c_nationkey", "int"), ("c_mktsegment", "string")]
+    ),
 )
 def schema_capture(spark, folder):
-    rows = S.feature_schema(table(spark, folder, "customer"), "c_acctbal")
-    return spark.createDataFrame(rows, "name string, dtype string")
+    """The captured schema, and how many rows can fill each of its columns."""
+    customer = table(spark, folder, "customer")
+    schema = S.feature_schema(customer, "c_acctbal")
+    return customer.agg(
+        F.array(
+            *[
+                F.struct(
+                    F.lit(c["name"]).alias("name"), F.lit(c["dtype"]).alias("dtype"),
+                    F.count(c["name"]).alias("n_present"),
+                )
+                for c in schema
+            ]
+        ).alias("rows")
+    ).select(F.inline("rows"))
