@@ -44,6 +44,23 @@ def test_slugs_equal_one_by_one_simulation(spark):
     assert {r["id"]: r["slug"] for r in made.collect()} == expected
 
 
+def test_numbers_follow_local_times(spark):
+    """Times inside a clock change keep their order in any session time zone."""
+    times = ["2024-03-10 01:30:00", "2024-03-10 02:30:00", "2024-03-10 03:10:00", "2024-03-10 03:40:00"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(times)], "id int, t string").select(
+        "id", F.col("t").cast("timestamp_ntz").alias("t"), F.lit(1).alias("g")
+    )
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        rows = R.number_in_order(df, ["g"], "t", ["id"]).orderBy("id").collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert [r["_number"] for r in rows] == [0, 1, 2, 3]
+    dated = R.number_in_order(df.withColumn("t", F.date_add(F.col("t").cast("date"), F.col("id"))), ["g"], "t", ["id"])
+    assert sorted((r["id"], r["_number"]) for r in dated.collect()) == [(i, i) for i in range(4)]
+
+
 def test_current_state_and_soft_delete(spark):
     rows = [("a", 1, 1, None), ("a", 2, 2, None), ("b", 5, 1, None), ("b", 5, 3, "gone")]
     df = spark.createDataFrame(rows, "id string, v int, updated_at int, deleted_at string")
