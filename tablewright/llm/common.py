@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import sys
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -152,61 +154,79 @@ def per_worker(key: tuple, make):
 
 #: ASCII punctuation other than the apostrophe, which starts endings such as 's.
 _PUNCTUATION = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-_INNER = bytes(range(65, 91)) + bytes(range(97, 123))
+_LETTERS = "[A-Za-zÀ-ÖØ-öø-ÿ]"
+_PROBES = ("Ab cd, ef's  (Gh)\n\té-Ü x9 <|y|> ßq.", "It's 'quoted' a.b--c ÀB;", "")
 
 
-class WordTokens:
-    """Token ids of whole texts, word by word, with the tokenizers library.
+class _Store(dict):
+    """A dict that makes what it lacks; one that is full starts anew, which costs time only."""
+
+    def __init__(self, make, most: int):
+        super().__init__()
+        self.make, self.most = make, most
+
+    def __missing__(self, key):
+        if len(self) >= self.most:
+            self.clear()
+        value = self[key] = self.make(key)
+        return value
 
-    For a tokenizer that never joins across ASCII white space and drops it, a text's ids are those
-    of its words in turn; each distinct word is encoded once and kept; a store that is
-    full starts anew, which costs time only.
-    ``ids`` returns the ids as little-endian integers of ``width`` bytes.
+
+class WordTokens:
+    """Token ids of whole texts with the tokenizers library, each distinct word encoded once.
+
+    A tokenizer that never joins across ASCII white space and drops it gives a text the ids of its
+    words in turn. It also splits between letters and punctuation, so the letters inside
+    punctuation are looked up apart; words of Latin letters only are given to the tokenizer's
+    model in the byte form that its own rules would give them. Whether all this holds is tried on
+    probes first; if not, whole texts are encoded as they are. ``ids`` returns little-endian
+    integers of ``width`` bytes.
     """
 
     def __init__(self, path: str, keep: int = 300_000, keep_cores: int = 800_000):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
-        self.kept: dict[bytes, bytes] = {}
-        self.cores: dict[bytes, bytes] = {}
-        self.keep, self.keep_cores = keep, keep_cores
-
-    def _encoded(self, words: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)
-        kind = f"<u{self.width}"
-        return [np.array(x.ids, kind).tobytes() for x in found]
-
-    def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
-        """Ids of words not seen yet. Punctuation around letters is encoded apart: the tokenizer
-        splits there too."""
-        if len(self.cores) + len(words) > self.keep_cores:
-            self.cores = {}
-        parts: dict[bytes, tuple[bytes, ...]] = {}
-        for w in words:
-            core = w.strip(_PUNCTUATION)
-            if core and core[0] in _INNER and core[-1] in _INNER and len(core) < len(w) and b"<|" not in w:
-                at = w.index(core)
-                parts[w] = (w[:at], core, w[at + len(core):])
-            else:
-                parts[w] = (w,)
-        new = {p for x in parts.values() for p in x if p and p not in self.cores}
-        new_list = list(new)
-        self.cores.update(zip(new_list, self._encoded(new_list), strict=True))
-        self.cores[b""] = b""
-        return {w: b"".join([self.cores[p] for p in x]) for w, x in parts.items()}
+        self.code = "H" if self.width == 2 else "I"
+        self.only_letters = re.compile(f"{_LETTERS}+").fullmatch
+        self.letter_ends = re.compile(f"{_LETTERS}(.*{_LETTERS})?", re.DOTALL).fullmatch
+        letters = [c for c in map(chr, range(256)) if re.fullmatch(_LETTERS, c)]
+        form = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.byte_form = {ord(c): form.pre_tokenize_str(c)[0][0] for c in letters}
+        self.cores = _Store(self._core, keep_cores)
+        self.words = _Store(self._word, keep)
+        self.by_word = all(self._joined(p.encode()) == self._whole(p) for p in _PROBES)
+
+    def _packed(self, ids: list[int]) -> bytes:
+        return array(self.code, ids).tobytes()
+
+    def _whole(self, text: str) -> bytes:
+        return self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _core(self, word: bytes) -> bytes:
+        text = word.decode()
+        if self.only_letters(text):
+            return self._packed([t.id for t in self.model.tokenize(text.lower().translate(self.byte_form))])
+        return self._whole(text)
+
+    def _word(self, word: bytes) -> bytes:
+        core = word.strip(_PUNCTUATION)
+        if len(core) == len(word) or not core or b"<|" in word or not self.letter_ends(core.decode()):
+            return self.cores[word]
+        at = word.index(core)
+        before, after = word[:at], word[at + len(core) :]
+        return (self.cores[before] if before else b"") + self.cores[core] + (self.cores[after] if after else b"")
+
+    def _joined(self, text: bytes) -> bytes:
+        return b"".join(map(self.words.__getitem__, text.split()))
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        words = set().union(*split)
-        new = words.difference(self.kept)
-        if len(self.kept) + len(new) > self.keep:
-            self.kept, new = {}, words
-        if new:
-            self.kept.update(self._learn(new))
-        get = self.kept.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        if self.by_word:
+            return [self._joined(t) for t in texts]
+        return [self._whole(t.decode()) for t in texts]
 
 
 def word_tokens(path: str) -> WordTokens:
