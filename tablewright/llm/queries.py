@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import exact_dedup, packing, records
+from tablewright.llm import exact_dedup, language, mixing, packing, records, toxicity
 from tablewright.session import shared_folder
 
 TOKENIZER = "word_bpe_49k.json"
@@ -34,6 +34,21 @@ def op2_hierarchical_packing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_string_kernel_language(spark: SparkSession, folder: str) -> DataFrame:
+    return language.identify_languages(_documents(spark, folder))
+
+
+def op6_cube_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    mixed = mixing.mix_sources(_documents(spark, folder))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
+def op8_classifier_chain(spark: SparkSession, folder: str) -> DataFrame:
+    labels = spark.read.parquet(f"{folder}/labels.parquet").withColumn("low_quality", 1 - F.col("quality"))
+    found = toxicity.classify_toxicity(_documents(spark, folder), labels, ["low_quality", "toxic"])
+    return found.select("doc_id", "p_low_quality", "p_toxic", F.col("flagged").cast("int").alias("toxic"))
+
+
 def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     groups = exact_dedup.exact_groups(_documents(spark, folder))
     return groups.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -42,6 +57,9 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_token_records": op1_token_records,
     "op2_hierarchical_packing": op2_hierarchical_packing,
+    "op4_string_kernel_language": op4_string_kernel_language,
+    "op6_cube_mixing": op6_cube_mixing,
+    "op8_classifier_chain": op8_classifier_chain,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
