@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import exact_dedup, language, mixing, packing, records, toxicity
+from tablewright.llm import exact_dedup, language, mixing, packing, records, secrets, topk, toxicity
 from tablewright.session import shared_folder
 
 TOKENIZER = "word_bpe_49k.json"
@@ -38,11 +38,29 @@ def op4_string_kernel_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify_languages(_documents(spark, folder))
 
 
+def op5_trigram_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    spans = F.col("spans")
+    base = F.filter(spans, lambda s: s["rank"] < len(secrets.BASE_RULES))
+    counts = [
+        F.size(F.filter(spans, lambda s, r=rank: s["rank"] == r)).cast("long").alias(f"n_{rule.kind}")
+        for rank, rule in enumerate(secrets.BASE_RULES)
+    ]
+    found = secrets.find_secrets(_documents(spark, folder))
+    return found.select(
+        "doc_id", *counts, F.sha2(secrets.span_text(base), 256).alias("base_sha256"), secrets.span_text(spans).alias("spans")
+    )
+
+
 def op6_cube_mixing(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mixing.mix_sources(_documents(spark, folder))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op7_bit_sliced_topk(spark: SparkSession, folder: str) -> DataFrame:
+    rows = spark.read.parquet(f"{folder}/embeddings.parquet")
+    return topk.top_k(rows, rows.filter("vec_id % 20 = 0"), 20, 64)
+
+
 def op8_classifier_chain(spark: SparkSession, folder: str) -> DataFrame:
     labels = spark.read.parquet(f"{folder}/labels.parquet").withColumn("low_quality", 1 - F.col("quality"))
     found = toxicity.classify_toxicity(_documents(spark, folder), labels, ["low_quality", "toxic"])
@@ -58,12 +76,22 @@ QUERIES = {
     "op1_token_records": op1_token_records,
     "op2_hierarchical_packing": op2_hierarchical_packing,
     "op4_string_kernel_language": op4_string_kernel_language,
+    "op5_trigram_secrets": op5_trigram_secrets,
     "op6_cube_mixing": op6_cube_mixing,
+    "op7_bit_sliced_topk": op7_bit_sliced_topk,
     "op8_classifier_chain": op8_classifier_chain,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
 ORACLES = {
+    "op7_bit_sliced_topk": """
+        with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(64 * x::double) as bigint)) as e
+                   from embeddings where embedding is not null and vec_id is not null
+                     and len(list_filter(embedding, lambda x: x is null or not isfinite(x::double))) = 0),
+        s as (select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) as bigint) as score
+              from v q join v c on q.vec_id <> c.vec_id and len(q.e) = len(c.e) where q.vec_id % 20 = 0),
+        r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+        select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 20""",
     "op10_exact_dedup": r"""
         with d as (select doc_id, coalesce(text, '') as t,
                           regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') as n from documents),
