@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import exact_dedup, language, mixing, packing, records, secrets, topk, toxicity
+from tablewright.llm import exact_dedup, language, mixing, packing, records, secret_scan, substring_dedup, topk, toxicity
 from tablewright.session import shared_folder
 
 TOKENIZER = "word_bpe_49k.json"
@@ -34,20 +34,25 @@ def op2_hierarchical_packing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_count_min_substrings(spark: SparkSession, folder: str) -> DataFrame:
+    left = substring_dedup.remove_repeats(_documents(spark, folder))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op4_string_kernel_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify_languages(_documents(spark, folder))
 
 
 def op5_trigram_secrets(spark: SparkSession, folder: str) -> DataFrame:
     spans = F.col("spans")
-    base = F.filter(spans, lambda s: s["rank"] < len(secrets.BASE_RULES))
+    base = F.filter(spans, lambda s: s["rank"] < len(secret_scan.BASE_RULES))
     counts = [
         F.size(F.filter(spans, lambda s, r=rank: s["rank"] == r)).cast("long").alias(f"n_{rule.kind}")
-        for rank, rule in enumerate(secrets.BASE_RULES)
+        for rank, rule in enumerate(secret_scan.BASE_RULES)
     ]
-    found = secrets.find_secrets(_documents(spark, folder))
+    found = secret_scan.find_secrets(_documents(spark, folder))
     return found.select(
-        "doc_id", *counts, F.sha2(secrets.span_text(base), 256).alias("base_sha256"), secrets.span_text(spans).alias("spans")
+        "doc_id", *counts, F.sha2(secret_scan.span_text(base), 256).alias("base_sha256"), secret_scan.span_text(spans).alias("spans")
     )
 
 
@@ -75,6 +80,7 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_token_records": op1_token_records,
     "op2_hierarchical_packing": op2_hierarchical_packing,
+    "op3_count_min_substrings": op3_count_min_substrings,
     "op4_string_kernel_language": op4_string_kernel_language,
     "op5_trigram_secrets": op5_trigram_secrets,
     "op6_cube_mixing": op6_cube_mixing,
