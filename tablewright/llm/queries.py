@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import exact_dedup, language, mixing, packing, records, secret_scan, substring_dedup, topk, toxicity
+from tablewright.llm import exact_dedup, jaccard, language, mixing, packing, records, secret_scan, substring_dedup, topk, toxicity
 from tablewright.session import shared_folder
 
 TOKENIZER = "word_bpe_49k.json"
@@ -72,6 +72,10 @@ def op8_classifier_chain(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "p_low_quality", "p_toxic", F.col("flagged").cast("int").alias("toxic"))
 
 
+def op9_rare_first_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.similar_groups(_documents(spark, folder))
+
+
 def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     groups = exact_dedup.exact_groups(_documents(spark, folder))
     return groups.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -86,6 +90,7 @@ QUERIES = {
     "op6_cube_mixing": op6_cube_mixing,
     "op7_bit_sliced_topk": op7_bit_sliced_topk,
     "op8_classifier_chain": op8_classifier_chain,
+    "op9_rare_first_jaccard": op9_rare_first_jaccard,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
