@@ -120,7 +120,8 @@ def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of ``docs``: ``doc_id, keep_id, group_size, kept, text_sha256``.
+    """One row for each row of ``docs``: ``doc_id, keep_id, group_size, kept, text_sha256``, and
+    ``n_chars`` of the text as it is and ``copies``, the rows alike in id, text and length.
 
     Texts are equal if they are without the characters 0x20 and 0x09-0x0D; null and empty texts
     are equal to each other and to texts of white space. Of equal texts the longest as it stands
@@ -141,7 +142,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     joined = join_hot(rows.withColumn("place", best), groups, key)
     each = joined.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     kept = (F.col("copy") == 1) & F.col("place").eqNullSafe(F.col("best"))
-    return each.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256", "n_chars")
+    return each.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256", "n_chars", "copies")
 
 
 def _told_apart(rows: DataFrame, clash: DataFrame) -> DataFrame:
@@ -159,14 +160,16 @@ def _told_apart(rows: DataFrame, clash: DataFrame) -> DataFrame:
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the kept row of each group of equal texts, all its columns as they were."""
-    keep = exact_groups(docs, id_col, text_col).filter("kept").select(
-        F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), F.col("n_chars").alias("_n")
-    )
+    keep = cut_lineage(exact_groups(docs, id_col, text_col).filter("kept").select(
+        F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), F.col("n_chars").alias("_n"), "copies"
+    ))
     text = F.coalesce(docs[text_col], F.lit(""))
     digest = F.sha2(F.translate(text, SPACE_BYTES.decode(), ""), 256)
     held = docs.withColumn("_digest", digest).withColumn("_chars", F.length(text).cast("long"))
     same = held[id_col].eqNullSafe(keep["_id"]) & (held["_digest"] == keep["_sha"]) & (held["_chars"] == keep["_n"])
-    found = held.join(keep, same, "inner")
-    # rows repeated in id and text: one of them
-    order = Window.partitionBy("_id", "_sha", "_n").orderBy(*[F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col)] or [F.lit(1)])
-    return found.withColumn("_copy", F.row_number().over(order)).filter("_copy = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = held.join(keep, same, "left_semi")
+    if not keep.filter("copies > 1").isEmpty():  # one of the rows alike in id, text and length
+        rest = [F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col)] or [F.lit(1)]
+        order = Window.partitionBy(id_col, "_digest", "_chars").orderBy(*rest)
+        found = found.withColumn("_copy", F.row_number().over(order)).filter("_copy = 1")
+    return found.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tablewright.llm.common import as_bytes, chunks, join_hot, select_texts
 from tablewright.llm.components import components
@@ -193,3 +194,19 @@ def _class_roots(sets: DataFrame, percent: int) -> DataFrame:
     pairs = cross.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     more = _verify(cut_lineage(pairs), whole, percent)
     return components(links.unionByName(more))
+
+
+def drop_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """``docs`` with one row of each component, all columns as they were: the row of the smallest
+    id. Rows without an id stay only if no row of their component has one; of rows that share that
+    id one stays."""
+    keep = similar_groups(docs, id_col=id_col, text_col=text_col, **how)
+    own = F.col("doc_id").eqNullSafe(F.col("component_id")) | F.col("component_id").isNull()
+    ids = cut_lineage(keep.filter(own).groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_rows")))
+    found = docs.join(ids, docs[id_col].cast("long").eqNullSafe(ids["_id"]), "left_semi")
+    if ids.filter("_rows > 1 and _id is not null").isEmpty():
+        return found
+    named = found.filter(F.col(id_col).isNotNull())
+    order = [F.col(f"`{c}`") for c in docs.columns if c != id_col] or [F.lit(1)]
+    first = named.withColumn("_n", F.row_number().over(Window.partitionBy(id_col).orderBy(*order))).filter("_n = 1").drop("_n")
+    return first.unionByName(found.filter(F.col(id_col).isNull()))

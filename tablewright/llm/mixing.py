@@ -166,3 +166,29 @@ def mix_sources(
         "doc_id", F.when(F.col("known"), F.col("name")).alias("source"), "size", "source_size", "target",
         copies.alias("copies"), (copies * F.col("size")).alias("taken"),
     )
+
+
+def take_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+    """``docs`` with each row as often as the mix takes it, columns as they were.
+
+    Rows that share id, source and size share their copies; together they are taken as often as
+    the mix takes them.
+    """
+    mixed = mix_sources(docs, id_col=id_col, text_col=text_col, source_col=source_col, **how)
+    rates = cut_lineage(mixed.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size")).agg(
+        F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows")
+    ))
+    size = F.coalesce(F.regexp_count(docs[text_col], F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
+    same = (
+        docs[id_col].cast("long").eqNullSafe(rates["_id"])
+        & docs[source_col].cast("string").eqNullSafe(rates["_source"]) & (size == rates["_size"])
+    )
+    found = docs.join(rates.filter("_copies > 0"), same)
+    own = F.col("_copies")
+    if not rates.filter("_rows > 1").isEmpty():  # rows alike in all three take turns
+        order = Window.partitionBy("_id", "_source", "_size").orderBy(F.xxhash64(text_col))
+        turn = F.row_number().over(order) - 1
+        own = F.floor(F.col("_copies") / F.col("_rows")) + F.when(turn < F.col("_copies") % F.col("_rows"), 1).otherwise(0)
+    taken = found.withColumn("_own", own.cast("int")).filter("_own > 0")
+    each = taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_own"))))
+    return each.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tablewright.llm import exact_dedup, jaccard, language, mixing, packing, records, secret_scan, substring_dedup, topk, toxicity
 from tablewright.session import shared_folder
 
@@ -82,6 +83,7 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_token_records": op1_token_records,
     "op2_hierarchical_packing": op2_hierarchical_packing,
     "op3_count_min_substrings": op3_count_min_substrings,
