@@ -198,15 +198,13 @@ def _class_roots(sets: DataFrame, percent: int) -> DataFrame:
 
 def drop_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """``docs`` with one row of each component, all columns as they were: the row of the smallest
-    id. Rows without an id stay only if no row of their component has one; of rows that share that
-    id one stays."""
+    id; of rows that share that id one stays. Rows without an id cannot be named and all stay."""
     keep = similar_groups(docs, id_col=id_col, text_col=text_col, **how)
-    own = F.col("doc_id").eqNullSafe(F.col("component_id")) | F.col("component_id").isNull()
-    ids = cut_lineage(keep.filter(own).groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_rows")))
-    found = docs.join(ids, docs[id_col].cast("long").eqNullSafe(ids["_id"]), "left_semi")
-    if ids.filter("_rows > 1 and _id is not null").isEmpty():
-        return found
-    named = found.filter(F.col(id_col).isNotNull())
-    order = [F.col(f"`{c}`") for c in docs.columns if c != id_col] or [F.lit(1)]
-    first = named.withColumn("_n", F.row_number().over(Window.partitionBy(id_col).orderBy(*order))).filter("_n = 1").drop("_n")
-    return first.unionByName(found.filter(F.col(id_col).isNull()))
+    ids = keep.filter(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("_id"))
+    ids = cut_lineage(ids.agg(F.count(F.lit(1)).alias("_rows")))
+    found = docs.join(ids, docs[id_col].cast("long") == ids["_id"], "left_semi")
+    if not ids.filter("_rows > 1").isEmpty():
+        order = [F.col(f"`{c}`") for c in docs.columns if c != id_col] or [F.lit(1)]
+        numbered = found.withColumn("_n", F.row_number().over(Window.partitionBy(id_col).orderBy(*order)))
+        found = numbered.filter("_n = 1").drop("_n")
+    return found.unionByName(docs.filter(docs[id_col].isNull()))

@@ -121,7 +121,7 @@ def has_letters(text: bytes) -> bool:
     return bool(_LETTER.search(text)) or any(c.isalpha() for c in text.decode())
 
 
-def fit_texts(texts: list[bytes], labels: list[str], landmarks: int = 60, ridge: float = 1e-2) -> LanguageModel:
+def fit_texts(texts: list[bytes], labels: list[str], landmarks: int = 60, ridge: float = 1.0) -> LanguageModel:
     """Fit on given texts; the first ``landmarks`` of each label are landmarks."""
     names = sorted(set(labels))
     if not names:
@@ -133,7 +133,7 @@ def fit_texts(texts: list[bytes], labels: list[str], landmarks: int = 60, ridge:
     marks = [r[chosen] for r in rows]
     kernel = sum(r @ m.T for r, m in zip(rows, marks, strict=True)).astype(np.float64)
     values, vectors = np.linalg.eigh(kernel[chosen])
-    good = values > 1e-6 * values.max()
+    good = values > 1e-5 * values.max()
     root = vectors[:, good] / np.sqrt(values[good])  # Nyström: features are kernels times this
     features = np.c_[kernel @ root, np.ones(len(texts))]
     target = np.where(np.array(labels)[:, None] == np.array(names)[None, :], 1.0, -1.0)
