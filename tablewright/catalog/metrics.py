@@ -104,6 +104,19 @@ def auc_binary(spark, folder):
     return rounded(M.roc_auc(binary(spark, folder)))
 
 
+MISSING_SQL = f"select label, coalesce(case when score <> 0.25 and label + floor(score * 100) % 7 > 0 then score end, -1) as score from ({BINARY_SQL})"
+
+
+@registered(
+    "metrics_roc_auc_missing_scores",
+    f"select round({auc_sql('label = 1', 'score', MISSING_SQL)}, 6) as roc_auc",
+)
+def auc_missing(spark, folder):
+    """A missing score is the lowest of all."""
+    known = (F.col("score") != 0.25) & (F.col("label") + F.floor(F.col("score") * 100) % 7 > 0)
+    return rounded(M.roc_auc(binary(spark, folder).withColumn("score", F.when(known, F.col("score")))))
+
+
 @registered(
     "metrics_roc_auc_multiclass",
     "select round(("

@@ -266,10 +266,36 @@ def compare(spark, folder):
         F.create_map(
             F.lit("accuracy"), F.col("c_acctbal") / 10000, F.lit("r2"), F.col("c_nationkey") / 25
         ).alias("metrics"),
+        F.when(F.col("c_custkey") % 3 == 1, F.current_timestamp()).alias("deleted_at"),
     )
     return rounded(R.compare_models(models, [3, 5, 8]))
 
 
+@registered(
+    "registry_deploy_archives_previous",
+    """with ch as (select user_id as model_id, event_id as stamp from events where event_type = 'purchase'),
+        m as (select c_custkey as id, c_nationkey as project_id, c_mktsegment as slug,
+                case when c_custkey % 5 = 0 then 'production' when c_custkey % 5 = 1 then 'staging' else 'none' end as stored from customer),
+        l as (select distinct model_id as id from ch),
+        d as (select project_id, slug, arg_max(id, stamp) as serving from ch join m on model_id = id group by 1, 2)
+        select m.id, m.project_id, m.slug,
+          case when (l.id is not null or stored = 'production') and serving <> m.id then 'archived'
+               when l.id is not null then 'production' else stored end as stage
+        from m left join l on l.id = m.id left join d on d.project_id = m.project_id and d.slug = m.slug""",
+)
+def deploys(spark, folder):
+    """Models with a stored stage; deploying one archives what was in production."""
+    key = F.col("c_custkey")
+    models = table(spark, folder, "customer").select(
+        key.alias("id"), F.col("c_nationkey").alias("project_id"), F.col("c_mktsegment").alias("slug"),
+        F.when(key % 5 == 0, "production").when(key % 5 == 1, "staging").otherwise("none").alias("stage"),
+    )
+    changes = table(spark, folder, "events").filter("event_type = 'purchase'").select(
+        F.col("user_id").alias("model_id"), F.lit("production").alias("stage"), F.col("event_id").alias("at")
+    )
+    return R.model_stages(models, changes)
+
+
 LOG_SQL = """select event_id as id, case when event_type = 'view' then 'GET' else 'POST' end as method,
     case when event_id % 11 = 0 then '/api/v1/' when event_id % 3 = 0 then '/api/v1/' || event_type || '/' || md5(cast(event_id as varchar))
          else '/api/v1/' || event_type || '/list' end as path,
@@ -318,9 +344,7 @@ def audit_search(spark, folder):
     return R.audit_search(entries, "post%CLICK", R.PageParams()).select("id", "action")
 
 
-@registered(
-    "registry_unique_slugs",
-    """with n as (select p_partkey, p_size as parent, replace(p_name, ' ', '-') as base,
+SLUG_SQL = """with n as (select p_partkey, p_size as parent, replace(p_name, ' ', '-') as base,
             row_number() over (partition by p_size, p_name order by p_retailprice, hash_order) - 1 as k
           from (select *, cast('0x' || substr(md5(cast(p_partkey as varchar) || '|42'), 1, 15) as bigint) as hash_order from part)),
         t as (select distinct p_size as parent, replace(p_name, ' ', '-') as base,
@@ -330,10 +354,15 @@ def audit_search(spark, folder):
               from (select distinct parent, base from n) g cross join (select unnest(range(1, 100)) as i) r
               anti join t on t.parent = g.parent and t.base = g.base and t.taken = r.i)
         select p_partkey, n.parent, case when i = 1 then n.base else n.base || '-' || i end as slug
-        from n join f on n.parent = f.parent and n.base = f.base and n.k = f.k""",
-)
+        from n join f on n.parent = f.parent and n.base = f.base and n.k = f.k"""
+
+
+@registered("registry_unique_slugs", SLUG_SQL)
 def slugs(spark, folder):
-    part = table(spark, folder, "part")
+    return _slugs(table(spark, folder, "part"))
+
+
+def _slugs(part):
     new = part.select("p_partkey", F.col("p_size").alias("parent"), "p_name", "p_retailprice")
     base = F.replace("p_name", F.lit(" "), F.lit("-"))
     existing = part.filter(F.col("p_partkey") % 2 == 0).select(
@@ -344,3 +373,13 @@ def slugs(spark, folder):
     )
     made = R.unique_slugs(new, existing, "parent", "p_name", "p_retailprice", ["p_partkey"])
     return made.select("p_partkey", "parent", "slug")
+
+
+@registered(
+    "registry_unique_slugs_missing_parent",
+    f"""select p_partkey, nullif(parent, -1) as parent, slug from ({SLUG_SQL.replace("p_size", "(case when p_size % 5 > 0 then p_size else -1 end)")})""",
+)
+def slugs_missing_parent(spark, folder):
+    """A NULL parent is a parent like any other."""
+    part = table(spark, folder, "part").withColumn("p_size", F.expr("case when p_size % 5 > 0 then p_size end"))
+    return _slugs(part)

@@ -142,7 +142,8 @@ def _area(ranked: DataFrame, by: list[str], *extra: Column) -> DataFrame:
 def roc_auc(
     df: DataFrame, label: str = "label", score: str = "score", by: list[str] | None = None
 ) -> DataFrame:
-    """One row ``roc_auc`` (per group ``by``): exact; NULL with a single class."""
+    """One row ``roc_auc`` (per group ``by``): exact; NULL with a single class. A NULL score ranks
+    below all others, NaN above."""
     by = by or []
     packed = score_counts(df, label, score, by)
     return _area(running_totals(packed, order="score", sums=["neg"], by=by), by)

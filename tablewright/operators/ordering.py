@@ -21,21 +21,7 @@ CELL_BITS = 16
 MAX_CELLS = 1 << CELL_BITS
 COPIES_PER_TASK_ROW = 100_000
 RANGE_CELLS = 10_000
-ROWS_PER_RANGE_CELL = 500_000
-SMALL_SIDE_ROWS = 100_000
-
-
-def small_side(df: DataFrame, limit: int = SMALL_SIDE_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if it is proven to hold at most ``limit`` rows.
-
-    The check reads at most ``limit + 1`` rows; a larger frame is returned unmarked, and the
-    join is left to the shuffle with AQE's skew handling.
-    """
-    spark = df.sparkSession
-    rows = df.limit(limit + 1).collect()
-    if len(rows) > limit:
-        return df
-    return F.broadcast(spark.createDataFrame(rows, df.schema))
+ROWS_PER_RANGE_CELL = 500_000  # sets the number of cells, never the method
 
 
 def number_copies(df: DataFrame, out: str = "_copy") -> DataFrame:
@@ -104,7 +90,7 @@ def hash_numbered(
     order = Window.partitionBy("_cell").orderBy("_hash", *[quoted(name) for name in key])
     ranked = hashed.withColumn("_rank", F.row_number().over(order))
     return (
-        ranked.join(offsets, "_cell")
+        ranked.join(offsets, "_cell")  # a struct is never NULL itself, and its NULL fields meet
         .select(
             *[quoted(name) for name in columns],
             (F.col("_offset") + F.col("_rank") - 1).cast("bigint").alias(number),
@@ -113,8 +99,17 @@ def hash_numbered(
     )
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join on columns of both sides where NULL meets NULL; the columns appear once."""
+    renamed = right.select(*[quoted(c).alias(f"_r_{c}" if c in on else c) for c in right.columns])
+    condition = F.lit(True)
+    for c in on:
+        condition = condition & quoted(c).eqNullSafe(quoted(f"_r_{c}"))
+    return left.join(renamed, condition, how).drop(*[f"_r_{c}" for c in on])
+
+
 def with_range_cell(df: DataFrame, order: str, n_rows: int, out: str = "_cell") -> DataFrame:
-    """Add a cell number that grows with the (double) column ``order``.
+    """Add a cell number that grows with the (double) column ``order``: NULL first, NaN last.
 
     The edges are approximate quantiles, so the cells are about equally full however the values
     are spread. At most ``RANGE_CELLS`` numbers reach the driver. Rows should be distinct in
@@ -123,16 +118,18 @@ def with_range_cell(df: DataFrame, order: str, n_rows: int, out: str = "_cell")
     probabilities = [i / RANGE_CELLS for i in range(1, RANGE_CELLS)]
     wanted = min(RANGE_CELLS, n_rows // ROWS_PER_RANGE_CELL + 1)
     step = RANGE_CELLS // wanted
+    value = quoted(order)
+    plain = F.when(~F.isnan(value), value)
     edges = df.agg(
-        F.percentile_approx(order, probabilities[step - 1 :: step], 2 * RANGE_CELLS)
+        F.percentile_approx(plain, probabilities[step - 1 :: step], 2 * RANGE_CELLS)
     ).first()[0]
     infinity = float("inf")
-    return Bucketizer(
-        splits=[-infinity, *sorted(set(edges)), infinity],
-        inputCol=order,
-        outputCol=out,
-        handleInvalid="error",
-    ).transform(df)
+    inside = sorted({e for e in edges or [] if abs(e) < infinity}) or [0.0]
+    cells = Bucketizer(
+        splits=[-infinity, *inside, infinity], inputCol="_value", outputCol=out
+    ).transform(df.withColumn("_value", F.coalesce(plain, F.lit(0.0)))).drop("_value")
+    cell = F.when(value.isNull(), -1.0).when(F.isnan(value), float(RANGE_CELLS + 1))
+    return cells.withColumn(out, cell.otherwise(F.col(out)))
 
 
 def running_totals(
@@ -145,19 +142,15 @@ def running_totals(
 ) -> DataFrame:
     """Inclusive running sums of ``sums`` along ``order`` as ``cum_<name>``, per group ``by``.
 
-    ``df`` must hold one row per group and value of ``order`` (aggregate first). Few rows, by
-    count, take a plain window. More are written out once, cut into range cells, summed inside
-    the cells and shifted by the totals of the cells before.
+    ``df`` must hold one row per group and value of ``order`` (aggregate first). Rows are written
+    out once, cut into range cells, summed inside the cells and shifted by the totals of the
+    cells before; the number of rows sets the number of cells only. A NULL in ``order`` is the
+    lowest value and NaN the highest; NULL is a group like any other.
     """
     by = by or []
     along = F.col(order).asc() if ascending else F.col(order).desc()
-    n_rows = df.count()
-    if n_rows <= ROWS_PER_RANGE_CELL:
-        window = Window.partitionBy(*(by or [F.lit(0)])).orderBy(along).rowsBetween(
-            Window.unboundedPreceding, Window.currentRow
-        )
-        return df.select("*", *[F.sum(c).over(window).alias(f"cum_{c}") for c in sums])
-    celled = with_range_cell(cut_lineage(df), order, n_rows)
+    stored = cut_lineage(df)
+    celled = with_range_cell(stored, order, stored.count())
     sign = 1 if ascending else -1
     totals = celled.groupBy(*by, "_cell").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
     cells = Window.partitionBy(*(by or [F.lit(0)])).orderBy(sign * F.col("_cell"))
@@ -167,17 +160,14 @@ def running_totals(
         *[(F.sum(f"_t_{c}").over(cells) - F.col(f"_t_{c}")).alias(f"_o_{c}") for c in sums],
     )
     if not by:
-        offsets = F.broadcast(offsets)  # at most RANGE_CELLS rows
+        offsets = F.broadcast(offsets)  # at most RANGE_CELLS + 2 rows
     inside = (
         Window.partitionBy(*by, "_cell")
         .orderBy(along)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    return (
-        celled.select("*", *[F.sum(c).over(inside).alias(f"_i_{c}") for c in sums])
-        .join(offsets, [*by, "_cell"])
-        .select(
-            *df.columns,
-            *[(F.col(f"_i_{c}") + F.col(f"_o_{c}")).alias(f"cum_{c}") for c in sums],
-        )
+    placed = celled.select("*", *[F.sum(c).over(inside).alias(f"_i_{c}") for c in sums])
+    return null_safe_join(placed, offsets, [*by, "_cell"]).select(
+        *df.columns,
+        *[(F.col(f"_i_{c}") + F.col(f"_o_{c}")).alias(f"cum_{c}") for c in sums],
     )

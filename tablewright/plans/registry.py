@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tablewright.errors import RegistryError
 from tablewright.functions.scalars import quoted, slugify
-from tablewright.operators.ordering import hash_numbered, running_totals
+from tablewright.operators.ordering import hash_numbered, null_safe_join, running_totals
 from tablewright.session import cut_lineage, shared_folder
 
 # Enumerations, page limits and the metrics of a comparison.
@@ -287,50 +287,59 @@ def register_models(requests: DataFrame, runs: DataFrame, experiments: DataFrame
     group = ["project_id", "slug"]
     numbered = number_in_order(asked, group, "requested_at", ["run_id"])
     tops = models.groupBy(*group).agg(F.max("version").alias("_top"))
-    return numbered.join(tops, group, "left").select(
+    return null_safe_join(numbered, tops, group, "left").select(
         *[quoted(c) for c in asked.columns],
         (F.coalesce("_top", F.lit(0)) + F.col("_number") + 1).alias("version"),
     )
 
 
 def model_stages(models: DataFrame, changes: DataFrame) -> DataFrame:
-    """Models with the stage that follows from all stage changes ``(model_id, stage, at)``.
-
-    Deploying a model archives the one in production before it for the same (project, slug).
-    So a model whose last own change is ``production`` is in production only while no other
-    model of the group was deployed later; any other last change stands. Two grouped
-    ``max_by`` aggregates are enough, whatever the number of changes.
+    """Models with the stage that follows from their stored one and all stage changes
+    ``(model_id, stage, at)``.
+
+    A model without changes keeps its stored stage, unless another of its (project, slug) was
+    deployed since: deploying archives the one in production. So a model whose last own change,
+    or stored stage, is ``production`` is in production only while no other model of the group
+    was deployed later; any other last change stands. Of changes at one time the later stage, and
+    then the larger id, counts. Grouped ``max_by`` aggregates are enough.
     """
     # stages travel as numbers: fixed-width values aggregate by hashing, texts by sorting
     stages = F.array(*[F.lit(name) for name in STAGES])
     coded = changes.select("model_id", "at", F.array_position(stages, F.col("stage")).alias("_s"))
     serving = STAGES.index("production") + 1
-    last = coded.groupBy(F.col("model_id").alias("id")).agg(F.max_by("_s", "at").alias("_last"))
+    last = coded.groupBy(F.col("model_id").alias("id")).agg(
+        F.max_by("_s", F.struct("at", "_s")).alias("_last")
+    )
     group = ["project_id", "slug"]
     own = models.select(F.col("id").alias("model_id"), *group)
     deployed = (
         coded.filter(F.col("_s") == serving)
         .join(own, "model_id")
         .groupBy(*group)
-        .agg(F.max_by("model_id", "at").alias("_serving"))
-    )
-    joined = models.drop("stage").join(last, "id", "left").join(deployed, group, "left")
-    stage = (
-        F.when(F.col("_last").isNull(), "none")
-        .when((F.col("_last") == serving) & (F.col("_serving") != F.col("id")), "archived")
-        .otherwise(F.get(stages, (F.col("_last") - 1).cast("int")))
+        .agg(F.max_by("model_id", F.struct("at", "model_id")).alias("_serving"))
     )
-    return joined.withColumn("stage", stage).drop("_last", "_serving")
+    stored = models.withColumnRenamed("stage", "_stored")
+    joined = null_safe_join(stored.join(last, "id", "left"), deployed, group, "left")
+    now = F.coalesce(F.get(stages, (F.col("_last") - 1).cast("int")), F.col("_stored"), F.lit("none"))
+    replaced = (now == "production") & (F.col("_serving") != F.col("id"))
+    stage = F.when(replaced, "archived").otherwise(now)
+    columns = [stage.alias("stage") if c == "stage" else quoted(c) for c in models.columns]
+    return joined.select(*columns)
 
 
 def compare_models(
     models: DataFrame, ids: list, metrics: tuple[str, ...] = COMPARED_METRICS
 ) -> DataFrame:
-    """Two to ten live models side by side: one row per metric, one column per model."""
+    """Two to ten live models side by side: one row per metric, one column per model. Ids of
+    deleted or unknown models are refused."""
     low, high = COMPARED_MODELS
     if not low <= len(ids) <= high:
         raise RegistryError(f"Compare {low} to {high} models.")
-    rows = models.filter(F.col("id").isin(ids)).select(
+    chosen = (live(models) if "deleted_at" in models.columns else models).filter(F.col("id").isin(ids))
+    missing = set(ids) - {r["id"] for r in chosen.select("id").distinct().collect()}  # ten at most
+    if missing:
+        raise RegistryError(f"No live model has the id {sorted(missing)[0]!r}.")
+    rows = chosen.select(
         "id", F.explode(F.array(*[
             F.struct(F.lit(m).alias("metric"), F.try_element_at("metrics", F.lit(m)).alias("value"))
             for m in metrics
@@ -388,9 +397,10 @@ def number_in_order(df: DataFrame, group: list[str], order: str, key: list[str])
     """Number the rows of each group 0, 1, … by the timestamp or number ``order``.
 
     Equal order values are packed first, running totals place them, and rows with one value are
-    told apart by a hash of their key: no task ever sorts a whole group.
+    told apart by a hash of their key: no task ever sorts a whole group. A NULL order comes last;
+    NULL in ``group`` is a group like any other.
     """
-    placed = df.withColumn("_at", _as_number(df, order))
+    placed = df.withColumn("_at", F.coalesce(_as_number(df, order), F.lit(float("nan"))))
     packed = placed.groupBy(*group, "_at").agg(F.count("*").alias("_n"))
     totals = running_totals(packed, order="_at", sums=["_n"], by=group).select(
         *group, "_at", (F.col("cum__n") - F.col("_n")).alias("_before")
@@ -399,7 +409,7 @@ def number_in_order(df: DataFrame, group: list[str], order: str, key: list[str])
         placed, by=[*[quoted(c) for c in group], F.col("_at")], key=key,
         number="_inside", total="_same",
     )
-    return inside.join(totals, [*group, "_at"]).select(
+    return null_safe_join(inside, totals, [*group, "_at"]).select(
         *[quoted(c) for c in df.columns], (F.col("_before") + F.col("_inside")).alias("_number")
     )
 
@@ -428,7 +438,7 @@ def unique_slugs(new: DataFrame, existing: DataFrame, parent: str, name: str, or
     )
     groups = numbered.select(parent, "_base").distinct()
     taken = (
-        as_number.unionByName(as_base).distinct().join(groups, [parent, "_base"], "left_semi")
+        null_safe_join(as_number.unionByName(as_base).distinct(), groups, [parent, "_base"], "left_semi")
         .withColumn("_at", F.col("_t").cast("double"))
         .withColumn("_one", F.lit(1).cast("bigint"))
     )
@@ -447,8 +457,8 @@ def unique_slugs(new: DataFrame, existing: DataFrame, parent: str, name: str, or
         F.col("_at") != F.floor("_at")
     )
     suffix = F.col("_number") + 1 + F.col("cum__w")
-    joined = numbered.withColumn("_at", F.col("_number") + 0.5).join(
-        placed.select(*by, "_at", "cum__w"), [*by, "_at"]
+    joined = null_safe_join(
+        numbered.withColumn("_at", F.col("_number") + 0.5), placed.select(*by, "_at", "cum__w"), [*by, "_at"]
     )
     return joined.select(
         *[quoted(c) for c in new.columns],

@@ -59,7 +59,19 @@ def test_folds_are_even(spark):
         assert len(mine) == 5 and max(mine) - min(mine) <= 1
 
 
-def test_small_side(spark):
-    df = spark.range(10)
-    assert O.small_side(df, 10).count() == 10
-    assert O.small_side(df, 5) is df
+def test_running_totals_keep_missing(spark, monkeypatch):
+    """NULL and NaN stay, whatever the number of cells; NULL groups are groups."""
+    nan = float("nan")
+    values = [(g, x, 1) for g in (None, 1) for x in (None, nan, *map(float, range(100)), float("inf"))]
+    df = spark.createDataFrame(values, "g int, x double, n bigint")
+    seen = []
+    for size in (500_000, 7):
+        monkeypatch.setattr(O, "ROWS_PER_RANGE_CELL", size)
+        for ascending in (True, False):
+            rows = O.running_totals(df, order="x", sums=["n"], by=["g"], ascending=ascending).collect()
+            assert len(rows) == len(values)
+            found = {(r["g"], str(r["x"])): r["cum_n"] for r in rows}
+            ends = (found[None, "None"], found[None, "nan"], found[1, "0.0"], found[1, "inf"])
+            assert ends == ((1, 103, 2, 102) if ascending else (103, 1, 102, 2))
+            seen.append(sorted(found.items(), key=str))
+    assert seen[0] == seen[2] and seen[1] == seen[3]
