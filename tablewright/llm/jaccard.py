@@ -7,15 +7,17 @@ n-gram of both prefixes (Xiao et al., PPJoin+, 2008). An n-gram estimated in one
 nothing, so most documents leave here: those whose prefix has no other.
 
 Classes that share a prefix n-gram are candidates. Length, the positions of the shared n-gram and
-the suffixes' spread over hash partitions bound the overlap; what is left is verified once per
-pair on the whole sets. In a first turn each n-gram's smallest class meets the others of its list
-only, so that a group of thousands of near copies takes one comparison each; when their components
-are known, the second turn compares what shares an n-gram and is not in one component yet: the
-rows outside a list's largest component with those of others.
+the spread of both sets over hash partitions (a suffix filter that needs no order) bound the
+overlap; what is left is verified once per pair on the whole sets. In a first turn each n-gram's
+smallest class meets the others of its list only, so that a group of thousands of near copies takes
+one comparison each. Further turns compare rows outside a list's largest component with a row of
+that, as long as this links some; at the end they meet all rows of other components.
 """
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -28,7 +30,8 @@ from tablewright.llm.sketch import BUCKET_BYTES, Estimates, Shape, Windows, buck
 from tablewright.session import cut_lineage
 
 NGRAM_WORDS, PERCENT = 5, 75
-SPREAD = 16  # hash partitions of a suffix
+SPREAD = 64  # hash partitions of a set
+LEAST_TURNS = 3
 PAIRS_A_TASK = 500
 DESCRIBED = (
     "doc_id long, n_shingles long, set_id binary, shingles binary, prefix array<long>, places array<int>, spread array<int>"
@@ -41,7 +44,8 @@ def prefix_length(n: int, percent: int) -> int:
 
 def _describe(shape: Shape, percent: int):
     """For each document the size of its set; for one that may have a partner also the set, its
-    digest, the n-grams of its prefix that others may have, their places, and its suffix's spread."""
+    digest, the n-grams of its prefix that others may have, their places, and its spread over hash
+    partitions."""
 
     def describe(left: pa.Table, right: pa.Table) -> pa.Table:
         import xxhash
@@ -64,11 +68,10 @@ def _describe(shape: Shape, percent: int):
                         h = hashes[0][i:j]
                         order = np.lexsort((h, own))
                         head = [k for k in range(p) if own[order[k]] > 1]
-                        tail = h[order[p:]]
                         data = h.tobytes()  # sorted by hash
                         row[2:] = (
                             xxhash.xxh3_128_digest(data), data, h[order[head]].view(np.int64).tolist(), head,
-                            np.bincount((tail & np.uint64(SPREAD - 1)).astype(np.int64), minlength=SPREAD).tolist(),
+                            np.bincount((h & np.uint64(SPREAD - 1)).astype(np.int64), minlength=SPREAD).tolist(),
                         )
                     for column, value in zip(out, row, strict=True):
                         column.append(value)
@@ -85,20 +88,22 @@ def _needed(percent: int, n: Column, m: Column) -> Column:
 
 
 def _passes(a: str, b: str, percent: int) -> Column:
-    """The filters on a candidate pair of prefix rows ``n, place, p, spread``: sizes, the members
-    that can follow the shared one, and how alike the suffixes' spreads are."""
-    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    need = _needed(percent, n, m)
+    """The filters on two postings ``n, place`` of one n-gram: set sizes, and how many members can
+    come before and after the shared one, which is at these places of both rare-first orders."""
+    n, m, i, j = (F.col(f"{x}.{c}") for c in ("n", "place") for x in (a, b))
     length = (100 * n >= percent * m) & (100 * m >= percent * n)
-    # the shared n-gram may be the pair's first or a later one: of those before it at most the
-    # smaller number is shared too
-    before = F.least(F.col(f"{a}.place"), F.col(f"{b}.place"))
-    after = F.least(n - F.col(f"{a}.place"), m - F.col(f"{b}.place"))
-    position = before + after >= need
-    # suffix members can meet suffix members of their partition, or the other's prefix
-    alike = F.aggregate(F.zip_with(f"{a}.spread", f"{b}.spread", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    suffix = alike + F.col(f"{a}.p") + F.col(f"{b}.p") >= need
-    return length & position & suffix
+    position = F.least(i, j) + F.least(n - i, m - j) >= _needed(percent, n, m)
+    return length & position
+
+
+def _suffix_filter(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Drop pairs whose members are too differently spread over hash partitions: of a partition
+    at most the smaller number is shared, whatever order members stand in."""
+    for side in ("a", "b"):
+        own = sets.select(F.col("set_id").alias(side), F.col("n_shingles").alias(f"n_{side}"), F.col("spread").alias(f"s_{side}"))
+        pairs = join_hot(pairs, own, [side])
+    alike = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+    return pairs.filter(alike >= _needed(percent, F.col("n_a"), F.col("n_b"))).select("a", "b")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -168,32 +173,47 @@ def _one_of_each(whole: DataFrame) -> DataFrame:
 
 def _class_roots(sets: DataFrame, percent: int) -> DataFrame:
     """``node, root`` of the classes that link with others."""
-    n = F.col("n_shingles")
-    p = n - F.ceil(n * percent / F.lit(100.0) - 1e-9) + 1
-    posted = sets.select("set_id", n.alias("n"), p.alias("p"), "spread", F.explode(F.arrays_zip("prefix", "places")).alias("x"))
-    posted = posted.select(F.col("x.prefix").alias("gram"), F.struct("set_id", "n", F.col("x.places").alias("place"), "p", "spread").alias("row"))
     whole = sets.select("set_id", "shingles")
-    # first turn: the smallest class of each list against the others
-    pivots = posted.groupBy("gram").agg(F.min("row").alias("pivot"), F.count(F.lit(1)).alias("held")).filter("held > 1").drop("held")
-    near = join_hot(posted, pivots, ["gram"]).filter(F.col("row.set_id") != F.col("pivot.set_id"))
-    pairs = near.filter(_passes("pivot", "row", percent)).select(F.col("pivot.set_id").alias("a"), F.col("row.set_id").alias("b")).distinct()  # a < b
-    tried = cut_lineage(pairs)
-    links = cut_lineage(_verify(tried, whole, percent))
-    roots = components(links)
-    # second turn: what shares an n-gram and is still apart
-    named = join_hot(posted.withColumn("node", F.col("row.set_id")), roots, ["node"], "left")
-    named = named.select("gram", "row", F.coalesce("root", "node").alias("root"))
-    counts = named.groupBy("gram", "root").agg(F.count(F.lit(1)).alias("held"))
-    lists = counts.groupBy("gram").agg(F.max_by("root", F.struct("held", "root")).alias("main"), F.count(F.lit(1)).alias("n"))
-    open_rows = cut_lineage(join_hot(named, lists.filter("n > 1").drop("n"), ["gram"]))
-    # rows outside a list's largest component against all rows of other components
-    left = open_rows.filter(F.col("root") != F.col("main")).select("gram", F.col("row").alias("x"), F.col("root").alias("x_root"))
-    right = open_rows.select("gram", F.col("row").alias("y"), F.col("root").alias("y_root"))
-    cross = join_hot(left, right, ["gram"]).filter((F.col("x_root") != F.col("y_root")) & _passes("x", "y", percent))
-    x, y = F.col("x.set_id"), F.col("y.set_id")
-    pairs = cross.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = _verify(cut_lineage(pairs), whole, percent)
-    return components(links.unionByName(more))
+    posted = sets.select("set_id", F.col("n_shingles").cast("int").alias("n"), F.explode(F.arrays_zip("prefix", "places")).alias("x"))
+    posted = posted.select(F.col("x.prefix").alias("gram"), F.struct("set_id", "n", F.col("x.places").alias("place")).alias("row"))
+    lists = posted.groupBy("gram").agg(F.min("row").alias("pivot"), F.count(F.lit(1)).alias("held")).filter("held > 1")
+    # postings of n-grams that several classes have; in the first turn each meets the smallest
+    held = cut_lineage(join_hot(posted, lists.drop("held"), ["gram"]))
+    tried = links = roots = None
+    for turn in itertools.count():
+        if turn == 0:
+            found = held.filter(F.col("row.set_id") != F.col("pivot.set_id") ).select("row", F.col("pivot").alias("other"))
+            held = held.select("gram", "row")
+        else:
+            # postings whose list is not in one component yet, and its largest component
+            named = held.select("gram", "row", F.col("row.set_id").alias("node"))
+            named = join_hot(named, roots, ["node"], "left").select("gram", "row", F.coalesce("root", "node").alias("root"))
+            counts = named.groupBy("gram", "root").agg(F.count(F.lit(1)).alias("held"))
+            open_lists = counts.groupBy("gram").agg(F.max_by("root", F.struct("held", "root")).alias("main"), F.count(F.lit(1)).alias("n"))
+            named = cut_lineage(join_hot(named, open_lists.filter("n > 1").drop("n"), ["gram"]))
+            held = named.select("gram", "row")
+            apart = named.filter(F.col("root") != F.col("main"))
+            if linked or turn < LEAST_TURNS:  # rows outside it meet one of it, another one in each list and turn
+                drawn = F.xxhash64("gram", "row.set_id", F.lit(turn))
+                pivots = named.filter(F.col("root") == F.col("main")).groupBy("gram").agg(F.min(F.struct(drawn.alias("d"), "row")).alias("p"))
+                found = join_hot(apart, pivots, ["gram"]).select("row", F.col("p.row").alias("other"))
+            else:  # nothing links any more: what is left meets all that is in other components
+                others = named.select("gram", F.col("row").alias("other"), F.col("root").alias("other_root"))
+                found = join_hot(apart, others, ["gram"]).filter(F.col("root") != F.col("other_root"))
+        x, y = F.col("row.set_id"), F.col("other.set_id")
+        pairs = found.filter(_passes("row", "other", percent)).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = cut_lineage(_suffix_filter(pairs, sets, percent))
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        more = cut_lineage(_verify(pairs, whole, percent))
+        last = turn >= LEAST_TURNS and not linked
+        linked = not more.isEmpty()
+        if linked or roots is None:
+            links = more if roots is None else roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
+            roots = components(links)
+        if last:
+            return roots
 
 
 def drop_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
