@@ -36,6 +36,14 @@ class Presence:
 
     @classmethod
     def of(cls, texts: list[bytes]) -> Presence:
+        """In pieces of about a megabyte, as the hashes take many times a text's size."""
+        parts = [cls._of(part) for _, part in chunks(texts, texts)]
+        sizes = np.concatenate([[0], *[np.diff(p.starts) for p in parts]]).astype(np.int64)
+        columns = np.concatenate([np.zeros(0, np.int32), *[p.columns for p in parts]])
+        return cls(columns, np.cumsum(sizes), len(texts))
+
+    @classmethod
+    def _of(cls, texts: list[bytes]) -> Presence:
         words = Words([t.translate(_LETTERS) for t in texts], lower=True)
         rolling = per_worker(("words of toxicity",), lambda: RollingHash(5))
         pairs = []
@@ -47,7 +55,7 @@ class Presence:
             pairs.append(words.doc[own].astype(np.int64) << BITS | h.astype(np.int64))
         pairs = np.unique(np.concatenate(pairs))
         starts = np.searchsorted(pairs, np.arange(len(texts) + 1, dtype=np.int64) << BITS)
-        return cls(pairs & ((1 << BITS) - 1), starts, len(texts))
+        return cls((pairs & ((1 << BITS) - 1)).astype(np.int32), starts, len(texts))
 
     def take(self, rows: np.ndarray) -> Presence:
         parts = [self.columns[self.starts[r] : self.starts[r + 1]] for r in rows]
@@ -109,7 +117,7 @@ class Chain:
         """Probabilities, one column a category."""
         found = [np.zeros((0, len(self.categories)))]
         for _, part in chunks(list(range(len(texts))), texts):
-            x = Presence.of(part)
+            x = Presence._of(part)
             odds = np.zeros((len(part), 0))
             for model in self.models:
                 odds = np.c_[odds, np.clip(model.odds(x, odds), -8, 8)]
