@@ -206,6 +206,32 @@ def kbest(spark, folder):
     return spark.createDataFrame([(n,) for n in names], "feature string")
 
 
+MANY_CLASSES_SQL = """
+    with d as (select cast(l_suppkey % 30 as double) as y, cast((l_suppkey % 30) * 7 % 30 as double) + l_tax as a,
+                 cast(l_suppkey % 30 as double) + l_quantity as b from lineitem),
+    x as (select y, 'a' as feature, a as v from d union all select y, 'b', b from d),
+    g as (select feature, y, count(*) as n, avg(v) as m, var_samp(v) as s from x group by all),
+    t as (select *, sum(n * m) over (partition by feature) / sum(n) over (partition by feature) as mm from g)
+    select feature, (sum(n * (m - mm) ** 2) / (count(*) - 1)) / (sum((n - 1) * s) / (sum(n) - count(*))) as score
+    from t group by feature"""
+
+
+@registered(
+    "features_select_kbest_many_classes",
+    f"select 'numeric__' || feature as feature from ({MANY_CLASSES_SQL}) order by score desc limit 1",
+)
+def kbest_many_classes(spark, folder):
+    """Thirty class codes are classes, though they are numbers."""
+    code = (F.col("l_suppkey") % 30).cast("double")
+    d = table(spark, folder, "lineitem").select(
+        code.alias("y"), ((F.col("l_suppkey") % 30 * 7 % 30).cast("double") + F.col("l_tax")).alias("a"),
+        (code + F.col("l_quantity")).alias("b"),
+    )
+    config = FeatureConfig(target="y", selection_method="kbest", selection_k=1)
+    names = X.fit_features(d, config, "y", "classification").names
+    return spark.createDataFrame([(n,) for n in names], "feature string")
+
+
 @registered(
     "features_pca_explained",
     """select 'pca0' as feature, round((1 + abs(c)) / 2 * n / (n - 1) * 2, 4) as variance from (

@@ -209,6 +209,18 @@ def predicted_vs_actual(spark, folder):
     return rounded(M.predicted_vs_actual(d, key=["o_orderkey"], points=2000), 4)
 
 
+@registered(
+    "metrics_predicted_vs_actual",
+    "select o_orderkey, round(o_totalprice, 4) as actual, cast(o_custkey * 100 as double) as predicted from orders",
+)
+def predicted_vs_actual_all(spark, folder):
+    """Every point of the chart."""
+    d = table(spark, folder, "orders").select(
+        "o_orderkey", F.col("o_totalprice").alias("label"), (F.col("o_custkey") * 100).alias("prediction")
+    )
+    return rounded(M.predicted_vs_actual(d, key=["o_orderkey"]), 4)
+
+
 @registered(
     "metrics_ideal_line",
     f"""select round(least(min(label), min(prediction)), 4) as low,

@@ -14,8 +14,6 @@ from tablewright.operators.features import FeatureConfig, Imputation
 from tablewright.operators.split import assign_split
 from tablewright.plans import automl, scoring
 
-ONE_SECOND_TREES = {"n_estimators": 20, "max_depth": 5}
-
 
 def quality(spark, folder):
     """Labelled documents: is a document of good quality?"""
@@ -171,7 +169,7 @@ def _algorithm_query(key: str, params: dict, task: str) -> None:
         from tablewright.operators.features import fit_features
 
         train = prepared.train.persist()
-        fitted = fit_features(train.drop(*keys), prepared.config, "label")
+        fitted = fit_features(train.drop(*keys), prepared.config, "label", task)
         n = train.count()
         inside = automl.vectors(fitted, train, n).persist()
         outside = automl.vectors(fitted, prepared.test, n).persist()
@@ -185,26 +183,22 @@ def _algorithm_query(key: str, params: dict, task: str) -> None:
         return spark.createDataFrame(rows, "algorithm string, metric string, value double")
 
 
-for _key in A.available_keys("classification"):
-    _algorithm_query(_key, ONE_SECOND_TREES if "trees" in _key or _key in ("random_forest", "gradient_boosting") else {}, "classification")
-for _key in A.available_keys("regression"):
-    _algorithm_query(_key, ONE_SECOND_TREES if "trees" in _key or _key in ("random_forest", "gradient_boosting") else {}, "regression")
+for _task in ("classification", "regression"):
+    for _key in A.available_keys(_task):
+        _algorithm_query(_key, {}, _task)
 
 
 @registered("automl_experiment_runs")
 def experiment(spark, folder):
-    """Two algorithms on the quality labels; one row per run."""
-    result = automl.run_experiment(
-        quality(spark, folder), "quality", "classification",
-        algorithms=["logistic_regression", "decision_tree"], key=["doc_id"],
-    )
+    """All algorithms on the quality labels; one row per run."""
+    result = automl.run_experiment(quality(spark, folder), "quality", "classification", key=["doc_id"])
     return automl.run_metrics_long(result.runs)
 
 
 @registered("automl_tuning_trials")
 def tuning(spark, folder):
     """A random search over the penalty, three folds."""
-    controls = automl.TrainingControls(optimize=True, n_trials=4)
+    controls = automl.TrainingControls(optimize=True)
     data = automl.prepare_data(
         quality(spark, folder), "quality", "classification", FeatureConfig(), controls, ["doc_id"]
     )
@@ -219,7 +213,7 @@ def tuning(spark, folder):
 def learning_curve(spark, folder):
     return automl.learning_curve(
         quality(spark, folder), "quality", "classification", "logistic_regression",
-        metric="accuracy", folds=2, key=["doc_id"],
+        metric="accuracy", key=["doc_id"],
     )
 
 
@@ -271,10 +265,10 @@ def permutation(spark, folder):
 @registered("explain_shapley_importance")
 def shapley(spark, folder):
     run, test = _run(spark, folder, "decision_tree")
-    return X.shapley_importance(run, test, key=["doc_id"], draws=5)
+    return X.shapley_importance(run, test, key=["doc_id"])
 
 
 @registered("explain_partial_dependence")
 def dependence(spark, folder):
     run, test = _run(spark, folder)
-    return X.partial_dependence(run, test, "n_chars", points=5)
+    return X.partial_dependence(run, test, "n_chars")

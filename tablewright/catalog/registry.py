@@ -68,11 +68,7 @@ def page_default(spark, folder):
 )
 def page_position(spark, folder):
     rows = R.equal_to(table(spark, folder, "orders"), o_orderstatus="O")
-    p = R.paged(rows, R.PageParams(page=3, size=50, sort_by="o_totalprice"), "o_orderkey")
-    return spark.createDataFrame(
-        [(p.page, p.size, p.total, p.pages, p.has_next, p.has_prev)],
-        "page int, size int, total bigint, pages bigint, has_next boolean, has_prev boolean",
-    )
+    return R.page_position(rows, R.PageParams(page=3, size=50, sort_by="o_totalprice"))
 
 
 @registered("registry_live_rows", "select p_partkey from part where not (p_size > 25)")

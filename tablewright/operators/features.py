@@ -45,7 +45,6 @@ SELECTORS = ("none", "variance", "kbest")
 CONTINUOUS_DISTINCT = 20
 PREVIEW_ROWS = 10
 
-MAX_CATEGORIES = 1_000_000
 
 
 @dataclass
@@ -71,6 +70,7 @@ class FeatureConfig:
     variance_threshold: float = 0.0
     pca_enabled: bool = False
     pca_components: float | int | None = None
+    max_categories: int | None = None  # refuse a column with more values; None: any number
 
     @classmethod
     def from_dict(cls, values: dict) -> FeatureConfig:
@@ -232,9 +232,13 @@ class _Chain:
 
 
 def fit_features(
-    df: DataFrame, config: FeatureConfig, label: str | None = None
+    df: DataFrame, config: FeatureConfig, label: str | None = None, task: str | None = None
 ) -> FittedFeatures:
-    """Fit the pipeline on ``df``; ``label`` (a numeric column) is needed by ``kbest`` only."""
+    """Fit the pipeline on ``df``; ``label`` (a numeric column) is needed by ``kbest`` only.
+
+    ``task`` says what ``label`` is, ``classification`` or ``regression``; without it a floating
+    column with more than 20 values counts as a number.
+    """
     config.validate()
     hidden = [c for c in (config.target, label) if c]
     inputs = df.drop(*[c for c in hidden if c in df.columns])
@@ -304,7 +308,7 @@ def fit_features(
     chain.add(VectorAssembler(inputCols=columns, outputCol=raw))
     vectors = [raw]
     if selecting:
-        kept = _selected(chain.frame, raw, config, label, df)
+        kept = _selected(chain.frame, raw, config, label, df, task)
         out = "features" if not config.pca_enabled else "_selected"
         chain.add(VectorSlicer(inputCol=raw, outputCol=out, indices=kept))
         names = [names[i] for i in kept]
@@ -319,24 +323,24 @@ def fit_features(
 
 
 def _categorical_fills(df, columns, config) -> dict[str, str]:
-    """Fill value per categorical column, after a check that the category lists stay small."""
+    """Fill value per categorical column, after a check of ``max_categories`` if it is set."""
     if not columns:
         return {}
-    sizes = df.agg(
-        *[F.approx_count_distinct(quoted(c)).alias(f"n{i}") for i, c in enumerate(columns)]
-    ).first()
-    for i, c in enumerate(columns):
-        if sizes[f"n{i}"] > MAX_CATEGORIES:
-            raise FeatureConfigError(
-                f"Column {c!r} has about {sizes[f'n{i}']} values, too many to encode; exclude it."
-            )
+    if config.max_categories is not None:
+        counts = [F.count_distinct(quoted(c)).alias(f"n{i}") for i, c in enumerate(columns)]
+        sizes = df.agg(*counts).first()
+        for i, c in enumerate(columns):
+            if sizes[f"n{i}"] > config.max_categories:
+                raise FeatureConfigError(
+                    f"Column {c!r} has {sizes[f'n{i}']} values, more than {config.max_categories}."
+                )
     if config.imputation.categorical_strategy == "constant":
         return {c: config.imputation.categorical_fill_value for c in columns}
     texts = df.select(*[_as_text(df, c).alias(c) for c in columns])
     return {c: str(v) for c, v in most_frequent(texts, columns).items()}
 
 
-def _selected(current, column, config, label, df) -> list[int]:
+def _selected(current, column, config, label, df, task) -> list[int]:
     if config.selection_method == "variance":
         summary = current.select(
             Summarizer.metrics("variance", "count").summary(F.col(column)).alias("s")
@@ -351,7 +355,8 @@ def _selected(current, column, config, label, df) -> list[int]:
         return kept
     if label is None:
         raise FeatureConfigError("K-best selection needs a target.")
-    if is_continuous(df, config.target or label):
+    number = is_continuous(df, config.target or label) if task is None else task == "regression"
+    if number:
         scores = f_regression(current, column, label)
     else:
         scores = anova_f(current, column, label)

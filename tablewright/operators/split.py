@@ -17,8 +17,6 @@ from tablewright.errors import TrainingError
 from tablewright.functions.scalars import normalise_missing, numeric_or_null, quoted
 from tablewright.operators.ordering import hash_numbered
 
-MAX_CLASSES = 100_000
-INLINE_CLASSES = 64
 
 
 def class_names(df: DataFrame, target: str, keep_null: bool = False) -> list[str]:
@@ -26,12 +24,10 @@ def class_names(df: DataFrame, target: str, keep_null: bool = False) -> list[str
     text = quoted(target).cast("string")
     if keep_null:
         text = F.coalesce(text, F.lit("nan"))
-    rows = df.select(text.alias("c")).filter("c is not null").distinct().limit(MAX_CLASSES + 1)
+    rows = df.select(text.alias("c")).filter("c is not null").distinct()
     names = sorted(r["c"] for r in rows.collect())
     if len(names) < 2:
         raise TrainingError("A classification target needs at least two classes.")
-    if len(names) > MAX_CLASSES:
-        raise TrainingError(f"{target!r} has more than {MAX_CLASSES} classes; is it a class at all?")
     return names
 
 
@@ -48,14 +44,11 @@ def encode_labels(
     if keep_null:
         text = F.coalesce(text, F.lit("nan"))
     known = df.filter(text.isNotNull())
-    if len(names) <= INLINE_CLASSES:
-        position = F.array_position(F.array(*[F.lit(n) for n in names]), text)
-        return known.withColumn(out, F.when(position > 0, (position - 1).cast("double")))
     lookup = df.sparkSession.createDataFrame(
         [(n, float(i)) for i, n in enumerate(names)], f"_class string, {out} double"
     )
-    joined = known.withColumn("_class", text).join(F.broadcast(lookup), "_class", "left")
-    return joined.drop("_class")  # the lookup has at most MAX_CLASSES rows
+    # Spark broadcasts the lookup by its size, or shuffles
+    return known.withColumn("_class", text).join(lookup, "_class", "left").drop("_class")
 
 
 def numeric_target(df: DataFrame, target: str, out: str = "label") -> DataFrame:
@@ -104,16 +97,14 @@ def assign_split(
         numbered = hash_numbered(df, key=key, seed=seed)
         quota = F.ceil(F.col("_total") * F.lit(test_size))
         return numbered.withColumn(out, F.col("_number") < quota).drop("_number", "_total")
-    sizes = class_sizes(df, label).limit(MAX_CLASSES + 1).collect()
-    if len(sizes) > MAX_CLASSES:
-        raise TrainingError(f"{label!r} has more than {MAX_CLASSES} classes.")
+    sizes = class_sizes(df, label).collect()  # one row a class
     quotas = test_quotas({r["label"]: r["n"] for r in sizes}, test_size)
     numbered = hash_numbered(df, by=[quoted(label)], key=key, seed=seed)
     lookup = df.sparkSession.createDataFrame(
         list(quotas.items()), T.StructType([df.schema[label], T.StructField("_quota", T.LongType())])
     )
     return (
-        numbered.join(F.broadcast(lookup), label, "left")  # at most MAX_CLASSES rows
+        numbered.join(lookup, label, "left")
         .withColumn(out, F.col("_number") < F.col("_quota"))
         .select(*[quoted(c) for c in df.columns], out)
     )

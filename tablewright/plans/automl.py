@@ -73,26 +73,32 @@ class TrainingControls:
             raise TrainingError("test_size must lie between 0 and 0.9.")
 
 
-def resolve_metric(task: str, metric: str | None) -> str:
-    """The primary metric of a request, or the task's default."""
-    if task not in TASKS:
-        raise TrainingError(f"Task {task!r} is not supported.")
-    if metric is None:
-        return M.DEFAULT_METRIC[task]
-    if metric not in M.PRIMARY_METRICS[task]:
-        raise TrainingError(f"Invalid metric {metric!r}; choose from {M.PRIMARY_METRICS[task]}.")
-    return metric
-
-
-def resolve_algorithms(task: str, keys: list[str] | None) -> list[str]:
-    """The algorithms of a request, or all those for the task."""
-    allowed = available_keys(task)
-    if not keys:
-        return allowed
-    unknown = [k for k in keys if k not in allowed]
-    if unknown:
-        raise TrainingError(f"Unsupported algorithms for {task}: {unknown}; choose from {allowed}.")
-    return list(keys)
+@dataclass(frozen=True)
+class Request:
+    """What is to be trained: a checked task with its algorithms and the metric that ranks them."""
+
+    task: str
+    algorithms: tuple[str, ...]
+    metric: str
+
+
+def checked_request(task: str, algorithms: list[str] | None = None, metric: str | None = None) -> Request:
+    """A request with defaults filled in: every algorithm of the task, and its usual metric.
+
+    All faults are gathered and raised together.
+    """
+    known, ranked = available_keys(task), M.PRIMARY_METRICS.get(task, ())
+    wanted = tuple(algorithms or known)
+    chosen = metric or M.DEFAULT_METRIC.get(task)
+    faults = {
+        f"no such task: {task}": task not in TASKS,
+        f"not trainable for {task}: {', '.join(sorted(set(wanted) - set(known)))}": not set(wanted) <= set(known),
+        f"{chosen} does not rank {task}": chosen not in ranked,
+    }
+    found = [text for text, wrong in faults.items() if wrong]
+    if found:
+        raise TrainingError("; ".join(found))
+    return Request(task, wanted, chosen)
 
 
 def scored_frame(model: Any, vectors: DataFrame, classes: bool) -> DataFrame:
@@ -245,7 +251,7 @@ def tune(
     for fold in range(folds):
         part = parted.filter(F.col("fold") != fold).drop("fold", *drop)
         rest = parted.filter(F.col("fold") == fold).drop("fold", *drop)
-        fitted = fit_features(part, config, LABEL)
+        fitted = fit_features(part, config, LABEL, task)
         n = part.count()
         inside = vectors(fitted, part, n).persist(StorageLevel.MEMORY_AND_DISK)
         outside = vectors(fitted, rest, n).persist(StorageLevel.MEMORY_AND_DISK)
@@ -327,15 +333,15 @@ def run_experiment(
     controls.validate()
     config = config or FeatureConfig()
     config.validate()
-    metric = resolve_metric(task, metric)
-    keys = resolve_algorithms(task, algorithms)
+    request = checked_request(task, algorithms, metric)
+    metric, keys = request.metric, request.algorithms
     data = prepare_data(df, target, task, config, controls, key)
     data.train = data.train.persist(StorageLevel.MEMORY_AND_DISK)
     drop = key or []
     rows, models, kept = [], {}, []
     best: FittedRun | None = None
     try:
-        fitted = fit_features(data.train.drop(*drop), data.config, LABEL)
+        fitted = fit_features(data.train.drop(*drop), data.config, LABEL, task)
         n = data.train.count()
         inside = vectors(fitted, data.train, n).persist(StorageLevel.MEMORY_AND_DISK)
         outside = vectors(fitted, data.test, n).persist(StorageLevel.MEMORY_AND_DISK)
@@ -382,7 +388,7 @@ def learning_curve(
     seed: int = 42,
 ) -> DataFrame:
     """Mean train and validation score over the folds for growing, nested training sets."""
-    metric = resolve_metric(task, metric)
+    metric = checked_request(task, [algorithm], metric).metric
     spec = get_algorithm(algorithm)
     prepared, names = prepare_target(df, target, task)
     prepared = prepared.drop(target) if target != LABEL else prepared
@@ -403,7 +409,7 @@ def learning_curve(
             part = ordered.filter(
                 F.col("_number") < F.ceil(F.col("_total") * F.lit(size))
             ).drop("_number", "_total", *drop)
-            fitted = fit_features(part, config, LABEL)
+            fitted = fit_features(part, config, LABEL, task)
             n = part.count()
             inside = vectors(fitted, part, n).persist(StorageLevel.MEMORY_AND_DISK)
             model = spec.fit(inside, Context(task, n, n_classes, seed), params or {})

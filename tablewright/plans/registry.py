@@ -102,28 +102,6 @@ class PageParams:
             raise RegistryError(f"page must be 1 or more, size 1 to {MAX_PAGE_SIZE}.")
 
 
-@dataclass(frozen=True)
-class Page:
-    """The rows of a page and where it stands."""
-
-    items: DataFrame
-    page: int
-    size: int
-    total: int
-
-    @property
-    def pages(self) -> int:
-        return (self.total + self.size - 1) // self.size
-
-    @property
-    def has_next(self) -> bool:
-        return self.page < self.pages
-
-    @property
-    def has_prev(self) -> bool:
-        return self.page > 1
-
-
 def ordered(df: DataFrame, params: PageParams, tiebreak: str = "id") -> DataFrame:
     """Sorted by the requested column, else by ``created_at``; ``tiebreak`` makes it unique."""
     name = params.sort_by if params.sort_by in df.columns else "created_at"
@@ -173,9 +151,15 @@ def _file_order(path: str) -> tuple[int, str]:
     return int(name.split("-")[1]), name
 
 
-def paged(df: DataFrame, params: PageParams, tiebreak: str = "id") -> Page:
-    """One page and the total of matching rows."""
-    return Page(page_items(df, params, tiebreak), params.page, params.size, df.count())
+def page_position(df: DataFrame, params: PageParams) -> DataFrame:
+    """One row that tells where a page stands among the matching rows: page, size, total, pages,
+    has_next, has_prev. Nothing is counted before the row is asked for."""
+    params.validate()
+    pages = F.ceil(F.col("total") / params.size)
+    return df.agg(F.count(F.lit(1)).alias("total")).select(
+        F.lit(params.page).alias("page"), F.lit(params.size).alias("size"), "total", pages.alias("pages"),
+        (pages > params.page).alias("has_next"), F.lit(params.page > 1).alias("has_prev"),
+    )
 
 
 def with_parent(child: DataFrame, parent: DataFrame, key: str, parent_key: str = "id",

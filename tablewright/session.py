@@ -27,15 +27,18 @@ def build_session(master: str | None = None, app_name: str = "tablewright", **co
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder that all executors can reach.
+    """A fresh folder that all executors can reach, below ``spark.checkpoint.dir``.
 
-    ``spark.checkpoint.dir`` of the session names the place; a temporary folder is used only for
-    sessions without one (tests on one machine).
+    A session on one machine may do without that setting and gets a temporary folder; on a
+    cluster a machine's own folder would lose rows, so the setting is demanded there.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root:
         return f"{root.rstrip('/')}/tablewright-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix="tablewright-")
+    master = spark.sparkContext.master
+    if master == "local" or master.startswith("local["):
+        return tempfile.mkdtemp(prefix="tablewright-")
+    raise RuntimeError("Set spark.checkpoint.dir to a folder that the driver and all executors share.")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

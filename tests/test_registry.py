@@ -78,9 +78,10 @@ def test_versions(spark):
 
 def test_paging(spark):
     df = spark.range(45).withColumn("created_at", F.col("id"))
-    page = R.paged(df, R.PageParams(page=3))
-    assert [r["id"] for r in page.items.collect()] == [4, 3, 2, 1, 0]
-    assert (page.total, page.pages, page.has_next, page.has_prev) == (45, 3, False, True)
+    third = R.PageParams(page=3)
+    assert [r["id"] for r in R.page_items(df, third).collect()] == [4, 3, 2, 1, 0]
+    assert tuple(R.page_position(df, third).first()) == (3, 20, 45, 3, False, True)
+    assert tuple(R.page_position(df.limit(0), R.PageParams()).first()) == (1, 20, 0, 0, False, False)
     with pytest.raises(RegistryError):
         R.page_items(df, R.PageParams(size=101))
 
