@@ -1,9 +1,9 @@
 """Exact quantiles that never hold a whole column in one task.
 
-Spark's ``percentile`` keeps every distinct value of a column in one buffer. That is used only
-for tables proven to be small. Beyond that, a sketch brackets each wanted rank, a scan counts
-what lies below and inside the bracket, and the bracket is narrowed until it holds few rows;
-the exact order statistic is then read from those.
+Spark's ``percentile`` keeps every distinct value of a column in one buffer. Here a sketch brackets
+each wanted rank, a scan counts what lies below and inside the bracket, and the bracket is narrowed
+until it holds few rows; the exact order statistics are then read from the counted values of those.
+A column of few rows is one bracket from the start.
 """
 
 from __future__ import annotations
@@ -18,7 +18,6 @@ from pyspark.sql.window import Window
 
 from tablewright.functions.scalars import quoted
 
-SMALL_TABLE_ROWS = 1_000_000
 BRACKET_ROWS = 200_000
 SKETCH_ACCURACY = 10_000
 COLUMNS_PER_SCAN = 40
@@ -50,7 +49,6 @@ def exact_quantiles(
     probabilities: list[float],
     *,
     accuracy: int | None = None,
-    n_rows: int | None = None,
 ) -> dict[str, list[float | None]]:
     """Quantiles with linear interpolation, per column; ``None`` for a column without values.
 
@@ -62,9 +60,6 @@ def exact_quantiles(
         return _one_pass(
             df, columns, probabilities, lambda c: F.percentile_approx(c, probabilities, accuracy)
         )
-    if (df.count() if n_rows is None else n_rows) <= SMALL_TABLE_ROWS:
-        shares = F.array(*[F.lit(p) for p in probabilities])
-        return _one_pass(df, columns, probabilities, lambda c: F.percentile(c, shares))
     return _by_brackets(df, columns, probabilities)
 
 
@@ -212,32 +207,34 @@ def _halve(df: DataFrame, b: _Bracket, low: float, high: float) -> None:
 
 
 def _read_off(df: DataFrame, batch: list[_Bracket]) -> dict[tuple[str, int], float]:
-    """Sort the few values inside each bracket and pick the one at the rank."""
-    near = reduce(lambda a, b: a | b, [b.holds(quoted(b.column).cast("double")) for b in batch])
-    tagged = df.filter(near).select(
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(i).alias("id"),
-                        F.lit(b.rank - b.below).cast("bigint").alias("at"),
-                        F.when(
-                            b.holds(quoted(b.column).cast("double")),
-                            quoted(b.column).cast("double"),
-                        ).alias("v"),
-                    )
-                    for i, b in enumerate(batch)
-                ]
-            )
-        ).alias("t")
-    ).select("t.*")
-    counts = tagged.filter("v is not null").groupBy("id", "at", "v").agg(F.count("*").alias("n"))
+    """Count the few values inside the brackets and pick those at the wanted ranks.
+
+    Ranks that share a bracket share its values. A value comes back only if it is at a rank.
+    """
+    places: dict[tuple, list[int]] = {}
+    for b in batch:
+        places.setdefault((b.column, b.low, b.high, b.below), []).append(b.rank - b.below)
+    brackets = list(places)
+    values = [quoted(c).cast("double") for c, *_ in brackets]
+    inside = [v.between(low, high) for v, (_, low, high, _) in zip(values, brackets, strict=True)]
+    cells = [
+        F.struct(F.lit(i).alias("id"), F.when(near, v).alias("v"))
+        for i, (v, near) in enumerate(zip(values, inside, strict=True))
+    ]
+    tagged = df.filter(reduce(lambda a, b: a | b, inside)).select(F.explode(F.array(*cells)).alias("t"))
+    counts = tagged.select("t.*").filter("v is not null").groupBy("id", "v").agg(F.count("*").alias("n"))
     upto = F.sum("n").over(Window.partitionBy("id").orderBy("v"))
+    ranks = F.array(*[F.array(*[F.lit(r).cast("bigint") for r in sorted(places[b])]) for b in brackets])
     rows = (
         counts.withColumn("upto", upto)
-        .filter(F.col("upto") > F.col("at"))
-        .groupBy("id")
-        .agg(F.min("v").alias("v"))
+        .withColumn("ranks", F.filter(
+            ranks[F.col("id")], lambda r: (r < F.col("upto")) & (r >= F.col("upto") - F.col("n"))
+        ))
+        .filter(F.size("ranks") > 0)
         .collect()
     )
-    return {(batch[r["id"]].column, batch[r["id"]].rank): r["v"] for r in rows}
+    found = {}
+    for r in rows:
+        column, _, _, below = brackets[r["id"]]
+        found.update({(column, below + rank): r["v"] for rank in r["ranks"]})
+    return found

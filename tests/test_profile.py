@@ -110,7 +110,6 @@ def test_bracket_quantiles(spark, monkeypatch):
         }
     )
     df = normalise_missing(spark.createDataFrame(frame).repartition(5))
-    monkeypatch.setattr(Q, "SMALL_TABLE_ROWS", 10)
     monkeypatch.setattr(Q, "BRACKET_ROWS", 20)
     probabilities = [0.0, 0.01, 0.25, 0.5, 0.75, 0.999, 1.0]
     found = Q.exact_quantiles(df, list(frame.columns), probabilities)
