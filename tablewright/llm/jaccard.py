@@ -11,7 +11,8 @@ the spread of both sets over hash partitions (a suffix filter that needs no orde
 overlap; what is left is verified once per pair on the whole sets. In a first turn each n-gram's
 smallest class meets the others of its list only, so that a group of thousands of near copies takes
 one comparison each. Further turns compare rows outside a list's largest component with a row of
-that, as long as this links some; at the end they meet all rows of other components.
+that, as long as this links some and more comparisons are left than a few for each posting; at the
+end they meet all rows of other components.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from tablewright.session import cut_lineage
 
 NGRAM_WORDS, PERCENT = 5, 75
 SPREAD = 64  # hash partitions of a set
-LEAST_TURNS = 3
+PAIRS_A_POSTING = 1  # comparisons at the end for each posting at the beginning
 PAIRS_A_TASK = 500
 DESCRIBED = (
     "doc_id long, n_shingles long, set_id binary, shingles binary, prefix array<long>, places array<int>, spread array<int>"
@@ -179,25 +180,33 @@ def _class_roots(sets: DataFrame, percent: int) -> DataFrame:
     lists = posted.groupBy("gram").agg(F.min("row").alias("pivot"), F.count(F.lit(1)).alias("held")).filter("held > 1")
     # postings of n-grams that several classes have; in the first turn each meets the smallest
     held = cut_lineage(join_hot(posted, lists.drop("held"), ["gram"]))
+    room = PAIRS_A_POSTING * held.count()
     tried = links = roots = None
+    last = False
     for turn in itertools.count():
         if turn == 0:
-            found = held.filter(F.col("row.set_id") != F.col("pivot.set_id") ).select("row", F.col("pivot").alias("other"))
+            found = held.filter(F.col("row.set_id") != F.col("pivot.set_id")).select("row", F.col("pivot").alias("other"))
             held = held.select("gram", "row")
         else:
             # postings whose list is not in one component yet, and its largest component
             named = held.select("gram", "row", F.col("row.set_id").alias("node"))
             named = join_hot(named, roots, ["node"], "left").select("gram", "row", F.coalesce("root", "node").alias("root"))
             counts = named.groupBy("gram", "root").agg(F.count(F.lit(1)).alias("held"))
-            open_lists = counts.groupBy("gram").agg(F.max_by("root", F.struct("held", "root")).alias("main"), F.count(F.lit(1)).alias("n"))
-            named = cut_lineage(join_hot(named, open_lists.filter("n > 1").drop("n"), ["gram"]))
+            open_lists = counts.groupBy("gram").agg(
+                F.max_by("root", F.struct("held", "root")).alias("main"), F.max("held").alias("most"), F.sum("held").alias("all")
+            ).filter(F.col("all") > F.col("most"))
+            open_lists = cut_lineage(open_lists)
+            # comparisons that are left if all outside a list's largest component meet all others
+            left = open_lists.agg(F.sum((F.col("all") - F.col("most")) * F.col("all"))).first()[0] or 0
+            last = left <= room or not linked
+            named = cut_lineage(join_hot(named, open_lists.select("gram", "main"), ["gram"]))
             held = named.select("gram", "row")
             apart = named.filter(F.col("root") != F.col("main"))
-            if linked or turn < LEAST_TURNS:  # rows outside it meet one of it, another one in each list and turn
+            if not last:  # rows outside it meet one of it, another one in each list and turn
                 drawn = F.xxhash64("gram", "row.set_id", F.lit(turn))
                 pivots = named.filter(F.col("root") == F.col("main")).groupBy("gram").agg(F.min(F.struct(drawn.alias("d"), "row")).alias("p"))
                 found = join_hot(apart, pivots, ["gram"]).select("row", F.col("p.row").alias("other"))
-            else:  # nothing links any more: what is left meets all that is in other components
+            else:  # what is left meets all that is in other components
                 others = named.select("gram", F.col("row").alias("other"), F.col("root").alias("other_root"))
                 found = join_hot(apart, others, ["gram"]).filter(F.col("root") != F.col("other_root"))
         x, y = F.col("row.set_id"), F.col("other.set_id")
@@ -207,7 +216,6 @@ def _class_roots(sets: DataFrame, percent: int) -> DataFrame:
         pairs = cut_lineage(_suffix_filter(pairs, sets, percent))
         tried = pairs if tried is None else tried.unionByName(pairs)
         more = cut_lineage(_verify(pairs, whole, percent))
-        last = turn >= LEAST_TURNS and not linked
         linked = not more.isEmpty()
         if linked or roots is None:
             links = more if roots is None else roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
