@@ -379,3 +379,31 @@ def slugs_missing_parent(spark, folder):
     """A NULL parent is a parent like any other."""
     part = table(spark, folder, "part").withColumn("p_size", F.expr("case when p_size % 5 > 0 then p_size end"))
     return _slugs(part)
+
+
+@registered(
+    "notifications_emitted",
+    """with e as (select o_custkey as id, count(*) as n, count(*) filter (where o_orderstatus = 'O') as good from orders
+                 group by 1 having count(*) filter (where o_orderstatus = 'P') = 0)
+       select c_nationkey as user_id, c_custkey as subject_id,
+         case when good > 0 then 'experiment_completed' else 'experiment_failed' end as kind,
+         case when good > 0 then c_name || ': ' || good || ' of ' || n || ' runs completed'
+              else c_name || ': all ' || n || ' runs failed' end as message
+       from customer join e on c_custkey = e.id
+       union all select c_nationkey, c_custkey, 'model_deployed', c_name || ' version ' || (c_custkey % 9) || ' is in production'
+       from customer join events on user_id = c_custkey where event_type = 'purchase'""",
+)
+def notifications(spark, folder):
+    """Ended experiments and deployed models tell their owners."""
+    customer = table(spark, folder, "customer")
+    owned = customer.select(
+        F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("owner_id"), F.col("c_name").alias("name"),
+        (F.col("c_custkey") % 9).alias("version"),
+    )
+    status = F.when(F.col("o_orderstatus") == "O", "completed").when(F.col("o_orderstatus") == "F", "failed").otherwise("running")
+    runs = table(spark, folder, "orders").select(F.col("o_custkey").alias("experiment_id"), status.alias("status"))
+    changes = table(spark, folder, "events").filter("event_type = 'purchase'").select(
+        F.col("user_id").alias("model_id"), F.lit("production").alias("stage"), F.col("ts").alias("at")
+    )
+    both = R.ended_notifications(owned, runs, F.current_timestamp()).unionByName(R.deployed_notifications(owned, changes))
+    return both.select("user_id", "subject_id", "kind", "message")

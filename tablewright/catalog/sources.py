@@ -42,6 +42,37 @@ def versioned(spark, folder):
     return first.union(store.read().agg(F.lit(store.versions()[-1]), F.count("*")))
 
 
+@registered(
+    "source_csv_quoted_line_breaks",
+    "select doc_id, text, source from documents where text not like '%' || chr(13) || '%' and text <> ''",
+)
+def csv_line_breaks(spark, folder):
+    """Texts with line breaks, quotes and commas, written as CSV and read back."""
+    path = f"{shared_folder(spark)}/documents.csv"
+    d = table(spark, folder, "documents").select("doc_id", "text", "source")
+    d = d.filter(~F.contains("text", F.lit("\r")) & (F.col("text") != ""))
+    d.write.option("header", True).option("quoteAll", True).option("escape", '"').option(
+        "ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return S.read_csv(spark, path, "doc_id bigint, text string, source string", missing=())
+
+
+@registered(
+    "source_csv_missing_markers",
+    """select event_id, case when event_id % 5 > 0 then value end as value,
+         case when event_id % 7 > 0 then event_type end as event_type from events""",
+)
+def csv_missing(spark, folder):
+    """Numbers stay numbers, though some cells say NA or null."""
+    path = f"{shared_folder(spark)}/events.csv"
+    key = F.col("event_id")
+    table(spark, folder, "events").select(
+        "event_id",
+        F.when(key % 5 > 0, F.col("value").cast("string")).when(key % 2 == 0, "NA").otherwise("null").alias("value"),
+        F.when(key % 7 > 0, F.col("event_type")).otherwise("N/A").alias("event_type"),
+    ).write.option("header", True).csv(path)
+    return S.read_csv(spark, path)
+
+
 def checksum_sql(source: str, columns: list[str]) -> str:
     digest = " || '|' || ".join(
         f"coalesce(length(cast({c} as varchar)) || ':' || cast({c} as varchar), '-')" for c in columns
@@ -51,6 +82,22 @@ def checksum_sql(source: str, columns: list[str]) -> str:
                 cast(cast('0x' || substr(md5({digest}), 16, 15) as bigint) as hugeint) as b from {source})"""
 
 
+@registered(
+    "source_version_record",
+    f"""select cast(1 as int) as version, n_rows, 4 as n_columns, checksum, 'parquet' as file_type
+        from ({checksum_sql("(select p_partkey, p_name, p_brand, p_size from part where p_size > 10)", ["p_partkey", "p_name", "p_brand", "p_size"])})
+        union all select 2, n_rows, 4, checksum, 'parquet'
+        from ({checksum_sql("part", ["p_partkey", "p_name", "p_brand", "p_size"])})""",
+)
+def version_record(spark, folder):
+    """What is recorded of each version when it is written."""
+    store = S.VersionedTable(spark, f"{shared_folder(spark)}/part")
+    part = table(spark, folder, "part").select("p_partkey", "p_name", "p_brand", "p_size")
+    store.write(part.filter("p_size > 10"))
+    store.write(part)
+    return store.records().select("version", "n_rows", "n_columns", "checksum", "file_type")
+
+
 @registered(
     "source_content_checksum", checksum_sql("documents", ["doc_id", "text", "lang", "source", "n_chars"])
 )

@@ -46,7 +46,7 @@ from tablewright.operators.split import (
 LABEL = "label"
 PARTITION_BYTES = 16 << 20
 RUN_SCHEMA = (
-    "experiment_id string, position int, algorithm string, status string, error string, "
+    "id string, artifact string, experiment_id string, position int, algorithm string, status string, error string, "
     "params map<string,string>, metrics map<string,double>, primary_metric string, "
     "primary_score double, duration_seconds double, feature_schema string, "
     "class_names array<string>"
@@ -323,9 +323,13 @@ def run_experiment(
     controls: TrainingControls | None = None,
     key: list[str] | None = None,
     experiment_id: str = "experiment",
+    artifacts: str | None = None,
 ) -> ExperimentResult:
     """Train every requested algorithm; a failing one is recorded, not raised.
 
+    With ``artifacts``, a folder, each fitted run is saved below it and its row names the place,
+    as registering it demands.
+
     The request is checked before any job runs. The best completed run has the highest score;
     the first one in list order wins ties.
     """
@@ -347,13 +351,17 @@ def run_experiment(
         outside = vectors(fitted, data.test, n).persist(StorageLevel.MEMORY_AND_DISK)
         kept += [inside, outside]
         for position, name in enumerate(keys):
+            run_id = f"{experiment_id}-{position}"
+            artifact = f"{artifacts.rstrip('/')}/{run_id}" if artifacts else None
             try:
                 run = train_one(
                     get_algorithm(name), data, task, target, metric, controls, fitted=fitted,
                     inside=inside, outside=outside, key=key,
                 )
+                if artifact:
+                    run.save(artifact)
             except Exception as exc:
-                rows.append((experiment_id, position, name, "failed", str(exc)[:2000], {}, {},
+                rows.append((run_id, None, experiment_id, position, name, "failed", str(exc), {}, {},
                              metric, None, None, None, None))
                 continue
             models[name] = run
@@ -362,7 +370,7 @@ def run_experiment(
             ):
                 best = run
             rows.append((
-                experiment_id, position, name, "completed", None,
+                run_id, artifact, experiment_id, position, name, "completed", None,
                 {k: str(v) for k, v in run.params.items()}, run.metrics, metric,
                 run.primary_score, run.duration_seconds, json.dumps(run.feature_schema),
                 run.class_names,

@@ -27,26 +27,69 @@ def detect_file_type(name: str) -> str:
     raise DataLoadError(f"Unsupported file extension for {name!r}; expected {sorted(EXTENSIONS)}.")
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
+#: Texts that stand for a missing cell.
+MISSING_MARKERS = (
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>",
+    "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+)
+NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$|^\s*[+-]?(?i:inf|infinity)\s*$"
+WHOLE = r"^\s*[+-]?\d+\s*$"
+
+
+def read_csv(
+    spark: SparkSession, path: str, schema: T.StructType | str | None = None, *,
+    multiline: bool = True, missing: tuple[str, ...] = MISSING_MARKERS,
+) -> DataFrame:
     """CSV with a header. Types are inferred (one more pass) unless a schema is given.
 
-    Dates stay text, as a plain CSV reader leaves them.
+    ``multiline`` allows line breaks inside quotes; a file is then read by one task, so large
+    files without them should be read with ``multiline=False``. ``missing`` are the texts that
+    stand for NULL. Dates stay text, as a plain CSV reader leaves them.
     """
-    reader = spark.read.option("header", True).option("multiLine", False).option("escape", '"')
+    reader = spark.read.option("header", True).option("multiLine", multiline).option("escape", '"')
+    wanted = None
     if schema is not None:
-        return reader.schema(schema).csv(path)
-    inferred = reader.option("inferSchema", True).option("preferDate", False).csv(path)
-    dated = [
-        f.name for f in inferred.schema.fields
-        if isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType))
+        wanted = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
+        texts = reader.schema(T.StructType([T.StructField(f.name, T.StringType()) for f in wanted])).csv(path)
+    else:
+        texts = reader.csv(path)
+    cells = [
+        F.when(~quoted(c).isin(*missing), quoted(c)).alias(c) if missing else quoted(c) for c in texts.columns
     ]
-    if not dated:
-        return inferred
-    kept = T.StructType(
-        [T.StructField(f.name, T.StringType() if f.name in dated else f.dataType)
-         for f in inferred.schema.fields]
-    )
-    return reader.schema(kept).csv(path)
+    texts = texts.select(*cells)
+    kinds = [f.dataType for f in wanted] if wanted is not None else _inferred_types(texts)
+    return texts.select(*[
+        F.trim(quoted(c)).try_cast(kind).alias(c) if not isinstance(kind, T.StringType) else quoted(c)
+        for c, kind in zip(texts.columns, kinds, strict=True)
+    ])
+
+
+def _inferred_types(texts: DataFrame) -> list[T.DataType]:
+    """Whole number, number, boolean or text for each text column; one aggregate over all."""
+    checks = []
+    for i, c in enumerate(texts.columns):
+        value = quoted(c)
+        whole = F.when(value.rlike(WHOLE), F.trim(value).try_cast("bigint"))
+        checks += [
+            F.count(value).alias(f"n{i}"),
+            F.count(whole).alias(f"w{i}"),
+            F.max(F.abs(whole.cast("double"))).alias(f"m{i}"),
+            F.count_if(value.rlike(NUMBER)).alias(f"d{i}"),
+            F.count_if(F.lower(F.trim(value)).isin("true", "false")).alias(f"b{i}"),
+        ]
+    row = texts.agg(*checks).first()
+
+    def kind(i: int) -> T.DataType:
+        n = row[f"n{i}"]
+        if not n:
+            return T.StringType()
+        if row[f"w{i}"] == n:
+            return T.IntegerType() if row[f"m{i}"] < 2**31 else T.LongType()
+        if row[f"d{i}"] == n:
+            return T.DoubleType()
+        return T.BooleanType() if row[f"b{i}"] == n else T.StringType()
+
+    return [kind(i) for i in range(len(texts.columns))]
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -149,13 +192,29 @@ class VersionedTable:
         return sorted(int(n[8:]) for n in names if n.startswith("version=") and n[8:].isdigit())
 
     def write(self, df: DataFrame) -> int:
-        """Store the next version; an existing one is never overwritten."""
+        """Store the next version with its record; an existing one is never overwritten."""
         if not df.columns:
             raise DataLoadError("The table has no columns.")
         number = (self.versions() or [0])[-1] + 1
-        df.write.mode("errorifexists").parquet(f"{self.path}/version={number}")
+        path = f"{self.path}/version={number}"
+        df.write.mode("errorifexists").parquet(path)
+        files = self._folder()[1]
+        size = files.getContentSummary(self.spark._jvm.org.apache.hadoop.fs.Path(path)).getLength()
+        stored = self.spark.read.parquet(path)
+        record = content_checksum(stored).select(
+            F.lit(number).alias("version"), "n_rows", F.lit(len(stored.columns)).alias("n_columns"), "checksum",
+            F.lit("parquet").alias("file_type"), F.lit(size).cast("bigint").alias("size_bytes"),
+            F.lit(json.dumps(stored.schema.jsonValue())).alias("schema"), F.current_timestamp().alias("written_at"),
+        )
+        record.coalesce(1).write.mode("append").parquet(f"{self.path}/records")
         return number
 
+    def records(self) -> DataFrame:
+        """One row a version, as it was written: rows, columns, checksum, file type, bytes, schema."""
+        if not self.versions():
+            raise DataLoadError(f"No version of {self.path} found.")
+        return self.spark.read.parquet(f"{self.path}/records")
+
     def read(self, version: int | None = None) -> DataFrame:
         """One version, the latest by default; only its folder is read."""
         known = self.versions()

@@ -9,7 +9,7 @@ from tablewright.ml.knn import NearestNeighbours
 from tablewright.operators import explain as X
 from tablewright.operators import metrics as M
 from tablewright.operators.features import FeatureConfig, fit_features
-from tablewright.plans import automl, scoring
+from tablewright.plans import automl, registry, scoring
 from tablewright.streaming.score import score_stream
 
 
@@ -236,3 +236,35 @@ def test_learning_curve(two_blobs):
         sizes=(0.5, 1.0), key=["id"],
     ).orderBy("size").collect()
     assert [r["n_rows"] for r in rows] == [15, 30] and rows[-1]["validation_score"] > 0.8
+
+
+def test_train_register_predict(spark, tmp_path):
+    """A logged run with its artifact is registered, loaded from there, and scores new rows."""
+    rows = [(i, float(i % 7), float(i % 5), int(i % 7 > 3)) for i in range(140)]
+    df = spark.createDataFrame(rows, "id int, a double, b double, y int")
+    result = automl.run_experiment(
+        df, "y", "classification", algorithms=["decision_tree", "naive_bayes"], key=["id"],
+        experiment_id="e1", artifacts=f"{tmp_path}/artifacts",
+    )
+    automl.log_runs(result.runs, f"{tmp_path}/runs")
+    runs = spark.read.parquet(f"{tmp_path}/runs")
+    best = result.runs.orderBy(F.desc("primary_score"), "position").first()
+    requests = spark.createDataFrame([(best["id"], "My model", 1.0)], "run_id string, name string, requested_at double")
+    experiments = spark.createDataFrame(
+        [("e1", 7, "classification", "y", "accuracy")],
+        "id string, project_id int, task string, target_column string, primary_metric string",
+    )
+    models = spark.createDataFrame([(7, "my-model", 4)], "project_id int, slug string, version int")
+    made = registry.register_models(requests, runs, experiments, models).first()
+    assert (made["slug"], made["version"], made["artifact"]) == ("my-model", 5, best["artifact"])
+    loaded = automl.FittedRun.load(spark, made["artifact"])
+    new = spark.createDataFrame([(1, 6.0, 0.0), (2, 1.0, 1.0)], "id int, a double, b double")
+    found = {r["id"]: r["prediction"] for r in scoring.predict(loaded, new, keep=["id"]).collect()}
+    assert {k: str(v) for k, v in found.items()} == {1: "1", 2: "0"}
+
+
+def test_request_faults_come_together():
+    with pytest.raises(TrainingError) as error:
+        automl.checked_request("classification", ["nothing"], "rmse")
+    assert "nothing" in str(error.value) and "rmse" in str(error.value)
+    assert automl.checked_request("regression").metric
