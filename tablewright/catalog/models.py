@@ -253,7 +253,7 @@ def json_records(spark, folder):
 )
 def sample(spark, folder):
     keys = table(spark, folder, "lineitem").select("l_orderkey").distinct()
-    return X.explain_sample(keys, ["l_orderkey"])
+    return X.explain_sample(keys, ["l_orderkey"], 500)
 
 
 @registered("explain_permutation_importance")

@@ -181,21 +181,22 @@ class ChartData:
 
 
 def chart_data(
-    df: DataFrame, *, bins: int = 20, key: list[str] | None = None, accuracy: int | None = None
+    df: DataFrame, *, bins: int = 20, key: list[str] | None = None, accuracy: int | None = None,
+    charted: int | None = CHARTED_FEATURES,
 ) -> ChartData:
-    """Chart data for the first 20 numeric and the first 20 categorical columns."""
+    """Chart data for the first ``charted`` numeric and categorical columns (None: all of them)."""
     df = normalise_missing(df)
     kinds = split_by_kind(df)
-    charted = kinds.numeric[:CHARTED_FEATURES]
+    numeric, categorical = kinds.numeric[:charted], kinds.categorical[:charted]
     pair = strongest_pair(df, kinds.numeric).first() if len(kinds.numeric) >= 2 else None
     return ChartData(
         missing=missing_bars(df),
         correlations=correlation_heatmap(df, kinds.numeric),
-        histograms=histograms(df, charted, bins),
-        box_plots=box_plots(df, charted, accuracy),
+        histograms=histograms(df, numeric, bins),
+        box_plots=box_plots(df, numeric, accuracy),
         categories=(
-            category_bars(df, kinds.categorical[:CHARTED_FEATURES])
-            if kinds.categorical
+            category_bars(df, categorical)
+            if categorical
             else df.sparkSession.createDataFrame(
                 [], "column string, rank int, value string, count bigint"
             )

@@ -19,7 +19,6 @@ from tablewright.operators.quantiles import exact_quantiles
 from tablewright.plans.automl import FittedRun, scored_frame
 
 # Fixed values of the reference behaviour.
-EXPLAIN_ROWS = 500
 REPEATS = 5
 SHOWN_FEATURES = 20
 
@@ -27,7 +26,7 @@ BUCKET_ROWS = 1000
 
 
 def explain_sample(
-    df: DataFrame, key: list[str], rows: int | None = EXPLAIN_ROWS, seed: int = 42
+    df: DataFrame, key: list[str], rows: int | None = None, seed: int = 42
 ) -> DataFrame:
     """The first ``rows`` rows in a seeded hash order; all rows if ``rows`` is None."""
     if rows is None:
@@ -189,7 +188,7 @@ def partial_dependence(
 
 
 def explain(
-    run: FittedRun, df: DataFrame, *, key: list[str], rows: int | None = EXPLAIN_ROWS,
+    run: FittedRun, df: DataFrame, *, key: list[str], rows: int | None = None,
     metric: str | None = None, seed: int = 42,
 ) -> dict[str, DataFrame]:
     """Permutation importance and the 20 largest Shapley importances of a (sampled) table."""

@@ -444,8 +444,16 @@ def packed_rows(df: DataFrame, weight: str = "_n") -> DataFrame:
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
-    """``n_duplicate_rows``: copies beyond the first; exact."""
-    return packed_rows(df).agg(
+    """``n_duplicate_rows``: copies beyond the first; exact.
+
+    Digests of the rows are counted first; only rows whose digest occurs again are compared as
+    they are. A digest leaves nulls out, which can only add rows to compare.
+    """
+    columns = [quoted(c) for c in df.columns]
+    digested = df.withColumn("_d1", F.xxhash64(*columns)).withColumn("_d2", F.hash(*columns))
+    seen = digested.groupBy("_d1", "_d2").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    again = digested.join(seen.select("_d1", "_d2"), ["_d1", "_d2"], "left_semi")
+    return packed_rows(again.drop("_d1", "_d2")).agg(
         F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("bigint").alias("n_duplicate_rows")
     )
 
@@ -480,22 +488,22 @@ def overview(
 ) -> DataFrame:
     """One row: shape, duplicates, size, missing cells, number of columns by kind.
 
-    Everything is read from the packed rows, in the one shuffle the duplicates need.
+    One scan for the sums, and the digests of :func:`duplicate_rows`.
     """
     kinds = kinds or split_by_kind(df, rsd)
-    weight = F.col("_n")
+    weight = F.lit(1).cast("bigint")
     none = F.lit(0).cast("bigint")
     missing = none
     for c in df.columns:
         missing = missing + F.coalesce(F.sum(F.when(quoted(c).isNull(), weight)), none)
     width = len(df.columns)
-    rows = F.coalesce(F.sum(weight), none)
-    totals = packed_rows(df).agg(
-        rows.alias("n_rows"),
-        (rows - F.count(F.lit(1))).alias("n_duplicate_rows"),
+    totals = df.agg(
+        F.count(F.lit(1)).alias("n_rows"),
         logical_bytes(df, weight).alias("memory_bytes"),
         missing.alias("missing_cells"),
     )
+    one = F.lit(1).alias("_one")  # both sides have one row
+    totals = totals.select("*", one).join(duplicate_rows(df).select("*", one), "_one")
     return totals.select(
         "n_rows",
         F.lit(width).alias("n_columns"),

@@ -363,7 +363,7 @@ def compare_models(
 def audit_entries(requests: DataFrame) -> DataFrame:
     """Access-log rows ``(method, path, forwarded_for, client, user_agent, …)`` with the action,
     the resource type, a UUID-like resource id, the client address and a bounded user agent."""
-    rest = F.substring("path", len(API_PREFIX) + 1, 1_000_000)
+    rest = F.substr("path", F.lit(len(API_PREFIX) + 1))
     parts = F.filter(F.split(rest, "/"), lambda p: p != "")
     second = F.get(parts, F.lit(1))
     forwarded = F.trim(F.get(F.split("forwarded_for", ","), F.lit(0)))
