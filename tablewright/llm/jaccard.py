@@ -6,13 +6,13 @@ are ordered by it, the rarest first (ties by hash), and a pair that is similar e
 n-gram of both prefixes (Xiao et al., PPJoin+, 2008). An n-gram estimated in one document links
 nothing, so most documents leave here: those whose prefix has no other.
 
-Classes that share a prefix n-gram are candidates. Length, the positions of the shared n-gram and
-the spread of both sets over hash partitions (a suffix filter that needs no order) bound the
-overlap; what is left is verified once per pair on the whole sets. In a first turn each n-gram's
-smallest class meets the others of its list only, so that a group of thousands of near copies takes
-one comparison each. Further turns compare rows outside a list's largest component with a row of
-that, as long as this links some and more comparisons are left than a few for each posting; at the
-end they meet all rows of other components.
+Classes that share a prefix n-gram are candidates. In a first turn each n-gram's smallest class
+meets the others of its list only, so that a group of thousands of near copies takes one
+comparison each. The Jaccard distance is a metric: what shares an n-gram shares that class, and
+sets that lie at different distances from it are not similar. Further turns compare what is outside
+a group's largest component with a row of that, as long as this links some and many comparisons
+are left; at the end it meets all rows of other components. Length, that triangle inequality,
+position and suffix filters go before; what is left is verified once per pair on the whole sets.
 """
 
 from __future__ import annotations
@@ -32,10 +32,11 @@ from tablewright.session import cut_lineage
 
 NGRAM_WORDS, PERCENT = 5, 75
 SPREAD = 64  # hash partitions of a set
-PAIRS_A_POSTING = 1  # comparisons at the end for each posting at the beginning
+PAIRS_A_MEMBER = 4  # comparisons at the end for each member of a group
+USEFUL_SHARE = 20  # a turn is worth another if it links one of so many pairs
 PAIRS_A_TASK = 500
 DESCRIBED = (
-    "doc_id long, n_shingles long, set_id binary, shingles binary, prefix array<long>, places array<int>, spread array<int>"
+    "doc_id long, n_shingles long, set_id binary, shingles binary, prefix array<long>, spread array<int>"
 )
 
 
@@ -45,14 +46,13 @@ def prefix_length(n: int, percent: int) -> int:
 
 def _describe(shape: Shape, percent: int):
     """For each document the size of its set; for one that may have a partner also the set, its
-    digest, the n-grams of its prefix that others may have, their places, and its spread over hash
-    partitions."""
+    digest, the n-grams of its prefix that others may have, and its spread over hash partitions."""
 
     def describe(left: pa.Table, right: pa.Table) -> pa.Table:
         import xxhash
 
         estimates = Estimates(right, shape)
-        out = [[] for _ in range(7)]
+        out = [[] for _ in range(6)]
         if left.num_rows:
             for ids, texts in chunks(left["doc_id"].to_pylist(), as_bytes(left["text"].combine_chunks())):
                 w = Windows.of(texts, shape)
@@ -62,7 +62,7 @@ def _describe(shape: Shape, percent: int):
                 edges = np.searchsorted(w.doc[one], np.arange(len(texts) + 1))
                 for doc, i, j in zip(ids, edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                     n = j - i
-                    row = [doc, n, None, None, None, None, None]
+                    row = [doc, n, None, None, None, None]
                     own = counts[i:j]
                     p = prefix_length(n, percent)
                     if n and int((own == 1).sum()) < p:
@@ -71,12 +71,12 @@ def _describe(shape: Shape, percent: int):
                         head = [k for k in range(p) if own[order[k]] > 1]
                         data = h.tobytes()  # sorted by hash
                         row[2:] = (
-                            xxhash.xxh3_128_digest(data), data, h[order[head]].view(np.int64).tolist(), head,
+                            xxhash.xxh3_128_digest(data), data, h[order[head]].view(np.int64).tolist(),
                             np.bincount((h & np.uint64(SPREAD - 1)).astype(np.int64), minlength=SPREAD).tolist(),
                         )
                     for column, value in zip(out, row, strict=True):
                         column.append(value)
-        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32())]
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32())]
         names = [f.split()[0] for f in DESCRIBED.split(", ")]
         return pa.table([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names)
 
@@ -88,28 +88,34 @@ def _needed(percent: int, n: Column, m: Column) -> Column:
     return F.ceil(percent * (n + m) / F.lit(100.0 + percent) - 1e-9)
 
 
-def _passes(a: str, b: str, percent: int) -> Column:
-    """The filters on two postings ``n, place`` of one n-gram: set sizes, and how many members can
-    come before and after the shared one, which is at these places of both rare-first orders."""
-    n, m, i, j = (F.col(f"{x}.{c}") for c in ("n", "place") for x in (a, b))
-    length = (100 * n >= percent * m) & (100 * m >= percent * n)
-    position = F.least(i, j) + F.least(n - i, m - j) >= _needed(percent, n, m)
-    return length & position
+def _length_filter(n: Column, m: Column, percent: int) -> Column:
+    return (100 * n >= percent * m) & (100 * m >= percent * n)
 
 
-def _suffix_filter(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Drop pairs whose members are too differently spread over hash partitions: of a partition
-    at most the smaller number is shared, whatever order members stand in."""
+def _pair_filters(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Drop pairs ``a, b`` that cannot overlap enough, by what is known without their sets.
+
+    Position: of the members up to the end of the prefix that ends first all shared ones are in
+    both prefixes, and what follows is at most the rest of that set. Suffix: of a hash partition
+    at most the smaller number of members is shared.
+    """
     for side in ("a", "b"):
-        own = sets.select(F.col("set_id").alias(side), F.col("n_shingles").alias(f"n_{side}"), F.col("spread").alias(f"s_{side}"))
+        own = sets.select(
+            F.col("set_id").alias(side), F.col("n_shingles").alias(f"n_{side}"), F.col("prefix").alias(f"p_{side}"),
+            F.col("spread").alias(f"s_{side}"),
+        )
         pairs = join_hot(pairs, own, [side])
+    rest = [F.floor(F.col(f"n_{x}") * percent / F.lit(100.0) + 1e-9) for x in ("a", "b")]
+    need = _needed(percent, F.col("n_a"), F.col("n_b"))
+    position = F.size(F.array_intersect("p_a", "p_b")) + F.greatest(*rest) >= need
     alike = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    return pairs.filter(alike >= _needed(percent, F.col("n_a"), F.col("n_b"))).select("a", "b")
+    return pairs.filter(position & (alike >= need)).select("a", "b")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``a, b`` of the pairs whose sets are similar enough. The set of ``a`` goes once to each
-    task with pairs of it; these are at most some hundreds."""
+    """``a, b, distance, linked`` of the pairs: one minus their Jaccard index, and whether they are
+    similar enough. The set of ``a`` goes once to each task with pairs of it; these are at most
+    some hundreds."""
     sizes = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
     salted = join_hot(pairs, sizes, ["a"]).withColumn("salt", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / PAIRS_A_TASK)).cast("int"))
     salted = salted.select("a", "b", "salt")
@@ -118,19 +124,24 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     right = salted.join(sets.withColumnRenamed("set_id", "b"), "b")
 
     def verify(one: pa.Table, many: pa.Table) -> pa.Table:
-        found = [], []
+        found = [], [], [], []
         if one.num_rows and many.num_rows:
             x = np.frombuffer(one["one_shingles"][0].as_py(), np.uint64)
             for k in range(many.num_rows):
                 y = np.frombuffer(many["shingles"][k].as_py(), np.uint64)
                 at = np.minimum(np.searchsorted(x, y), len(x) - 1)
                 both = int((x[at] == y).sum())
-                if 100 * both >= percent * (len(x) + len(y) - both):
-                    found[0].append(many["a"][k].as_py())
-                    found[1].append(many["b"][k].as_py())
-        return pa.table({"a": pa.array(found[0], pa.binary()), "b": pa.array(found[1], pa.binary())})
+                union = len(x) + len(y) - both
+                for column, value in zip(
+                    found, (many["a"][k].as_py(), many["b"][k].as_py(), 1 - both / union, 100 * both >= percent * union), strict=True
+                ):
+                    column.append(value)
+        kinds = (pa.binary(), pa.binary(), pa.float64(), pa.bool_())
+        return pa.table([pa.array(c, k) for c, k in zip(found, kinds, strict=True)], ["a", "b", "distance", "linked"])
 
-    return left.groupBy("one_a", "one_salt").cogroup(right.groupBy("a", "salt")).applyInArrow(verify, "a binary, b binary")
+    return left.groupBy("one_a", "one_salt").cogroup(right.groupBy("a", "salt")).applyInArrow(
+        verify, "a binary, b binary, distance double, linked boolean"
+    )
 
 
 def similar_groups(docs: DataFrame, *, words: int = NGRAM_WORDS, percent: int = PERCENT, id_col: str = "doc_id",
@@ -152,7 +163,7 @@ def similar_groups(docs: DataFrame, *, words: int = NGRAM_WORDS, percent: int =
     described = cut_lineage(described)
     some = described.filter(F.col("set_id").isNotNull())
     classes = some.groupBy("set_id").agg(F.min("doc_id").alias("least_id"), F.min("n_shingles").alias("n"))
-    whole = some.select("set_id", "shingles", "prefix", "places", "spread", "n_shingles")
+    whole = some.select("set_id", "shingles", "prefix", "spread", "n_shingles")
     # any row of a class has its set
     sets = cut_lineage(_one_of_each(whole))
     roots = _class_roots(sets, percent)
@@ -167,7 +178,7 @@ def similar_groups(docs: DataFrame, *, words: int = NGRAM_WORDS, percent: int =
 
 def _one_of_each(whole: DataFrame) -> DataFrame:
     """A row of each class, with what it has in common."""
-    value = F.struct("shingles", "prefix", "places", "spread", "n_shingles")
+    value = F.struct("shingles", "prefix", "spread", "n_shingles")
     one = whole.groupBy("set_id").agg(F.first(value).alias("v"))
     return one.select("set_id", "v.*")
 
@@ -175,53 +186,55 @@ def _one_of_each(whole: DataFrame) -> DataFrame:
 def _class_roots(sets: DataFrame, percent: int) -> DataFrame:
     """``node, root`` of the classes that link with others."""
     whole = sets.select("set_id", "shingles")
-    posted = sets.select("set_id", F.col("n_shingles").cast("int").alias("n"), F.explode(F.arrays_zip("prefix", "places")).alias("x"))
-    posted = posted.select(F.col("x.prefix").alias("gram"), F.struct("set_id", "n", F.col("x.places").alias("place")).alias("row"))
-    lists = posted.groupBy("gram").agg(F.min("row").alias("pivot"), F.count(F.lit(1)).alias("held")).filter("held > 1")
-    # postings of n-grams that several classes have; in the first turn each meets the smallest
-    held = cut_lineage(join_hot(posted, lists.drop("held"), ["gram"]))
-    room = PAIRS_A_POSTING * held.count()
-    tried = links = roots = None
-    last = False
-    for turn in itertools.count():
-        if turn == 0:
-            found = held.filter(F.col("row.set_id") != F.col("pivot.set_id")).select("row", F.col("pivot").alias("other"))
-            held = held.select("gram", "row")
-        else:
-            # postings whose list is not in one component yet, and its largest component
-            named = held.select("gram", "row", F.col("row.set_id").alias("node"))
-            named = join_hot(named, roots, ["node"], "left").select("gram", "row", F.coalesce("root", "node").alias("root"))
-            counts = named.groupBy("gram", "root").agg(F.count(F.lit(1)).alias("held"))
-            open_lists = counts.groupBy("gram").agg(
-                F.max_by("root", F.struct("held", "root")).alias("main"), F.max("held").alias("most"), F.sum("held").alias("all")
-            ).filter(F.col("all") > F.col("most"))
-            open_lists = cut_lineage(open_lists)
-            # comparisons that are left if all outside a list's largest component meet all others
-            left = open_lists.agg(F.sum((F.col("all") - F.col("most")) * F.col("all"))).first()[0] or 0
-            last = left <= room or not linked
-            named = cut_lineage(join_hot(named, open_lists.select("gram", "main"), ["gram"]))
-            held = named.select("gram", "row")
-            apart = named.filter(F.col("root") != F.col("main"))
-            if not last:  # rows outside it meet one of it, another one in each list and turn
-                drawn = F.xxhash64("gram", "row.set_id", F.lit(turn))
-                pivots = named.filter(F.col("root") == F.col("main")).groupBy("gram").agg(F.min(F.struct(drawn.alias("d"), "row")).alias("p"))
-                found = join_hot(apart, pivots, ["gram"]).select("row", F.col("p.row").alias("other"))
-            else:  # what is left meets all that is in other components
-                others = named.select("gram", F.col("row").alias("other"), F.col("root").alias("other_root"))
-                found = join_hot(apart, others, ["gram"]).filter(F.col("root") != F.col("other_root"))
-        x, y = F.col("row.set_id"), F.col("other.set_id")
-        pairs = found.filter(_passes("row", "other", percent)).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = cut_lineage(_suffix_filter(pairs, sets, percent))
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        more = cut_lineage(_verify(pairs, whole, percent))
-        linked = not more.isEmpty()
-        if linked or roots is None:
-            links = more if roots is None else roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
-            roots = components(links)
+    posted = sets.select("set_id", F.explode("prefix").alias("gram"))
+    lists = posted.groupBy("gram").agg(F.min("set_id").alias("a"), F.count(F.lit(1)).alias("held")).filter("held > 1")
+    # first turn: of each list the smallest class against the others
+    pairs = join_hot(posted.withColumnRenamed("set_id", "b"), lists.drop("held"), ["gram"]).filter("a <> b").select("a", "b").distinct()
+    scored = cut_lineage(_verify(pairs, whole, percent))
+    tried = scored.select("a", "b")
+    roots = components(scored.filter("linked").select("a", "b"))
+    # classes that share an n-gram share the smallest class of its list, and their distances from it
+    around = scored.select(F.col("a").alias("pivot"), F.col("b").alias("node"), "distance")
+    own = scored.select(F.col("a").alias("pivot"), F.col("a").alias("node"), F.lit(0.0).alias("distance")).distinct()
+    sizes = sets.select(F.col("set_id").alias("node"), F.col("n_shingles").alias("n"))
+    around = cut_lineage(around.unionByName(own).join(sizes, "node"))
+    room = PAIRS_A_MEMBER * around.count()
+    useful = True
+    for turn in itertools.count(1):
+        named = join_hot(around, roots, ["node"], "left").withColumn("root", F.coalesce("root", "node"))
+        counts = named.groupBy("pivot", "root").agg(F.count(F.lit(1)).alias("held"))
+        groups = counts.groupBy("pivot").agg(
+            F.max_by("root", F.struct("held", "root")).alias("main"), F.max("held").alias("most"), F.sum("held").alias("all")
+        ).filter(F.col("all") > F.col("most"))
+        groups = cut_lineage(groups)
+        # comparisons that are left if all outside a group's largest component meet all others
+        left = groups.agg(F.sum((F.col("all") - F.col("most")) * F.col("all"))).first()[0] or 0
+        last = left <= room or not useful
+        named = cut_lineage(join_hot(named, groups.select("pivot", "main"), ["pivot"]))
+        around = named.select("node", "pivot", "distance", "n")
+        apart = named.filter(F.col("root") != F.col("main")).select(
+            "pivot", F.col("node").alias("x"), F.col("distance").alias("dx"), F.col("n").alias("nx"), F.col("root").alias("rx")
+        )
+        if last:  # what is left meets all that is in other components
+            others = named
+        else:  # rows outside it meet one of it, another one in each turn
+            drawn = F.struct(F.xxhash64("pivot", "node", F.lit(turn)).alias("h"), "node", "distance", "n", "root")
+            one = named.filter(F.col("root") == F.col("main")).groupBy("pivot").agg(F.min(drawn).alias("v"))
+            others = one.select("pivot", "v.node", "v.distance", "v.n", "v.root")
+        # by the triangle inequality similar sets are about as far from the pivot
+        near = F.abs(F.col("dx") - F.col("distance")) <= 1 - percent / 100 + 1e-9
+        wanted = (F.col("rx") != F.col("root")) & near & _length_filter(F.col("nx"), F.col("n"), percent)
+        found = join_hot(apart, others, ["pivot"]).filter(wanted)
+        pairs = found.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
+        pairs = cut_lineage(_pair_filters(pairs.join(tried, ["a", "b"], "left_anti"), sets, percent))
+        tried = tried.unionByName(pairs)
+        more = cut_lineage(_verify(pairs, whole, percent).filter("linked").select("a", "b"))
+        n_more = more.count()
+        if n_more:
+            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
         if last:
             return roots
+        useful = USEFUL_SHARE * n_more >= pairs.count() and n_more > 0
 
 
 def drop_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
