@@ -5,11 +5,12 @@ import os
 import pytest
 
 import __spark_entry__ as entry_points
+from tablewright.catalog import load_catalog
+from tablewright.catalog.base import ORACLES, QUERIES
 from tests.oracle import compare, connect
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-ORACLES = entry_points.oracle_sql()
-QUERIES = entry_points.queries()
+load_catalog()  # the queries of the optional subpackage have tests of their own
 # model queries without SQL are slow; the model tests cover their code on small frames
 WITHOUT_SQL = [n for n in QUERIES if n not in ORACLES and not n.startswith(("model_", "automl_"))]
 
@@ -36,4 +37,5 @@ def test_entry(spark):
 
 
 def test_names_agree():
-    assert set(ORACLES) <= set(QUERIES)
+    assert set(entry_points.oracle_sql()) <= set(entry_points.queries())
+    assert set(QUERIES) <= set(entry_points.queries())
