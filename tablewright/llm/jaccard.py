@@ -32,7 +32,7 @@ from tablewright.session import cut_lineage
 
 NGRAM_WORDS, PERCENT = 5, 75
 SPREAD = 64  # hash partitions of a set
-PAIRS_A_MEMBER = 4  # comparisons at the end for each member of a group
+PAIRS_A_MEMBER = 16  # comparisons at the end for each member of a group
 USEFUL_SHARE = 20  # a turn is worth another if it links one of so many pairs
 PAIRS_A_TASK = 500
 DESCRIBED = (
