@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.llm.exact_dedup import drop_exact_copies
-from tablewright.llm.jaccard import drop_similar
+from tablewright.llm.jaccard import drop_near_copies
 from tablewright.llm.language import drop_unidentified
 from tablewright.llm.mixing import take_mix
 from tablewright.llm.packing import pack_documents
@@ -33,8 +33,8 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by a similarity of 0.75 over five words stays: that of the
-    smallest id."""
-    return drop_similar(docs)
+    smallest id, null ids last; rows are told apart by id and text."""
+    return drop_near_copies(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

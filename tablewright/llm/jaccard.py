@@ -17,6 +17,7 @@ position and suffix filters go before; what is left is verified once per pair on
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 
 import numpy as np
@@ -36,7 +37,7 @@ PAIRS_A_MEMBER = 16  # comparisons at the end for each member of a group
 USEFUL_SHARE = 20  # a turn is worth another if it links one of so many pairs
 PAIRS_A_TASK = 500
 DESCRIBED = (
-    "doc_id long, n_shingles long, set_id binary, shingles binary, prefix array<long>, spread array<int>"
+    "doc_id long, n_shingles long, set_id binary, shingles binary, prefix array<long>, spread array<int>, text_sha256 binary"
 )
 
 
@@ -44,15 +45,16 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-n * percent // 100) + 1
 
 
-def _describe(shape: Shape, percent: int):
+def _describe(shape: Shape, percent: int, digests: bool):
     """For each document the size of its set; for one that may have a partner also the set, its
-    digest, the n-grams of its prefix that others may have, and its spread over hash partitions."""
+    digest, the n-grams of its prefix that others may have, its spread over hash partitions and,
+    with ``digests``, the digest of its text."""
 
     def describe(left: pa.Table, right: pa.Table) -> pa.Table:
         import xxhash
 
         estimates = Estimates(right, shape)
-        out = [[] for _ in range(6)]
+        out = [[] for _ in range(7)]
         if left.num_rows:
             for ids, texts in chunks(left["doc_id"].to_pylist(), as_bytes(left["text"].combine_chunks())):
                 w = Windows.of(texts, shape)
@@ -60,9 +62,9 @@ def _describe(shape: Shape, percent: int):
                 hashes = tuple(h[one] for h in w.hashes)
                 counts = estimates.counts(hashes)
                 edges = np.searchsorted(w.doc[one], np.arange(len(texts) + 1))
-                for doc, i, j in zip(ids, edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                for doc, text, i, j in zip(ids, texts, edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                     n = j - i
-                    row = [doc, n, None, None, None, None]
+                    row = [doc, n, None, None, None, None, None]
                     own = counts[i:j]
                     p = prefix_length(n, percent)
                     if n and int((own == 1).sum()) < p:
@@ -73,10 +75,11 @@ def _describe(shape: Shape, percent: int):
                         row[2:] = (
                             xxhash.xxh3_128_digest(data), data, h[order[head]].view(np.int64).tolist(),
                             np.bincount((h & np.uint64(SPREAD - 1)).astype(np.int64), minlength=SPREAD).tolist(),
+                            hashlib.sha256(text).digest() if digests else None,
                         )
                     for column, value in zip(out, row, strict=True):
                         column.append(value)
-        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
         names = [f.split()[0] for f in DESCRIBED.split(", ")]
         return pa.table([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names)
 
@@ -154,26 +157,38 @@ def similar_groups(docs: DataFrame, *, words: int = NGRAM_WORDS, percent: int =
     (null, empty, white space) link with nothing; a null id is linked like others, but names a
     component only if no row there has an id. Repeated rows are in one component.
     """
+    described, roots = _described_and_roots(docs, words, percent, id_col, text_col, bucket_bytes, False)
+    some = described.filter(F.col("set_id").isNotNull())
+    classes = some.groupBy("set_id").agg(F.min("doc_id").alias("least_id"), F.min("n_shingles").alias("n"))
+    classes = _rooted(classes, roots)
+    least = classes.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    named = join_hot(classes, least, ["root"]).select("set_id", "component_id")
+    found = join_hot(some.select("set_id", "doc_id", "n_shingles"), named, ["set_id"]).drop("set_id")
+    rest = described.filter(F.col("set_id").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return found.select(*rest.columns).unionByName(rest)
+
+
+def _described_and_roots(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str, bucket_bytes: int,
+                         digests: bool) -> tuple[DataFrame, DataFrame]:
+    """What ``_describe`` tells of every row, and ``node, root`` of the classes that link."""
     rows = select_texts(docs, id_col, text_col)
     rows = rows.withColumn("doc_id", F.col("doc_id").cast("long"))
     shape = shape_for(rows, words, lower=True, short=True, bucket_bytes=bucket_bytes)
     dealt = bucketed(rows, shape)
     shared = shared_cells(dealt, shape)
-    described = dealt.groupBy("bucket").cogroup(shared.groupBy("bucket")).applyInArrow(_describe(shape, percent), DESCRIBED)
+    described = dealt.groupBy("bucket").cogroup(shared.groupBy("bucket")).applyInArrow(_describe(shape, percent, digests), DESCRIBED)
     described = cut_lineage(described)
     some = described.filter(F.col("set_id").isNotNull())
-    classes = some.groupBy("set_id").agg(F.min("doc_id").alias("least_id"), F.min("n_shingles").alias("n"))
     whole = some.select("set_id", "shingles", "prefix", "spread", "n_shingles")
     # any row of a class has its set
     sets = cut_lineage(_one_of_each(whole))
-    roots = _class_roots(sets, percent)
+    return described, _class_roots(sets, percent)
+
+
+def _rooted(classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """``classes`` with their root: their own ``set_id`` if they link with no other."""
     classes = classes.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left")
-    classes = classes.withColumn("root", F.coalesce("root", "set_id"))
-    least = classes.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = join_hot(classes, least, ["root"]).select("set_id", "component_id")
-    found = join_hot(some.select("set_id", "doc_id", "n_shingles"), named, ["set_id"]).drop("set_id")
-    rest = described.filter(F.col("set_id").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return found.select(*rest.columns).unionByName(rest)
+    return classes.withColumn("root", F.coalesce("root", "set_id"))
 
 
 def _one_of_each(whole: DataFrame) -> DataFrame:
@@ -237,9 +252,46 @@ def _class_roots(sets: DataFrame, percent: int) -> DataFrame:
         useful = USEFUL_SHARE * n_more >= pairs.count() and n_more > 0
 
 
+def drop_near_copies(docs: DataFrame, *, words: int = NGRAM_WORDS, percent: int = PERCENT, id_col: str = "doc_id",
+                     text_col: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """``docs`` with exactly one row of each component of ``similar_groups``, all columns as they
+    were: that of the smallest id (a null id comes last), then of the smallest digest of the text.
+
+    Rows are told apart by id and text: a null id is no shelter for copies, and texts that only
+    share an id do not drop each other. Of rows alike in both, the smallest by the other columns
+    stays. Rows without words link with nothing and all stay, repeated ones too.
+    """
+    described, roots = _described_and_roots(docs, words, percent, id_col, text_col, bucket_bytes, True)
+    some = described.filter(F.col("set_id").isNotNull()).select(
+        "set_id", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_sha256").alias("place")
+    )
+    # one row for each id and text, with its copies
+    each = some.groupBy("set_id", "place").agg(F.count(F.lit(1)).alias("copies"))
+    classes = _rooted(each.groupBy("set_id").agg(F.min("place").alias("best"), F.sum("copies").alias("held")), roots)
+    best = classes.groupBy("root").agg(F.min("best").alias("best"), F.sum("held").alias("held")).filter("held > 1")
+    named = join_hot(classes.select("set_id", "root"), best, ["root"]).select("set_id", "best")
+    met = join_hot(each, named, ["set_id"]).withColumn("kept", F.col("place") == F.col("best"))
+    met = cut_lineage(met.filter("not kept or copies > 1").select(
+        F.col("place.doc_id").alias("_id"), F.col("place.text_sha256").alias("_sha"), "kept"
+    ))
+    held = docs.withColumn("_digest", F.unhex(F.sha2(docs[text_col], 256)))
+    same = held[id_col].cast("long").eqNullSafe(met["_id"]) & (held["_digest"] == met["_sha"])
+    found = held.join(met, same, "left_anti").drop("_digest")
+    twice = met.filter("kept")
+    if twice.isEmpty():
+        return found
+    alike = held.join(twice, same, "left_semi")
+    one = alike.groupBy(F.col(id_col).alias("_i"), F.col("_digest").alias("_d")).agg(
+        F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("_v")
+    )
+    return found.unionByName(one.select("_v.*"))
+
+
 def drop_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """``docs`` with one row of each component, all columns as they were: the row of the smallest
-    id; of rows that share that id one stays. Rows without an id cannot be named and all stay."""
+    id; of rows that share that id one stays. Rows without an id cannot be named and all stay.
+
+    For tables whose ids are unique and not null; the pipeline uses ``drop_near_copies``."""
     keep = similar_groups(docs, id_col=id_col, text_col=text_col, **how)
     ids = keep.filter(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("_id"))
     ids = cut_lineage(ids.agg(F.count(F.lit(1)).alias("_rows")))

@@ -323,6 +323,32 @@ def test_jaccard_repeated(spark, doubled):
     )
 
 
+def test_near_copies_by_id_and_text(spark):
+    """Null ids, unlinked texts of one id, and one near copy of two rows of an id, in the stage."""
+    from corpus_pipeline import near_dedup_stage
+
+    other = " ".join(f"o{i}" for i in range(60))
+    third = " ".join(f"t{i}" for i in range(60))
+    fourth = " ".join(f"f{i}" for i in range(60))
+    data = [
+        (None, other), (None, other + " a"), (None, other + " b"), (None, other),  # only null ids: one stays
+        (3, SENTENCE), (None, SENTENCE), (None, SENTENCE + " end"),  # null ids beside an id: the id stays
+        (2, "two words"), (2, "other words"),  # unlinked texts of one id: both stay
+        (5, third), (6, third + " x"), (6, fourth),  # one row of id 6 is a copy: only that one goes
+        (7, "alone here"), (7, "alone here"),  # alike in id and text: one stays
+        (None, None), (None, None), (8, ""), (8, ""),  # no words: all stay
+    ]
+    docs = frame(spark, [(d, t, "en", "s") for d, t in data])
+    kept = near_dedup_stage(spark, docs, "")
+    assert kept.columns == docs.columns
+    got = rows(kept, "doc_id", "text")
+    first = [r for r in got if r[0] is None and r[1]]
+    assert len(first) == 1 and first[0][1].startswith(other)
+    rest = [(3, SENTENCE), (2, "two words"), (2, "other words"), (5, third), (6, fourth), (7, "alone here"),
+            (None, None), (None, None), (8, ""), (8, "")]
+    assert sorted(set(got) - set(first), key=str) == sorted(set(rest), key=str) and len(got) == len(rest) + 1
+
+
 def test_components(spark):
     links = [(5, 4), (4, 3), (3, 2), (9, 8), (2, 9), (20, 21), (21, 22), (30, 30)]
     got = components.components(spark.createDataFrame(links, "a long, b long"))
