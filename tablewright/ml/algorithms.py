@@ -24,6 +24,7 @@ from pyspark.ml.classification import (
     NaiveBayes,
     RandomForestClassifier,
 )
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import (
     DecisionTreeRegressor,
     GBTRegressor,
@@ -38,6 +39,7 @@ from tablewright.ml.knn import NearestNeighbours
 from tablewright.ml.stages import (
     ClassPositions,
     DropColumns,
+    ForestMean,
     FourierFeatures,
     MarginVector,
     OneVsRestVote,
@@ -47,10 +49,13 @@ from tablewright.ml.stages import (
 CLASSIFICATION, REGRESSION = "classification", "regression"
 TASKS = (CLASSIFICATION, REGRESSION)
 
-# Trees grow level by level on the cluster, so their depth needs a bound.
-DEFAULT_DEPTH = 10
+# Spark's own bound: trees grow until their leaves are pure or no split gains.
+DEFAULT_DEPTH = 30
 DEFAULT_TREES = 100
+# Extra trees: so many trees share a set of thresholds, drawn anew for the next ones.
+TREES_A_DRAW = 10
 CUTS_PER_FEATURE = 16
+QUANTILE_CELLS = 128
 FOURIER_FEATURES = 256
 
 
@@ -182,43 +187,80 @@ def _element_ranges(df: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return s["min"].toArray(), s["max"].toArray(), s["variance"].toArray()
 
 
+def _element_cells(df: DataFrame) -> list[np.ndarray]:
+    """Of every vector element the distinct borders of its quantile cells, from minimum to maximum."""
+    low, high, _ = _element_ranges(df)
+    steps = [k / QUANTILE_CELLS for k in range(1, QUANTILE_CELLS)]
+    values = df.select(F.posexplode(vector_to_array("features")).alias("i", "x"))
+    found = values.groupBy("i").agg(F.percentile_approx("x", steps).alias("q")).collect()
+    inner = {r["i"]: r["q"] for r in found}
+    return [np.unique([low[i], *inner.get(i, []), high[i]]) for i in range(len(low))]
+
+
+def _drawn_cuts(cells: list[np.ndarray], rng: np.random.Generator) -> tuple[list[int], list[float]]:
+    """Elements and thresholds: of each element that varies, cells spread over all of its cells from
+    a random start, and a uniform threshold inside each."""
+    elements, thresholds = [], []
+    for i, borders in enumerate(cells):
+        n = len(borders) - 1
+        if n < 1:
+            continue
+        places = ((np.arange(CUTS_PER_FEATURE) + rng.uniform(size=CUTS_PER_FEATURE)) * n / CUTS_PER_FEATURE).astype(int)
+        elements += [i] * CUTS_PER_FEATURE
+        thresholds += rng.uniform(borders[places], borders[places + 1]).tolist()
+    return (elements, thresholds) if elements else ([0], [0.0])
+
+
 def _fit_extra_trees(df, context, params):
     """A forest without bootstrap that may split only at randomly drawn thresholds.
 
     Every feature is replaced by flags "value > random threshold"; each node draws a few flags,
-    that is, a few features with one random cut each, and takes the best. All trees grow in one
-    level-wise fit.
+    that is, a few features with one random cut each, and takes the best. ``TREES_A_DRAW`` trees
+    grow in one level-wise fit on one set of thresholds; the next ones have another set.
+    Thresholds lie in quantile cells, so that a long tail does not draw them away from the rows.
     """
-    low, high, _ = _element_ranges(df)
+    trees = int(params.get("n_estimators", DEFAULT_TREES))
     rng = np.random.default_rng(context.seed)
-    elements, thresholds = [], []
-    for i in np.flatnonzero(high > low):
-        for cut in rng.uniform(low[i], high[i], CUTS_PER_FEATURE):
-            elements.append(int(i))
-            thresholds.append(float(cut))
-    if not elements:
-        elements, thresholds = [0], [0.0]
-    width = max(1, len(elements) // CUTS_PER_FEATURE)
-    drawn = {
-        "sqrt": max(1, round(math.sqrt(width))),
-        "log2": max(1, round(math.log2(width))) if width > 1 else 1,
-        "all": width,
-    }[params.get("max_features", "sqrt" if context.classes else "all")]
-    flags = ThresholdFlags(
-        inputCol="features", outputCol="_flags", elements=elements, thresholds=thresholds
-    )
     kind = RandomForestClassifier if context.classes else RandomForestRegressor
-    forest = kind(
-        featuresCol="_flags",
-        numTrees=int(params.get("n_estimators", DEFAULT_TREES)),
-        featureSubsetStrategy=str(min(drawn, len(elements))),
-        bootstrap=False,
-        maxBins=2,
-        seed=context.seed,
-        **_tree_settings(params),
-    )
-    model = forest.fit(flags.transform(df))
-    return PipelineModel([flags, model, DropColumns(inputCols=["_flags"])])
+    held = df.is_cached
+    frame = df if held else df.select("features", "label").persist(StorageLevel.MEMORY_AND_DISK)
+    stages, outputs, weights = [], [], []
+    try:
+        cells = _element_cells(frame)
+        for k, start in enumerate(range(0, trees, TREES_A_DRAW)):
+            elements, thresholds = _drawn_cuts(cells, rng)
+            width = max(1, len(elements) // CUTS_PER_FEATURE)
+            drawn = {
+                "sqrt": max(1, round(math.sqrt(width))),
+                "log2": max(1, round(math.log2(width))) if width > 1 else 1,
+                "all": width,
+            }[params.get("max_features", "sqrt" if context.classes else "all")]
+            flags = ThresholdFlags(
+                inputCol="features", outputCol="_flags", elements=elements, thresholds=thresholds
+            )
+            size = min(TREES_A_DRAW, trees - start)
+            forest = kind(
+                featuresCol="_flags",
+                predictionCol=f"_c{k}",
+                numTrees=size,
+                featureSubsetStrategy=str(min(drawn, len(elements))),
+                bootstrap=False,
+                maxBins=2,
+                seed=context.seed + k,
+                **_tree_settings(params),
+            )
+            if context.classes:
+                forest = forest.setProbabilityCol(f"_p{k}").setRawPredictionCol(f"_r{k}")
+            model = forest.fit(flags.transform(frame))
+            gone = ["_flags", *([f"_c{k}", f"_r{k}"] if context.classes else [])]
+            stages += [flags, model, DropColumns(inputCols=gone)]
+            outputs.append(f"_p{k}" if context.classes else f"_c{k}")
+            weights.append(float(size))
+    finally:
+        if not held:
+            frame.unpersist()
+    mean = ForestMean(inputCols=outputs, weights=weights, classes=int(context.classes))
+    return PipelineModel([*stages, mean, DropColumns(inputCols=outputs)])
 
 
 def _one_vs_rest(df, context, fit_binary):

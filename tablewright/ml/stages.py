@@ -106,6 +106,38 @@ class OneVsRestVote(_Stage, HasInputCols):
         return df.withColumn("probability", array_to_vector(share)).withColumn("prediction", best)
 
 
+def _times(factor: float):
+    return lambda x: x * factor
+
+
+class ForestMean(_Stage, HasInputCols):
+    """The mean over all trees of forests with so many trees each: of their probabilities, with the
+    largest as prediction (``classes`` 1), or of their predictions."""
+
+    weights = Param(Params._dummy(), "weights", "trees of each forest", TypeConverters.toListFloat)
+    classes = Param(Params._dummy(), "classes", "1 for classes", TypeConverters.toInt)
+
+    @keyword_only
+    def __init__(self, *, inputCols=None, weights=None, classes=None):
+        super().__init__()
+        self._set(**self._input_kwargs)
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        weights = self.getOrDefault("weights")
+        shares = [w / sum(weights) for w in weights]
+        if not self.getOrDefault("classes"):
+            parts = [F.col(c) * w for c, w in zip(self.getInputCols(), shares, strict=True)]
+            return df.withColumn("prediction", sum(parts[1:], parts[0]))
+        mean = None
+        for column, share in zip(self.getInputCols(), shares, strict=True):
+            part = F.transform(vector_to_array(column), _times(share))
+            mean = part if mean is None else F.zip_with(mean, part, lambda x, y: x + y)
+        found = df.withColumn("probability", array_to_vector(mean))
+        share = vector_to_array("probability")
+        best = (F.array_position(share, F.array_max(share)) - 1).cast("double")
+        return found.withColumn("prediction", best)
+
+
 class DropColumns(_Stage, HasInputCols):
     """Drop intermediate columns."""
 

@@ -1,11 +1,14 @@
 import numpy as np
 import pytest
+from pyspark.ml import PipelineModel
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 import tablewright.ml.knn as knn
 from tablewright.errors import ScoringError, TrainingError
 from tablewright.ml import algorithms as A
 from tablewright.ml.knn import NearestNeighbours
+from tablewright.ml.stages import ThresholdFlags
 from tablewright.operators import explain as X
 from tablewright.operators import metrics as M
 from tablewright.operators.features import FeatureConfig, fit_features
@@ -172,6 +175,34 @@ def test_regressors(spark, key):
     assert M.regression_metrics(model.transform(frame)).first()["r2"] > 0.8
 
 
+def _vectors(spark, x, y):
+    df = spark.createDataFrame([(r.tolist(), float(t)) for r, t in zip(x, y, strict=True)], "x array<double>, label double")
+    return df.select(array_to_vector("x").alias("features"), "label").coalesce(1).cache()
+
+
+@pytest.mark.parametrize("task", ["classification", "regression"])
+def test_extra_trees_on_a_long_tail(spark, tmp_path, task):
+    """Nearly all rows lie below any threshold that is uniform over the whole range."""
+    x = np.exp(np.random.default_rng(3).normal(0, 4, (300, 1)))
+    x[0] = 1e9
+    y = x[:, 0] > 1
+    frame = _vectors(spark, x, y)
+    model = A.get_algorithm("extra_trees").fit(frame, A.Context(task, 300, 2), {"n_estimators": 15, "max_depth": 5})
+    found = model.transform(frame).select("label", "prediction").collect()
+    assert np.mean([(r.prediction > 0.5) == (r.label > 0.5) for r in found]) > 0.95
+    drawn = [tuple(s.getOrDefault("thresholds")) for s in model.stages if isinstance(s, ThresholdFlags)]
+    assert len(drawn) == 2 and not set(drawn[0]) & set(drawn[1])
+    model.save(f"{tmp_path}/model")
+    assert PipelineModel.load(f"{tmp_path}/model").transform(frame).select("label", "prediction").collect() == found
+
+
+def test_trees_grow_below_ten_levels(spark):
+    """Each split takes one row from the rest: twenty in turn until all leaves are pure."""
+    frame = _vectors(spark, np.eye(40), np.arange(40) % 2)
+    model = A.get_algorithm("decision_tree").fit(frame, A.Context("classification", 40, 2), {})
+    assert model.transform(frame).filter("label <> prediction").count() == 0
+
+
 def test_three_classes_by_one_vs_rest(spark):
     rng = np.random.default_rng(4)
     centres = [(0, 3), (3, 0), (-3, -3)]
