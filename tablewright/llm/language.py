@@ -177,6 +177,17 @@ def predicted(docs: DataFrame, model: LanguageModel, text: Column) -> Column:
     return predict(text)
 
 
+def _with_letters(text: Column) -> Column:
+    """Whether a text has letters by the rule of the model (null: no)."""
+
+    @F.arrow_udf("boolean")
+    def check(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            yield pa.array([has_letters(t) for t in as_bytes(column)], pa.bool_())
+
+    return check(text)
+
+
 def is_held_out(id_col: str = "doc_id") -> Column:
     """Rows kept from learning: CRC-32 of the id as text leaves 2 when divided by 4 (null: no)."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
@@ -194,8 +205,14 @@ def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def drop_unidentified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> DataFrame:
-    """``docs`` without rows of no language: null texts and texts without letters."""
+    """``docs`` without rows of no language: null texts and texts without letters.
+
+    Without any label to learn from (all null, or only on held-out rows) no text with letters can be
+    told to be of no language, so all of these stay.
+    """
     model = fit_language_model(docs.filter(~is_held_out(id_col)), id_col=id_col, text_col=text_col, label_col=label_col)
+    if not model.labels:
+        return docs.filter(_with_letters(docs[text_col]))
     answer = predicted(docs, model, docs[text_col])
     kept = docs.withColumn("_answer", answer).filter(F.col("_answer.lang") != UNKNOWN)
     return kept.drop("_answer")

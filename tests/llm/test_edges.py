@@ -355,6 +355,19 @@ def test_components(spark):
     assert rows(got, "node", "root") == sorted([(n, 2) for n in (2, 3, 4, 5, 8, 9)] + [(n, 20) for n in (20, 21, 22)], key=str)
 
 
+def test_language_stage_without_labels(spark):
+    """No label at all, and labels on held-out rows only: clean texts stay."""
+    from corpus_pipeline import language_stage
+
+    texts = [SENTENCE, "ÀÉ «ß» 中文", None, "", "1234 5678 !!", "one more text"]
+    held = [r.id for r in spark.range(60).filter(language.is_held_out("id")).limit(6).collect()]
+    for docs in ([(i, t, None, "s") for i, t in enumerate(texts)], [(i, t, "en", "s") for i, t in zip(held, texts, strict=True)]):
+        docs = frame(spark, docs)
+        kept = language_stage(spark, docs, "")
+        assert kept.columns == docs.columns
+        assert sorted(r.text for r in kept.collect()) == sorted(t for t in texts if t and any(c.isalpha() for c in t))
+
+
 # ---- exact dedup ----
 
 
