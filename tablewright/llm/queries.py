@@ -7,11 +7,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tablewright.llm import exact_dedup, jaccard, language, mixing, packing, records, secret_scan, substring_dedup, topk, toxicity
+from tablewright.llm import (
+    conversations, exact_dedup, jaccard, language, mixing, packing, periodic, pieces, records, secret_scan,
+    substring_dedup, topk, toxicity,
+)
 from tablewright.session import shared_folder
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
+PIECE_MODEL = "piece_bpe_32k.model"
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -82,6 +86,44 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return groups.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op11_piece_agenda(spark: SparkSession, folder: str) -> DataFrame:
+    model = public_tokenizers.path(PIECE_MODEL)
+    coded = pieces.encode_pieces(_documents(spark, folder), model)
+    decoded = coded.withColumn("decoded", pieces.decode_pieces("ids", model))
+    return decoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        "agrees",
+    )
+
+
+def op12_frequency_split_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = periodic.find_runs(periodic.repeat_tails(_documents(spark, folder)))
+    line = F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n")))
+    best = found.select("*", periodic.longest_run().alias("best"))
+    length, period = F.col("best.length"), -F.col("best.p")
+    return best.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.s")).alias("start"),
+        length.alias("length"),
+        period.alias("period"),
+        F.floor(1000 * length / period).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_lightest_repair(spark: SparkSession, folder: str) -> DataFrame:
+    rows = spark.read.parquet(f"{folder}/conversations.parquet")
+    repair = conversations.repair_conversations(conversations.damage(rows))
+    return conversations.with_all_conversations(
+        repair.conversations, conversations.rows_digest(repair.rows), rows
+    )
+
+
 QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op1_token_records": op1_token_records,
@@ -94,6 +136,9 @@ QUERIES = {
     "op8_classifier_chain": op8_classifier_chain,
     "op9_rare_first_jaccard": op9_rare_first_jaccard,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_piece_agenda": op11_piece_agenda,
+    "op12_frequency_split_runs": op12_frequency_split_runs,
+    "op13_lightest_repair": op13_lightest_repair,
 }
 
 ORACLES = {

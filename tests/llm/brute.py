@@ -112,3 +112,120 @@ def jaccard_components(docs, size=5, percent=75):
                 x, y = sorted((root(a), root(b)))
                 parent[y] = x
     return sorted((d, len(s), root(d)) for d, s in sets.items())
+
+
+def periodic_runs(split):
+    """All runs (start, length, period) of a list of words, lag by lag."""
+    seen = {}
+    for q in range(1, len(split) // 4 + 1):
+        i = 0
+        while i + q < len(split):
+            j = i
+            while j + q < len(split) and split[j] == split[j + q]:
+                j += 1
+            if j - i + q >= max(6, 4 * q):
+                seen.setdefault((i, j - i + q), q)
+            i = max(j, i + 1)
+    return sorted([(s, n, q) for (s, n), q in seen.items()], key=lambda r: (r[0], r[2]))
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def periodic(docs):
+    rows = []
+    for d, t in docs:
+        w = words(t)
+        h = zlib.crc32(str(d).encode()) if d is not None else 1
+        g, n = h // 10, len(w)
+        if h % 10 == 0 and n:
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            w = [w[i] if i < a else w[a + (i - a) % p] for i in range(n)]
+        runs = periodic_runs(w)
+        gone = set()
+        for s, length, q in runs:
+            gone.update(range(s + q, s + length))
+        best = min(runs, key=lambda r: (-r[1], r[0], r[2])) if runs else (None, None, None)
+        exponent = 1000 * best[1] // best[2] if runs else None
+        rows.append((d, len(runs), *best, exponent, sha("".join(f"{s},{n},{q}\n" for s, n, q in runs)),
+                     sha(" ".join(x for i, x in enumerate(w) if i not in gone))))
+    return sorted(rows, key=str)
+
+
+def damaged(rows):
+    """rows: (conv_id, turn, role, text), None as in the table."""
+    for conv, turn, role, text in rows:
+        name = ":".join(" " if x is None else str(x) for x in (conv, turn))
+        case = zlib.crc32(name.encode()) % 20
+        role, text = (" " if x is None else x for x in (role, text))
+        role = "user" if case == 4 else role
+        text = "" if case == 1 else re.sub("[.!?]", "", text) if case == 2 else text
+        for _ in range({0: 0, 3: 2}.get(case, 1)):
+            yield conv, turn, role, text
+
+
+def classified(rows):
+    """rows: (turn, role, text) of one conversation in order, with the first fault of each."""
+    seen, out = set(), []
+    for turn, role, text in rows:
+        marks = re.findall(r"[^\x20\x09-\x0D]", text)
+        kind = "blank" if not marks else "duplicate" if (role, text) in seen else "truncated" if marks[-1] not in ".!?" else ""
+        seen.add((role, text))
+        out.append((turn, role, text, kind))
+    return out
+
+
+def cheapest_repair(rows):
+    """Least (cost, audit) with the repaired rows, by the best suffix after each row and state."""
+    names = {"u": "user", "a": "assistant"}
+    follow = {"": "su", "s": "u", "u": "a", "a": "u"}
+    best = {}
+    for i in range(len(rows), -1, -1):
+        here = {}
+        for state in follow:
+            options = []
+            if i == len(rows):
+                if state in ("", "a"):
+                    options.append((0, "", ()))
+            else:
+                _, role, text, kind = rows[i]
+                options.append(_after((4, "D", ()), best[i + 1][state]))
+                if kind in ("", "truncated"):
+                    extra = 3 if kind else 0
+                    if role[:1] and role[:1] in follow[state]:
+                        options.append(_after((extra, "K", (f"{role}:{text}",)), best[i + 1][role[0]]))
+                    for made in follow[state]:
+                        if made in names:
+                            options.append(_after((3 + extra, "R", (f"{names[made]}:{text}",)), best[i + 1][made]))
+            here[state] = options
+        for _ in range(4):  # insertions chain states of one place
+            for state, options in list(here.items()):
+                for made in follow[state]:
+                    if made in names:
+                        options.extend([_after((3, "I", (f"{names[made]}:",)), o) for o in sorted(here[made])[:1]])
+        best[i] = {state: min(options) for state, options in here.items()}
+    return best[0][""]
+
+
+def _after(first, rest):
+    return first[0] + rest[0], first[1] + rest[1], first[2] + rest[2]
+
+
+def repaired(rows):
+    """rows: (conv_id, turn, role, text) of the table, undamaged; one result for each conv_id."""
+    groups = {r[0]: [] for r in rows}
+    for conv, turn, role, text in damaged(rows):
+        groups[conv].append((turn, role, text))
+    out = []
+    for conv, found in groups.items():
+        key = lambda r: (r[0] is not None, r[0] or 0, hashlib.sha256(f"{len(r[1])}:{r[1]}{r[2]}".encode()).digest())
+        found = classified(sorted(found, key=key))
+        turns = {r[0] for r in found} - {None}
+        gaps = max(turns) - min(turns) + 1 - len(turns) if turns else 0
+        kinds = [sum(r[3] == k for r in found) for k in ("blank", "duplicate", "truncated")]
+        illegal = sum(a[1][:1] + b[1][:1] not in ("su", "ua", "au") for a, b in zip(found[:-1], found[1:], strict=True))
+        cost, audit, lines = cheapest_repair(found)
+        out.append((conv, gaps, *kinds, illegal, cost, audit, sha("\n".join(lines))))
+    return sorted(out, key=str)
