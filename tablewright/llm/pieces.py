@@ -30,7 +30,7 @@ from tablewright.llm.common import per_worker, select_texts
 
 MARK = "▁"
 #: Half of the distinct parts kept by a worker, and the longest part worth keeping.
-KEPT_PARTS = 300_000
+KEPT_PARTS = 200_000
 KEPT_LENGTH = 64
 
 
@@ -212,7 +212,7 @@ SLICE_BYTES = 2 << 20
 
 
 def slices(column: pa.Array) -> list[tuple[int, int]]:
-    """Ranges of rows with about ``SLICE_BYTES``; a longer row is a range of its own."""
+    """Ranges of rows with about ``SLICE_BYTES``, at least one; a longer row is a range of its own."""
     sizes = np.array(pc.fill_null(pc.binary_length(column), 0))
     ranges, start, held = [], 0, 0
     for i, size in enumerate(sizes.tolist()):
@@ -220,35 +220,44 @@ def slices(column: pa.Array) -> list[tuple[int, int]]:
             ranges.append((start, i))
             start, held = i, 0
         held += size
-    return [*ranges, (start, len(column))] if start < len(column) else ranges
+    return [*ranges, (start, len(column))]
 
 
-def encode_pieces(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode whole texts: ``doc_id, ids array<int>, agrees boolean``; one row for each row.
+def _joined(lists: list[bytes]) -> pa.ListArray:
+    """Lists of 32-bit integers from their bytes."""
+    ends = np.cumsum([0, *(len(x) // 4 for x in lists)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(lists), np.int32)))
+
 
-    Null and empty texts have no ids and agree. Bytes that are not UTF-8 count as U+FFFD. Repeated
-    rows, null ids and other columns, whatever their names, play no part; an empty table gives an
-    empty table. Very long texts are encoded whole, with memory in proportion to the text. There is
-    no shuffle. ``path`` must be readable on all executors.
+def encode_pieces(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Encode whole texts and decode the ids: ``doc_id, ids array<int>, decoded string, agrees boolean``,
+    one row for each row.
+
+    Null and empty texts have no ids, decode to the empty text and agree. Bytes that are not UTF-8
+    count as U+FFFD. Repeated rows, null ids and other columns, whatever their names, play no part;
+    an empty table gives an empty table. Very long texts are encoded whole, with memory in proportion
+    to the text; beside it a task holds ``SLICE_BYTES`` of text and what the worker keeps of parts.
+    There is no shuffle. ``path`` must be readable on all executors.
     """
 
-    @arrow_udf("struct<ids: array<int>, agrees: boolean>")
+    @arrow_udf("struct<ids: array<int>, decoded: string, agrees: boolean>")
     def encode(text: pa.Array) -> pa.Array:
         words = vocabulary(path)
         raw = text.cast(pa.binary())
-        coded, agree = [], []
+        parts = []
         for start, end in slices(raw):
             texts = [(t or b"").decode("utf-8", "replace") for t in raw.slice(start, end - start).to_pylist()]
             ids, same = words.encode(texts)
-            coded += ids
-            agree += same
-        ends = np.cumsum([0, *(len(c) // 4 for c in coded)]).astype(np.int32)
-        values = pa.array(np.frombuffer(b"".join(coded), np.int32))
-        lists = pa.ListArray.from_arrays(pa.array(ends), values)
-        return pa.StructArray.from_arrays([lists, pa.array(agree, pa.bool_())], ["ids", "agrees"])
+            back = [words.decode(np.frombuffer(x, np.int32).tolist()) for x in ids]
+            parts.append(
+                pa.StructArray.from_arrays(
+                    [_joined(ids), pa.array(back, pa.string()), pa.array(same, pa.bool_())], ["ids", "decoded", "agrees"]
+                )
+            )
+        return pa.concat_arrays(parts)
 
     coded = select_texts(df, id_col, text_col).select("doc_id", encode("text").alias("_coded"))
-    return coded.select("doc_id", "_coded.ids", "_coded.agrees")
+    return coded.select("doc_id", "_coded.ids", "_coded.decoded", "_coded.agrees")
 
 
 def decode_pieces(ids: Column | str, path: str) -> Column:
@@ -257,6 +266,6 @@ def decode_pieces(ids: Column | str, path: str) -> Column:
     @arrow_udf("string")
     def decode(column: pa.Array) -> pa.Array:
         words = vocabulary(path)
-        return pa.array([words.decode(x or []) for x in column.to_pylist()], pa.string())
+        return pa.array([words.decode(x.as_py() or []) for x in column], pa.string())
 
     return decode(F.col(ids) if isinstance(ids, str) else ids)

@@ -87,10 +87,8 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op11_piece_agenda(spark: SparkSession, folder: str) -> DataFrame:
-    model = public_tokenizers.path(PIECE_MODEL)
-    coded = pieces.encode_pieces(_documents(spark, folder), model)
-    decoded = coded.withColumn("decoded", pieces.decode_pieces("ids", model))
-    return decoded.select(
+    coded = pieces.encode_pieces(_documents(spark, folder), public_tokenizers.path(PIECE_MODEL))
+    return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
