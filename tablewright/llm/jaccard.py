@@ -6,19 +6,18 @@ are ordered by it, the rarest first (ties by hash), and a pair that is similar e
 n-gram of both prefixes (Xiao et al., PPJoin+, 2008). An n-gram estimated in one document links
 nothing, so most documents leave here: those whose prefix has no other.
 
-Classes that share a prefix n-gram are candidates. In a first turn each n-gram's smallest class
-meets the others of its list only, so that a group of thousands of near copies takes one
-comparison each. The Jaccard distance is a metric: what shares an n-gram shares that class, and
-sets that lie at different distances from it are not similar. Further turns compare what is outside
-a group's largest component with a row of that, as long as this links some and many comparisons
-are left; at the end it meets all rows of other components. Length, that triangle inequality,
-position and suffix filters go before; what is left is verified once per pair on the whole sets.
+Classes that share a prefix n-gram are candidates. The lists of all n-grams with the same smallest
+class are one group; its ``PIVOTS`` first members, that class and others by hash, meet all members
+whose length allows it, each pair verified once on the whole sets. A group of few is done with that. In a larger one
+nearly all near copies are now linked to one of the pivots, so that a group of thousands costs some
+comparisons each. What is still in another component than most of its group meets, by a join
+on the group, the members of other components that pass the length filter, the triangle inequality of the Jaccard
+distance to the first pivot, and the position and suffix filters; what is left is verified.
 """
 
 from __future__ import annotations
 
 import hashlib
-import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -26,16 +25,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tablewright.llm.common import as_bytes, chunks, join_hot, select_texts
+from tablewright.llm.common import as_bytes, chunks, join_hot, packed, select_texts, unpacked
 from tablewright.llm.components import components
 from tablewright.llm.sketch import BUCKET_BYTES, Estimates, Shape, Windows, bucketed, shape_for, shared_cells
 from tablewright.session import cut_lineage
 
 NGRAM_WORDS, PERCENT = 5, 75
 SPREAD = 64  # hash partitions of a set
-PAIRS_A_MEMBER = 16  # comparisons at the end for each member of a group
-USEFUL_SHARE = 20  # a turn is worth another if it links one of so many pairs
-PAIRS_A_TASK = 500
+PIVOTS = 16  # members of a group that meet all others
+MEMBERS_A_TASK = 500
 DESCRIBED = (
     "doc_id long, n_shingles long, set_id binary, shingles binary, prefix array<long>, spread array<int>, text_sha256 binary"
 )
@@ -116,33 +114,43 @@ def _pair_filters(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``a, b, distance, linked`` of the pairs: one minus their Jaccard index, and whether they are
-    similar enough. The set of ``a`` goes once to each task with pairs of it; these are at most
-    some hundreds."""
-    sizes = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
-    salted = join_hot(pairs, sizes, ["a"]).withColumn("salt", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / PAIRS_A_TASK)).cast("int"))
-    salted = salted.select("a", "b", "salt")
-    left = salted.select("a", "salt").distinct().join(sets.withColumnRenamed("set_id", "a"), "a")
-    left = left.select(*[F.col(c).alias(f"one_{c}") for c in left.columns])
-    right = salted.join(sets.withColumnRenamed("set_id", "b"), "b")
-
-    def verify(one: pa.Table, many: pa.Table) -> pa.Table:
+    """``a, b, distance, linked`` of the pairs ``pivot, a, b``: one minus their Jaccard index, and whether they are
+    similar enough. The set of ``b`` goes once to a task with all its ``a`` of a pivot's group, and
+    those once to each task of the group."""
+    whole = sets.select("set_id", "shingles")
+    wanted = pairs.groupBy("pivot", "b").agg(F.collect_list("a").alias("with"))  # at most PIVOTS, or those of one join
+    counts = wanted.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"))
+    salted = join_hot(wanted, counts, ["pivot"]).withColumn(
+        "salt", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / MEMBERS_A_TASK)).cast("int")
+    )
+    salted = cut_lineage(salted.select("pivot", "salt", "b", "with"))
+    ones = salted.select("pivot", "salt", F.explode("with").alias("one")).distinct()
+    left = ones.join(whole.withColumnRenamed("set_id", "one"), "one").select(
+        F.col("pivot").alias("one_pivot"), F.col("salt").alias("one_salt"), "one", F.col("shingles").alias("one_shingles")
+    )
+    right = salted.join(whole.withColumnRenamed("set_id", "b"), "b")
+
+    def verify(some: pa.Table, many: pa.Table) -> pa.Table:
         found = [], [], [], []
-        if one.num_rows and many.num_rows:
-            x = np.frombuffer(one["one_shingles"][0].as_py(), np.uint64)
-            for k in range(many.num_rows):
-                y = np.frombuffer(many["shingles"][k].as_py(), np.uint64)
-                at = np.minimum(np.searchsorted(x, y), len(x) - 1)
-                both = int((x[at] == y).sum())
-                union = len(x) + len(y) - both
-                for column, value in zip(
-                    found, (many["a"][k].as_py(), many["b"][k].as_py(), 1 - both / union, 100 * both >= percent * union), strict=True
-                ):
+        read = lambda v: np.frombuffer(v.as_buffer(), np.uint64)
+        known = dict(zip(some["one"].to_pylist(), map(read, some["one_shingles"]), strict=True))
+        for b, ones, shingles in zip(many["b"].to_pylist(), many["with"].to_pylist(), many["shingles"], strict=True):
+            y = read(shingles)
+            for a in ones:
+                x = known[a]
+                if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)):
+                    at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+                    both = int((x[at] == y).sum())
+                    union = len(x) + len(y) - both
+                    row = a, b, 1 - both / union, 100 * both >= percent * union
+                else:
+                    row = a, b, None, False
+                for column, value in zip(found, row, strict=True):
                     column.append(value)
         kinds = (pa.binary(), pa.binary(), pa.float64(), pa.bool_())
         return pa.table([pa.array(c, k) for c, k in zip(found, kinds, strict=True)], ["a", "b", "distance", "linked"])
 
-    return left.groupBy("one_a", "one_salt").cogroup(right.groupBy("a", "salt")).applyInArrow(
+    return left.groupBy("one_pivot", "one_salt").cogroup(right.groupBy("pivot", "salt")).applyInArrow(
         verify, "a binary, b binary, distance double, linked boolean"
     )
 
@@ -198,58 +206,55 @@ def _one_of_each(whole: DataFrame) -> DataFrame:
     return one.select("set_id", "v.*")
 
 
+def _groups(sets: DataFrame) -> DataFrame:
+    """``pivot, node, place``: the members of each group, itself the first by ``place``, up to
+    ``PIVOTS``; the others have no place."""
+    posted = sets.select(F.col("set_id").alias("node"), F.explode("prefix").alias("gram"))
+    lists = posted.groupBy("gram").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("held")).filter("held > 1")
+    members = cut_lineage(join_hot(posted, lists.drop("held"), ["gram"]).select("pivot", "node").distinct())
+    order = Window.partitionBy("pivot").orderBy(F.col("node") != F.col("pivot"), F.xxhash64("pivot", "node"), "node")
+    first = members.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= PIVOTS)
+    return join_hot(members, cut_lineage(first), ["pivot", "node"], "left")
+
+
 def _class_roots(sets: DataFrame, percent: int) -> DataFrame:
     """``node, root`` of the classes that link with others."""
-    whole = sets.select("set_id", "shingles")
-    posted = sets.select("set_id", F.explode("prefix").alias("gram"))
-    lists = posted.groupBy("gram").agg(F.min("set_id").alias("a"), F.count(F.lit(1)).alias("held")).filter("held > 1")
-    # first turn: of each list the smallest class against the others
-    pairs = join_hot(posted.withColumnRenamed("set_id", "b"), lists.drop("held"), ["gram"]).filter("a <> b").select("a", "b").distinct()
-    scored = cut_lineage(_verify(pairs, whole, percent))
-    tried = scored.select("a", "b")
-    roots = components(scored.filter("linked").select("a", "b"))
-    # classes that share an n-gram share the smallest class of its list, and their distances from it
-    around = scored.select(F.col("a").alias("pivot"), F.col("b").alias("node"), "distance")
-    own = scored.select(F.col("a").alias("pivot"), F.col("a").alias("node"), F.lit(0.0).alias("distance")).distinct()
+    groups = cut_lineage(_groups(sets))
+    firsts = groups.filter("place is not null").select("pivot", F.col("node").alias("one"))
+    met = join_hot(groups, firsts, ["pivot"]).filter("node <> one")
+    # a pair of two groups, or of two pivots, is verified once
+    once = met.groupBy(F.least("one", "node").alias("x"), F.greatest("one", "node").alias("y")).agg(
+        F.min(F.struct("pivot", "one", "node")).alias("v")
+    )
+    pairs = cut_lineage(once.select("v.pivot", F.col("v.one").alias("a"), F.col("v.node").alias("b")))
+    scored = cut_lineage(_verify(pairs, sets, percent))
+    linked = scored.filter("linked").select("a", "b")
+    roots = components(linked)
+    rooted = join_hot(groups, roots, ["node"], "left").withColumn("root", F.coalesce("root", "node"))
+    counts = rooted.groupBy("pivot", "root").agg(F.count(F.lit(1)).alias("held"))
+    split = counts.groupBy("pivot").agg(
+        F.max_by("root", F.struct("held", "root")).alias("main"), F.max("held").alias("most"), F.sum("held").alias("all")
+    ).filter((F.col("all") > F.col("most")) & (F.col("all") > PIVOTS))  # a smaller group has met itself
+    split = cut_lineage(split.select("pivot", "main"))
+    if split.isEmpty():
+        return roots
+    named = join_hot(rooted, split, ["pivot"])
+    # the distance of each member from the group's first pivot, where their lengths allow a link
+    ends = scored.filter("distance is not null").select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), "distance")
+    named = named.withColumn("x", F.least("pivot", "node")).withColumn("y", F.greatest("pivot", "node"))
+    named = join_hot(named, ends, ["x", "y"], "left").withColumn("distance", F.when(F.col("pivot") == F.col("node"), 0.0).otherwise(F.col("distance")))
     sizes = sets.select(F.col("set_id").alias("node"), F.col("n_shingles").alias("n"))
-    around = cut_lineage(around.unionByName(own).join(sizes, "node"))
-    room = PAIRS_A_MEMBER * around.count()
-    useful = True
-    for turn in itertools.count(1):
-        named = join_hot(around, roots, ["node"], "left").withColumn("root", F.coalesce("root", "node"))
-        counts = named.groupBy("pivot", "root").agg(F.count(F.lit(1)).alias("held"))
-        groups = counts.groupBy("pivot").agg(
-            F.max_by("root", F.struct("held", "root")).alias("main"), F.max("held").alias("most"), F.sum("held").alias("all")
-        ).filter(F.col("all") > F.col("most"))
-        groups = cut_lineage(groups)
-        # comparisons that are left if all outside a group's largest component meet all others
-        left = groups.agg(F.sum((F.col("all") - F.col("most")) * F.col("all"))).first()[0] or 0
-        last = left <= room or not useful
-        named = cut_lineage(join_hot(named, groups.select("pivot", "main"), ["pivot"]))
-        around = named.select("node", "pivot", "distance", "n")
-        apart = named.filter(F.col("root") != F.col("main")).select(
-            "pivot", F.col("node").alias("x"), F.col("distance").alias("dx"), F.col("n").alias("nx"), F.col("root").alias("rx")
-        )
-        if last:  # what is left meets all that is in other components
-            others = named
-        else:  # rows outside it meet one of it, another one in each turn
-            drawn = F.struct(F.xxhash64("pivot", "node", F.lit(turn)).alias("h"), "node", "distance", "n", "root")
-            one = named.filter(F.col("root") == F.col("main")).groupBy("pivot").agg(F.min(drawn).alias("v"))
-            others = one.select("pivot", "v.node", "v.distance", "v.n", "v.root")
-        # by the triangle inequality similar sets are about as far from the pivot
-        near = F.abs(F.col("dx") - F.col("distance")) <= 1 - percent / 100 + 1e-9
-        wanted = (F.col("rx") != F.col("root")) & near & _length_filter(F.col("nx"), F.col("n"), percent)
-        found = join_hot(apart, others, ["pivot"]).filter(wanted)
-        pairs = found.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
-        pairs = cut_lineage(_pair_filters(pairs.join(tried, ["a", "b"], "left_anti"), sets, percent))
-        tried = tried.unionByName(pairs)
-        more = cut_lineage(_verify(pairs, whole, percent).filter("linked").select("a", "b"))
-        n_more = more.count()
-        if n_more:
-            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
-        if last:
-            return roots
-        useful = USEFUL_SHARE * n_more >= pairs.count() and n_more > 0
+    named = cut_lineage(named.join(sizes, "node").select("pivot", "node", "place", "root", "main", "distance", "n"))
+    apart = named.filter("root <> main and place is null").select("pivot", *[F.col(c).alias(f"own_{c}") for c in ("node", "root", "distance", "n")])
+    others = named.filter("place is null")
+    # by the triangle inequality similar sets are about as far from the pivot
+    near = F.coalesce(F.abs(F.col("own_distance") - F.col("distance")) <= 1 - percent / 100 + 1e-9, F.lit(True))
+    wanted = (F.col("own_root") != F.col("root")) & near & _length_filter(F.col("own_n"), F.col("n"), percent)
+    found = join_hot(apart, others, ["pivot"]).filter(wanted)
+    once = found.select(F.least("own_node", "node").alias("a"), F.greatest("own_node", "node").alias("b")).distinct()
+    left = _pair_filters(once, sets, percent).withColumn("pivot", F.col("a"))
+    more = _verify(cut_lineage(left), sets, percent).filter("linked").select("a", "b")
+    return components(linked.unionByName(more))
 
 
 def drop_near_copies(docs: DataFrame, *, words: int = NGRAM_WORDS, percent: int = PERCENT, id_col: str = "doc_id",
@@ -259,7 +264,8 @@ def drop_near_copies(docs: DataFrame, *, words: int = NGRAM_WORDS, percent: int
 
     Rows are told apart by id and text: a null id is no shelter for copies, and texts that only
     share an id do not drop each other. Of rows alike in both, the smallest by the other columns
-    stays. Rows without words link with nothing and all stay, repeated ones too.
+    stays. Rows without words link with nothing and all stay, repeated ones too. An empty table
+    stays empty; columns may have any names.
     """
     described, roots = _described_and_roots(docs, words, percent, id_col, text_col, bucket_bytes, True)
     some = described.filter(F.col("set_id").isNotNull()).select(
@@ -271,33 +277,13 @@ def drop_near_copies(docs: DataFrame, *, words: int = NGRAM_WORDS, percent: int
     best = classes.groupBy("root").agg(F.min("best").alias("best"), F.sum("held").alias("held")).filter("held > 1")
     named = join_hot(classes.select("set_id", "root"), best, ["root"]).select("set_id", "best")
     met = join_hot(each, named, ["set_id"]).withColumn("kept", F.col("place") == F.col("best"))
-    met = cut_lineage(met.filter("not kept or copies > 1").select(
-        F.col("place.doc_id").alias("_id"), F.col("place.text_sha256").alias("_sha"), "kept"
-    ))
-    held = docs.withColumn("_digest", F.unhex(F.sha2(docs[text_col], 256)))
-    same = held[id_col].cast("long").eqNullSafe(met["_id"]) & (held["_digest"] == met["_sha"])
-    found = held.join(met, same, "left_anti").drop("_digest")
+    met = cut_lineage(met.filter("not kept or copies > 1").select("place", "kept"))
+    own = docs[id_col].cast("long")
+    place = F.struct(own.isNull().alias("none"), own.alias("doc_id"), F.unhex(F.sha2(F.coalesce(docs[text_col], F.lit("")), 256)).alias("text_sha256"))
+    held = packed(docs, place.alias("place"))
+    found = held.join(met, "place", "left_anti").select("row")
     twice = met.filter("kept")
-    if twice.isEmpty():
-        return found
-    alike = held.join(twice, same, "left_semi")
-    one = alike.groupBy(F.col(id_col).alias("_i"), F.col("_digest").alias("_d")).agg(
-        F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("_v")
-    )
-    return found.unionByName(one.select("_v.*"))
-
-
-def drop_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """``docs`` with one row of each component, all columns as they were: the row of the smallest
-    id; of rows that share that id one stays. Rows without an id cannot be named and all stay.
-
-    For tables whose ids are unique and not null; the pipeline uses ``drop_near_copies``."""
-    keep = similar_groups(docs, id_col=id_col, text_col=text_col, **how)
-    ids = keep.filter(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("_id"))
-    ids = cut_lineage(ids.agg(F.count(F.lit(1)).alias("_rows")))
-    found = docs.join(ids, docs[id_col].cast("long") == ids["_id"], "left_semi")
-    if not ids.filter("_rows > 1").isEmpty():
-        order = [F.col(f"`{c}`") for c in docs.columns if c != id_col] or [F.lit(1)]
-        numbered = found.withColumn("_n", F.row_number().over(Window.partitionBy(id_col).orderBy(*order)))
-        found = numbered.filter("_n = 1").drop("_n")
-    return found.unionByName(docs.filter(docs[id_col].isNull()))
+    if not twice.isEmpty():
+        alike = held.join(twice, "place", "left_semi")
+        found = found.unionByName(alike.groupBy("place").agg(F.min("row").alias("row")).select("row"))
+    return unpacked(found)
