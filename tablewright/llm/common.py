@@ -6,6 +6,7 @@ import re
 import sys
 from array import array
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,21 @@ def select_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
+def packed(docs: DataFrame, *columns: Column) -> DataFrame:
+    """``row``, all columns of a table in one, beside the columns that an operator works with: so no
+    name of the table can meet one of the operator's."""
+    return docs.select(F.struct(*[docs[quoted_name(c)] for c in docs.columns]).alias("row"), *columns)
+
+
+def unpacked(rows: DataFrame) -> DataFrame:
+    """The columns of ``row`` as they were."""
+    return rows.select("row.*")
+
+
+def quoted_name(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -109,23 +125,40 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """The words of some documents in one buffer, with one separator between words.
-
-    ``data``: bytes; ``starts``/``ends``: of each word there; ``doc``: which document a word is of;
-    ``counts``: words of each document.
+    """The words of some documents. ``split``: those of each document; ``doc``: which document a word is
+    of; ``counts``: words of each document; ``data``: all words in one buffer, with one separator
+    between words, and ``starts``/``ends`` of each word there.
     """
 
     def __init__(self, texts: list[bytes], lower: bool = False):
         split = [(t.lower() if lower else t).split() for t in texts]  # of bytes: A-Z and ASCII space
         self.split = split
         self.counts = np.fromiter(map(len, split), np.int64, len(split))
-        joined = b" ".join([b" ".join(s) for s in split if s])
-        self.data = np.frombuffer(joined, np.uint8)
-        lengths = np.fromiter((len(w) for s in split for w in s), np.int64, int(self.counts.sum()))
-        self.starts = np.cumsum(lengths + 1) - lengths - 1
-        self.ends = self.starts + lengths
         self.doc = np.repeat(np.arange(len(split)), self.counts)
 
+    @cached_property
+    def data(self) -> np.ndarray:
+        return np.frombuffer(b" ".join([b" ".join(s) for s in self.split if s]), np.uint8)
+
+    @cached_property
+    def _lengths(self) -> np.ndarray:
+        return np.fromiter((len(w) for s in self.split for w in s), np.int64, int(self.counts.sum()))
+
+    @cached_property
+    def starts(self) -> np.ndarray:
+        return np.cumsum(self._lengths + 1) - self._lengths - 1
+
+    @cached_property
+    def ends(self) -> np.ndarray:
+        return self.starts + self._lengths
+
+    def digests(self) -> np.ndarray:
+        """Two independent 64-bit halves of a digest of each word, in two rows."""
+        import xxhash
+
+        joined = b"".join([xxhash.xxh3_128_digest(w) for s in self.split for w in s])
+        return np.ascontiguousarray(np.frombuffer(joined, np.uint64).reshape(-1, 2).T)
+
     def windows(self, size: int, short: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """First and last words of all windows of ``size`` words inside one document; with
         ``short``, a document with fewer words has one window of all its words."""
@@ -140,6 +173,31 @@ class Words:
         return first, np.minimum(first + size - 1, last_of_doc[self.doc[first]])
 
 
+def window_hashes(words: Words, first: np.ndarray, last: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of windows of at most ``size`` words.
+
+    Each is the sum of the words' digests times odd numbers drawn for their places, finished by
+    mixing. The digests, unlike the bytes of a text, are not chosen by its author, so the sum has
+    none of the clashes of polynomials modulo a power of two.
+    """
+    places = np.random.Generator(np.random.PCG64(11)).integers(1, 2**63, (2, size + 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    short = np.flatnonzero(last - first + 1 < size)
+    found = []
+    with np.errstate(over="ignore"):
+        for digest, factors in zip(words.digests(), places, strict=True):
+            n = max(0, len(digest) - size + 1)
+            total = np.zeros(len(digest), np.uint64)
+            for j in range(size):
+                total[:n] += digest[j : j + n] * factors[j]
+            own = total[first]
+            own[short] = 0
+            for j in range(size - 1):
+                inside = short[first[short] + j <= last[short]]
+                own[inside] += digest[first[inside] + j] * factors[j]
+            found.append(mixed(own + (last - first + 1).astype(np.uint64) * factors[size]))
+    return found[0], found[1]
+
+
 # ---- tokenizers --------------------------------------------------------------------------------
 
 

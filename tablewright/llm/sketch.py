@@ -22,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import RollingHash, Words, as_bytes, chunks, per_worker, shuffle_partitions
+from tablewright.llm.common import Words, as_bytes, chunks, shuffle_partitions, window_hashes
 
 ROWS = 2
 MOST = 255  # counts stop here
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 4 << 20
 BLOCK_CELLS_BITS = 22
 _BYTES_A_WINDOW = 6  # a word and its space, about
 _CELLS_A_WINDOW = 4
@@ -76,9 +76,7 @@ class Windows:
     def of(cls, texts: list[bytes], shape: Shape) -> Windows:
         words = Words(texts, shape.lower)
         first, last = words.windows(shape.size, shape.short)
-        both = per_worker(("windows",), lambda: (RollingHash(1), RollingHash(2)))
-        hashes = tuple(r.ranges(words.data, words.starts[first], words.ends[last]) for r in both)
-        return cls(words, first, last, words.doc[first], hashes)
+        return cls(words, first, last, words.doc[first], window_hashes(words, first, last, shape.size))
 
     def of_documents(self) -> np.ndarray:
         """One window for each distinct first hash of a document, in the documents' order."""
