@@ -16,9 +16,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from tablewright.llm.common import SPACE_BYTES, as_bytes, join_hot, select_texts
+from tablewright.llm.common import SPACE_BYTES, as_bytes, join_hot, packed, select_texts, unpacked
 from tablewright.session import cut_lineage
 
 AVERAGE_BITS = 11  # a cut at one of 2048 places
@@ -159,17 +158,22 @@ def _told_apart(rows: DataFrame, clash: DataFrame) -> DataFrame:
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the kept row of each group of equal texts, all its columns as they were."""
+    """``docs`` with the kept row of each group of equal texts, all its columns as they were.
+
+    Of rows alike in id, text without white space and length, the smallest by its columns stays.
+    Null and empty texts are equal; a null id comes last; an empty table stays empty; columns may
+    have any names.
+    """
     keep = cut_lineage(exact_groups(docs, id_col, text_col).filter("kept").select(
-        F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), F.col("n_chars").alias("_n"), "copies"
+        F.struct("doc_id", "text_sha256", "n_chars").alias("place"), "copies"
     ))
     text = F.coalesce(docs[text_col], F.lit(""))
     digest = F.sha2(F.translate(text, SPACE_BYTES.decode(), ""), 256)
-    held = docs.withColumn("_digest", digest).withColumn("_chars", F.length(text).cast("long"))
-    same = held[id_col].eqNullSafe(keep["_id"]) & (held["_digest"] == keep["_sha"]) & (held["_chars"] == keep["_n"])
-    found = held.join(keep, same, "left_semi")
-    if not keep.filter("copies > 1").isEmpty():  # one of the rows alike in id, text and length
-        rest = [F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col)] or [F.lit(1)]
-        order = Window.partitionBy(id_col, "_digest", "_chars").orderBy(*rest)
-        found = found.withColumn("_copy", F.row_number().over(order)).filter("_copy = 1")
-    return found.select(*[F.col(f"`{c}`") for c in docs.columns])
+    place = F.struct(docs[id_col].alias("doc_id"), digest.alias("text_sha256"), F.length(text).cast("long").alias("n_chars"))
+    held = packed(docs, place.alias("place"))
+    found = held.join(keep.filter("copies = 1"), "place", "left_semi")
+    alike = keep.filter("copies > 1")
+    if not alike.isEmpty():  # they meet as aggregates, however many they are
+        one = held.join(alike, "place", "left_semi").groupBy("place").agg(F.min("row").alias("row"))
+        found = found.unionByName(one)
+    return unpacked(found)

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tablewright.llm.common import as_bytes, chunks
+from tablewright.llm.common import as_bytes, chunks, packed, unpacked
 
 UNKNOWN = "und"
 LENGTHS = (1, 2, 3)
@@ -208,11 +208,11 @@ def drop_unidentified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """``docs`` without rows of no language: null texts and texts without letters.
 
     Without any label to learn from (all null, or only on held-out rows) no text with letters can be
-    told to be of no language, so all of these stay.
+    told to be of no language, so all of these stay. Repeated rows and null ids are rows like others,
+    an empty table stays empty, and columns may have any names.
     """
     model = fit_language_model(docs.filter(~is_held_out(id_col)), id_col=id_col, text_col=text_col, label_col=label_col)
     if not model.labels:
         return docs.filter(_with_letters(docs[text_col]))
-    answer = predicted(docs, model, docs[text_col])
-    kept = docs.withColumn("_answer", answer).filter(F.col("_answer.lang") != UNKNOWN)
-    return kept.drop("_answer")
+    answered = packed(docs, predicted(docs, model, docs[text_col]).alias("answer"))
+    return unpacked(answered.filter(F.col("answer.lang") != UNKNOWN))

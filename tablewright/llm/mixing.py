@@ -19,12 +19,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tablewright.llm.common import WORD_PATTERN, join_hot
+from tablewright.llm.common import WORD_PATTERN, join_hot, packed, unpacked
+from tablewright.operators.ordering import hash_numbered, number_copies
 from tablewright.session import cut_lineage
 
 #: Weights of the sources in their order, the mix's size and the cap of a source.
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2.0
-BLOCK_ROWS = 20_000
+BLOCK_ROWS = 4_000
 _EPS = 1e-9
 
 
@@ -136,7 +137,8 @@ def mix_sources(
     whose texts have no words has target 0. All draws are seeded by the ids, so reruns agree.
     """
     size = F.coalesce(F.regexp_count(docs[text_col], F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
-    rows = cut_lineage(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[source_col].cast("string").alias("source"), size.alias("size")))
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[source_col].cast("string").alias("source"), size.alias("size"))
+    rows = cut_lineage(number_copies(rows, "copy"))  # rows alike in all three fall into different blocks
     targets = cut_lineage(source_targets(rows.select("source", "size"), weights=weights, share=share, most=most))
     rows = rows.withColumn("known", F.col("source").isNotNull()).withColumn("source", F.coalesce("source", F.lit("")))
     targets = targets.withColumn("known", F.col("source").isNotNull()).withColumn("source", F.coalesce("source", F.lit("")))
@@ -144,7 +146,7 @@ def mix_sources(
     rate = F.when(F.col("source_size") > 0, F.round(F.col("target") / F.col("source_size"), 12)).otherwise(F.lit(0.0))
     rows = join_hot(rows, targets, ["source", "known"]).withColumn("rate", rate)
     rows = rows.withColumn("p", F.col("rate") - F.floor("rate")).withColumn("whole", F.floor("rate").cast("long"))
-    rows = rows.withColumn("place", F.xxhash64("doc_id", "size", F.lit(17))).drop("rate")
+    rows = rows.withColumn("place", F.xxhash64("doc_id", "size", "copy", F.lit(17))).drop("rate", "copy")
     # blocks of known size: one more round leaves a block_rows-th part of the undecided rows
     blocks = F.ceil(F.col("n_docs") / block_rows)
     most_docs = targets.agg(F.max("n_docs")).first()[0] or 0
@@ -171,24 +173,25 @@ def mix_sources(
 def take_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """``docs`` with each row as often as the mix takes it, columns as they were.
 
-    Rows that share id, source and size share their copies; together they are taken as often as
-    the mix takes them.
+    Rows that share id, source and size share their copies: together they are taken as often as
+    the mix takes them, and no row more than one time oftener than another. Rows without words, null
+    ids and null sources are treated as in ``mix_sources``; an empty table stays empty; columns may
+    have any names.
     """
     mixed = mix_sources(docs, id_col=id_col, text_col=text_col, source_col=source_col, **how)
-    rates = cut_lineage(mixed.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size")).agg(
-        F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows")
+    rates = cut_lineage(mixed.groupBy(F.struct("doc_id", "source", "size").alias("place")).agg(
+        F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("alike")
     ))
     size = F.coalesce(F.regexp_count(docs[text_col], F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
-    same = (
-        docs[id_col].cast("long").eqNullSafe(rates["_id"])
-        & docs[source_col].cast("string").eqNullSafe(rates["_source"]) & (size == rates["_size"])
-    )
-    found = docs.join(rates.filter("_copies > 0"), same)
-    own = F.col("_copies")
-    if not rates.filter("_rows > 1").isEmpty():  # rows alike in all three take turns
-        order = Window.partitionBy("_id", "_source", "_size").orderBy(F.xxhash64(text_col))
-        turn = F.row_number().over(order) - 1
-        own = F.floor(F.col("_copies") / F.col("_rows")) + F.when(turn < F.col("_copies") % F.col("_rows"), 1).otherwise(0)
-    taken = found.withColumn("_own", own.cast("int")).filter("_own > 0")
-    each = taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_own"))))
-    return each.select(*[F.col(f"`{c}`") for c in docs.columns])
+    place = F.struct(
+        docs[id_col].cast("long").alias("doc_id"), docs[source_col].cast("string").alias("source"), size.alias("size")
+    )
+    held = packed(docs, place.alias("place"))
+    one = held.join(rates.filter("copies > 0 and alike = 1"), "place").select("row", "copies")
+    several = rates.filter("copies > 0 and alike > 1")
+    if not several.isEmpty():  # rows alike in all three take turns in a random order
+        numbered = hash_numbered(held.join(several.select("place"), "place", "left_semi"), by=[F.col("place")], number="turn", total="n")
+        shared = join_hot(numbered, several, ["place"])
+        more = F.when(F.col("turn") < F.col("copies") % F.col("alike"), 1).otherwise(0)
+        one = one.unionByName(shared.select("row", (F.floor(F.col("copies") / F.col("alike")) + more).alias("copies")))
+    return unpacked(one.select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))))

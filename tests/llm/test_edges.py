@@ -313,13 +313,47 @@ def test_jaccard_chains(spark):
     assert rows(got, "doc_id", "n_shingles", "component_id") == sorted(brute.jaccard_components(docs), key=str)
 
 
+def test_jaccard_of_large_groups(spark):
+    """More near copies than pivots, many of them unlike any pivot, and other texts in their lists."""
+    rng = np.random.default_rng(8)
+    base = [f"w{i}" for i in range(60)]
+    docs = []
+    for i in range(260):
+        words = list(base)
+        for at in rng.choice(60, int(rng.integers(0, 4)), replace=False):
+            words[at] = f"v{rng.integers(0, 30)}"
+        docs.append((i, " ".join(words)))
+    docs += [(300 + i, " ".join(base[: 30 + i % 30] + [f"u{i % 7}_{k}" for k in range(i % 9)])) for i in range(80)]
+    got = jaccard.similar_groups(frame(spark, [(d, t, None, None) for d, t in docs]))
+    assert rows(got, "doc_id", "n_shingles", "component_id") == sorted(brute.jaccard_components(docs), key=str)
+
+
+def thue_morse(n, one, other):
+    word = [one]
+    while len(word) < n:
+        word += [other if x == one else one for x in word]
+    return word
+
+
+def test_texts_made_to_clash(spark):
+    """Words and sequences for which polynomials modulo a power of two have one value."""
+    a, b = thue_morse(4096, "a", "b"), thue_morse(4096, "b", "a")
+    texts = ["".join(a), "".join(b), " ".join(["".join(a)] * 14), " ".join(["".join(b)] * 14), " ".join(a[:40]), " ".join(b[:40])]
+    docs = list(enumerate(texts))
+    df = frame(spark, [(d, t, None, None) for d, t in docs])
+    got = jaccard.similar_groups(df)
+    assert rows(got, "doc_id", "n_shingles", "component_id") == sorted(brute.jaccard_components(docs), key=str)
+    left = substring_dedup.remove_repeats(df).select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept"))
+    assert rows(left) == sorted(brute.substring_dedup(docs), key=str)
+
+
 def test_jaccard_repeated(spark, doubled):
     got = rows(jaccard.similar_groups(doubled), "doc_id", "component_id")
     assert got == sorted([(1, 1), (1, 1), (2, 2), (2, 2), (None, 1), (None, None), (None, None)], key=str)
-    kept = jaccard.drop_similar(doubled)
+    kept = jaccard.drop_near_copies(doubled)
     assert kept.columns == doubled.columns
     assert rows(kept, "doc_id", "text") == sorted(
-        [(1, SENTENCE), (2, "other words"), (None, SENTENCE), (None, None), (None, None)], key=str
+        [(1, SENTENCE), (2, "other words"), (2, "two words"), (None, None), (None, None)], key=str
     )
 
 
@@ -368,6 +402,39 @@ def test_language_stage_without_labels(spark):
         assert sorted(r.text for r in kept.collect()) == sorted(t for t in texts if t and any(c.isalpha() for c in t))
 
 
+CLASHING = (
+    "row place copies alike answer kept turn n digest text_sha256 n_chars set_id root best _digest _chars _copy _copies "
+    "_id _source _size _rows _own _answer _n _hash _h count size copy known"
+).split()
+
+
+def test_stages_leave_columns_of_any_names(spark):
+    """The stages' own names, a dot and a backtick in names: all values come back as they were."""
+    import corpus_pipeline
+
+    data = [(1, SENTENCE, "en", "a"), (2, SENTENCE, "en", "a"), (None, "one more text", "en", None), (None, "one more text", "en", None),
+            (5, "and yet another text", "en", "b")]
+    names = [*CLASHING, "with.dot", "with`tick"]
+    schema = "doc_id long, text string, lang string, source string, " + ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
+    docs = spark.createDataFrame([(*r, *[f"{n}{i % 3}" for n in names]) for i, r in enumerate(data)], schema)
+    given = {tuple(r) for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, "")
+        assert kept.columns == docs.columns, name
+        found = [tuple(r) for r in kept.collect()]
+        assert found and set(found) <= given, name
+    assert len(set(tuple(r) for r in corpus_pipeline.exact_dedup_stage(spark, docs, "").collect())) == 3
+    assert corpus_pipeline.packing_stage(spark, docs, "").count() > 0
+
+
+def test_stages_on_empty_tables(spark, empty):
+    import corpus_pipeline
+
+    for name, stage in corpus_pipeline.STAGES:
+        found = stage(spark, empty, "")
+        assert found.count() == 0 and (name == "packing" or found.columns == empty.columns)
+
+
 # ---- exact dedup ----
 
 

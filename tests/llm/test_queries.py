@@ -33,3 +33,13 @@ def test_token_records(spark, docs):
 def test_packing(spark, docs):
     got = QUERIES["op2_hierarchical_packing"](spark, FOLDER)
     brute.check_packing(docs, rows(got, "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"))
+
+
+def test_substrings(spark, docs):
+    got = QUERIES["op3_count_min_substrings"](spark, FOLDER)
+    assert rows(got, "doc_id", "n_words", "n_removed", "kept_sha256") == brute.substring_dedup(docs)
+
+
+def test_similar_groups(spark, docs):
+    got = QUERIES["op9_rare_first_jaccard"](spark, FOLDER)
+    assert rows(got, "doc_id", "n_shingles", "component_id") == brute.jaccard_components(docs)
