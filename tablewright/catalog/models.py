@@ -94,8 +94,8 @@ def knn_regression(spark, folder):
 )
 def knn_cells(spark, folder):
     train, ask = _halves(spark, folder)
-    model = NearestNeighbours.fit(train, k=7, weighting="distance", force_cells=True)
-    return rounded(model.transform(ask).select("vec_id", "prediction"))
+    rows = NearestNeighbours.fit(train, k=7, weighting="distance").transform(ask.repartition(16, "vec_id"))
+    return rounded(rows.select("vec_id", "prediction"))
 
 
 @registered(

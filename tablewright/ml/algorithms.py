@@ -7,7 +7,6 @@ classes, ``probability``. Own algorithms are added with :func:`register_algorith
 
 from __future__ import annotations
 
-import importlib.util
 import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -16,46 +15,23 @@ from typing import Any
 import numpy as np
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import (
-    DecisionTreeClassifier,
-    GBTClassifier,
-    LinearSVC,
-    LogisticRegression,
-    NaiveBayes,
-    RandomForestClassifier,
-)
+from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import (
-    DecisionTreeRegressor,
-    GBTRegressor,
-    LinearRegression,
-    RandomForestRegressor,
-)
+from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablewright.ml.bayes import fit_gaussian_bayes
+from tablewright.ml.forest import Forest, TreeRule
+from tablewright.ml.insensitive import fit_insensitive
 from tablewright.ml.knn import NearestNeighbours
-from tablewright.ml.stages import (
-    ClassPositions,
-    DropColumns,
-    ForestMean,
-    FourierFeatures,
-    MarginVector,
-    OneVsRestVote,
-    ThresholdFlags,
-)
+from tablewright.ml.stages import ClassPositions, DropColumns, FourierFeatures, MarginVector, OneVsRestVote
 
 CLASSIFICATION, REGRESSION = "classification", "regression"
 TASKS = (CLASSIFICATION, REGRESSION)
 
-# Spark's own bound: trees grow until their leaves are pure or no split gains.
-DEFAULT_DEPTH = 30
 DEFAULT_TREES = 100
-# Extra trees: so many trees share a set of thresholds, drawn anew for the next ones.
-TREES_A_DRAW = 10
-CUTS_PER_FEATURE = 16
-QUANTILE_CELLS = 128
 FOURIER_FEATURES = 256
 
 
@@ -118,6 +94,7 @@ Space = dict[str, Whole | Real | Choice]
 FOREST_SPACE: Space = {
     "n_estimators": Whole(100, 500, 50),
     "max_depth": Whole(3, 20),
+    "min_samples_split": Whole(2, 10),
     "min_samples_leaf": Whole(1, 5),
     "max_features": Choice(("sqrt", "log2", "all")),
 }
@@ -135,7 +112,8 @@ SVM_SPACE: Space = {
     "gamma": Choice(("scale", "auto")),
 }
 KNN_SPACE: Space = {"n_neighbors": Whole(3, 30), "weights": Choice(("uniform", "distance"))}
-TREE_SPACE: Space = {"max_depth": Whole(2, 20), "min_samples_leaf": Whole(1, 10)}
+TREE_SPACE: Space = {"max_depth": Whole(2, 20), "min_samples_split": Whole(2, 20), "min_samples_leaf": Whole(1, 10)}
+BAYES_SPACE: Space = {"var_smoothing": Real(1e-11, 1e-6, log=True)}
 
 
 @dataclass(frozen=True)
@@ -156,27 +134,40 @@ class AlgorithmSpec:
 # Fits ----------------------------------------------------------------------------------------
 
 
-def _tree_settings(params: dict[str, Any]) -> dict[str, Any]:
-    return {
-        "maxDepth": int(params.get("max_depth", DEFAULT_DEPTH)),
-        "minInstancesPerNode": int(params.get("min_samples_leaf", 1)),
-    }
+def _grown(df, context, params, *, trees: int, tried: str, random_cuts: bool = False, bootstrap: bool = False) -> Forest:
+    """Trees by the settings of the search spaces; leaves stay pure or single unless these stop them."""
+    width = df.select(F.size(vector_to_array("features"))).first()
+    width = width[0] if width else 1
+    depth = params.get("max_depth")
+    counts = {"sqrt": math.isqrt(width), "log2": int(math.log2(max(width, 1))), "all": width}
+    rule = TreeRule(
+        classes=context.n_classes if context.classes else 0,
+        tried=max(1, counts[params.get("max_features", tried)]),
+        max_depth=None if depth is None else int(depth),
+        min_leaf=int(params.get("min_samples_leaf", 1)),
+        min_split=int(params.get("min_samples_split", 2)),
+        random_cuts=random_cuts,
+        bootstrap=bootstrap,
+        trees=trees,
+        seed=context.seed,
+    )
+    return Forest.fit(df, rule)
 
 
 def _fit_forest(df, context, params):
-    kind = RandomForestClassifier if context.classes else RandomForestRegressor
-    subset = params.get("max_features", "sqrt" if context.classes else "all")
-    return kind(
-        numTrees=int(params.get("n_estimators", DEFAULT_TREES)),
-        featureSubsetStrategy=subset,
-        seed=context.seed,
-        **_tree_settings(params),
-    ).fit(df)
+    """Bootstrap samples, the best cut of some features at each node."""
+    trees = int(params.get("n_estimators", DEFAULT_TREES))
+    return _grown(df, context, params, trees=trees, tried="sqrt" if context.classes else "all", bootstrap=True)
 
 
 def _fit_tree(df, context, params):
-    kind = DecisionTreeClassifier if context.classes else DecisionTreeRegressor
-    return kind(seed=context.seed, **_tree_settings(params)).fit(df)
+    return _grown(df, context, params, trees=1, tried="all")
+
+
+def _fit_extra_trees(df, context, params):
+    """All rows for each tree, one cut drawn in the node's own range for each of some features."""
+    trees = int(params.get("n_estimators", DEFAULT_TREES))
+    return _grown(df, context, params, trees=trees, tried="sqrt" if context.classes else "all", random_cuts=True)
 
 
 def _element_ranges(df: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -187,82 +178,6 @@ def _element_ranges(df: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return s["min"].toArray(), s["max"].toArray(), s["variance"].toArray()
 
 
-def _element_cells(df: DataFrame) -> list[np.ndarray]:
-    """Of every vector element the distinct borders of its quantile cells, from minimum to maximum."""
-    low, high, _ = _element_ranges(df)
-    steps = [k / QUANTILE_CELLS for k in range(1, QUANTILE_CELLS)]
-    values = df.select(F.posexplode(vector_to_array("features")).alias("i", "x"))
-    found = values.groupBy("i").agg(F.percentile_approx("x", steps).alias("q")).collect()
-    inner = {r["i"]: r["q"] for r in found}
-    return [np.unique([low[i], *inner.get(i, []), high[i]]) for i in range(len(low))]
-
-
-def _drawn_cuts(cells: list[np.ndarray], rng: np.random.Generator) -> tuple[list[int], list[float]]:
-    """Elements and thresholds: of each element that varies, cells spread over all of its cells from
-    a random start, and a uniform threshold inside each."""
-    elements, thresholds = [], []
-    for i, borders in enumerate(cells):
-        n = len(borders) - 1
-        if n < 1:
-            continue
-        places = ((np.arange(CUTS_PER_FEATURE) + rng.uniform(size=CUTS_PER_FEATURE)) * n / CUTS_PER_FEATURE).astype(int)
-        elements += [i] * CUTS_PER_FEATURE
-        thresholds += rng.uniform(borders[places], borders[places + 1]).tolist()
-    return (elements, thresholds) if elements else ([0], [0.0])
-
-
-def _fit_extra_trees(df, context, params):
-    """A forest without bootstrap that may split only at randomly drawn thresholds.
-
-    Every feature is replaced by flags "value > random threshold"; each node draws a few flags,
-    that is, a few features with one random cut each, and takes the best. ``TREES_A_DRAW`` trees
-    grow in one level-wise fit on one set of thresholds; the next ones have another set.
-    Thresholds lie in quantile cells, so that a long tail does not draw them away from the rows.
-    """
-    trees = int(params.get("n_estimators", DEFAULT_TREES))
-    rng = np.random.default_rng(context.seed)
-    kind = RandomForestClassifier if context.classes else RandomForestRegressor
-    held = df.is_cached
-    frame = df if held else df.select("features", "label").persist(StorageLevel.MEMORY_AND_DISK)
-    stages, outputs, weights = [], [], []
-    try:
-        cells = _element_cells(frame)
-        for k, start in enumerate(range(0, trees, TREES_A_DRAW)):
-            elements, thresholds = _drawn_cuts(cells, rng)
-            width = max(1, len(elements) // CUTS_PER_FEATURE)
-            drawn = {
-                "sqrt": max(1, round(math.sqrt(width))),
-                "log2": max(1, round(math.log2(width))) if width > 1 else 1,
-                "all": width,
-            }[params.get("max_features", "sqrt" if context.classes else "all")]
-            flags = ThresholdFlags(
-                inputCol="features", outputCol="_flags", elements=elements, thresholds=thresholds
-            )
-            size = min(TREES_A_DRAW, trees - start)
-            forest = kind(
-                featuresCol="_flags",
-                predictionCol=f"_c{k}",
-                numTrees=size,
-                featureSubsetStrategy=str(min(drawn, len(elements))),
-                bootstrap=False,
-                maxBins=2,
-                seed=context.seed + k,
-                **_tree_settings(params),
-            )
-            if context.classes:
-                forest = forest.setProbabilityCol(f"_p{k}").setRawPredictionCol(f"_r{k}")
-            model = forest.fit(flags.transform(frame))
-            gone = ["_flags", *([f"_c{k}", f"_r{k}"] if context.classes else [])]
-            stages += [flags, model, DropColumns(inputCols=gone)]
-            outputs.append(f"_p{k}" if context.classes else f"_c{k}")
-            weights.append(float(size))
-    finally:
-        if not held:
-            frame.unpersist()
-    mean = ForestMean(inputCols=outputs, weights=weights, classes=int(context.classes))
-    return PipelineModel([*stages, mean, DropColumns(inputCols=outputs)])
-
-
 def _one_vs_rest(df, context, fit_binary):
     """One binary model per class; ``fit_binary(frame, i)`` returns stages writing ``_p{i}``."""
     stages, columns = [], []
@@ -337,10 +252,13 @@ def _kernel_map(df, context, params) -> FourierFeatures | None:
 def _fit_svm(df, context, params):
     """Linear SVM, on kernel features for ``rbf``.
 
-    Class probabilities come from a logistic fit on the margin. Regression is the least-squares
-    support vector machine (Suykens and Vandewalle, 1999), one pass over the data.
+    Class probabilities come from a logistic fit on the margin. Regression leaves errors up to
+    ``epsilon`` unpunished and counts the rest by its amount (``fit_insensitive``).
     """
     waves = _kernel_map(df, context, params)
+    if not context.classes:
+        settings = float(params.get("C", 1.0)), float(params.get("epsilon", 0.1))
+        return fit_insensitive(df, waves, *settings)
     if waves is None:
         return PipelineModel(_svm_stages(df, "features", context, params))
     frame = waves.transform(df).persist(StorageLevel.MEMORY_AND_DISK)
@@ -353,8 +271,6 @@ def _fit_svm(df, context, params):
 
 def _svm_stages(frame, column, context, params) -> list:
     penalty = 1.0 / (float(params.get("C", 1.0)) * context.n_rows)
-    if not context.classes:
-        return [_ridge(frame, column, penalty)]
 
     def fit_binary(marked, i):
         machine = LinearSVC(
@@ -394,7 +310,7 @@ def _fit_knn(df, context, params):
 
 
 def _fit_bayes(df, context, params):
-    return NaiveBayes(modelType="gaussian").fit(df)
+    return fit_gaussian_bayes(df, context.n_classes, float(params.get("var_smoothing", 1e-9)))
 
 
 def _both(space: Space) -> dict[str, Space]:
@@ -421,60 +337,11 @@ for _spec in (
     AlgorithmSpec("svm", "Support Vector Machine", TASKS, _fit_svm, _both(SVM_SPACE)),
     AlgorithmSpec("knn", "K-Nearest Neighbours", TASKS, _fit_knn, _both(KNN_SPACE)),
     AlgorithmSpec("decision_tree", "Decision Tree", TASKS, _fit_tree, _both(TREE_SPACE)),
-    AlgorithmSpec("naive_bayes", "Gaussian Naive Bayes", (CLASSIFICATION,), _fit_bayes),
+    AlgorithmSpec("naive_bayes", "Gaussian Naive Bayes", (CLASSIFICATION,), _fit_bayes, {CLASSIFICATION: BAYES_SPACE}),
 ):
     register_algorithm(_spec)
 
 
-def _register_spark_xgboost() -> None:
-    """Gradient boosting by XGBoost, only where its Spark binding is installed."""
-    if importlib.util.find_spec("xgboost") is None:
-        return
-
-    def fit(df, context, params):
-        from xgboost.spark import SparkXGBClassifier, SparkXGBRegressor
-
-        kind = SparkXGBClassifier if context.classes else SparkXGBRegressor
-        return kind(features_col="features", label_col="label", seed=context.seed, **params).fit(df)
-
-    space: Space = {
-        "n_estimators": Whole(100, 500, 50),
-        "max_depth": Whole(2, 10),
-        "learning_rate": Real(0.01, 0.3, log=True),
-        "subsample": Real(0.6, 1.0),
-        "colsample_bytree": Real(0.6, 1.0),
-    }
-    register_algorithm(AlgorithmSpec("xgboost", "XGBoost", TASKS, fit, _both(space)))
-
-
-def _register_spark_lightgbm() -> None:
-    """Gradient boosting by LightGBM, only where its Spark binding is installed."""
-    if importlib.util.find_spec("synapse") is None:
-        return
-
-    def fit(df, context, params):
-        from synapse.ml.lightgbm import LightGBMClassifier, LightGBMRegressor
-
-        kind = LightGBMClassifier if context.classes else LightGBMRegressor
-        names = {"n_estimators": "numIterations", "learning_rate": "learningRate",
-                 "max_depth": "maxDepth", "subsample": "baggingFraction",
-                 "colsample_bytree": "featureFraction"}
-        return kind(seed=context.seed, **{names[k]: v for k, v in params.items()}).fit(df)
-
-    space: Space = {
-        "n_estimators": Whole(100, 500, 50),
-        "max_depth": Whole(2, 10),
-        "learning_rate": Real(0.01, 0.3, log=True),
-        "subsample": Real(0.6, 1.0),
-        "colsample_bytree": Real(0.6, 1.0),
-    }
-    register_algorithm(AlgorithmSpec("lightgbm", "LightGBM", TASKS, fit, _both(space)))
-
-
-_register_spark_xgboost()
-_register_spark_lightgbm()
-
-
 def algorithms_by_task() -> dict[str, dict[str, AlgorithmSpec]]:
     """For each task its algorithms by key, in the order in which they were registered."""
     return {t: {k: spec for k, spec in _REGISTRY.items() if t in spec.tasks} for t in TASKS}

@@ -1,10 +1,15 @@
-"""Exact k nearest neighbours.
-
-Training rows that are equal are packed into one row with a weight. A training set proven to be
-small is broadcast, and queries are answered in Arrow batches. A larger one is joined in cells
-around pivots (a Voronoi partition, as in Lu et al., "Efficient processing of k nearest
-neighbor joins using MapReduce", 2012): the triangle inequality tells which cells a query must
-visit, cells are cut into bounded blocks, and each block keeps only its k best per query.
+"""Exact k nearest neighbours in two rounds.
+
+Training rows that are equal are packed into one row with a weight and placed in the cell of their
+nearest pivot (a Voronoi partition, as in Lu et al., "Efficient processing of k nearest neighbor
+joins using MapReduce", 2012); cells are cut into blocks. There are about as many pivots as rows in
+a cell, so both grow with the square root of the table.
+
+In the first round a query visits one block of its home cell, or its nearest cells until they
+hold k rows. The k-th distance found there travels with the query: in the second round it visits
+only blocks that may hold something nearer, by the triangle inequality and by the plane between
+two pivots, and brings back nothing farther. Inside a task queries and points meet as matrices. There
+is one way at every size.
 """
 
 from __future__ import annotations
@@ -14,15 +19,15 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tablewright.functions.scalars import order_hash
+from tablewright.session import cut_lineage
 
-BROADCAST_VALUES = 4_000_000  # numbers in the broadcast matrix: 32 MB
-PIVOTS = 128
 BLOCK_ROWS = 5_000
 QUERY_ROWS = 20_000
 DISTANCES_AT_ONCE = 4_000_000
@@ -38,48 +43,58 @@ def _distances(queries: np.ndarray, points: np.ndarray) -> np.ndarray:
     return result
 
 
-def _nearest(row: np.ndarray, labels: np.ndarray, weights: np.ndarray, k: int):
-    """Positions and usable weights of the k nearest copies; ties go to the smaller label."""
-    size = min(k, len(row))
-    bound = np.partition(row, size - 1)[size - 1]
-    near = np.flatnonzero(row <= bound)
-    near = near[np.lexsort((labels[near], row[near]))]
-    before = np.cumsum(weights[near]) - weights[near]
+def nearest_copies(distances: np.ndarray, limit: np.ndarray, labels: np.ndarray, weights: np.ndarray, k: int):
+    """Of each row of a matrix the nearest copies of its columns, k in all, none beyond the row's
+    limit; ties go to the smaller label. Returns rows, columns and usable weights."""
+    if distances.shape[1] > k:
+        limit = np.minimum(limit, np.partition(distances, k - 1, axis=1)[:, k - 1])
+    row, column = np.nonzero(distances <= limit[:, None])
+    order = np.lexsort((labels[column], distances[row, column], row))
+    row, column = row[order], column[order]
+    held = np.cumsum(weights[column])
+    first = np.r_[True, row[1:] != row[:-1]] if len(row) else np.zeros(0, bool)
+    start = np.maximum.accumulate(np.where(first, np.arange(len(row)), 0)) if len(row) else np.zeros(0, int)
+    before = held - weights[column] - (held[start] - weights[column][start])
     keep = before < k
-    return near[keep], np.minimum(weights[near][keep], k - before[keep])
+    return row[keep], column[keep], np.minimum(weights[column][keep], k - before[keep])
 
 
 class NearestNeighbours:
-    """A fitted model: packed training rows and the voting rule."""
-
-    kind = "knn"
+    """A fitted model: placed training rows, their pivots, and the voting rule."""
 
-    def __init__(self, points: DataFrame, *, k: int, weighting: str, n_classes: int, width: int,
-                 force_cells: bool = False):
-        self.points = points  # (x array<double>, y double, w bigint), distinct in (x, y)
-        self.k, self.weighting, self.n_classes, self.width = k, weighting, n_classes, width
-        limit = BROADCAST_VALUES // max(1, width)
-        self.small = not force_cells and points.limit(limit + 1).count() <= limit
+    def __init__(self, points: DataFrame, pivots: np.ndarray, blocks: list[tuple], *, k: int, weighting: str, n_classes: int):
+        self.points = points  # (x, y, w, cell, block), distinct in (x, y)
+        self.pivots, self.blocks = pivots, blocks  # blocks: (cell, block, rows, copies, reach)
+        self.k, self.weighting, self.n_classes = k, weighting, n_classes
 
     @classmethod
     def fit(cls, df: DataFrame, *, k: int = 5, weighting: str = "uniform", n_classes: int = 0,
-            features: str = "features", label: str = "label", force_cells: bool = False):
-        """Pack the training rows; ``n_classes`` 0 means regression."""
-        points = (
+            features: str = "features", label: str = "label") -> NearestNeighbours:
+        """Pack and place the training rows; ``n_classes`` 0 means regression."""
+        packed = cut_lineage(
             df.select(vector_to_array(features).alias("x"), F.col(label).cast("double").alias("y"))
             .groupBy("x", "y")
             .agg(F.count("*").alias("w"))
+            .withColumn("h", order_hash(["x", "y"], 1))
         )
-        width = df.select(F.size(vector_to_array(features)).alias("n")).first()["n"]
-        return cls(points, k=k, weighting=weighting, n_classes=n_classes, width=width,
-                   force_cells=force_cells)
+        n = packed.count()
+        wanted = max(1, math.isqrt(n))
+        pivots = np.array([r["x"] for r in packed.orderBy("h", "x", "y").limit(wanted).select("x").collect()])
+        home = _home(pivots)
+        placed = packed.withColumn("p", home("x")).select("x", "y", "w", "h", "p.*")
+        sizes = placed.groupBy("cell").agg(F.count("*").alias("n"))
+        # a hot cell is cut by hash, so that each block is a sample of it
+        parts = F.broadcast(sizes.select("cell", F.ceil(F.col("n") / BLOCK_ROWS).alias("parts")))  # a row a pivot
+        placed = cut_lineage(
+            placed.join(parts, "cell").select("x", "y", "w", "cell", F.pmod("h", "parts").cast("int").alias("block"), "reach")
+        )
+        return cls(placed.drop("reach"), pivots, _blocks(placed), k=k, weighting=weighting, n_classes=n_classes)
 
     def transform(self, df: DataFrame, features: str = "features") -> DataFrame:
-        """Add ``prediction`` (and ``probability`` for classes)."""
-        if self.small:
-            voted = df.withColumn("_vote", self._broadcast_vote()(vector_to_array(features)))
-        else:
-            voted = self._cell_vote(df.withColumn("_x", vector_to_array(features))).drop("_x")
+        """Add ``prediction`` (and ``probability`` for classes); each distinct query is answered once."""
+        asked = df.withColumn("_x", vector_to_array(features))
+        votes = self._votes(asked.select(F.col("_x").alias("q")).distinct()).withColumnRenamed("q", "_x")
+        voted = asked.join(votes, "_x", "left").drop("_x")
         if not self.n_classes:
             return voted.withColumn("prediction", F.get("_vote", F.lit(0))).drop("_vote")
         best = F.array_position("_vote", F.array_max("_vote")) - 1
@@ -89,127 +104,73 @@ class NearestNeighbours:
             .drop("_vote")
         )
 
-    def _broadcast_vote(self):
-        rows = self.points.toPandas().sort_values(["y"], kind="stable")  # proven small
-        points = np.stack(rows["x"].to_numpy())
-        labels, weights = rows["y"].to_numpy(), rows["w"].to_numpy()
-        shared = self.points.sparkSession.sparkContext.broadcast((points, labels, weights))
-        k, rule, n_classes = self.k, self.weighting, self.n_classes
-
-        @F.pandas_udf("array<double>")
-        def vote(vectors: pd.Series) -> pd.Series:
-            if not len(vectors):
-                return pd.Series([], dtype=object)
-            points, labels, weights = shared.value
-            queries = np.stack(vectors.to_numpy())
-            answers = []
-            step = max(1, DISTANCES_AT_ONCE // max(1, len(points)))
-            for start in range(0, len(queries), step):
-                for row in _distances(queries[start : start + step], points):
-                    near, copies = _nearest(row, labels, weights, k)
-                    answers.append(_ballot(row[near], labels[near], copies, rule, n_classes))
-            return pd.Series(answers)
-
-        return vote
-
-    def _cell_vote(self, df: DataFrame) -> DataFrame:
-        """Answer every distinct query once, then hand the answers out."""
-        answers = self._answers(df.select("_x").distinct())
-        return df.join(answers, "_x", "left")
-
-    def _answers(self, queries: DataFrame) -> DataFrame:
-        hashed = self.points.withColumn("_h", order_hash(["x", "y"], 1))
-        pivots = np.array(
-            [r["x"] for r in hashed.orderBy("_h", "x", "y").limit(PIVOTS).select("x").collect()]
-        )
-        k, width = self.k, self.width
-
-        @F.pandas_udf("struct<cell:int,reach:double>")
-        def home(vectors: pd.Series) -> pd.DataFrame:
-            if not len(vectors):
-                return pd.DataFrame({"cell": [], "reach": []})
-            d = _distances(np.stack(vectors.to_numpy()), pivots)
-            return pd.DataFrame({"cell": d.argmin(axis=1), "reach": d.min(axis=1)})
-
-        placed = hashed.withColumn("_p", home("x")).select("x", "y", "w", "_h", "_p.*")
-        stats = (
-            placed.groupBy("cell")
-            .agg(F.count("*").alias("n"), F.sum("w").alias("copies"), F.max("reach").alias("reach"))
-            .collect()
-        )  # at most PIVOTS rows
-        cells = np.array([r["cell"] for r in stats])
-        copies = np.array([r["copies"] for r in stats])
-        reach = np.array([r["reach"] for r in stats])
-        blocks = {r["cell"]: math.ceil(r["n"] / BLOCK_ROWS) for r in stats}
-
-        @F.pandas_udf("array<int>")
-        def visits(vectors: pd.Series) -> pd.Series:
-            if not len(vectors):
-                return pd.Series([], dtype=object)
-            d = _distances(np.stack(vectors.to_numpy()), pivots)[:, cells]
-            far = d + reach
-            order = np.argsort(far, axis=1)
-            enough = np.cumsum(copies[order], axis=1) >= k
-            last = np.where(enough.any(axis=1), enough.argmax(axis=1), len(cells) - 1)
-            bound = np.take_along_axis(far, order, axis=1)[np.arange(len(d)), last]
-            slack = 1e-9 * (1 + np.abs(bound))
-            return pd.Series([list(cells[m]) for m in (d - reach <= (bound + slack)[:, None])])
-
-        routed = queries.select(F.col("_x").alias("q"), F.explode(visits("_x")).alias("cell"))
-        sizes = {r["cell"]: r["n"] for r in routed.groupBy("cell").agg(F.count("*").alias("n")).collect()}
-        salts = {c: math.ceil(sizes.get(c, 0) / QUERY_ROWS) or 1 for c in blocks}
-        plan = self.points.sparkSession.createDataFrame(
-            [(int(c), int(blocks[c]), int(salts[c])) for c in blocks],
-            "cell int, blocks int, salts int",
+    def _votes(self, queries: DataFrame) -> DataFrame:
+        route = _Route(self.pivots, self.blocks, self.k)
+        first = queries.select("q", F.lit(float("inf")).alias("bound"), F.explode(route.first()("q")).alias("place"))
+        near = cut_lineage(self._visit(first, route))
+        bounds = self._nearest(near).groupBy("q").agg(F.max("d").alias("bound"))
+        second = bounds.select("q", "bound", F.explode(route.second()("q", "bound")).alias("place"))
+        return self._count_votes(self._nearest(near.unionByName(self._visit(second, route))))
+
+    def visited_blocks(self, df: DataFrame, features: str = "features") -> DataFrame:
+        """``q, first, second``: how many blocks each distinct query visits in the two rounds."""
+        queries = df.select(vector_to_array(features).alias("q")).distinct()
+        route = _Route(self.pivots, self.blocks, self.k)
+        first = queries.select("q", F.lit(float("inf")).alias("bound"), F.explode(route.first()("q")).alias("place"))
+        bounds = self._nearest(self._visit(first, route)).groupBy("q").agg(F.max("d").alias("bound"))
+        return bounds.select("q", F.size(route.first()("q")).alias("first"), F.size(route.second()("q", "bound")).alias("second"))
+
+    def _visit(self, routed: DataFrame, route: _Route) -> DataFrame:
+        """The nearest points of each query in each block it visits: ``q, d, y, w``."""
+        k = self.k
+        routed = cut_lineage(routed)
+        asked = routed.groupBy("place").agg(F.count("*").alias("n"))
+        salts = asked.select("place", F.ceil(F.col("n") / QUERY_ROWS).cast("int").alias("salts"))
+        names = F.broadcast(  # a row a block
+            self.points.sparkSession.createDataFrame(
+                [(c, b, i) for i, (c, b, *_) in enumerate(self.blocks)], "cell int, block int, place int"
+            )
         )
-        plan = F.broadcast(plan)  # at most PIVOTS rows
+        salts = cut_lineage(salts)
         train = (
-            placed.join(plan, "cell")
-            .withColumn("block", F.pmod("_h", "blocks").cast("int"))
+            self.points.join(names, ["cell", "block"])
+            .join(F.broadcast(salts), "place")
             .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-            .select("cell", "block", "salt", "x", "y", "w")
+            .select("place", "salt", "x", "y", "w")
         )
-        asked = (
-            routed.join(plan, "cell")
-            .withColumn("salt", F.pmod(F.xxhash64("q"), F.col("salts")).cast("int"))
-            .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            .select("cell", "block", "salt", "q")
+        asked = routed.join(F.broadcast(salts), "place").select(
+            "place", F.pmod(F.xxhash64("q"), F.col("salts")).cast("int").alias("salt"), "q", "bound"
         )
 
-        def match(asked: pd.DataFrame, train: pd.DataFrame) -> pd.DataFrame:
-            out = {"q": [], "d": [], "y": [], "w": []}
-            if len(asked) and len(train):
-                points = np.stack(train["x"].to_numpy())
+        def match(asked: pa.Table, train: pa.Table) -> pa.Table:
+            out = [[], [], [], []]
+            if asked.num_rows and train.num_rows:
+                queries, points = _matrix(asked["q"]), _matrix(train["x"])
+                bound = asked["bound"].to_numpy()
                 labels, weights = train["y"].to_numpy(), train["w"].to_numpy()
                 step = max(1, DISTANCES_AT_ONCE // len(points))
-                for start in range(0, len(asked), step):
-                    part = asked["q"].to_numpy()[start : start + step]
-                    for query, row in zip(part, _distances(np.stack(part), points), strict=True):
-                        near, copies = _nearest(row, labels, weights, k)
-                        out["q"] += [query] * len(near)
-                        out["d"] += list(row[near])
-                        out["y"] += list(labels[near])
-                        out["w"] += list(copies)
-            return pd.DataFrame(out)
-
-        keys = ["cell", "block", "salt"]
-        found = asked.groupBy(*keys).cogroup(train.groupBy(*keys)).applyInPandas(
+                for start in range(0, len(queries), step):
+                    d = _distances(queries[start : start + step], points)
+                    row, column, copies = nearest_copies(d, bound[start : start + step], labels, weights, k)
+                    for held, found in zip(out, (row + start, d[row, column], labels[column], copies), strict=True):
+                        held.append(found)
+            row, d, y, w = (np.concatenate(c) if c else np.zeros(0) for c in out)
+            q = asked["q"].combine_chunks().take(pa.array(row.astype(np.int64)))
+            return pa.table({"q": q, "d": d.astype(float), "y": y.astype(float), "w": w.astype(np.int64)})
+
+        keys = ["place", "salt"]
+        return asked.groupBy(*keys).cogroup(train.groupBy(*keys)).applyInArrow(
             match, "q array<double>, d double, y double, w bigint"
         )
-        nearest_first = Window.partitionBy("q").orderBy("d", "y").rowsBetween(
-            Window.unboundedPreceding, Window.currentRow
-        )
-        before = F.sum("w").over(nearest_first) - F.col("w")
-        # each query has at most k rows per visited block here
-        used = (
-            found.withColumn("_before", before)
-            .filter(F.col("_before") < k)
-            .withColumn("w", F.least("w", F.lit(k) - F.col("_before")))
-        )
-        return self._count_votes(used).withColumnRenamed("q", "_x")
+
+    def _nearest(self, found: DataFrame) -> DataFrame:
+        """Of what the blocks of each query gave the k nearest copies; each gave k at most."""
+        order = Window.partitionBy("q").orderBy("d", "y").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        used = found.withColumn("_before", F.sum("w").over(order) - F.col("w")).filter(F.col("_before") < self.k)
+        return used.withColumn("w", F.least("w", F.lit(self.k) - F.col("_before"))).drop("_before")
 
     def _count_votes(self, used: DataFrame) -> DataFrame:
-        """Ballots of the chosen neighbours, as :func:`_ballot` counts them."""
+        """Mean target, or the share of votes per class. An exact hit outvotes all others."""
         if self.weighting == "distance":
             touching = F.max(F.col("d") == 0).over(Window.partitionBy("q"))
             used = used.withColumn("_touch", touching).withColumn(
@@ -231,11 +192,12 @@ class NearestNeighbours:
         return used.groupBy("q").agg(F.array(*shares).alias("_vote"))
 
     def save(self, path: str) -> None:
-        """Write the packed rows and the rule."""
+        """Write the placed rows, the pivots and the rule."""
         self.points.write.mode("errorifexists").parquet(f"{path}/points")
-        rule = {"k": self.k, "weighting": self.weighting, "n_classes": self.n_classes,
-                "width": self.width}
         spark = self.points.sparkSession
+        pivots = [(i, p.tolist()) for i, p in enumerate(self.pivots)]
+        spark.createDataFrame(pivots, "cell int, x array<double>").write.parquet(f"{path}/pivots")
+        rule = {"k": self.k, "weighting": self.weighting, "n_classes": self.n_classes}
         spark.createDataFrame([(json.dumps(rule),)], "value string").coalesce(1).write.text(
             f"{path}/rule"
         )
@@ -244,15 +206,98 @@ class NearestNeighbours:
     def load(cls, spark: SparkSession, path: str) -> NearestNeighbours:
         """Read a saved model."""
         rule = json.loads(spark.read.text(f"{path}/rule").first()["value"])
-        return cls(spark.read.parquet(f"{path}/points"), **rule)
-
-
-def _ballot(distances, labels, copies, weighting, n_classes) -> list[float]:
-    """Mean target, or the share of votes per class. An exact hit outvotes all others."""
-    votes = copies.astype(float)
-    if weighting == "distance":
-        hits = distances == 0
-        votes = votes * hits if hits.any() else votes / distances
-    if not n_classes:
-        return [float(np.average(labels, weights=votes))]
-    return (np.bincount(labels.astype(int), votes, n_classes) / votes.sum()).tolist()
+        pivots = np.array([r["x"] for r in spark.read.parquet(f"{path}/pivots").orderBy("cell").collect()])
+        points = spark.read.parquet(f"{path}/points")
+        placed = points.withColumn("reach", _home(pivots)("x")["reach"])
+        return cls(points, pivots, _blocks(placed), **rule)
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    lists = column.combine_chunks()
+    return lists.flatten().to_numpy().reshape(len(lists), -1)
+
+
+def _home(pivots: np.ndarray):
+    @F.pandas_udf("struct<cell:int,reach:double>")
+    def home(vectors: pd.Series) -> pd.DataFrame:
+        if not len(vectors):
+            return pd.DataFrame({"cell": [], "reach": []})
+        d = _distances(np.stack(vectors.to_numpy()), pivots)
+        return pd.DataFrame({"cell": d.argmin(axis=1), "reach": d.min(axis=1)})
+
+    return home
+
+
+def _blocks(placed: DataFrame) -> list[tuple]:
+    """``cell, block, rows, copies, reach`` of every block: a row a block, sorted."""
+    found = placed.groupBy("cell", "block").agg(F.count("*").alias("n"), F.sum("w").alias("copies"), F.max("reach").alias("reach"))
+    return sorted((r["cell"], r["block"], r["n"], r["copies"], r["reach"]) for r in found.collect())
+
+
+class _Route:
+    """Which blocks a query visits; blocks are named by their place in the list."""
+
+    def __init__(self, pivots: np.ndarray, blocks: list[tuple], k: int):
+        self.pivots, self.k = pivots, k
+        self.cell = np.array([b[0] for b in blocks])
+        self.copies = np.array([b[3] for b in blocks])
+        self.reach = np.array([b[4] for b in blocks])
+        # blocks of one cell stand beside each other
+        self.cells, self.start = np.unique(self.cell, return_index=True)
+        self.end = np.r_[self.start[1:], len(self.cell)]
+
+    def _first(self, vectors: np.ndarray) -> list[list[int]]:
+        d = _distances(vectors, self.pivots[self.cells])
+        near = np.argsort(d, axis=1, kind="stable")
+        picks = np.abs(vectors).sum(axis=1).view(np.uint64)  # which block of the home cell
+        out = []
+        for order, pick in zip(near, picks.tolist(), strict=True):
+            start, end = self.start[order[0]], self.end[order[0]]
+            one = int(start + pick % (end - start))
+            if self.copies[one] >= self.k:
+                out.append([one])
+                continue
+            taken, held = [], 0
+            for c in order:
+                taken += range(self.start[c], self.end[c])
+                held += self.copies[self.start[c] : self.end[c]].sum()
+                if held >= self.k:
+                    break
+            out.append([int(i) for i in taken])
+        return out
+
+    def first(self):
+        @F.pandas_udf("array<int>")
+        def visits(vectors: pd.Series) -> pd.Series:
+            if not len(vectors):
+                return pd.Series([], dtype=object)
+            return pd.Series(self._first(np.stack(vectors.to_numpy())))
+
+        return visits
+
+    def second(self):
+        @F.pandas_udf("array<int>")
+        def visits(vectors: pd.Series, bounds: pd.Series) -> pd.Series:
+            if not len(vectors):
+                return pd.Series([], dtype=object)
+            x, bound = np.stack(vectors.to_numpy()), bounds.to_numpy()
+            d = _distances(x, self.pivots[self.cells])
+            home = d.argmin(axis=1)
+            away = d - self._reach()  # no point of the cell is nearer than this
+            own, back = np.unique(home, return_inverse=True)
+            apart = _distances(self.pivots[self.cells[own]], self.pivots[self.cells])[back]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                plane = (d**2 - np.take_along_axis(d, home[:, None], axis=1) ** 2) / (2 * apart)
+            away = np.maximum(away, np.where(apart > 0, plane, 0.0))
+            slack = 1e-9 * (1 + np.abs(bound))
+            done = self._first(x)
+            wanted = []
+            for row, seen in zip(away <= (bound + slack)[:, None], done, strict=True):
+                seen = set(seen)
+                wanted.append([i for c in np.flatnonzero(row) for i in range(self.start[c], self.end[c]) if i not in seen])
+            return pd.Series(wanted)
+
+        return visits
+
+    def _reach(self) -> np.ndarray:
+        return np.maximum.reduceat(self.reach, self.start)

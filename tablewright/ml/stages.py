@@ -14,43 +14,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-class _Stage(Transformer, DefaultParamsReadable, DefaultParamsWritable):
+class Stage(Transformer, DefaultParamsReadable, DefaultParamsWritable):
     """Common base: parameters only, no state."""
 
 
-def _constant_array(values: list, kind: str):
-    """A long constant array as one literal; the optimizer folds it once per plan."""
-    return F.split(F.lit(",".join(repr(v) for v in values)), ",").cast(f"array<{kind}>")
-
-
-class ThresholdFlags(_Stage, HasInputCol, HasOutputCol):
-    """Vector of 0/1 flags, one per ``(element, threshold)``: element > threshold."""
-
-    elements = Param(Params._dummy(), "elements", "vector positions", TypeConverters.toListInt)
-    thresholds = Param(Params._dummy(), "thresholds", "cut points", TypeConverters.toListFloat)
-
-    @keyword_only
-    def __init__(self, *, inputCol=None, outputCol=None, elements=None, thresholds=None):
-        super().__init__()
-        self._set(**self._input_kwargs)
-
-    def _transform(self, df: DataFrame) -> DataFrame:
-        elements = _constant_array(self.getOrDefault("elements"), "int")
-        thresholds = _constant_array(self.getOrDefault("thresholds"), "double")
-
-        def flags(values):
-            return F.zip_with(
-                elements,
-                thresholds,
-                lambda i, t: F.when(F.get(values, i) > t, 1.0).otherwise(0.0),
-            )
-
-        # the outer transform binds the array once per row, not once per threshold
-        bound = F.transform(F.array(vector_to_array(self.getInputCol())), flags)
-        return df.withColumn(self.getOutputCol(), array_to_vector(F.get(bound, F.lit(0))))
-
-
-class FourierFeatures(_Stage, HasInputCol, HasOutputCol):
+class FourierFeatures(Stage, HasInputCol, HasOutputCol):
     """Random Fourier features of the Gaussian kernel (Rahimi and Recht, 2007)."""
 
     weights = Param(Params._dummy(), "weights", "flat matrix", TypeConverters.toListFloat)
@@ -77,7 +45,26 @@ class FourierFeatures(_Stage, HasInputCol, HasOutputCol):
         return df.withColumn(self.getOutputCol(), array_to_vector(projected))
 
 
-class MarginVector(_Stage, HasInputCol, HasOutputCol):
+class LinearScores(Stage, HasInputCol, HasOutputCol):
+    """A weighted sum of a vector's elements plus an intercept."""
+
+    weights = Param(Params._dummy(), "weights", "one for each element", TypeConverters.toListFloat)
+    intercept = Param(Params._dummy(), "intercept", "added to the sum", TypeConverters.toFloat)
+
+    @keyword_only
+    def __init__(self, *, inputCol=None, outputCol=None, weights=None, intercept=None):
+        super().__init__()
+        self._set(**self._input_kwargs)
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        # one literal: the optimizer folds it once per plan
+        weights = F.split(F.lit(",".join(map(repr, self.getOrDefault("weights")))), ",").cast("array<double>")
+        products = F.zip_with(vector_to_array(self.getInputCol()), weights, lambda x, w: x * w)
+        total = F.aggregate(products, F.lit(self.getOrDefault("intercept")), lambda s, p: s + p)
+        return df.withColumn(self.getOutputCol(), total)
+
+
+class MarginVector(Stage, HasInputCol, HasOutputCol):
     """One-element vector with the margin of a binary classifier's raw prediction."""
 
     @keyword_only
@@ -90,7 +77,7 @@ class MarginVector(_Stage, HasInputCol, HasOutputCol):
         return df.withColumn(self.getOutputCol(), array_to_vector(F.array(margin)))
 
 
-class OneVsRestVote(_Stage, HasInputCols):
+class OneVsRestVote(Stage, HasInputCols):
     """Normalise the positive-class probabilities of binary models; predict the largest."""
 
     @keyword_only
@@ -106,39 +93,7 @@ class OneVsRestVote(_Stage, HasInputCols):
         return df.withColumn("probability", array_to_vector(share)).withColumn("prediction", best)
 
 
-def _times(factor: float):
-    return lambda x: x * factor
-
-
-class ForestMean(_Stage, HasInputCols):
-    """The mean over all trees of forests with so many trees each: of their probabilities, with the
-    largest as prediction (``classes`` 1), or of their predictions."""
-
-    weights = Param(Params._dummy(), "weights", "trees of each forest", TypeConverters.toListFloat)
-    classes = Param(Params._dummy(), "classes", "1 for classes", TypeConverters.toInt)
-
-    @keyword_only
-    def __init__(self, *, inputCols=None, weights=None, classes=None):
-        super().__init__()
-        self._set(**self._input_kwargs)
-
-    def _transform(self, df: DataFrame) -> DataFrame:
-        weights = self.getOrDefault("weights")
-        shares = [w / sum(weights) for w in weights]
-        if not self.getOrDefault("classes"):
-            parts = [F.col(c) * w for c, w in zip(self.getInputCols(), shares, strict=True)]
-            return df.withColumn("prediction", sum(parts[1:], parts[0]))
-        mean = None
-        for column, share in zip(self.getInputCols(), shares, strict=True):
-            part = F.transform(vector_to_array(column), _times(share))
-            mean = part if mean is None else F.zip_with(mean, part, lambda x, y: x + y)
-        found = df.withColumn("probability", array_to_vector(mean))
-        share = vector_to_array("probability")
-        best = (F.array_position(share, F.array_max(share)) - 1).cast("double")
-        return found.withColumn("prediction", best)
-
-
-class DropColumns(_Stage, HasInputCols):
+class DropColumns(Stage, HasInputCols):
     """Drop intermediate columns."""
 
     @keyword_only
@@ -150,7 +105,7 @@ class DropColumns(_Stage, HasInputCols):
         return df.drop(*self.getInputCols())
 
 
-class ClassPositions(_Stage, HasInputCol, HasOutputCol):
+class ClassPositions(Stage, HasInputCol, HasOutputCol):
     """The label as 1 (the given class) or 0 (any other)."""
 
     position = Param(Params._dummy(), "position", "class position", TypeConverters.toFloat)

@@ -30,6 +30,7 @@ from tablewright.ml.algorithms import (
     available_keys,
     get_algorithm,
 )
+from tablewright.ml.forest import Forest
 from tablewright.ml.knn import NearestNeighbours
 from tablewright.operators import metrics as M
 from tablewright.operators.features import FeatureConfig, FittedFeatures, fit_features
@@ -45,6 +46,8 @@ from tablewright.operators.split import (
 
 LABEL = "label"
 PARTITION_BYTES = 16 << 20
+#: Models that are tables, not stages of a pipeline.
+OWN_MODELS = {"neighbours": NearestNeighbours, "forest": Forest}
 RUN_SCHEMA = (
     "id string, artifact string, experiment_id string, position int, algorithm string, status string, error string, "
     "params map<string,string>, metrics map<string,double>, primary_metric string, "
@@ -137,14 +140,14 @@ class FittedRun:
     def save(self, path: str) -> None:
         """Write features, model and description below ``path``."""
         self.features.model.write().save(f"{path}/features")
-        knn = isinstance(self.model, NearestNeighbours)
-        if knn:
+        kind = next((k for k, own in OWN_MODELS.items() if isinstance(self.model, own)), "stages")
+        if kind in OWN_MODELS:
             self.model.save(f"{path}/model")
         else:
             PipelineModel([self.model]).write().save(f"{path}/model")
         text = json.dumps(
             {
-                "knn": knn,
+                "kind": kind,
                 "names": self.features.names,
                 "numeric": self.features.numeric,
                 "categorical": self.features.categorical,
@@ -164,15 +167,15 @@ class FittedRun:
     def load(cls, spark: SparkSession, path: str) -> FittedRun:
         """Read what :meth:`save` wrote."""
         about = json.loads(spark.read.text(f"{path}/about").first()["value"])
-        knn = about.pop("knn")
+        kind = about.pop("kind")
         features = FittedFeatures(
             PipelineModel.load(f"{path}/features"),
             about.pop("numeric"),
             about.pop("categorical"),
             about.pop("names"),
         )
-        if knn:
-            model = NearestNeighbours.load(spark, f"{path}/model")
+        if kind in OWN_MODELS:
+            model = OWN_MODELS[kind].load(spark, f"{path}/model")
         else:
             model = PipelineModel.load(f"{path}/model")
         return cls(features=features, model=model, **about)
@@ -222,7 +225,8 @@ def vectors(fitted: FittedFeatures, df: DataFrame, n_rows: int | None = None) ->
     """Feature vectors with their label.
 
     Iterative fits run one job per step, so small sets should not sit in many tiny partitions:
-    with ``n_rows``, they are merged up to ``PARTITION_BYTES`` (never split).
+    with ``n_rows``, they are merged up to ``PARTITION_BYTES`` (never split). Trees, neighbours and
+    naive Bayes do not depend on the partitions; sums of the other fits differ in their last digits.
     """
     frame = fitted.transform(df).select("features", LABEL)
     if n_rows is None:
@@ -284,12 +288,38 @@ def tune(
     return trials[int(np.nanargmax(means))], table
 
 
+def run_charts(scored: DataFrame, n_classes: int = 0) -> dict[str, DataFrame]:
+    """The data of a run's charts: the confusion matrix and, of two classes, the ROC curve; of a number
+    the predictions with their residuals, and the ends of the ideal line."""
+    if n_classes:
+        charts = {"confusion_matrix": M.confusion_matrix(scored, n_classes)}
+        if n_classes == 2 and "scores" in scored.columns:
+            charts["roc_curve"] = M.roc_curve(scored.withColumn("score", F.get("scores", F.lit(1))))
+        return charts
+    points = M.residuals(scored.select(F.col(LABEL).cast("double").alias("actual"), F.col("prediction").alias("predicted")), "actual", "predicted")
+    return {"residuals": points, "ideal_line": M.ideal_line(scored)}
+
+
+def load_charts(spark: SparkSession, artifact: str) -> dict[str, DataFrame]:
+    """The chart data that is stored with a run's artifact, by name."""
+    names = spark.read.text(f"{artifact}/charts/names").collect()  # two at most
+    return {r["value"]: spark.read.parquet(f"{artifact}/charts/{r['value']}") for r in names}
+
+
+def _store_charts(charts: dict[str, DataFrame], artifact: str) -> None:
+    for name, chart in charts.items():
+        chart.write.parquet(f"{artifact}/charts/{name}")
+    names = [(name,) for name in charts]
+    SparkSession.active().createDataFrame(names, "value string").coalesce(1).write.text(f"{artifact}/charts/names")
+
+
 def train_one(
     spec: AlgorithmSpec, data: _Data, task: str, target: str, metric: str,
     controls: TrainingControls, *, fitted: FittedFeatures, inside: DataFrame, outside: DataFrame,
-    key: list[str] | None = None,
+    key: list[str] | None = None, artifact: str | None = None,
 ) -> FittedRun:
-    """Tune if asked, fit on the train part, score the hold-out."""
+    """Tune if asked, fit on the train part, score the hold-out; with ``artifact``, a folder, store the
+    data of the run's charts below it."""
     started = time.perf_counter()
     n_classes = len(data.names or [])
     params: dict[str, Any] = {}
@@ -301,6 +331,8 @@ def train_one(
     scored = scored.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         found = M.all_metrics(scored, n_classes)
+        if artifact:
+            _store_charts(run_charts(scored, n_classes), artifact)
     finally:
         scored.unpersist()
     value = found.get(metric)
@@ -327,8 +359,8 @@ def run_experiment(
 ) -> ExperimentResult:
     """Train every requested algorithm; a failing one is recorded, not raised.
 
-    With ``artifacts``, a folder, each fitted run is saved below it and its row names the place,
-    as registering it demands.
+    With ``artifacts``, a folder, each fitted run is saved below it with the data of its charts, and its
+    row names the place, as registering it demands.
 
     The request is checked before any job runs. The best completed run has the highest score;
     the first one in list order wins ties.
@@ -356,7 +388,7 @@ def run_experiment(
             try:
                 run = train_one(
                     get_algorithm(name), data, task, target, metric, controls, fitted=fitted,
-                    inside=inside, outside=outside, key=key,
+                    inside=inside, outside=outside, key=key, artifact=artifact,
                 )
                 if artifact:
                     run.save(artifact)

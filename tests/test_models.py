@@ -1,14 +1,14 @@
 import numpy as np
 import pytest
-from pyspark.ml import PipelineModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 import tablewright.ml.knn as knn
 from tablewright.errors import ScoringError, TrainingError
 from tablewright.ml import algorithms as A
+from tablewright.ml import insensitive
+from tablewright.ml.forest import Forest
 from tablewright.ml.knn import NearestNeighbours
-from tablewright.ml.stages import ThresholdFlags
 from tablewright.operators import explain as X
 from tablewright.operators import metrics as M
 from tablewright.operators.features import FeatureConfig, fit_features
@@ -190,10 +190,9 @@ def test_extra_trees_on_a_long_tail(spark, tmp_path, task):
     model = A.get_algorithm("extra_trees").fit(frame, A.Context(task, 300, 2), {"n_estimators": 15, "max_depth": 5})
     found = model.transform(frame).select("label", "prediction").collect()
     assert np.mean([(r.prediction > 0.5) == (r.label > 0.5) for r in found]) > 0.95
-    drawn = [tuple(s.getOrDefault("thresholds")) for s in model.stages if isinstance(s, ThresholdFlags)]
-    assert len(drawn) == 2 and not set(drawn[0]) & set(drawn[1])
     model.save(f"{tmp_path}/model")
-    assert PipelineModel.load(f"{tmp_path}/model").transform(frame).select("label", "prediction").collect() == found
+    again = Forest.load(spark, f"{tmp_path}/model")
+    assert again.transform(frame).select("label", "prediction").collect() == found
 
 
 def test_trees_grow_below_ten_levels(spark):
@@ -217,26 +216,52 @@ def test_three_classes_by_one_vs_rest(spark):
 
 @pytest.mark.parametrize("weighting", ["uniform", "distance"])
 @pytest.mark.parametrize("n_classes", [0, 3])
-def test_neighbours_in_cells_equal_broadcast(spark, monkeypatch, weighting, n_classes):
-    """Many copies of one training row, small blocks and chunks: same answers either way."""
+def test_neighbours_equal_all_distances(spark, tmp_path, monkeypatch, weighting, n_classes):
+    """Many copies of one training row, small blocks and chunks, ties: as if all were compared."""
     rng = np.random.default_rng(6)
-    x = np.round(rng.normal(0, 1, (150, 3)), 2)
+    x = np.round(rng.normal(0, 1, (150, 3)), 1)
     x[:50] = x[0]
-    df = fit_features(
-        *(lambda d: (d, FeatureConfig(scaling="none"), "label"))(
-            spark.createDataFrame([(*map(float, r), float(i % 3)) for i, r in enumerate(x)], "a double, b double, c double, label double")
-        )
-    )
-    source = spark.createDataFrame([(*map(float, r), float(i % 3)) for i, r in enumerate(x)], "a double, b double, c double, label double")
-    frame = df.transform(source).cache()
-    for name, value in (("PIVOTS", 5), ("BLOCK_ROWS", 12), ("QUERY_ROWS", 10)):
+    frame = _vectors(spark, x, np.arange(150) % 3)
+    for name, value in (("BLOCK_ROWS", 12), ("QUERY_ROWS", 10)):
         monkeypatch.setattr(knn, name, value)
-    answers = []
-    for force in (False, True):
-        model = NearestNeighbours.fit(frame, k=4, weighting=weighting, n_classes=n_classes, force_cells=force)
-        rows = model.transform(frame).select("a", "b", "c", "label", F.round("prediction", 9)).collect()
-        answers.append(sorted(map(tuple, rows)))
-    assert answers[0] == answers[1] and len(answers[0]) == 150
+    asked = np.r_[x[40:], np.round(rng.normal(0, 2, (40, 3)), 1)]
+    questions = _vectors(spark, asked, np.arange(len(asked)))
+    for k in (4, 60, 500):
+        model = NearestNeighbours.fit(frame, k=k, weighting=weighting, n_classes=n_classes)
+        found = {r.label: r for r in model.transform(questions).collect()}
+        for i, q in enumerate(asked):
+            d = np.sqrt(((x - q) ** 2).sum(axis=1))
+            near = np.lexsort((np.arange(150) % 3, d))[:k]
+            votes = np.ones(len(near))
+            if weighting == "distance":
+                votes = (d[near] == 0).astype(float) if (d[near] == 0).any() else 1 / d[near]
+            if n_classes:
+                shares = np.bincount(near % 3, votes, 3) / votes.sum()
+                assert np.allclose(found[i].probability.toArray(), shares)
+            else:
+                assert np.isclose(found[i].prediction, np.average(near % 3, weights=votes))
+    model.save(f"{tmp_path}/model")
+    again = NearestNeighbours.load(spark, f"{tmp_path}/model").transform(questions).select("label", "prediction")
+    assert sorted(again.collect()) == sorted((r.label, r.prediction) for r in found.values())
+
+
+def test_neighbours_visit_few_blocks_of_clustered_rows(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    centres = rng.uniform(-100, 100, (40, 4))
+    frame = _vectors(spark, centres[np.arange(4000) % 40] + rng.normal(0, 1, (4000, 4)), np.zeros(4000))
+    monkeypatch.setattr(knn, "BLOCK_ROWS", 30)
+    model = NearestNeighbours.fit(frame, k=5)
+    assert len(model.pivots) == 63
+    visits = model.visited_blocks(frame).agg(F.avg("first").alias("first"), F.avg("second").alias("second")).first()
+    assert len(model.blocks) > 100 and visits["first"] < 1.5 and visits["second"] < 0.1 * len(model.blocks)
+
+
+def test_stream_of_neighbours(spark, experiment, tmp_path):
+    blobs(spark, 20, 7).drop("target").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("id bigint, x1 double, x2 double, x3 double").parquet(str(tmp_path / "in"))
+    query = score_stream(experiment.fitted["knn"], stream, str(tmp_path / "out"), str(tmp_path / "cp"), ["id"])
+    query.awaitTermination(180)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 20
 
 
 def test_ridge_matches_closed_form(spark):
@@ -299,3 +324,50 @@ def test_request_faults_come_together():
         automl.checked_request("classification", ["nothing"], "rmse")
     assert "nothing" in str(error.value) and "rmse" in str(error.value)
     assert automl.checked_request("regression").metric
+
+
+def test_bayes_smoothing(spark):
+    rng = np.random.default_rng(5)
+    x, y = rng.normal(0, [1, 30], (90, 2)), np.arange(90) % 3
+    x[y == 1, 0] = 2.0  # no spread in one class
+    frame = _vectors(spark, x, y)
+    for smoothing in (1e-9, 0.5):
+        model = A.get_algorithm("naive_bayes").fit(frame, A.Context("classification", 90, 4), {"var_smoothing": smoothing})
+        added = smoothing * x.var(axis=0).max()
+        logs = []
+        for c in range(3):
+            m, v = x[y == c].mean(axis=0), x[y == c].var(axis=0) + added
+            logs.append(np.log(1 / 3) - 0.5 * (np.log(2 * np.pi * v) + (x - m) ** 2 / v).sum(axis=1))
+        shares = np.exp(logs - np.max(logs, axis=0))
+        shares = (shares / shares.sum(axis=0)).T
+        got = sorted(((tuple(r.features.toArray()), r.probability.toArray()) for r in model.transform(frame).collect()), key=lambda r: r[0])
+        want = sorted(zip(map(tuple, x), shares, strict=True), key=lambda r: r[0])
+        assert all(np.allclose(a[1][:3], b[1]) and a[1][3] == 0 for a, b in zip(got, want, strict=True))
+    drawn = A.get_algorithm("naive_bayes").draw("classification", np.random.default_rng(1))
+    assert 1e-11 <= drawn["var_smoothing"] <= 1e-6
+
+
+@pytest.mark.parametrize("kernel", ["linear", "rbf"])
+def test_insensitive_regression_beats_other_weights(spark, kernel):
+    """No weights near the solution, and none of a coarse search, have a lower objective."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(0, 1, (300, 1))
+    y = 2 * x[:, 0] + 1 + rng.standard_t(2, 300)
+    model = A.get_algorithm("svm").fit(_vectors(spark, x, y), A.Context("regression", 300), {"kernel": kernel, "C": 0.5})
+    scores = next(s for s in model.stages if hasattr(s, "intercept"))
+    w, b = np.array(scores.getOrDefault("weights")), scores.getOrDefault("intercept")
+    waves = insensitive._waves(model.stages[0] if kernel == "rbf" else None)(x)[:, :-1]
+
+    def objective(w, b):
+        return 0.5 * w @ w + 0.5 * np.maximum(0, np.abs(y - waves @ w - b) - 0.1).sum()
+
+    found = objective(w, b)
+    for _ in range(300):
+        size = 10 ** rng.uniform(-3, 0)
+        assert found <= objective(w + rng.normal(0, size, len(w)), b + rng.normal(0, size)) * (1 + 1e-3)
+    if kernel == "linear":
+        grid = [objective(np.array([u]), v) for u in np.linspace(0, 4, 161) for v in np.linspace(-1, 3, 161)]
+        assert found <= min(grid) * (1 + 1e-3)
+    constant = _vectors(spark, x, np.full(300, 3.0))
+    same = A.get_algorithm("svm").fit(constant, A.Context("regression", 300), {"kernel": kernel}).transform(constant)
+    assert same.filter("abs(prediction - 3) > 1e-6").count() == 0
