@@ -44,13 +44,12 @@ def versioned(spark, folder):
 
 @registered(
     "source_csv_quoted_line_breaks",
-    "select doc_id, text, source from documents where text not like '%' || chr(13) || '%' and text <> ''",
+    "select doc_id, text, source from documents",
 )
 def csv_line_breaks(spark, folder):
-    """Texts with line breaks, quotes and commas, written as CSV and read back."""
+    """All texts, with line breaks, carriage returns, quotes and commas, written as CSV and read back."""
     path = f"{shared_folder(spark)}/documents.csv"
     d = table(spark, folder, "documents").select("doc_id", "text", "source")
-    d = d.filter(~F.contains("text", F.lit("\r")) & (F.col("text") != ""))
     d.write.option("header", True).option("quoteAll", True).option("escape", '"').option(
         "ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     return S.read_csv(spark, path, "doc_id bigint, text string, source string", missing=())
@@ -128,14 +127,7 @@ def file_types(spark, folder):
         F.array(*[F.lit(e) for e in (".CSV", ".txt", ".Parquet", ".doc")]), F.col("c_nationkey") % 4 + 1
     )
     names = table(spark, folder, "customer").select(F.concat("c_name", endings).alias("url"))
-    kinds = {}
-    for row in names.select(F.regexp_extract("url", r"(\.[^.]+)$", 1).alias("e")).distinct().collect():
-        try:
-            kinds[row["e"]] = S.detect_file_type("x" + row["e"])
-        except S.DataLoadError:
-            kinds[row["e"]] = "none"
-    lookup = F.create_map(*[F.lit(v) for pair in kinds.items() for v in pair])
-    return names.select("url", F.try_element_at(lookup, F.regexp_extract("url", r"(\.[^.]+)$", 1)).alias("kind"))
+    return names.select("url", F.coalesce(S.file_type_of(F.col("url")), F.lit("none")).alias("kind"))
 
 
 @registered(
