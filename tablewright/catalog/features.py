@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tablewright.catalog.base import registered, rounded, table
 from tablewright.operators import features as X
+from tablewright.operators.categories import CategoryNumbers
 from tablewright.operators.features import FeatureConfig, Imputation
 
 # part with holes: every seventh size and every fifth type are missing
@@ -247,6 +248,47 @@ def pca(spark, folder):
     return rounded(long.groupBy("feature").agg(F.var_samp("value").alias("variance")), 4)
 
 
+@registered(
+    "features_pca_onehot",
+    """with b as (select p_brand, count(*) as c, (select count(*) from part) as n from part group by 1)
+        select count(*) as components, round(sum(c / n::double * (1 - c / n::double)) * max(n) / (max(n) - 1), 6) as variance from b""",
+)
+def pca_onehot(spark, folder):
+    """All directions of one-hot columns hold the variance of these columns, none of it twice."""
+    d = table(spark, folder, "part").select("p_partkey", "p_brand")
+    fitted = X.fit_features(d.drop("p_partkey"), FeatureConfig(pca_enabled=True))
+    long = fitted.transform_long(d, ["p_partkey"])
+    spread = long.groupBy("feature").agg(F.var_samp("value").alias("v"))
+    return rounded(spread.agg(F.count("*").alias("components"), F.sum("v").alias("variance")))
+
+
+@registered(
+    "features_ordinal_all_distinct",
+    """select c_custkey, cast(row_number() over (order by c_name) - 1 as bigint) as ord_c_name,
+         cast(dense_rank() over (order by c_mktsegment) - 1 as bigint) as ord_c_mktsegment from customer""",
+)
+def ordinal_all_distinct(spark, folder):
+    """A column with as many categories as rows, beside one with few."""
+    d = table(spark, folder, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    numbers = CategoryNumbers.fit(d, ["c_name", "c_mktsegment"])
+    return numbers.ordinal(d).select("c_custkey", "ord_c_name", "ord_c_mktsegment")
+
+
+@registered(
+    "features_onehot_all_distinct",
+    """with n as (select c_custkey, c_name, c_mktsegment, row_number() over (order by c_name) - 1 as i, dense_rank() over (order by c_mktsegment) - 1 as k from customer)
+       select c_custkey, cast(i as bigint) as place, 'categorical__c_name_' || c_name as name from n
+       union all select c_custkey, cast(k + (select count(*) from customer) as bigint), 'categorical__c_mktsegment_' || c_mktsegment from n""",
+)
+def onehot_all_distinct(spark, folder):
+    """The places of the ones of each row, with the names of their features."""
+    d = table(spark, folder, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    numbers = CategoryNumbers.fit(d, ["c_name", "c_mktsegment"])
+    ones = numbers.onehot(d).select("c_custkey", F.explode("hot").alias("place"))
+    names = numbers.names().withColumnRenamed("index", "place")
+    return ones.join(names, "place").select("c_custkey", "place", "name")
+
+
 @registered("features_preview")
 def preview(spark, folder):
     config = FeatureConfig(pca_enabled=True, pca_components=0.9)

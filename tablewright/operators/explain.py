@@ -7,9 +7,14 @@ window, with no join and nothing broadcast, and each bucket's values are exactly
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tablewright.functions.scalars import order_hash, quoted
@@ -23,6 +28,7 @@ REPEATS = 5
 SHOWN_FEATURES = 20
 
 BUCKET_ROWS = 1000
+WALKED_VALUES = 4_000_000  # numbers of the vectors made at once
 
 
 def explain_sample(
@@ -101,60 +107,73 @@ def _outputs(run: FittedRun, scored: DataFrame) -> Column:
     return F.col("scores")
 
 
+def _walk(keys: list[str], width: int):
+    """For each row and draw the vectors on the way from the other row to the row: features switch in
+    a random order, one at a time. ``gained`` is the feature that switched last, ``lost`` the next."""
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, WALKED_VALUES // (width + 1) ** 2)
+        for batch in batches:
+            for start in range(0, batch.num_rows, step):
+                part = batch.slice(start, step)
+                n = part.num_rows
+                x, z = (part.column(c).flatten().to_numpy().reshape(n, width) for c in ("_x", "_z"))
+                h = part.column("_h").to_numpy().view(np.uint64)
+                with np.errstate(over="ignore"):
+                    mixed = (h[:, None] ^ (np.arange(1, width + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9)
+                    mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+                order = np.argsort(mixed ^ (mixed >> np.uint64(29)), axis=1)
+                rank = np.argsort(order, axis=1)  # the place of each feature in the order
+                own = rank[:, None, :] < np.arange(width + 1)[None, :, None]
+                vectors = np.where(own, x[:, None, :], z[:, None, :]).ravel()
+                none = np.full((n, 1), -1)
+                columns = [part.column(k).take(pa.array(np.repeat(np.arange(n), width + 1))) for k in keys]
+                ends = pa.array(np.arange(n * (width + 1) + 1, dtype=np.int32) * width)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *columns, pa.array(np.hstack([none, order]).ravel().astype(np.int32)),
+                        pa.array(np.hstack([order, none]).ravel().astype(np.int32)), pa.ListArray.from_arrays(ends, pa.array(vectors)),
+                    ],
+                    [*keys, "_gained", "_lost", "_v"],
+                )
+
+    return walk
+
+
 def shapley_importance(
     run: FittedRun, df: DataFrame, *, key: list[str], draws: int = 10, seed: int = 42
 ) -> DataFrame:
     """``(feature, importance)``: mean absolute Shapley value per transformed feature.
 
     Sampled as in Štrumbelj and Kononenko (2014): a random feature order and a random other row
-    per draw; features switch from the other row's values to the row's own, one at a time.
+    per draw; features switch from the other row's values to the row's own, one at a time. A draw
+    costs one vector more than there are features; each output counts for the feature that
+    switched before it and against the one that switches after it, so the sums need no order.
     """
     vectors = run.features.transform(df).select(
         *[quoted(k) for k in key], vector_to_array("features").alias("_x")
     )
     width = len(run.features.names)
     drawn = vectors.withColumn("_draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    places = F.sequence(F.lit(0), F.lit(width - 1))
-    order = F.transform(
-        F.array_sort(
-            F.transform(
-                places,
-                lambda i: F.struct(
-                    F.xxhash64(*[quoted(k) for k in key], F.col("_draw"), i).alias("h"),
-                    i.alias("i"),
-                ),
-            )
-        ),
-        lambda s: s["i"],
+    pairs = with_donor(drawn, F.col("_x"), key, "_draw", seed, "_z").select(
+        *[quoted(k) for k in key], "_x", "_z", F.xxhash64(*[quoted(k) for k in key], "_draw", F.lit(seed)).alias("_h")
     )
-    steps = (
-        with_donor(drawn, F.col("_x"), key, "_draw", seed, "_z")
-        .withColumn("_order", order)
-        .withColumn("_step", F.explode(F.sequence(F.lit(0), F.lit(width))))
-    )
-    mixed = F.transform(
-        places,
-        lambda i: F.when(
-            F.array_position("_order", i) <= F.col("_step"), F.get("_x", i)
-        ).otherwise(F.get("_z", i)),
-    )
-    vectors = steps.select(
-        *[quoted(k) for k in key], "_draw", "_step", "_order",
-        array_to_vector(mixed).alias("features"),
-    )
-    scored = scored_frame(run.model, vectors, run.task == CLASSIFICATION)
+    schema = T.StructType([vectors.schema[k] for k in key])
+    schema = schema.add("_gained", "int").add("_lost", "int").add("_v", T.ArrayType(T.DoubleType()))
+    walked = pairs.mapInArrow(_walk(key, width), schema).withColumn("features", array_to_vector("_v")).drop("_v")
+    scored = scored_frame(run.model, walked, run.task == CLASSIFICATION)
     values = scored.select(
-        *[quoted(k) for k in key], "_draw", "_step", "_order",
-        F.posexplode(_outputs(run, scored)).alias("_class", "_value"),
-    )
-    path = Window.partitionBy(*[quoted(k) for k in key], "_draw", "_class").orderBy("_step")
-    changes = (
-        values.withColumn("_change", F.col("_value") - F.lag("_value").over(path))
-        .filter("_step > 0")
-        .withColumn("_i", F.get("_order", F.col("_step") - 1))
+        *[quoted(k) for k in key], "_gained", "_lost", F.posexplode(_outputs(run, scored)).alias("_class", "_value")
     )
-    per_row = changes.groupBy(*[quoted(k) for k in key], "_i", "_class").agg(
-        F.avg("_change").alias("_phi")
+    signed = values.select(
+        *[quoted(k) for k in key], "_class",
+        F.explode(F.array(
+            F.struct(F.col("_gained").alias("i"), F.col("_value").alias("v")),
+            F.struct(F.col("_lost").alias("i"), (-F.col("_value")).alias("v")),
+        )).alias("_s"),
+    ).filter("_s.i >= 0")
+    per_row = signed.groupBy(*[quoted(k) for k in key], F.col("_s.i").alias("_i"), "_class").agg(
+        (F.sum("_s.v") / draws).alias("_phi")
     )
     names = F.array(*[F.lit(n) for n in run.features.names])
     return (

@@ -14,8 +14,6 @@ from dataclasses import asdict, dataclass, field, fields
 import numpy as np
 from pyspark.ml import Estimator, PipelineModel
 from pyspark.ml.feature import (
-    PCA,
-    ElementwiseProduct,
     OneHotEncoder,
     SQLTransformer,
     StandardScaler,
@@ -24,7 +22,6 @@ from pyspark.ml.feature import (
     VectorSlicer,
 )
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import Vectors
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +30,7 @@ from pyspark.sql.window import Window
 
 from tablewright.errors import FeatureConfigError
 from tablewright.functions.scalars import normalise_missing, quoted
+from tablewright.ml.principal import principal_directions, projection
 from tablewright.operators.profile import type_family, unpivot_by_type
 from tablewright.operators.quantiles import exact_quantiles
 
@@ -316,7 +314,7 @@ def fit_features(
     if config.pca_enabled:
         k = _add_pca(chain, vectors[-1], len(names), config.pca_components)
         names = [f"pca{i}" for i in range(k)]
-        vectors += ["_centred", "_projected"]
+        vectors += ["_projected"]
     temporary += [v for v in vectors if v != "features"]
     chain.add(SQLTransformer(statement=f"SELECT * EXCEPT ({', '.join(temporary)}) FROM __THIS__"))
     return FittedFeatures(PipelineModel(chain.stages), numeric, categorical, names)
@@ -434,29 +432,18 @@ def f_regression(df: DataFrame, column: str, label: str) -> np.ndarray:
 
 
 def _add_pca(chain: _Chain, column: str, width: int, components: float | int | None) -> int:
-    """Centre, project, fix the signs; returns the number of components."""
-    full = min(chain.frame.limit(width).count(), width)
-    chain.add(StandardScaler(inputCol=column, outputCol="_centred", withMean=True, withStd=False))
-    if components is None:
-        k = full
-    elif 0 < components < 1:
-        probe = PCA(k=full, inputCol="_centred", outputCol="_p").fit(chain.frame)
-        shares = np.cumsum(probe.explainedVariance.toArray())
-        k = min(full, int(np.searchsorted(shares, components, side="right")) + 1)
-    else:
-        k = int(components)
-        if not 1 <= k <= full:
+    """Project on the principal directions and centre; returns their number. The vectors are centred
+    after the projection, so sparse ones stay sparse."""
+    share = components if components is not None and 0 < components < 1 else None
+    count = None if components is None or share is not None else int(components)
+    if count is not None:
+        full = min(chain.frame.limit(width).count(), width)
+        if not 1 <= count <= full:
             raise FeatureConfigError(f"pca_components must lie between 1 and {full}.")
-    model = chain.add(PCA(k=k, inputCol="_centred", outputCol="_projected"))
-    loadings = model.pc.toArray()
-    strongest = np.abs(loadings).argmax(axis=0)
-    signs = np.where(loadings[strongest, np.arange(k)] >= 0, 1.0, -1.0)
-    chain.add(
-        ElementwiseProduct(
-            scalingVec=Vectors.dense(signs), inputCol="_projected", outputCol="features"
-        )
-    )
-    return k
+    directions, _ = principal_directions(chain.frame, column, count, share)
+    chain.add(projection(directions, column, "_projected"))
+    chain.add(StandardScaler(inputCol="_projected", outputCol="features", withMean=True, withStd=False))
+    return directions.shape[1]
 
 
 @dataclass

@@ -138,3 +138,60 @@ def test_scores_against_formulas(spark):
     r = np.array([pd.Series(x[:, i]).corr(pd.Series(y)) for i in (0, 1)])
     found = X.f_regression(df, "v", "y")
     assert np.allclose(found[:2], r**2 / (1 - r**2) * 198) and found[2] == 0
+
+
+def test_pca_of_wide_onehot_features(spark, monkeypatch):
+    """A block narrower than the vectors finds the leading directions of sparse columns."""
+    from tablewright.ml import principal
+
+    rng = np.random.default_rng(3)
+    group = rng.integers(0, 4, 3000)
+    values = [(f"a{g}_{rng.integers(0, 3 + 12 * g)}", f"b{g % 2}_{rng.integers(0, 40)}") for g in group]
+    df = spark.createDataFrame(values, "a string, b string").repartition(4)
+    plain = X.fit_features(df, FeatureConfig())
+    x = matrix(plain, df)
+    centred = x - x.mean(axis=0)
+    variances = np.linalg.eigvalsh(centred.T @ centred / (len(x) - 1))[::-1]
+    assert x.shape[1] > 100
+    vectors = plain.transform(df)
+    directions, found = principal.principal_directions(vectors, "features", 5)
+    assert np.allclose(found, variances[:5], rtol=1e-6)
+    projected = centred @ directions
+    assert np.allclose(projected.var(axis=0, ddof=1), variances[:5], rtol=1e-6)
+    monkeypatch.setattr(principal, "FIRST_BLOCK", 4)
+    for share in (0.3, 0.9):
+        directions, found = principal.principal_directions(vectors, "features", None, share)
+        wanted = int((np.cumsum(variances) > share * variances.sum()).argmax()) + 1
+        assert len(found) == wanted and np.allclose(found, variances[:wanted], rtol=1e-5)
+    fitted = X.fit_features(df, FeatureConfig(pca_enabled=True, pca_components=3))
+    assert np.allclose(matrix(fitted, df).mean(axis=0), 0)
+
+
+def test_pca_saves_with_its_pipeline(spark, churn, tmp_path):
+    from pyspark.ml import PipelineModel
+
+    fitted = X.fit_features(churn, FeatureConfig(target="churned", pca_enabled=True, pca_components=2))
+    fitted.model.write().save(f"{tmp_path}/m")
+    again = PipelineModel.load(f"{tmp_path}/m").transform(churn).select(vector_to_array("features").alias("f")).collect()
+    assert np.allclose(np.array([r["f"] for r in again]), matrix(fitted, churn))
+
+
+def test_numbers_of_categories(spark, monkeypatch):
+    from tablewright.operators import categories as K
+
+    values = [f"v{i * 7919 % 500:03d}" if i % 9 else None for i in range(900)]
+    rows = [(i, v, bool(i % 2), float(i)) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "`k 1` int, `a.b` string, flag boolean, _value double").repartition(7)
+    known = sorted({v for v in values if v})
+    for most in (0, 10_000):
+        monkeypatch.setattr(K, "BROADCAST_VALUES", most)
+        numbers = K.CategoryNumbers.fit(df.drop("_value"), ["a.b", "flag"])
+        assert numbers.sizes == [len(known), 2]
+        found = {r["k 1"]: r["hot"] for r in numbers.onehot(df.drop("_value")).collect()}
+        assert found == {i: [known.index(v)] * bool(v) + [len(known) + f] for i, v, f, _ in rows}
+        new = spark.createDataFrame([("nothing", None), (known[3], True)], "`a.b` string, flag boolean")
+        assert [tuple(r)[2:] for r in numbers.ordinal(new).collect()] == [(-1, -1), (3, 1)]
+    names = {r["index"]: r["name"] for r in numbers.names().collect()}
+    assert names[0] == f"categorical__a.b_{known[0]}" and names[len(known) + 1] == "categorical__flag_True"
+    empty = K.CategoryNumbers.fit(df.limit(0).drop("_value"), ["a.b"])
+    assert empty.sizes == [0] and empty.onehot(df.drop("_value")).filter(F.size("hot") > 0).count() == 0
