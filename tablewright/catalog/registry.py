@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tablewright.catalog.base import registered, rounded, table
 from tablewright.plans import registry as R
+from tablewright.session import shared_folder
 
 
 @registered(
@@ -71,6 +72,75 @@ def page_position(spark, folder):
     return R.page_position(rows, R.PageParams(page=3, size=50, sort_by="o_totalprice"))
 
 
+@registered(
+    "registry_page_walk",
+    "select o_orderstatus as status, count(*) as n, count(*) as distinct_rows from orders where o_custkey % 40 = 0 group by 1",
+)
+def page_walk(spark, folder):
+    """All pages of a column of three values, one after another: each row once."""
+    rows = table(spark, folder, "orders").filter("o_custkey % 40 = 0").select("o_orderkey", "o_orderstatus").persist()
+    pages = R.page_position(rows, R.PageParams(size=100)).first()["pages"]
+    found = None
+    for page in range(1, pages + 1):
+        items = R.page_items(rows, R.PageParams(page=page, size=100, sort_by="o_orderstatus"))
+        found = items if found is None else found.unionByName(items)
+    return found.groupBy(F.col("o_orderstatus").alias("status")).agg(
+        F.count("*").alias("n"), F.countDistinct("o_orderkey").alias("distinct_rows")
+    )
+
+
+@registered(
+    "registry_page_deep",
+    """select l_orderkey, l_linenumber, l_shipdate from lineitem
+       order by l_shipdate desc, cast(l_orderkey * 10 + l_linenumber as bigint)
+       limit 100 offset 100 * (99 * ((select count(*) from lineitem) // 150) // 100)""",
+)
+def page_deep(spark, folder):
+    """A page two thirds down a column of ties."""
+    rows = table(spark, folder, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_shipdate", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("bigint").alias("id")
+    )
+    page = 99 * (rows.count() // 150) // 100 + 1
+    return R.page_items(rows, R.PageParams(page=page, size=100, sort_by="l_shipdate")).drop("id")
+
+
+STORE_SQL = """with v as (select p_partkey as id, p_name as name, p_size as size, 1 as updated_at, false as removed from part
+        union all select p_partkey, 'new ' || p_name, p_size, 2, false from part where p_size % 3 = 0
+        union all select p_partkey, 'new ' || p_name, p_size, 3, true from part where p_size = 6
+        union all select p_partkey, p_name, p_size, 3, true from part where p_size = 7
+        union all select p_partkey, 'last ' || p_name, p_size, 4, false from part where p_size in (6, 8)),
+    s as (select * from (select *, row_number() over (partition by id order by updated_at desc) as r from v) where r = 1 and not removed)"""
+
+
+def _store(spark, folder, compact):
+    store = R.RowStore(spark, f"{shared_folder(spark)}/parts")
+    part = table(spark, folder, "part").select(
+        F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_size").alias("size"), F.lit(1).alias("updated_at")
+    )
+    store.append(part)
+    renamed = part.filter("size % 3 = 0").withColumn("name", F.concat(F.lit("new "), "name"))
+    store.append(renamed.withColumn("updated_at", F.lit(2)))
+    gone = store.delete(part.filter("size in (6, 7)").select("id"), F.lit(3))
+    if compact:
+        store.compact()
+    last = part.filter("size in (6, 8)").withColumn("name", F.concat(F.lit("last "), "name"))
+    store.append(last.withColumn("updated_at", F.lit(4)))
+    return store, gone
+
+
+@registered("registry_delete_by_id", "select count(*) as deleted from part where p_size in (6, 7)")
+def delete_by_id(spark, folder):
+    _, gone = _store(spark, folder, False)
+    return spark.createDataFrame([(gone,)], "deleted bigint")
+
+
+@registered("registry_snapshot_state", STORE_SQL + " select id, name, size, updated_at from s")
+def snapshot_state(spark, folder):
+    """Rows changed, removed, folded into a snapshot, and changed again."""
+    store, _ = _store(spark, folder, True)
+    return store.state().select("id", "name", "size", "updated_at")
+
+
 @registered("registry_live_rows", "select p_partkey from part where not (p_size > 25)")
 def live_rows(spark, folder):
     rows = table(spark, folder, "part").withColumn(
@@ -185,6 +255,23 @@ def next_versions(spark, folder):
                 null::timestamp as v2 from a left join m using (project_id, slug)) group by project_id, slug""",
 )
 def register(spark, folder):
+    requests, runs, experiments, models = _registering(spark, folder)
+    made = R.register_models(requests, runs, experiments, models)
+    # versions must follow the request time: compare each version with the one before it
+    from pyspark.sql.window import Window
+
+    before = F.max("requested_at").over(
+        Window.partitionBy("project_id", "slug").orderBy("version").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    return made.withColumn("_before", before).groupBy("project_id", "slug").agg(
+        F.count("*").alias("registered"), F.min("version").alias("first_version"),
+        F.max("version").alias("last_version"), F.countDistinct("version").alias("versions"),
+        F.count_if(F.col("_before") > F.col("requested_at")).alias("out_of_order"),
+    )
+
+
+def _registering(spark, folder):
+    """Requests, runs, experiments and models; each fourth request of each day also deploys."""
     orders = table(spark, folder, "orders")
     runs = orders.select(
         F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("experiment_id"),
@@ -202,17 +289,39 @@ def register(spark, folder):
     models = table(spark, folder, "supplier").select(
         F.col("s_nationkey").alias("project_id"), F.lit("1-urgent").alias("slug"), F.col("s_suppkey").alias("version")
     )
-    made = R.register_models(requests, runs, experiments, models)
-    # versions must follow the request time: compare each version with the one before it
-    from pyspark.sql.window import Window
+    return requests, runs, experiments, models
 
-    before = F.max("requested_at").over(
-        Window.partitionBy("project_id", "slug").orderBy("version").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    return made.withColumn("_before", before).groupBy("project_id", "slug").agg(
-        F.count("*").alias("registered"), F.min("version").alias("first_version"),
-        F.max("version").alias("last_version"), F.countDistinct("version").alias("versions"),
-        F.count_if(F.col("_before") > F.col("requested_at")).alias("out_of_order"),
+
+DEPLOY_SQL = """with a as (select o_orderkey as run_id, o_orderdate, o_orderkey % 4 = 0 as deploy, o_clerk_id as user_id, c_nationkey as project_id,
+           lower(replace(o_orderpriority, ' ', '-')) as slug, o_orderpriority as name
+         from (select *, o_custkey % 10 as o_clerk_id from orders) join customer on o_custkey = c_custkey where o_orderstatus <> 'F' and o_orderkey % 3 > 0),
+       m as (select s_nationkey as project_id, '1-urgent' as slug, max(s_suppkey) as top from supplier group by 1),
+       v as (select a.*, coalesce(top, 0) + row_number() over (partition by project_id, slug order by o_orderdate, run_id) as version
+             from a left join m using (project_id, slug)),
+       s as (select project_id, slug, max(version) as serving, min(version) as first from v where deploy group by all)"""
+
+
+@registered(
+    "registry_register_deploy",
+    DEPLOY_SQL
+    + """ select 'model' as kind, run_id as id, case when not deploy then 'none' when version = serving then 'production' else 'archived' end as value
+             from v left join s using (project_id, slug)
+        union all select 'change', s_suppkey, 'archived' from supplier join s on s_nationkey = project_id and slug = '1-urgent' where s_suppkey % 5 = 0
+        union all select 'note to ' || user_id, run_id, name || ' version ' || version || ' is in production' from v where deploy""",
+)
+def register_deploy(spark, folder):
+    """New models with their stages, older ones that are replaced, and who is told."""
+    requests, runs, experiments, models = _registering(spark, folder)
+    users = table(spark, folder, "orders").select(F.col("o_orderkey").alias("run_id"), (F.col("o_custkey") % 10).alias("user_id"))
+    requests = requests.join(users, "run_id").withColumn("deploy", F.col("run_id") % 4 == 0)
+    models = models.withColumn("id", F.col("version")).withColumn("stage", F.when(F.col("version") % 5 == 0, "production").otherwise("none"))
+    made = R.register_and_deploy(requests, runs, experiments, models)
+    return (
+        made.models.select(F.lit("model").alias("kind"), F.col("run_id").cast("bigint").alias("id"), F.col("stage").alias("value"))
+        .unionByName(made.changes.select(F.lit("change").alias("kind"), F.col("model_id").cast("bigint").alias("id"), F.col("stage").alias("value")))
+        .unionByName(made.notifications.select(
+            F.concat(F.lit("note to "), "user_id").alias("kind"), F.col("subject_id").cast("bigint").alias("id"), F.col("message").alias("value")
+        ))
     )
 
 

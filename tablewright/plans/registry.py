@@ -7,16 +7,19 @@ one id with a very long history is no hot task.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from functools import reduce
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.errors import RegistryError
 from tablewright.functions.scalars import quoted, slugify
 from tablewright.operators.ordering import hash_numbered, null_safe_join, running_totals
-from tablewright.session import cut_lineage, shared_folder
+from tablewright.session import cut_lineage
+from tablewright.sources.tables import NumberedFolders
 
 # Enumerations, page limits and the metrics of a comparison.
 RUN_STATES = ("pending", "running", "completed", "failed")
@@ -25,7 +28,6 @@ STAGES = ("none", "staging", "production", "archived")
 NOTIFICATION_TYPES = ("info", "success", "warning", "error")
 PAGE_SIZE = 20
 MAX_PAGE_SIZE = 100
-DEEP_OFFSET = 100_000
 COMPARED_MODELS = (2, 10)
 USER_AGENT_LENGTH = 400
 API_PREFIX = "/api/v1/"
@@ -102,53 +104,96 @@ class PageParams:
             raise RegistryError(f"page must be 1 or more, size 1 to {MAX_PAGE_SIZE}.")
 
 
-def ordered(df: DataFrame, params: PageParams, tiebreak: str = "id") -> DataFrame:
-    """Sorted by the requested column, else by ``created_at``; ``tiebreak`` makes it unique."""
+def _sort_keys(df: DataFrame, params: PageParams, tiebreak: str) -> list[tuple[Column, bool]]:
+    """Columns of a total order and whether they fall: the one asked for (else ``created_at``, if there
+    is one), then ``tiebreak``; a table without that is ordered by a hash of the row."""
     name = params.sort_by if params.sort_by in df.columns else "created_at"
-    if name not in df.columns:
-        return df
-    column = quoted(name)
-    ends = [quoted(tiebreak).asc()] if tiebreak in df.columns else []
-    return df.orderBy(column.desc() if params.descending else column.asc(), *ends)
+    keys = [(_comparable(df, name), params.descending)] if name in df.columns else []
+    if tiebreak in df.columns:
+        return [*keys, (_comparable(df, tiebreak), False)]
+    return [*keys, (F.xxhash64(*[quoted(c) for c in df.columns]), False)]
 
 
-def page_items(df: DataFrame, params: PageParams, tiebreak: str = "id") -> DataFrame:
-    """The rows of one page."""
-    params.validate()
-    rows = ordered(df, params, tiebreak)
-    offset = (params.page - 1) * params.size
-    if offset < DEEP_OFFSET:  # every task keeps at most offset + size rows
-        return rows.offset(offset).limit(params.size)
-    return _deep_page(rows, params, tiebreak, offset)
+def _comparable(df: DataFrame, name: str) -> Column:
+    """A column in a form of the same order whose values compare alike here and on the driver."""
+    kind = df.schema[name].dataType.typeName()
+    return F.unix_micros(quoted(name)) if kind == "timestamp" else quoted(name).cast("string") if kind == "timestamp_ntz" else quoted(name)
+
 
+def ordered(df: DataFrame, params: PageParams, tiebreak: str = "id") -> DataFrame:
+    """Sorted by the requested column, else by ``created_at``; ties by ``tiebreak`` or a row hash."""
+    return df.orderBy(*[k.desc() if falls else k.asc() for k, falls in _sort_keys(df, params, tiebreak)])
 
-def _deep_page(rows: DataFrame, params: PageParams, tiebreak: str, offset: int) -> DataFrame:
-    """A page far down: write the sorted rows once, then open only the files it lies in.
 
-    The sort is range-partitioned and each partition becomes files in order, so the row counts
-    per file tell where the page is.
+def page_items(df: DataFrame, params: PageParams, tiebreak: str = "id") -> DataFrame:
+    """The rows of one page, in the order of :func:`ordered`.
+
+    Order statistics find the page at every depth alike: a sample of the rows, by hash, gives bounds
+    around it, one pass counts the rows before and inside them, and this goes on inside until few
+    rows are left, which are sorted. Nothing else is sorted, and no task holds more than a sample.
     """
-    spark = rows.sparkSession
-    path = f"{shared_folder(spark)}/sorted"
-    rows.write.parquet(path)
-    stored = spark.read.schema(rows.schema).parquet(path)
-    files = stored.groupBy(F.col("_metadata.file_path").alias("f")).agg(F.count("*").alias("n"))
-    before, first, chosen = 0, 0, []
-    for row in sorted(files.collect(), key=lambda r: _file_order(r["f"])):
-        if before < offset + params.size and before + row["n"] > offset:
-            first = first if chosen else before
-            chosen.append(row["f"])
-        before += row["n"]
-    if not chosen:
-        return stored.limit(0)
-    part = spark.read.schema(rows.schema).parquet(*chosen)
-    return ordered(part, params, tiebreak).offset(offset - first).limit(params.size)
-
-
-def _file_order(path: str) -> tuple[int, str]:
-    """Sort key of a written file: ``part-00012-…`` by its partition number."""
-    name = path.rsplit("/", 1)[-1]
-    return int(name.split("-")[1]), name
+    params.validate()
+    keys = _sort_keys(df, params, tiebreak)
+    offset = (params.page - 1) * params.size
+    inside, before, n, margin = df, 0, df.count(), 4.0
+    while n > BRACKET_ROWS:
+        low, high = _bracket(inside, keys, (offset - before) / n, (offset - before + params.size) / n, margin)
+        if low is None and high is None:
+            break  # rows are alike in all keys, or the page is as wide as the table
+        first, last = F.lit(False), F.lit(True)
+        if low is not None:
+            first = _precedes(keys, low)
+        if high is not None:
+            last = ~_follows(keys, high)
+        counts = inside.agg(F.count_if(first).alias("first"), F.count_if(~first & last).alias("held")).first()
+        covered = before + counts["first"] <= offset and before + counts["first"] + counts["held"] >= min(offset + params.size, before + n)
+        if not covered or counts["held"] >= n:
+            margin *= 4  # the bounds missed the page
+            continue
+        inside, before, n = inside.filter(~first & last), before + counts["first"], counts["held"]
+    return ordered(inside, params, tiebreak).offset(offset - before).limit(params.size)
+
+
+#: Rows that are sorted at once, and rows of a sample.
+BRACKET_ROWS = 100_000
+SAMPLED_ROWS = 4_000
+
+
+def _bracket(df: DataFrame, keys: list[tuple[Column, bool]], low: float, high: float, margin: float) -> tuple:
+    """Rows of a sample that lie before and after the shares ``low`` and ``high`` of the order, with a
+    margin that a sample rarely misses; None beyond its ends, and both None if they are alike."""
+    order = F.xxhash64(*[quoted(c) for c in df.columns], F.lit(7))
+    sample = df.select(*[k.alias(f"k{i}") for i, (k, _) in enumerate(keys)], order.alias("h"))
+    sample = sample.orderBy("h").limit(SAMPLED_ROWS)
+    named = [F.col(f"k{i}").desc() if falls else F.col(f"k{i}").asc() for i, (_, falls) in enumerate(keys)]
+    rows = sample.orderBy(*named).drop("h").collect()
+    if not rows or rows[0] == rows[-1]:
+        return None, None
+    margin *= math.sqrt(len(rows)) / 2
+    first, last = int(low * len(rows) - margin), int(math.ceil(high * len(rows) + margin))
+    return rows[first] if first > 0 else None, rows[last] if last < len(rows) else None
+
+
+def _precedes(keys: list[tuple[Column, bool]], row) -> Column:
+    """Whether a row comes before another in the order; NULL is the lowest value."""
+    found, alike = F.lit(False), F.lit(True)
+    for (key, falls), value in zip(keys, row, strict=True):
+        if value is None:
+            less, equal = (key.isNotNull() if falls else F.lit(False)), key.isNull()
+        else:
+            bound = F.lit(value)
+            less = F.coalesce(key > bound if falls else key < bound, F.lit(not falls))
+            equal = key.eqNullSafe(bound)
+        found, alike = found | (alike & less), alike & equal
+    return found
+
+
+def _follows(keys: list[tuple[Column, bool]], row) -> Column:
+    """Whether a row comes after another in the order."""
+    same = F.lit(True)
+    for (key, _), value in zip(keys, row, strict=True):
+        same = same & (key.isNull() if value is None else key.eqNullSafe(F.lit(value)))
+    return ~_precedes(keys, row) & ~same
 
 
 def page_position(df: DataFrame, params: PageParams) -> DataFrame:
@@ -197,6 +242,68 @@ def current_state(versions: DataFrame, key: str = "id", at: list[str] | None = N
     return state.filter(~F.col("removed")).drop("removed") if "removed" in state.columns else state
 
 
+class RowStore:
+    """A table of row versions in folders: ``change=N`` holds appended versions, ``snapshot=N`` the state
+    after the changes up to N, removed rows left out.
+
+    A read takes the latest snapshot and the changes after it. Every folder becomes visible whole
+    (see ``NumberedFolders``); a snapshot replaces nothing, so readers of an older one go on.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, key: str = "id", at: list[str] | None = None):
+        self.spark, self.key, self.at = spark, key, at or ["updated_at"]
+        self.changes = NumberedFolders(spark, path, "change")
+        self.snapshots = NumberedFolders(spark, path, "snapshot")
+
+    def append(self, rows: DataFrame) -> int:
+        """Add row versions; ``removed`` marks rows that are gone (missing: none is)."""
+        if "removed" not in rows.columns:
+            rows = rows.withColumn("removed", F.lit(False))
+        return self.changes.add(lambda folder: rows.write.parquet(f"{folder}/rows"))
+
+    def _upto(self) -> tuple[int, list[str]]:
+        """The last change, and the folders that hold the state."""
+        made = {int(n): folder for folder in map(self.snapshots.folder, self.snapshots.numbers()) for n in [self._mark(folder)]}
+        done = max(made, default=0)
+        later = [n for n in self.changes.numbers() if n > done]
+        folders = [f"{made[done]}/rows"] if made else []
+        return max([done, *later]), folders + [f"{self.changes.folder(n)}/rows" for n in later]
+
+    def _mark(self, folder: str) -> int:
+        """The last change that a snapshot holds: the name of its only other folder."""
+        names = self.snapshots._listed(folder)
+        return next(int(n.removeprefix("upto=")) for n in names if n.startswith("upto="))
+
+    def state(self) -> DataFrame:
+        """The current rows."""
+        folders = self._upto()[1]
+        if not folders:
+            raise RegistryError("The table has no rows yet.")
+        return current_state(self.spark.read.parquet(*folders), self.key, self.at)
+
+    def delete(self, ids: DataFrame, now: Column) -> int:
+        """Remove the rows whose key is in the only column of ``ids``; return how many there were."""
+        wanted = ids.select(F.col(ids.columns[0]).alias(self.key)).distinct()
+        gone = cut_lineage(self.state().join(wanted, self.key, "left_semi").select("*"))
+        n = gone.count()
+        if n:
+            stamped = gone.withColumn(self.at[0], now.cast(gone.schema[self.at[0]].dataType))
+            self.append(stamped.withColumn("removed", F.lit(True)))
+        return n
+
+    def compact(self) -> int:
+        """Fold the changes into a snapshot and return its number."""
+        upto, _ = self._upto()
+        state = self.state().withColumn("removed", F.lit(False))
+
+        def write(folder: str) -> None:
+            state.write.parquet(f"{folder}/rows")
+            path, files = self.snapshots._hadoop(f"{folder}/upto={upto}")
+            files.mkdirs(path)
+
+        return self.snapshots.add(write)
+
+
 def append(rows: DataFrame, path: str) -> None:
     """Append row versions to a table."""
     rows.write.mode("append").parquet(path)
@@ -302,6 +409,42 @@ def register_models(requests: DataFrame, runs: DataFrame, experiments: DataFrame
     )
 
 
+class Registered(NamedTuple):
+    """What registering with deployment appends: ``models``, stage ``changes`` of older models, and
+    ``notifications``."""
+
+    models: DataFrame
+    changes: DataFrame
+    notifications: DataFrame
+
+
+def register_and_deploy(requests: DataFrame, runs: DataFrame, experiments: DataFrame, models: DataFrame) -> Registered:
+    """:func:`register_models` for requests that also say ``deploy`` and ``user_id``.
+
+    Of the versions that one (project, slug) is asked to deploy the last one serves in production; the
+    others were, and are archived, as is the model ``(id, project_id, slug, stage)`` that served before.
+    Every deployment is notified to the user who asked for it.
+    """
+    group = ["project_id", "slug"]
+    made = cut_lineage(register_models(requests, runs, experiments, models))
+    asked = made.filter(F.coalesce("deploy", F.lit(False)))
+    serving = cut_lineage(asked.groupBy(*group).agg(
+        F.max("version").alias("_serving"), F.min_by("requested_at", "version").alias("_at")
+    ))
+    joined = null_safe_join(made, serving, group, "left")
+    deployed = F.coalesce("deploy", F.lit(False))
+    stage = F.when(deployed & (F.col("version") == F.col("_serving")), "production").when(deployed, "archived").otherwise("none")
+    rows = joined.select(*[stage.alias("stage") if c == "stage" else quoted(c) for c in made.columns])
+    older = null_safe_join(models.filter(F.col("stage") == "production"), serving, group)
+    changes = older.select(F.col("id").alias("model_id"), F.lit("archived").alias("stage"), F.col("_at").alias("at"))
+    notifications = asked.select(
+        "user_id", F.col("run_id").alias("subject_id"), F.lit("model_deployed").alias("kind"),
+        F.format_string("%s version %d is in production", "name", "version").alias("message"),
+        F.col("requested_at").alias("created_at"), F.lit(None).cast("timestamp").alias("read_at"),
+    )
+    return Registered(rows, changes, notifications)
+
+
 def model_stages(models: DataFrame, changes: DataFrame) -> DataFrame:
     """Models with the stage that follows from their stored one and all stage changes
     ``(model_id, stage, at)``.

@@ -86,17 +86,73 @@ def test_paging(spark):
         R.page_items(df, R.PageParams(size=101))
 
 
-def test_deep_pages_equal_shallow_ones(spark, monkeypatch):
-    df = spark.range(1000).select("id", (F.col("id") % 7).alias("created_at")).repartition(6)
-    for page in (1, 3, 10):
-        for descending in (True, False):
-            params = R.PageParams(page=page, size=100, descending=descending)
-            shallow = R.page_items(df, params).collect()
-            monkeypatch.setattr(R, "DEEP_OFFSET", 0)
-            assert R.page_items(df, params).collect() == shallow and len(shallow) == 100
-            monkeypatch.undo()
-    monkeypatch.setattr(R, "DEEP_OFFSET", 0)
-    assert R.page_items(df, R.PageParams(page=11, size=100)).count() == 0
+@pytest.mark.parametrize("descending", [True, False])
+@pytest.mark.parametrize("kind", ["int", "string", "timestamp", "timestamp_ntz", "double"])
+def test_pages_walk_through_every_row_once(spark, monkeypatch, descending, kind):
+    """A column of many ties and nulls: all pages in turn are the sorted table, at every depth."""
+    monkeypatch.setattr(R, "BRACKET_ROWS", 40)
+    monkeypatch.setattr(R, "SAMPLED_ROWS", 60)
+    value = F.when(F.col("id") % 11 > 0, F.col("id") * 7 % 13)
+    typed = {"timestamp": F.timestamp_seconds(value * 3600), "timestamp_ntz": F.timestamp_seconds(value).cast("timestamp_ntz")}
+    df = spark.range(700).select("id", typed.get(kind, value.cast(kind)).alias("v")).repartition(6).cache()
+    order = F.col("v").desc() if descending else F.col("v").asc()
+    expected = [r.id for r in df.orderBy(order, "id").collect()]
+    for page in (1, 2, 5, 7, 8):
+        params = R.PageParams(page=page, size=100, sort_by="v", descending=descending)
+        assert [r.id for r in R.page_items(df, params).collect()] == expected[(page - 1) * 100 : page * 100]
+
+
+def test_pages_without_a_tiebreak_fit_together(spark, monkeypatch):
+    monkeypatch.setattr(R, "BRACKET_ROWS", 40)
+    monkeypatch.setattr(R, "SAMPLED_ROWS", 60)
+    df = spark.range(300).select(F.col("id").alias("n"), (F.col("id") % 3).alias("created_at")).repartition(5).cache()
+    found = [r.n for page in range(1, 8) for r in R.page_items(df, R.PageParams(page=page, size=50)).collect()]
+    assert len(found) == 300 and sorted(found) == list(range(300))
+    alike = spark.range(200).select(F.lit(1).alias("created_at"))
+    assert R.page_items(alike, R.PageParams(page=2, size=100)).count() == 100
+
+
+def test_row_store(spark, tmp_path):
+    """Changes, deletes by id with a count, and snapshots: the state is the latest version of each row."""
+    store = R.RowStore(spark, f"{tmp_path}/rows")
+    with pytest.raises(RegistryError):
+        store.state()
+    schema = "id int, name string, updated_at int"
+    store.append(spark.createDataFrame([(i, f"n{i}", 1) for i in range(6)], schema))
+    store.append(spark.createDataFrame([(1, "new", 2), (7, "late", 2)], schema))
+    assert store.delete(spark.createDataFrame([(0,), (7,), (7,), (99,)], "key int"), F.lit(3)) == 2
+    assert store.delete(spark.createDataFrame([(0,)], "key int"), F.lit(4)) == 0
+    state = {1: "new", **{i: f"n{i}" for i in range(2, 6)}}
+    assert {r.id: r.name for r in store.state().collect()} == state
+    assert store.compact() == 1
+    assert {r.id: r.name for r in store.state().collect()} == state
+    store.append(spark.createDataFrame([(2, "newer", 5), (8, "x", 5)], schema))
+    assert {r.id: r.name for r in store.state().collect()} == state | {2: "newer", 8: "x"}
+    upto, folders = store._upto()
+    assert upto == 4 and len(folders) == 2  # the snapshot and one change
+    assert store.compact() == 2 and len(store._upto()[1]) == 1
+
+
+def test_two_writers_get_two_versions(spark, tmp_path):
+    from multiprocessing.pool import ThreadPool
+
+    store = S.VersionedTable(spark, f"{tmp_path}/t")
+    frames = [spark.range(n).select("id") for n in range(1, 7)]
+    with ThreadPool(6) as pool:
+        numbers = pool.map(store.write, frames)
+    assert sorted(numbers) == [1, 2, 3, 4, 5, 6] == store.versions()
+    rows = {r.version: r.n_rows for r in store.records().collect()}
+    assert rows == {number: n for number, n in zip(numbers, range(1, 7), strict=True)}
+    assert all(store.read(v).count() == n for v, n in rows.items())
+
+
+def test_a_writer_that_fails_leaves_no_version(spark, tmp_path):
+    store = S.VersionedTable(spark, f"{tmp_path}/t")
+    store.write(spark.range(3))
+    with pytest.raises(Exception, match="stop"):
+        store.write(spark.range(5).select(F.raise_error(F.lit("stop")).alias("x")))
+    assert store.versions() == [1] and store.records().count() == 1
+    assert store.write(spark.range(4)) == 2
 
 
 def test_compare_needs_two_models(spark):
