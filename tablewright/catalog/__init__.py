@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("sources", "profile", "eda", "metrics", "split", "features", "registry", "models")
+MODULES = ("sources", "profile", "eda", "metrics", "split", "features", "registry", "models", "model_values")
 
 
 def load_catalog() -> None:
