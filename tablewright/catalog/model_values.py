@@ -18,19 +18,19 @@ from tablewright.session import shared_folder
 
 # ---- trees: a full tree gives the mean of the rows that are alike in all features ----
 
-LEAVES_SQL = """select l_quantity, l_discount, l_tax, round(avg(l_extendedprice / 7), 3) as prediction
+LEAVES_SQL = """select l_quantity, l_discount, l_tax, round(avg(sqrt(l_extendedprice)), 4) as prediction
     from lineitem group by l_quantity, l_discount, l_tax"""
 
 
 def _leaves(spark, folder, key, params):
     lines = table(spark, folder, "lineitem").select(
-        "l_quantity", "l_discount", "l_tax", (F.col("l_extendedprice") / 7).alias("label")
+        "l_quantity", "l_discount", "l_tax", F.sqrt("l_extendedprice").alias("label")
     )
     fitted = fit_features(lines, FeatureConfig(scaling="none"), "label", "regression")
     frame = fitted.transform(lines)
     model = A.get_algorithm(key).fit(frame, A.Context("regression", lines.count()), params)
     asked = frame.select("l_quantity", "l_discount", "l_tax", "features").dropDuplicates(["l_quantity", "l_discount", "l_tax"])
-    return rounded(model.transform(asked).select("l_quantity", "l_discount", "l_tax", "prediction"), 3)
+    return rounded(model.transform(asked).select("l_quantity", "l_discount", "l_tax", "prediction"), 4)
 
 
 @registered("model_decision_tree_leaves", LEAVES_SQL)
@@ -45,7 +45,7 @@ def extra_leaves(spark, folder):
 
 @registered(
     "model_decision_tree_first_split",
-    """with d as (select l_quantity as q, l_discount as t, l_extendedprice / 7 as y from lineitem),
+    """with d as (select l_quantity as q, l_discount as t, sqrt(l_extendedprice) as y from lineitem),
         x as (select 'numeric__l_quantity' as f, q as v, y from d union all select 'numeric__l_discount', t, y from d),
         g as (select f, v, count(*) as n, sum(y) as s from x group by all),
         c as (select f, v, lead(v) over w as following, sum(n) over w as nl, sum(s) over w as sl, sum(n) over (partition by f) as n,
@@ -55,7 +55,7 @@ def extra_leaves(spark, folder):
        from b order by gain desc limit 1""",
 )
 def first_split(spark, folder):
-    lines = table(spark, folder, "lineitem").select("l_quantity", "l_discount", (F.col("l_extendedprice") / 7).alias("label"))
+    lines = table(spark, folder, "lineitem").select("l_quantity", "l_discount", F.sqrt("l_extendedprice").alias("label"))
     fitted = fit_features(lines, FeatureConfig(scaling="none"), "label", "regression")
     model = A.get_algorithm("decision_tree").fit(
         fitted.transform(lines), A.Context("regression", lines.count()), {"max_depth": 1}
@@ -159,7 +159,8 @@ def svm_grid(spark, folder):
 
     own = d.agg(loss(F.lit(w), F.lit(b))).first()[0]
     grid = F.explode(F.array(*[F.struct(F.lit(float(u)).alias("w"), F.lit(float(v)).alias("b")) for u, v in GRID])).alias("g")
-    found = d.select("x", "label", grid).groupBy(F.col("g.w").alias("w"), F.col("g.b").alias("b")).agg(loss(F.first("g.w"), F.first("g.b")).alias("loss"))
+    spread = d.select("x", "label", grid).select("x", "label", "g.w", "g.b")
+    found = spread.groupBy("w", "b").agg(loss(F.col("w"), F.col("b")).alias("loss"))
     return found.select("w", "b", F.round("loss", 5).alias("loss"), (F.lit(own) <= F.col("loss") * (1 + 1e-3)).alias("solution_not_above"))
 
 
@@ -274,7 +275,7 @@ def permutation_linear(spark, folder):
 
 @registered(
     "features_preview_values",
-    """select p_partkey, (p_size - avg(p_size) over ()) / stddev_pop(p_size) over (), 5) as numeric__p_size,
+    """select p_partkey, round((p_size - avg(p_size) over ()) / stddev_pop(p_size) over (), 5) as numeric__p_size,
           round((p_retailprice - avg(p_retailprice) over ()) / stddev_pop(p_retailprice) over (), 5) as numeric__p_retailprice from part""",
 )
 def preview_values(spark, folder):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tablewright.catalog.base import registered, rounded, table
+from tablewright.catalog.eda import hash_sql
 from tablewright.plans import registry as R
 from tablewright.session import shared_folder
 
@@ -292,11 +293,11 @@ def _registering(spark, folder):
     return requests, runs, experiments, models
 
 
-DEPLOY_SQL = """with a as (select o_orderkey as run_id, o_orderdate, o_orderkey % 4 = 0 as deploy, o_clerk_id as user_id, c_nationkey as project_id,
+DEPLOY_SQL = f"""with a as (select o_orderkey as run_id, o_orderdate, o_orderkey % 4 = 0 as deploy, o_clerk_id as user_id, c_nationkey as project_id,
            lower(replace(o_orderpriority, ' ', '-')) as slug, o_orderpriority as name
          from (select *, o_custkey % 10 as o_clerk_id from orders) join customer on o_custkey = c_custkey where o_orderstatus <> 'F' and o_orderkey % 3 > 0),
        m as (select s_nationkey as project_id, '1-urgent' as slug, max(s_suppkey) as top from supplier group by 1),
-       v as (select a.*, coalesce(top, 0) + row_number() over (partition by project_id, slug order by o_orderdate, run_id) as version
+       v as (select a.*, coalesce(top, 0) + row_number() over (partition by project_id, slug order by o_orderdate, {hash_sql(["run_id"], 42)}, run_id) as version
              from a left join m using (project_id, slug)),
        s as (select project_id, slug, max(version) as serving, min(version) as first from v where deploy group by all)"""
 

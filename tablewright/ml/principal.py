@@ -33,7 +33,7 @@ def projection(directions: np.ndarray, column: str, out: str) -> PCAModel:
     matrix = _py2java(context, DenseMatrix(rows, columns, directions.ravel(order="F").tolist()))
     shares = _py2java(context, DenseVector(np.zeros(columns)))
     model = context._jvm.org.apache.spark.ml.feature.PCAModel(f"PCA_{uuid.uuid4().hex[:12]}", matrix, shares)
-    return PCAModel(model).setInputCol(column).setOutputCol(out)
+    return PCAModel(model)._set(k=columns, inputCol=column, outputCol=out)
 
 
 class _Covariance:

@@ -159,7 +159,7 @@ def shapley_importance(
         *[quoted(k) for k in key], "_x", "_z", F.xxhash64(*[quoted(k) for k in key], "_draw", F.lit(seed)).alias("_h")
     )
     schema = T.StructType([vectors.schema[k] for k in key])
-    schema = schema.add("_gained", "int").add("_lost", "int").add("_v", T.ArrayType(T.DoubleType()))
+    schema = schema.add("_gained", T.IntegerType()).add("_lost", T.IntegerType()).add("_v", T.ArrayType(T.DoubleType()))
     walked = pairs.mapInArrow(_walk(key, width), schema).withColumn("features", array_to_vector("_v")).drop("_v")
     scored = scored_frame(run.model, walked, run.task == CLASSIFICATION)
     values = scored.select(
