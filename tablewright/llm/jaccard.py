@@ -9,10 +9,10 @@ nothing, so most documents leave here: those whose prefix has no other.
 Classes that share a prefix n-gram are candidates. The lists of all n-grams with the same smallest
 class are one group; its ``PIVOTS`` first members, that class and others by hash, meet all members
 whose length allows it, each pair verified once on the whole sets. A group of few is done with that. In a larger one
-nearly all near copies are now linked to one of the pivots, so that a group of thousands costs some
-comparisons each. What is still in another component than most of its group meets, by a join
-on the group, the members of other components that pass the length filter, the triangle inequality of the Jaccard
-distance to the first pivot, and the position and suffix filters; what is left is verified.
+most near copies are now linked to one of the pivots. Blocks of what is still in another component than
+most of its group meet blocks of the group, without pairs being made: matrices of the prefixes and of
+the spreads tell by the length, position and suffix filters, and the triangle inequality of the Jaccard
+distance to the first pivot, which pairs of two components can be similar at all. These are verified.
 """
 
 from __future__ import annotations
@@ -84,33 +84,63 @@ def _describe(shape: Shape, percent: int, digests: bool):
     return describe
 
 
-def _needed(percent: int, n: Column, m: Column) -> Column:
-    """The least overlap of sets of n and m members that are similar enough."""
-    return F.ceil(percent * (n + m) / F.lit(100.0 + percent) - 1e-9)
+def _near_pairs(percent: int):
+    """Pairs ``a, b`` of two blocks of a group that may be similar, though they are in different
+    components, by what is known without their sets.
 
+    Length; triangle inequality: similar sets are about as far from the group's first pivot. Position:
+    of the members up to the end of the prefix that ends first all shared ones are in both prefixes, and
+    what follows is at most the rest of that set. Suffix: of a hash partition at most the smaller
+    number of members is shared.
+    """
 
-def _length_filter(n: Column, m: Column, percent: int) -> Column:
-    return (100 * n >= percent * m) & (100 * m >= percent * n)
+    def find(own: pa.Table, others: pa.Table) -> pa.Table:
+        found = [], []
+        if own.num_rows and others.num_rows:
+            one, two = _Traits(own), _Traits(others)
+            grams = np.unique(np.concatenate([one.grams, two.grams]))
+            right = two.incidence(grams)
+            step = max(1, 8_000_000 // (SPREAD * len(two.n)))
+            for start in range(0, len(one.n), step):
+                part = slice(start, start + step)
+                n, m = one.n[part, None], two.n[None, :]
+                fits = (100 * n >= percent * m) & (100 * m >= percent * n) & (one.root[part, None] != two.root[None, :])
+                fits &= ~(np.abs(one.distance[part, None] - two.distance[None, :]) > 1 - percent / 100 + 1e-9)
+                need = -(-percent * (n + m) // (100 + percent))
+                rest = np.maximum(n * percent // 100, m * percent // 100)
+                shared = one.incidence(grams, part) @ right.T
+                fits &= shared + rest >= need
+                fits &= np.minimum(one.spread[part, None, :], two.spread[None, :, :]).sum(axis=2) >= need
+                i, j = np.nonzero(fits)
+                for x, y in zip((i + start).tolist(), j.tolist(), strict=True):
+                    for column, value in zip(found, sorted((one.node[x], two.node[y])), strict=True):
+                        column.append(value)
+        return pa.table([pa.array(c, pa.binary()) for c in found], ["a", "b"])
 
+    return find
 
-def _pair_filters(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Drop pairs ``a, b`` that cannot overlap enough, by what is known without their sets.
 
-    Position: of the members up to the end of the prefix that ends first all shared ones are in
-    both prefixes, and what follows is at most the rest of that set. Suffix: of a hash partition
-    at most the smaller number of members is shared.
-    """
-    for side in ("a", "b"):
-        own = sets.select(
-            F.col("set_id").alias(side), F.col("n_shingles").alias(f"n_{side}"), F.col("prefix").alias(f"p_{side}"),
-            F.col("spread").alias(f"s_{side}"),
-        )
-        pairs = join_hot(pairs, own, [side])
-    rest = [F.floor(F.col(f"n_{x}") * percent / F.lit(100.0) + 1e-9) for x in ("a", "b")]
-    need = _needed(percent, F.col("n_a"), F.col("n_b"))
-    position = F.size(F.array_intersect("p_a", "p_b")) + F.greatest(*rest) >= need
-    alike = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    return pairs.filter(position & (alike >= need)).select("a", "b")
+class _Traits:
+    """What a block of classes is told by: size, root, distance from the pivot, prefix and spread."""
+
+    def __init__(self, table: pa.Table):
+        column = lambda name: table[name].combine_chunks()
+        self.node = column("node").to_pylist()
+        self.n = column("n").to_numpy()
+        self.root = np.array(column("root").to_pylist(), object)
+        self.distance = column("distance").fill_null(np.nan).to_numpy()
+        prefix = column("prefix")
+        self.lengths, self.grams = prefix.value_lengths().to_numpy(), prefix.flatten().to_numpy()
+        self.spread = column("spread").flatten().to_numpy().reshape(len(self.n), SPREAD)
+
+    def incidence(self, grams: np.ndarray, part: slice = slice(None)) -> np.ndarray:
+        """A row for each class, a column for each n-gram: 1 if it is in the prefix."""
+        ends = np.cumsum(self.lengths)
+        rows = np.arange(len(self.n))[part]
+        out = np.zeros((len(rows), len(grams)), np.float32)
+        first, last = ends[rows[0]] - self.lengths[rows[0]], ends[rows[-1]]
+        out[np.repeat(np.arange(len(rows)), self.lengths[rows]), np.searchsorted(grams, self.grams[first:last])] = 1
+        return out
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -235,37 +265,44 @@ def _class_roots(sets: DataFrame, percent: int) -> DataFrame:
     split = counts.groupBy("pivot").agg(
         F.max_by("root", F.struct("held", "root")).alias("main"), F.max("held").alias("most"), F.sum("held").alias("all")
     ).filter((F.col("all") > F.col("most")) & (F.col("all") > PIVOTS))  # a smaller group has met itself
-    split = cut_lineage(split.select("pivot", "main"))
+    blocks = [F.ceil(c / MEMBERS_A_TASK).cast("int") for c in (F.col("all") - F.col("most"), F.col("all"))]
+    split = cut_lineage(split.select("pivot", "main", blocks[0].alias("own_blocks"), blocks[1].alias("blocks")))
     if split.isEmpty():
         return roots
-    named = join_hot(rooted, split, ["pivot"])
+    named = join_hot(rooted.filter("place is null"), split, ["pivot"])
     # the distance of each member from the group's first pivot, where their lengths allow a link
     ends = scored.filter("distance is not null").select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), "distance")
     named = named.withColumn("x", F.least("pivot", "node")).withColumn("y", F.greatest("pivot", "node"))
-    named = join_hot(named, ends, ["x", "y"], "left").withColumn("distance", F.when(F.col("pivot") == F.col("node"), 0.0).otherwise(F.col("distance")))
-    sizes = sets.select(F.col("set_id").alias("node"), F.col("n_shingles").alias("n"))
-    named = cut_lineage(named.join(sizes, "node").select("pivot", "node", "place", "root", "main", "distance", "n"))
-    apart = named.filter("root <> main and place is null").select("pivot", *[F.col(c).alias(f"own_{c}") for c in ("node", "root", "distance", "n")])
-    others = named.filter("place is null")
-    # by the triangle inequality similar sets are about as far from the pivot
-    near = F.coalesce(F.abs(F.col("own_distance") - F.col("distance")) <= 1 - percent / 100 + 1e-9, F.lit(True))
-    wanted = (F.col("own_root") != F.col("root")) & near & _length_filter(F.col("own_n"), F.col("n"), percent)
-    found = join_hot(apart, others, ["pivot"]).filter(wanted)
-    once = found.select(F.least("own_node", "node").alias("a"), F.greatest("own_node", "node").alias("b")).distinct()
-    left = _pair_filters(once, sets, percent).withColumn("pivot", F.col("a"))
+    named = join_hot(named, ends, ["x", "y"], "left").drop("x", "y")
+    traits = sets.select(F.col("set_id").alias("node"), F.col("n_shingles").alias("n"), "prefix", "spread")
+    named = cut_lineage(named.join(traits, "node"))
+    # blocks outside the main component meet all blocks; a member goes to as many tasks as there are others
+    columns = ["pivot", "own", "other", "node", "root", "distance", "n", "prefix", "spread"]
+    apart = named.filter("root <> main").select(
+        "*", F.pmod(F.xxhash64("node", F.lit(1)), "own_blocks").cast("int").alias("own"),
+        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"),
+    )
+    others = named.select(
+        "*", F.pmod(F.xxhash64("node", F.lit(2)), "blocks").cast("int").alias("other"),
+        F.explode(F.sequence(F.lit(0), F.col("own_blocks") - 1)).alias("own"),
+    )
+    place = ["pivot", "own", "other"]
+    near = apart.select(*columns).groupBy(*place).cogroup(others.select(*columns).groupBy(*place))
+    left = near.applyInArrow(_near_pairs(percent), "a binary, b binary").distinct().withColumn("pivot", F.col("a"))
     more = _verify(cut_lineage(left), sets, percent).filter("linked").select("a", "b")
     return components(linked.unionByName(more))
 
 
 def drop_near_copies(docs: DataFrame, *, words: int = NGRAM_WORDS, percent: int = PERCENT, id_col: str = "doc_id",
-                     text_col: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+                     text_col: str = "text", bucket_bytes: int = BUCKET_BYTES // 2) -> DataFrame:
     """``docs`` with exactly one row of each component of ``similar_groups``, all columns as they
     were: that of the smallest id (a null id comes last), then of the smallest digest of the text.
 
     Rows are told apart by id and text: a null id is no shelter for copies, and texts that only
     share an id do not drop each other. Of rows alike in both, the smallest by the other columns
     stays. Rows without words link with nothing and all stay, repeated ones too. An empty table
-    stays empty; columns may have any names.
+    stays empty; columns may have any names. Buckets are half as large as elsewhere, since a stage
+    finds its workers with what earlier stages left in them.
     """
     described, roots = _described_and_roots(docs, words, percent, id_col, text_col, bucket_bytes, True)
     some = described.filter(F.col("set_id").isNotNull()).select(

@@ -28,6 +28,8 @@ from tablewright.llm.common import as_bytes, chunks, select_texts, shuffle_parti
 MASK_DELTA = 0xA282EAD8
 HEAD, HEAD_BYTES = "<QI", 12
 PAYLOAD, PAYLOAD_BYTES = "<?qB", 10
+#: Bytes of text for one file; its ids take about half of that.
+FILE_BYTES = 128 << 20
 OUT_BYTES = 4 << 20
 
 
@@ -61,6 +63,11 @@ def unframe(data: bytes) -> Iterator[tuple[int, int, bytes]]:
         at = end + 1
 
 
+def _files_for(docs: DataFrame, text_col: str) -> int:
+    size = docs.agg(F.sum(F.octet_length(docs[text_col]))).first()[0] or 0
+    return max(shuffle_partitions(docs.sparkSession), -(-size // FILE_BYTES))
+
+
 def write_token_records(
     docs: DataFrame, path: str, tokenizer: str, end_id: int, *,
     id_col: str = "doc_id", text_col: str = "text", files: int | None = None,
@@ -68,11 +75,12 @@ def write_token_records(
     """Encode every whole text, append ``end_id``, and write records below ``path/records`` in
     ascending order of ids (null ids first, equal ids by text), and the index below ``path/index``.
 
-    ``files`` (default: the session's shuffle partitions) sets the number of files; a file should
-    stay under some 100 MB, as a reader holds one at a time. Empty and null texts give a record
-    with the end id only, repeated rows a record each; an empty table gives no record.
+    ``files`` (default: one for ``FILE_BYTES`` of text, and as many as the session's shuffle partitions
+    at least) sets the number of files; a reader holds one at a time. Empty and null texts give a
+    record with the end id only, repeated rows a record each; an empty table gives no record. A text is
+    one record, however long; columns may have any names.
     """
-    n = files or shuffle_partitions(docs.sparkSession)
+    n = files or _files_for(docs, text_col)
     tie = F.xxhash64("text")  # rows of one id, also of none, spread over files
     ordered = select_texts(docs, id_col, text_col).repartitionByRange(n, "doc_id", tie).sortWithinPartitions("doc_id", tie, "text")
 

@@ -26,7 +26,7 @@ from tablewright.llm.common import Words, as_bytes, chunks, shuffle_partitions,
 
 ROWS = 2
 MOST = 255  # counts stop here
-BUCKET_BYTES = 4 << 20
+BUCKET_BYTES = 8 << 20
 BLOCK_CELLS_BITS = 22
 _BYTES_A_WINDOW = 6  # a word and its space, about
 _CELLS_A_WINDOW = 4

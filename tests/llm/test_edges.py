@@ -86,6 +86,14 @@ def test_records_repeated_and_empty(spark, doubled, empty, tmp_path):
     assert records.read_token_records(spark, written(spark, empty, tmp_path / "b")).count() == 0
 
 
+def test_records_files_grow_with_the_texts(odd, monkeypatch):
+    monkeypatch.setattr(records, "FILE_BYTES", 10_000)
+    size = odd.agg(F.sum(F.octet_length("text"))).first()[0]
+    assert records._files_for(odd, "text") == -(-size // 10_000) > 100
+    monkeypatch.setattr(records, "FILE_BYTES", 1 << 40)
+    assert records._files_for(odd, "text") == 8 == records._files_for(odd.limit(0), "text")
+
+
 def test_records_notice_damage():
     good = records.frame(b"payload") + b"\n"
     assert [p for _, _, p in records.unframe(good * 2)] == [b"payload"] * 2
