@@ -210,6 +210,12 @@ def per_worker(key: tuple, make):
     return kept[key]
 
 
+def forget_stores() -> None:
+    """Let go of what earlier stages keep in this worker, such as token stores; they are made anew where
+    they are needed again."""
+    vars(sys).get("_tablewright_llm", {}).clear()
+
+
 #: ASCII punctuation other than the apostrophe, which starts endings such as 's.
 _PUNCTUATION = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _LETTERS = "[A-Za-zÀ-ÖØ-öø-ÿ]"

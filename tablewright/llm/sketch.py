@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import Words, as_bytes, chunks, shuffle_partitions, window_hashes
+from tablewright.llm.common import Words, as_bytes, chunks, forget_stores, shuffle_partitions, window_hashes
 
 ROWS = 2
 MOST = 255  # counts stop here
@@ -122,6 +122,7 @@ def _parts(shape: Shape):
     """The parts of one bucket's sketch: cells, and those (by place) with a count above one."""
 
     def make(table: pa.Table) -> pa.Table:
+        forget_stores()
         bucket = table["bucket"][0].as_py()
         held: list[list[np.ndarray]] = [[] for _ in range(ROWS)]
         texts = as_bytes(table["text"].combine_chunks())
