@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 SPARE = 10  # directions beyond those asked for, which speed up the others
 FIRST_BLOCK = 32  # directions tried first when a share of the variance is asked for
-TOLERANCE = 1e-8
+TOLERANCE = 1e-5  # of directions; their variances are right to its square
 MOST_PASSES = 60
 
 
