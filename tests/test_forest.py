@@ -133,3 +133,35 @@ def test_too_large_a_forest_is_refused(spark, monkeypatch):
         Forest.fit(frame_of(spark, rng.normal(size=(50, 2)), rng.normal(size=50)), TreeRule(0, 2))
     with pytest.raises(ValueError):
         Forest.fit(frame_of(spark, rng.normal(size=(1, 2)), [1.0]).limit(0), TreeRule(0, 2))
+
+
+@pytest.mark.parametrize("classes", [0, 2])
+def test_rows_alike_in_all_features_are_seen_as_blocks(spark, monkeypatch, classes):
+    """What trees are grown from follows the distinct features, not the labels; a hot one is cut."""
+    monkeypatch.setattr(forest, "BLOCK_LABELS", 64)
+    rng = np.random.default_rng(7)
+    x = np.column_stack([rng.integers(0, 3, 2000), np.full(2000, 1.0)]).astype(float)
+    x[:5, 1] = np.arange(5)
+    y = rng.integers(0, 2, 2000).astype(float) if classes else rng.normal(50, 3, 2000)
+    seen, tops = [], forest._grow_tops
+    monkeypatch.setattr(forest, "_grow_tops", lambda rows, n, *rest: seen.append(n) or tops(rows, n, *rest))
+    model = Forest.fit(frame_of(spark, x, y), TreeRule(classes, 2, trees=2))
+    assert len(np.unique(x, axis=0)) <= seen[0] <= 100
+    for row in np.unique(x, axis=0):
+        labels = y[(x == row).all(axis=1)]
+        assert np.isclose(model.scores(row[None])[0][-1], labels.mean())
+
+
+def test_models_travel_in_few_bytes_without_loss(spark, monkeypatch):
+    monkeypatch.setattr(forest, "SCORED_BYTES", 1000)
+    rng = np.random.default_rng(8)
+    x, y = rng.normal(size=(3000, 3)).round(2), rng.integers(0, 2, 3000).astype(float)
+    nodes, _ = grow(x, y, np.ones(3000), 7, 0, TreeRule(2, 3))
+    data = nodes.squeezed()
+    again = forest.Nodes.unsqueezed(data, 2)
+    assert all(np.array_equal(getattr(nodes, k), getattr(again, k)) for k in ("feature", "cut", "left", "shares"))
+    assert len(data) < nodes.nbytes / 3
+    frame = frame_of(spark, x, y).coalesce(2)
+    model = Forest.fit(frame, TreeRule(2, 3, trees=2), 20_000)
+    scored = {tuple(r.features.toArray()): r.probability.toArray() for r in model.transform(frame).collect()}
+    assert np.allclose(model.scores(x), [scored[tuple(row)] for row in x])
