@@ -202,3 +202,16 @@ def test_versioned_table(spark, tmp_path):
     assert (first["version"], first["n_rows"], first["n_columns"]) == (1, 3, 1)
     mixed = S.content_checksum(spark.range(3).orderBy(F.desc("id")).repartition(3)).first()
     assert mixed["checksum"] == first["checksum"]
+
+
+def test_page_walk_equals_page_after_page(spark):
+    rows = [(i, "FOP"[i % 3] if i % 7 else None, None if i % 5 else i) for i in range(230)]
+    df = spark.createDataFrame(rows, "`row key` int, status string, at int").repartition(6)
+    for sort_by, descending in (("status", True), ("at", False), (None, True)):
+        params = R.PageParams(page=2, size=20, sort_by=sort_by, descending=descending)
+        walked = R.page_items(df, params, through=99).collect()
+        assert len(walked) == 210
+        for page in range(2, 13):
+            one = R.page_items(df, R.PageParams(page=page, size=20, sort_by=sort_by, descending=descending)).collect()
+            assert {r[:3] for r in walked if r.page == page} == {tuple(r) for r in one}
+    assert R.page_items(df.limit(0), R.PageParams(size=20), through=1).count() == 0
