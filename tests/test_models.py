@@ -372,3 +372,24 @@ def test_insensitive_regression_beats_other_weights(spark, kernel):
     constant = _vectors(spark, x, np.full(300, 3.0))
     same = A.get_algorithm("svm").fit(constant, A.Context("regression", 300), {"kernel": kernel}).transform(constant)
     assert same.filter("abs(prediction - 3) > 1e-6").count() == 0
+
+
+def test_pairs_ruled_out_by_a_product_are_farther(spark):
+    """Far from the origin, with ties and copies: the same neighbours as by all differences."""
+    rng = np.random.default_rng(11)
+    for shift in (0.0, 1e6):
+        points = rng.normal(size=(300, 3)).round(1) + shift
+        queries = np.r_[points[:50], rng.normal(size=(50, 3)).round(1) + shift]
+        labels, weights = rng.normal(size=300).round(1), rng.integers(1, 3, 300)
+        full = knn._distances(queries, points)
+        limit = np.where(np.arange(100) % 2, np.inf, np.sort(full, axis=1)[:, 3])
+        row, column, copies = knn.nearest_copies(full, limit, labels, weights, 5)
+        r, c, d = knn._near_pairs(queries, points, limit, 5)
+        within = d <= limit[r]
+        found = knn._kept_copies(r[within], c[within], d[within], labels, weights, 5)
+        assert len(r) < full.size / 5
+        for q in range(100):
+            want, got = row == q, found[0] == q
+            assert np.allclose(full[q, column[want]], found[2][got]) and np.array_equal(copies[want], found[3][got])
+        cell, reach = knn._nearest_pivot(queries, points)
+        assert np.allclose(reach, full.min(axis=1)) and np.array_equal(cell, full.argmin(axis=1))
