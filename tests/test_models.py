@@ -393,3 +393,9 @@ def test_pairs_ruled_out_by_a_product_are_farther(spark):
             assert np.allclose(full[q, column[want]], found[2][got]) and np.array_equal(copies[want], found[3][got])
         cell, reach = knn._nearest_pivot(queries, points)
         assert np.allclose(reach, full.min(axis=1)) and np.array_equal(cell, full.argmin(axis=1))
+
+
+def test_large_tables_are_boosted_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(A, "PART_ROWS", 100)
+    df = spark.range(1000).coalesce(1)
+    assert A._spread_rows(df, 1000).rdd.getNumPartitions() == 10 and A._spread_rows(df, 100) is df
