@@ -399,3 +399,10 @@ def test_large_tables_are_boosted_in_parts(spark, monkeypatch):
     monkeypatch.setattr(A, "PART_ROWS", 100)
     df = spark.range(1000).coalesce(1)
     assert A._spread_rows(df, 1000).rdd.getNumPartitions() == 10 and A._spread_rows(df, 100) is df
+
+
+def test_rows_are_summed_few_at_a_time(spark):
+    """A whole batch is never expanded into Fourier features at once."""
+    df = spark.createDataFrame([(([1.0]), 2.0)] * 5000, "x array<double>, y double").coalesce(1)
+    most = insensitive._added(df, lambda x, y: np.array([float(len(y) > 1000), float(len(y))]))
+    assert most.tolist() == [0.0, 5000.0]
