@@ -195,3 +195,13 @@ def test_numbers_of_categories(spark, monkeypatch):
     assert names[0] == f"categorical__a.b_{known[0]}" and names[len(known) + 1] == "categorical__flag_True"
     empty = K.CategoryNumbers.fit(df.limit(0).drop("_value"), ["a.b"])
     assert empty.sizes == [0] and empty.onehot(df.drop("_value")).filter(F.size("hot") > 0).count() == 0
+
+
+def test_texts_are_folded_few_at_a_time():
+    import pyarrow as pa
+    from tablewright.functions import scalars
+
+    texts = [None, "", "Änne ﬁ ½", "日本 x", "plain"] * 200
+    found = scalars._fold_to_ascii.func(pa.array(texts, pa.string()))
+    assert found.to_pylist() == [None, "", "Anne fi 12", " x", "plain"] * 200 and found.type == pa.string()
+    assert scalars._fold_to_ascii.func(pa.array([], pa.string())).to_pylist() == []
