@@ -51,10 +51,11 @@ def op4_string_kernel_language(spark: SparkSession, folder: str) -> DataFrame:
 def op5_trigram_secrets(spark: SparkSession, folder: str) -> DataFrame:
     spans = F.col("spans")
     base = F.filter(spans, lambda s: s["rank"] < len(secret_scan.BASE_RULES))
-    counts = [
-        F.size(F.filter(spans, lambda s, r=rank: s["rank"] == r)).cast("long").alias(f"n_{rule.kind}")
-        for rank, rule in enumerate(secret_scan.BASE_RULES)
-    ]
+
+    def count(rank):  # a second argument of the function given to filter would be the position
+        return F.size(F.filter(spans, lambda s: s["rank"] == rank)).cast("long")
+
+    counts = [count(rank).alias(f"n_{rule.kind}") for rank, rule in enumerate(secret_scan.BASE_RULES)]
     found = secret_scan.find_secrets(_documents(spark, folder))
     return found.select(
         "doc_id", *counts, F.sha2(secret_scan.span_text(base), 256).alias("base_sha256"), secret_scan.span_text(spans).alias("spans")

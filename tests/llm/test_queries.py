@@ -43,3 +43,12 @@ def test_substrings(spark, docs):
 def test_similar_groups(spark, docs):
     got = QUERIES["op9_rare_first_jaccard"](spark, FOLDER)
     assert rows(got, "doc_id", "n_shingles", "component_id") == brute.jaccard_components(docs)
+
+
+def test_secrets_are_counted_by_kind_wherever_they_stand(spark, tmp_path):
+    hexes = ["0123456789abcdef" * 2, "f" * 40]
+    texts = ["x " + hexes[0], f"{hexes[0]} token=abcdefgh {hexes[1]} AKIAABCDEFGHIJ12 secret: 12345678", "AKIAABCDEFGHIJKLM", None, "token=abc"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["op5_trigram_secrets"](spark, str(tmp_path))
+    expected = [(0, 0, 0, 1), (1, 2, 1, 2), (2, 0, 1, 0), (3, 0, 0, 0), (4, 0, 0, 0)]
+    assert rows(got, "doc_id", "n_assign", "n_access", "n_hex") == expected
