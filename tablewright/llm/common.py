@@ -18,6 +18,8 @@ SPACE_BYTES = b" \t\n\x0b\x0c\r"
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one call of a numpy routine works on.
 CHUNK_BYTES = 1 << 20
+#: Bits of a bitmap of Spark's, bits for each key, and bitmaps that are broadcast at most (16 MB).
+_MARK_BITS, BITS_A_KEY, MOST_MARKS = 32_768, 16, 4_096
 
 
 def select_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: Column) -> DataFrame:
@@ -59,6 +61,23 @@ def join_hot(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inn
     return both.drop("_h")
 
 
+def split_by_marks(rows: DataFrame, some: DataFrame, key: str, most: int = MOST_MARKS) -> tuple[DataFrame, DataFrame]:
+    """``rows`` whose ``key`` is surely not in ``some``, and those where it may be, so that an exact join with
+    ``some`` leaves the first where they are.
+
+    Bitmaps of the keys' hashes, about ``BITS_A_KEY`` bits a key, are broadcast: at most ``most`` of 4 KB. With
+    more keys than fit more rows may be in ``some``, nothing else.
+    """
+    n = max(1, min(most, -(-some.count() * BITS_A_KEY // _MARK_BITS)))
+    h = F.xxhash64(key)
+    mark, place = F.pmod(h, F.lit(n)), F.pmod(F.shiftright(h, 32), F.lit(_MARK_BITS))
+    marks = some.select(mark.alias("_mark"), place.alias("_place")).groupBy("_mark").agg(F.bitmap_construct_agg("_place").alias("_bits"))
+    marked = rows.withColumn("_mark", mark).withColumn("_place", place).join(F.broadcast(marks), "_mark", "left")
+    byte = F.conv(F.hex(F.substring("_bits", (F.col("_place") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    may = F.coalesce(F.getbit(byte, F.pmod("_place", F.lit(8)).cast("int")) == 1, F.lit(False))
+    return marked.filter(~may).select(*rows.columns), marked.filter(may).select(*rows.columns)
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of a text column (null: empty)."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -1,6 +1,6 @@
 """Similarity join of documents on the Jaccard index of their word n-grams.
 
-Documents with equal sets form a class and are one row from then on. A count-min sketch (see
+Documents with equal sets form a class and are one row from then on. A count-min sketch of one row (see
 ``sketch``) gives each n-gram an estimated number of documents, the same for all documents; sets
 are ordered by it, the rarest first (ties by hash), and a pair that is similar enough shares an
 n-gram of both prefixes (Xiao et al., PPJoin+, 2008). An n-gram estimated in one document links
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tablewright.llm.common import as_bytes, chunks, join_hot, packed, select_texts, unpacked
+from tablewright.llm.common import as_bytes, chunks, join_hot, packed, select_texts, split_by_marks, unpacked
 from tablewright.llm.components import components
 from tablewright.llm.sketch import BUCKET_BYTES, Estimates, Shape, Windows, bucketed, shape_for, shared_cells
 from tablewright.session import cut_lineage
@@ -211,7 +211,7 @@ def _described_and_roots(docs: DataFrame, words: int, percent: int, id_col: str,
     """What ``_describe`` tells of every row, and ``node, root`` of the classes that link."""
     rows = select_texts(docs, id_col, text_col)
     rows = rows.withColumn("doc_id", F.col("doc_id").cast("long"))
-    shape = shape_for(rows, words, lower=True, short=True, bucket_bytes=bucket_bytes)
+    shape = shape_for(rows, words, lower=True, short=True, bucket_bytes=bucket_bytes, sketch_rows=1)
     dealt = bucketed(rows, shape)
     shared = shared_cells(dealt, shape)
     described = dealt.groupBy("bucket").cogroup(shared.groupBy("bucket")).applyInArrow(_describe(shape, percent, digests), DESCRIBED)
@@ -300,7 +300,8 @@ def drop_near_copies(docs: DataFrame, *, words: int = NGRAM_WORDS, percent: int
 
     Rows are told apart by id and text: a null id is no shelter for copies, and texts that only
     share an id do not drop each other. Of rows alike in both, the smallest by the other columns
-    stays. Rows without words link with nothing and all stay, repeated ones too. An empty table
+    stays. Rows without words link with nothing and all stay, repeated ones too. Whole rows that may go
+    or have copies travel to be compared with those that do, the others stay where they are. An empty table
     stays empty; columns may have any names. Buckets are half as large as elsewhere, since a stage
     finds its workers with what earlier stages left in them.
     """
@@ -318,7 +319,8 @@ def drop_near_copies(docs: DataFrame, *, words: int = NGRAM_WORDS, percent: int
     own = docs[id_col].cast("long")
     place = F.struct(own.isNull().alias("none"), own.alias("doc_id"), F.unhex(F.sha2(F.coalesce(docs[text_col], F.lit("")), 256)).alias("text_sha256"))
     held = packed(docs, place.alias("place"))
-    found = held.join(met, "place", "left_anti").select("row")
+    rest, held = split_by_marks(held, met, "place")
+    found = rest.unionByName(held.join(met, "place", "left_anti")).select("row")
     twice = met.filter("kept")
     if not twice.isEmpty():
         alike = held.join(twice, "place", "left_semi")

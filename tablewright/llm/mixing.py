@@ -187,7 +187,9 @@ def take_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         docs[id_col].cast("long").alias("doc_id"), docs[source_col].cast("string").alias("source"), size.alias("size")
     )
     held = packed(docs, place.alias("place"))
-    one = held.join(rates.filter("copies > 0 and alike = 1"), "place").select("row", "copies")
+    # a row a document: its files are far smaller than what a broadcast of it would hold
+    once = rates.filter("copies > 0 and alike = 1").hint("merge")
+    one = held.join(once, "place").select("row", "copies")
     several = rates.filter("copies > 0 and alike > 1")
     if not several.isEmpty():  # rows alike in all three take turns in a random order
         numbered = hash_numbered(held.join(several.select("place"), "place", "left_semi"), by=[F.col("place")], number="turn", total="n")

@@ -1,15 +1,16 @@
 """A count-min sketch of windows of words, merged from the sketches of buckets of documents.
 
-Documents are dealt into buckets. Each bucket makes its part of the sketch: for each of two rows
-of counters the cells of its windows, with the number of its documents that hold them. Parts are
+Documents are dealt into buckets. Each bucket makes its part of the sketch: for each row of
+counters the cells of its windows, with the number of its documents that hold them. Parts are
 sent by blocks of neighbouring cells and merged there; each bucket then gets back those of its own
-cells that more than one document fills, with their merged counts. The smaller of a window's two
+cells that more than one document fills, with their merged counts. The smallest of a window's
 counts is never below the number of documents that hold it, so a window that is estimated to be
 in one document is in one document.
 
-The sketch is never in one place: its width follows the size of the input (about four cells a
-window and row), as do the numbers of buckets and blocks. Cells travel as gaps between sorted
-numbers, of a byte each as a rule.
+The sketch has two rows of about four cells a window or, where what travels matters more, one row of
+about sixteen, which errs about as often. It is never in one place: its width follows the size of the input,
+as do the numbers of buckets and blocks. Cells travel as sorted numbers in Elias and Fano's code: two
+bits each besides those of the mean gap, which grows with the number of buckets.
 """
 
 from __future__ import annotations
@@ -27,16 +28,17 @@ from tablewright.llm.common import Words, as_bytes, chunks, forget_stores, shuff
 ROWS = 2
 MOST = 255  # counts stop here
 BUCKET_BYTES = 8 << 20
-BLOCK_CELLS_BITS = 22
+BLOCK_CELLS_BITS = {1: 23, 2: 22}  # by rows of the sketch, as below
 _BYTES_A_WINDOW = 6  # a word and its space, about
-_CELLS_A_WINDOW = 4
+_CELLS_A_WINDOW = {1: 16, 2: 4}
 _LEAST_ENTRIES = 256  # of a part in a block
 
 
 @dataclass(frozen=True)
 class Shape:
     """What the sketch is made for: windows of ``size`` words, with ASCII letters in lower case if
-    ``lower``, documents with fewer words as one window if ``short``; and its numbers."""
+    ``lower``, documents with fewer words as one window if ``short``; and its numbers, ``rows`` of them
+    rows of counters."""
 
     size: int
     lower: bool
@@ -44,16 +46,18 @@ class Shape:
     buckets: int
     width_bits: int
     block_bits: int
+    rows: int = ROWS
 
 
-def shape_for(rows: DataFrame, size: int, *, lower: bool = False, short: bool = False, bucket_bytes: int = BUCKET_BYTES) -> Shape:
+def shape_for(rows: DataFrame, size: int, *, lower: bool = False, short: bool = False, bucket_bytes: int = BUCKET_BYTES,
+              sketch_rows: int = ROWS) -> Shape:
     """Numbers of the sketch for rows with a ``text``, from their bytes."""
     n = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(shuffle_partitions(rows.sparkSession), math.ceil(n / bucket_bytes))
-    width = max(16, math.ceil(math.log2(max(1, n / _BYTES_A_WINDOW * _CELLS_A_WINDOW))))
+    width = max(16, math.ceil(math.log2(max(1, n / _BYTES_A_WINDOW * _CELLS_A_WINDOW[sketch_rows]))))
     entries = n / _BYTES_A_WINDOW / buckets / _LEAST_ENTRIES
-    blocks = max(0, min(width - BLOCK_CELLS_BITS, math.ceil(math.log2(max(1, entries)))))
-    return Shape(size, lower, short, buckets, width, blocks)
+    blocks = max(0, min(width - BLOCK_CELLS_BITS[sketch_rows], math.ceil(math.log2(max(1, entries)))))
+    return Shape(size, lower, short, buckets, width, blocks, sketch_rows)
 
 
 def bucketed(rows: DataFrame, shape: Shape) -> DataFrame:
@@ -93,26 +97,33 @@ def cells(h: np.ndarray, shape: Shape) -> np.ndarray:
 
 
 def pack_gaps(values: np.ndarray) -> bytes:
-    """Sorted distinct numbers as the gaps between them: the largest value of a gap's type means
-    that much without a number, any smaller one ends at a number. The first byte names the type."""
-    if not len(values):
+    """Sorted distinct numbers: the lowest bits of each as they are, about as many as the mean gap has, and the
+    rest as a bitmap with a one for each number and a zero for each step of the rest. Before both a byte
+    with the number of low bits and four with how many numbers there are."""
+    n = len(values)
+    if not n:
         return b""
-    gaps = np.diff(values.astype(np.int64), prepend=-1)
-    mean = (int(values[-1]) + 1) / len(values)
-    kind = np.uint8 if mean < 64 else np.uint16 if mean < 16_000 else np.uint32
-    top = int(np.iinfo(kind).max)
-    skips = gaps // top
-    out = np.full(int(skips.sum()) + len(gaps), top, kind)
-    out[np.cumsum(skips + 1) - 1] = gaps % top
-    return bytes([out.itemsize]) + out.tobytes()
+    values = values.astype(np.int64)
+    low = max(0, ((int(values[-1]) + 1) // n).bit_length() - 1)
+    bits = ((values[:, None] >> np.arange(low)) & 1).astype(np.uint8)
+    places = (values >> low) + np.arange(n)
+    steps = np.zeros(int(places[-1]) + 1, np.uint8)
+    steps[places] = 1
+    return bytes([low]) + n.to_bytes(4, "little") + np.packbits(bits).tobytes() + np.packbits(steps).tobytes()
 
 
 def unpack_gaps(data: bytes) -> np.ndarray:
     if not data:
         return np.zeros(0, np.int64)
-    kind = {1: np.uint8, 2: np.uint16, 4: np.uint32}[data[0]]
-    out = np.frombuffer(data, kind, offset=1)
-    return (np.cumsum(out.astype(np.int64)) - 1)[out < np.iinfo(kind).max]
+    low, n = data[0], int.from_bytes(data[1:5], "little")
+    steps = 5 + -(-n * low // 8)
+    places = np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8, offset=steps)))
+    values = (places - np.arange(n)) << low
+    if low:
+        bits = np.unpackbits(np.frombuffer(data, np.uint8, steps - 5, 5), count=n * low).reshape(n, low)
+        for k in range(low):
+            values |= bits[:, k].astype(np.int64) << k
+    return values
 
 
 _PART = "sketch_row int, block int, bucket int, gaps binary, more binary, counts binary"
@@ -124,16 +135,16 @@ def _parts(shape: Shape):
     def make(table: pa.Table) -> pa.Table:
         forget_stores()
         bucket = table["bucket"][0].as_py()
-        held: list[list[np.ndarray]] = [[] for _ in range(ROWS)]
+        held: list[list[np.ndarray]] = [[] for _ in range(shape.rows)]
         texts = as_bytes(table["text"].combine_chunks())
         for _, part in chunks(texts, texts):
             w = Windows.of(part, shape)
             one = w.of_documents()
-            for r in range(ROWS):
+            for r in range(shape.rows):
                 held[r].append(cells(w.hashes[r][one], shape))
         rows = []
         local = np.uint64(shape.width_bits - shape.block_bits)
-        for r in range(ROWS):
+        for r in range(shape.rows):
             all_cells = np.concatenate(held[r]) if held[r] else np.zeros(0, np.uint64)
             found, n = np.unique(all_cells, return_counts=True)
             n = np.minimum(n, MOST).astype(np.uint8)
@@ -193,16 +204,16 @@ class Estimates:
         self.shape, self.rows = shape, []
         local = shape.width_bits - shape.block_bits
         got = sorted(table.select(["sketch_row", "block", "gaps", "counts"]).to_pylist(), key=lambda p: (p["sketch_row"], p["block"]))
-        for r in range(ROWS):
+        for r in range(shape.rows):
             own = [p for p in got if p["sketch_row"] == r]
             at = [unpack_gaps(p["gaps"]) + (p["block"] << local) for p in own]
             counts = b"".join([p["counts"] for p in own])
             self.rows.append((np.concatenate([np.zeros(0, np.int64), *at]), np.frombuffer(counts, np.uint8)))
 
     def counts(self, hashes: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-        """For each window the smaller of its counts; 1 if a count came back from one row only or none."""
+        """For each window the smallest of its counts; 1 if a row sent none back."""
         least = np.full(len(hashes[0]), MOST, np.uint8)
-        for (known, counts), h in zip(self.rows, hashes, strict=True):
+        for (known, counts), h in zip(self.rows, hashes[: self.shape.rows], strict=True):
             if not len(known):
                 return np.ones(len(h), np.uint8)
             c = cells(h, self.shape).astype(np.int64)

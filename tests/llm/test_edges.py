@@ -2,17 +2,20 @@
 
 import math
 import re
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
 from tablewright.llm import (
     components, exact_dedup, jaccard, language, mixing, packing, records, secret_scan, substring_dedup, topk, toxicity,
 )
-from tablewright.llm.common import Words
+from tablewright.llm.common import Words, split_by_marks
 from tablewright.llm.queries import END_ID, TOKENIZER
-from tablewright.llm.sketch import pack_gaps, unpack_gaps
+from tablewright.llm.sketch import Estimates, Shape, Windows, _merge, _parts, pack_gaps, unpack_gaps
 from tests.llm import brute
 
 import public_tokenizers
@@ -155,6 +158,72 @@ def test_gaps_round_trip():
     assert unpack_gaps(pack_gaps(np.array([0, 254, 255, 510, 765]))).tolist() == [0, 254, 255, 510, 765]
 
 
+def test_gaps_are_small():
+    """Sparse cells, as a bucket of many has them, take two bits each more than the mean gap has."""
+    values = np.unique(np.random.default_rng(1).integers(0, 60_000 * 4000, 4000))
+    data = pack_gaps(values)
+    assert unpack_gaps(data).tolist() == values.tolist() and len(data) * 8 < len(values) * 18.5
+
+
+def test_sketch_of_one_row():
+    """Counts from one row are never below the number of documents, and half as much travels."""
+    texts = [" ".join(f"w{(i * k) % 97}" for k in range(40)) for i in range(60)]
+    sent, shapes = [], [Shape(3, True, True, 2, 16, 2, 1), Shape(3, True, True, 2, 14, 2, 2)]
+    for shape in shapes:
+        halves = [pa.table({"bucket": pa.array([b] * 30, pa.int32()), "text": texts[30 * b : 30 * b + 30]}) for b in (0, 1)]
+        parts = pa.concat_tables([_parts(shape)(t) for t in halves])
+        assert set(parts["sketch_row"].to_pylist()) == set(range(shape.rows))
+        sent.append(sum(map(len, parts["gaps"].to_pylist())))
+        blocks = [parts.filter((pc.field("sketch_row") == r) & (pc.field("block") == b)) for r in range(shape.rows) for b in range(4)]
+        back = pa.concat_tables([_merge(shape)(b) for b in blocks if b.num_rows])
+        held = Counter(h for t in texts for h in set(Windows.of([t.encode()], shape).hashes[0].tolist()))
+        for b in (0, 1):
+            w = Windows.of([t.encode() for t in texts[30 * b : 30 * b + 30]], shape)
+            counts = Estimates(back.filter(pc.field("bucket") == b), shape).counts(w.hashes)
+            assert all(c >= held[h] for c, h in zip(counts.tolist(), w.hashes[0].tolist(), strict=True))
+    assert sent[0] < 0.75 * sent[1]
+
+
+def test_split_by_marks(spark):
+    """Keys that are there are always found, few others are, and with too few marks all still come out once."""
+    data = spark.range(4000).select(F.when(F.col("id") > 3, F.col("id")).alias("key"), F.col("id").cast("string").alias("row"))
+    key = F.struct(F.col("key").isNull().alias("none"), "key").alias("key")
+    held, some = data.select("row", key), data.filter("id % 40 = 0").select(key)
+    for most in (4096, 1):
+        rest, may = (x.select("row").collect() for x in split_by_marks(held, some, "key", most))
+        assert sorted(int(r.row) for r in rest + may) == list(range(4000))
+        assert {r.row for r in may} >= {str(i) for i in range(0, 4000, 40)} | {"1", "2", "3"}
+        assert len(may) < 500
+    rest, may = split_by_marks(held, some.limit(0), "key")
+    assert rest.count() == 4000 and may.count() == 0
+
+
+def test_near_copies_leave_other_rows_where_they_are(spark, monkeypatch):
+    """Texts without near copies do not travel to the join with the rows that go."""
+    from corpus_pipeline import near_dedup_stage
+
+    docs = frame(spark, [(i, " ".join(f"w{i}_{k}" for k in range(30)), "en", "s") for i in range(300)]
+                 + [(1000 + i, " ".join(f"w{i}_{k}" for k in range(30)) + " end", "en", "s") for i in range(5)])
+    travel = []
+
+    def split(*how):
+        found = split_by_marks(*how)
+        travel.append(found[1].count())
+        return found
+
+    monkeypatch.setattr(jaccard, "split_by_marks", split)
+    kept = near_dedup_stage(spark, docs, "")
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(300))
+    assert len(travel) == 1 and 5 <= travel[0] < 100
+
+
+def test_mix_sends_no_row_a_document_through_the_driver(spark, capsys):
+    docs = frame(spark, [(i, f"some words {i}", "en", f"s{i % 3}") for i in range(300)])
+    mixing.take_mix(docs).explain()
+    plan = capsys.readouterr().out
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_windows_of_words():
     w = Words([b"a b c", b"", b"d e"], lower=False)
     assert [list(map(int, x)) for x in w.windows(2)] == [[0, 1, 3], [1, 2, 4]]
