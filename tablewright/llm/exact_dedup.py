@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import SPACE_BYTES, as_bytes, join_hot, packed, select_texts, unpacked
+from tablewright.llm.common import SPACE_BYTES, as_bytes, forget_stores, join_hot, packed, select_texts, unpacked
 from tablewright.session import cut_lineage
 
 AVERAGE_BITS = 11  # a cut at one of 2048 places
@@ -64,6 +64,7 @@ def distinct_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``chunk_hash, content``: the chunks of all documents, each once for a task and batch."""
 
     def cut(batches):
+        forget_stores()
         for batch in batches:
             seen: dict[bytes, bytes] = {}
             out, size = [], 0
@@ -99,6 +100,7 @@ def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     the list of its chunks' identifiers in one value, and the digest of its normalised text."""
 
     def digest(batches):
+        forget_stores()
         for batch in batches:
             found, shas, counts = [], [], []
             for text in as_bytes(batch.column(1)):

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tablewright.llm.common import as_bytes, chunks, packed, unpacked
+from tablewright.llm.common import as_bytes, chunks, forget_stores, packed, unpacked
 
 UNKNOWN = "und"
 LENGTHS = (1, 2, 3)
@@ -170,6 +170,7 @@ def predicted(docs: DataFrame, model: LanguageModel, text: Column) -> Column:
 
     @F.arrow_udf("lang string, score double")
     def predict(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        forget_stores()
         for column in columns:
             langs, scores = shipped.value.predict(as_bytes(column))
             yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
