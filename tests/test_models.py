@@ -406,3 +406,39 @@ def test_rows_are_summed_few_at_a_time(spark):
     df = spark.createDataFrame([(([1.0]), 2.0)] * 5000, "x array<double>, y double").coalesce(1)
     most = insensitive._added(df, lambda x, y: np.array([float(len(y) > 1000), float(len(y))]))
     assert most.tolist() == [0.0, 5000.0]
+
+
+def test_numbers_are_boosted_on_cells(spark, monkeypatch, tmp_path):
+    """Trees are grown from rows packed by their bins, and are those that Spark grows from the rows."""
+    from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
+
+    rng = np.random.default_rng(8)
+    rows = [
+        (float(a), float(b), "abc"[c], float(np.sin(a / 9) * 5 + b * c + e))
+        for a, b, c, e in zip(rng.integers(0, 100, 3000), rng.integers(0, 5, 3000), rng.integers(0, 3, 3000), rng.normal(0, 1, 3000), strict=True)
+    ]
+    df = spark.createDataFrame(rows, "a double, b double, c string, label double")
+    frame = fit_features(df, FeatureConfig(), "label").transform(df).select("features", "label").coalesce(1).cache()
+    same = frame.select(F.lit(0).alias("i"), "features").limit(1).join(frame.select(F.lit(0).alias("i"), "label"), "i").drop("i")
+    settings = {"maxIter": 6, "stepSize": 0.1, "maxDepth": 3, "seed": 42}
+    plain, flat = GBTRegressor(**settings).fit(frame), GBTRegressor(**settings).fit(same)
+    sizes, fit = [], GBTRegressor._fit
+
+    def watched(self, dataset):
+        sizes.append(dataset.count())
+        return fit(self, dataset)
+
+    monkeypatch.setattr(GBTRegressor, "_fit", watched)
+    model = A.get_algorithm("gradient_boosting").fit(frame, A.Context("regression", 3000), {"n_estimators": 6})
+    assert len(sizes) == 1 and sizes[0] <= 33 * 5 * 3
+    model.save(f"{tmp_path}/model")
+    both = frame
+    for name, trees in (("p0", plain), ("p1", model), ("p2", GBTRegressionModel.load(f"{tmp_path}/model"))):
+        both = trees.transform(both).withColumnRenamed("prediction", name)
+    found = np.array([r[:] for r in both.select("p0", "p1", "p2").collect()])
+    assert np.allclose(found[:, 1], found[:, 0], rtol=1e-9) and np.array_equal(found[:, 1], found[:, 2])
+    assert len(np.unique(found[:, 0])) > 20
+    assert np.allclose(model.featureImportances.toArray(), plain.featureImportances.toArray(), rtol=1e-6)
+    # rows that are alike in all features: one cell
+    model = A.get_algorithm("gradient_boosting").fit(same, A.Context("regression", 3000), {"n_estimators": 6})
+    assert np.allclose(model.transform(same).first()["prediction"], flat.transform(same).first()["prediction"], rtol=1e-9)
