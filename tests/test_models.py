@@ -442,3 +442,21 @@ def test_numbers_are_boosted_on_cells(spark, monkeypatch, tmp_path):
     # rows that are alike in all features: one cell
     model = A.get_algorithm("gradient_boosting").fit(same, A.Context("regression", 3000), {"n_estimators": 6})
     assert np.allclose(model.transform(same).first()["prediction"], flat.transform(same).first()["prediction"], rtol=1e-9)
+
+
+def test_neighbours_keep_what_can_win(spark):
+    """Of rows alike in all features only the k with the smallest labels are placed; all else is as before."""
+    rng = np.random.default_rng(10)
+    x = rng.integers(0, 5, (3000, 2)).astype(float)
+    x[x == 0] = rng.choice([0.0, -0.0], int((x == 0).sum()))
+    y = np.round(rng.normal(0, 3, 3000), 1)
+    few = rng.uniform(0, 5, (4, 2))  # fewer copies than k
+    x, y = np.r_[x, few], np.r_[y, np.arange(4.0)]
+    model = NearestNeighbours.fit(_vectors(spark, x, y).repartition(5), k=7)
+    kept = model.points.groupBy("x").agg(F.sum("w").alias("w")).collect()
+    assert len(kept) == 25 + 4 and sorted(r.w for r in kept) == [1] * 4 + [7] * 25
+    assert len(model.pivots) == 5 and len(np.unique(model.pivots, axis=0)) == 5
+    asked = np.r_[x[:20], few, rng.uniform(-1, 6, (30, 2))]
+    for r in model.transform(_vectors(spark, asked, np.arange(len(asked)))).collect():
+        d = np.sqrt(((x - asked[int(r.label)]) ** 2).sum(axis=1))
+        assert np.isclose(r.prediction, y[np.lexsort((y, d))[:7]].mean())
